@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -38,12 +40,11 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_folioforge_shipped", False):
         return
-    root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as tmp:
-        path = Path(tmp) / "folioforge_pkg.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f"folioforge/{f.relative_to(root)}")
-        sc.addPyFile(str(path))
-        sc._folioforge_shipped = True
-        sc._folioforge_keep = path.read_bytes()  # the file server reads the copy Spark made
+    root, tmp = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="folioforge-pkg-")
+    atexit.register(shutil.rmtree, tmp, True)
+    path = Path(tmp) / "folioforge_pkg.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"folioforge/{f.relative_to(root)}")
+    sc.addPyFile(str(path))
+    sc._folioforge_shipped = True
