@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint
+from . import fingerprint, toxicity
 
 QUERIES = {
     "op2_fingerprints": (fingerprint.op2_fingerprints, None),
+    "op4_toxicity": (toxicity.op4_toxicity, None),
 }
