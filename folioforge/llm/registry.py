@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprint, toxicity
+from . import fingerprint, neardup, toxicity
 
 QUERIES = {
     "op2_fingerprints": (fingerprint.op2_fingerprints, None),
     "op4_toxicity": (toxicity.op4_toxicity, None),
+    "op8_neardup": (neardup.op8_neardup, None),
 }
