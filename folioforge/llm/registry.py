@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprint, neardup, toxicity
+from . import decontaminate, fingerprint, neardup, toxicity
 
 QUERIES = {
     "op2_fingerprints": (fingerprint.op2_fingerprints, None),
     "op4_toxicity": (toxicity.op4_toxicity, None),
     "op8_neardup": (neardup.op8_neardup, None),
+    "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.ORACLE_SQL),
 }
