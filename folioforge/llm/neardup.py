@@ -139,13 +139,63 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return lab
 
 
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows (band, doc_id, label, n) of bands that hold two components or more, and the least set size in the band."""
+    some = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("band", "least")
+    return rows.join(some, "band")
+
+
+def prune(rows: DataFrame, docs: DataFrame, scratch: Scratch, times: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows of mixed bands that can still have a link to another component, with c; their documents' shingles).
+
+    c counts the shingles of a document that stand in another document of these rows. A link needs an intersection of
+    75/175 of both sizes, which c bounds; the partner is as large as the least set of the band, and as 75 % of this one.
+    Rows that fall short of it link with nothing in the band, so a group of copies too far from each other isn't
+    compared pair by pair. What goes changes what is left of c, so this is done again; any number of times loses no link.
+    """
+    rows = scratch.put(rows, "mixed-0")
+    ids = scratch.put(rows.select("doc_id").distinct(), "mixed-ids")
+    few = ids.count() <= BROADCAST_IDS
+    sets = _sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+    sh = scratch.put(sets.select("doc_id", F.explode("s").alias("s")), "mixed-shingles-0")
+    for i in range(1, times + 1):
+        alone = sh.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+        c = F.col("n") - F.coalesce("alone", F.lit(0))
+        floor = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
+        left = rows.drop("c").join(alone, "doc_id", "left").withColumn("c", c).where(F.col("c") * (100 + PERCENT) >= (F.col("n") + floor) * PERCENT)
+        rows = scratch.put(mixed(left.drop("least", "alone")), f"mixed-{i}")
+        scratch.drop(f"mixed-{i - 1}")
+        keep = rows.select("doc_id").distinct()
+        sh = scratch.put(sh.join(F.broadcast(keep) if few else keep, "doc_id", "left_semi"), f"mixed-shingles-{i}")
+        scratch.drop(f"mixed-shingles-{i - 1}")
+    return rows, sh
+
+
+def across(rows: DataFrame, sh: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) between components: documents that share one of their rarest shingles.
+
+    Of a linked pair at most n - 75/175 * (n + partner's n) shingles of either are not the other's, so the one more than that
+    which are rarest hold a common one. In a group of copies these are mostly the edits, not what the whole group shares.
+    """
+    docs = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("n").alias("n"), F.max("c").alias("c"), F.min("least").alias("least"))
+    floor = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
+    docs = docs.withColumn("p", (F.col("n") - F.ceil((F.col("n") + floor) * PERCENT / (100 + PERCENT)) + 1).cast("int"))
+    rare = sh.join(sh.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("s"))
+    rare = rare.join(docs, "doc_id").withColumn("p", F.col("p") - (F.col("n") - F.size("s")))  # those of one document come first and match nothing
+    rare = rare.where("p > 0").select("doc_id", "label", "n", "c", F.explode(F.slice("s", 1, F.col("p"))).alias("s")).withColumn("s", F.col("s.s"))
+    other = rare.select("s", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "label", "n", "c")))
+    able = (F.col("label") < F.col("label_y")) & (F.least("c", "c_y") * (100 + PERCENT) >= (F.col("n") + F.col("n_y")) * PERCENT)
+    return rare.join(other, (rare["s"] == other["s"]) & able).select(F.least("doc_id", "doc_id_y").alias("a"), F.greatest("doc_id", "doc_id_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document (other columns are ignored).
 
     Texts of equal shingle sets are one class, whose least doc_id stands for it. Classes that share a band are candidates:
     each bucket's classes are first compared with its least one; then, in buckets that still hold several components,
-    the classes of different components with each other. So no pair within a component is compared twice over, however
-    large the group of copies, and no candidate pair across components is left out. Each link is confirmed on whole sets.
+    the classes of different components that share enough shingles to be linked at all. So pairs within a component
+    aren't compared, however large the group of copies, and no candidate pair across components is left out. Each link is
+    confirmed on whole sets.
     A null or wordless text has an empty set and no links. A row with a null id takes no part in links: component_id is
     null, kept is true. Repeated rows and rows of one id are the same document. An empty table gives an empty result.
     """
@@ -165,10 +215,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = components(links, scratch, "cc1")
 
     of = bucket.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    mixed = of.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    rows = scratch.put(of.join(mixed, "band"), "mixed")
-    other = rows.select("band", F.col("doc_id").alias("y"), F.col("label").alias("y_label"))
-    cross = rows.join(other, "band").where("label < y_label").select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")).distinct()
+    rows = mixed(of.join(sk.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id"))
+    cross = across(*prune(rows, docs, scratch))
     cross = scratch.put(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         more = confirm(cross, docs, scratch, "cross")
