@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, neardup, toxicity
+from . import decontaminate, fingerprint, neardup, recompress, toxicity
 
 QUERIES = {
     "op2_fingerprints": (fingerprint.op2_fingerprints, None),
     "op4_toxicity": (toxicity.op4_toxicity, None),
     "op8_neardup": (neardup.op8_neardup, None),
     "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.ORACLE_SQL),
+    "op10_substrings": (recompress.op10_substrings, recompress.ORACLE_SQL),
 }
