@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, neardup, recompress, toxicity
+from . import decontaminate, fingerprint, neardup, recompress, sentencepiece_wfst, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": (sentencepiece_wfst.op1_sentencepiece, None),
     "op2_fingerprints": (fingerprint.op2_fingerprints, None),
     "op4_toxicity": (toxicity.op4_toxicity, None),
     "op8_neardup": (neardup.op8_neardup, None),
