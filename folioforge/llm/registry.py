@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, linedup, neardup, recompress, sentencepiece_wfst, toxicity
+from . import decontaminate, fingerprint, language, linedup, neardup, recompress, sentencepiece_wfst, tokencounts, toxicity
 
 QUERIES = {
     "op1_sentencepiece": (sentencepiece_wfst.op1_sentencepiece, None),
@@ -13,4 +13,5 @@ QUERIES = {
     "op10_substrings": (recompress.op10_substrings, recompress.ORACLE_SQL),
     "op3_language": (language.op3_language, None),
     "op9_linedup": (linedup.op9_linedup, linedup.ORACLE_SQL),
+    "op6_tokencounts": (tokencounts.op6_tokencounts, None),
 }
