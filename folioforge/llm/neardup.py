@@ -232,5 +232,6 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates, and all others."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = Scratch(spark, "neardup-gone").put(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
