@@ -18,19 +18,22 @@ GRAM = 5
 #: So many fingerprints, windows or candidates are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All ASCII characters that part words once A-Z are in lower case, and the same before.
+_PARTS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Words of the text with A-Z in lower case; of null none."""
+    """Words of the text with A-Z in lower case; null if there are none. Trimming first leaves no empty words to take out."""
     ascii_only = F.octet_length(text) == F.char_length(text)
     low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.array_remove(F.split(F.coalesce(low, F.lit("")), _GAP), "")
+    return F.split(F.nullif(F.btrim(low, F.lit(_PARTS)), F.lit("")), _GAP)
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+    some = F.nullif(F.btrim(text, F.lit(_PARTS)), F.lit(""))
+    return F.coalesce(F.when(some.isNotNull(), F.size(F.split(some, _GAP_ANY_CASE))), F.lit(0)).cast("long")
 
 
 def _grams(h: str, k: int) -> str:
