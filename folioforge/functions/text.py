@@ -102,8 +102,8 @@ def around(text: Column, at: Column, n: int = 30) -> Column:
 
 def quoted(message: Column) -> Column:
     """The text in quotes, else what follows the colon, else empty."""
-    q = F.nullif(F.regexp_extract(message, F.lit(r"['\"“‘]([^'\"”’]+)['\"”’]"), 1), F.lit(""))
-    return F.coalesce(q, F.nullif(strip(F.regexp_extract(message, F.lit(r"(?s):\s*(.+)$"), 1)), F.lit("")), F.lit(""))
+    q = F.nullif(F.regexp_extract(message, r"['\"“‘]([^'\"”’]+)['\"”’]", 1), F.lit(""))
+    return F.coalesce(q, F.nullif(strip(F.regexp_extract(message, r"(?s):\s*(.+)$", 1)), F.lit("")), F.lit(""))
 
 
 def key_of(location: Column, message: Column) -> Column:
@@ -117,8 +117,8 @@ def fingerprint(filename: Column, location: Column, message: Column) -> Column:
 
 def verdict(answer: Column) -> Column:
     """(judgment, reason) of a judge's reply."""
-    judged = F.nullif(strip(F.regexp_extract(answer, F.lit(r"판정\s*[:：]\s*([^\n]+)"), 1)), F.lit(""))
-    return F.struct(F.coalesce(judged, F.lit("보류")).alias("judgment"), strip(F.regexp_extract(answer, F.lit(r"(?s)이유\s*[:：]\s*(.+)$"), 1)).alias("reason"))
+    judged = F.nullif(strip(F.regexp_extract(answer, r"판정\s*[:：]\s*([^\n]+)", 1)), F.lit(""))
+    return F.struct(F.coalesce(judged, F.lit("보류")).alias("judgment"), strip(F.regexp_extract(answer, r"(?s)이유\s*[:：]\s*(.+)$", 1)).alias("reason"))
 
 
 def choices_map(choices: Column) -> Column:

@@ -1,0 +1 @@
+"""Readers and writers: tables, nested JSON, reports, HTML, layouts, folders, keyed overwrites."""
