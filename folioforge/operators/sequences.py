@@ -30,8 +30,8 @@ def valid_numbers(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
 
 
 def zones(rows: DataFrame, keys: list[str], pos: str, reach: int = 100, gap: int = 800) -> DataFrame:
-    """(start, end) of runs of positions; a run ends where the next position is more than `gap` after its end."""
-    isl = island_ids(rows.select(*keys, pos), keys, pos, gap + reach)
+    """(start, end) of runs of positions; a run ends where the next position is more than `gap` after its last."""
+    isl = island_ids(rows.select(*keys, pos), keys, pos, gap)
     return isl.groupBy(*keys, "island").agg(F.min(pos).alias("start"), (F.max(pos) + reach).alias("end")).drop("island")
 
 

@@ -42,7 +42,7 @@ def valid_question_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "zones",
-    """WITH d AS (SELECT user_id, event_id AS pos FROM events), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos) > 900 THEN 1 ELSE 0 END AS nw FROM d),
+    """WITH d AS (SELECT user_id, event_id AS pos FROM events), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos) > 800 THEN 1 ELSE 0 END AS nw FROM d),
        i AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY pos) AS z FROM g) SELECT user_id, min(pos) AS start, max(pos) + 100 AS "end" FROM i GROUP BY user_id, z""",
 )
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
