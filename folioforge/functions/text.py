@@ -143,3 +143,18 @@ def acceptance(original: Column, corrected: Column) -> Column:
         .when(corrected.rlike(r"\[[A-Z]:(START|END)\]"), F.lit("structure"))
         .when(corrected.rlike(r"다음.{0,80}?답하시오"), F.lit("intro"))
     )
+
+
+def protect_indent(text: Column) -> Column:
+    """Runs of blanks within lines closed up; a wide space that begins a line stays."""
+    return chain(text, (r"(?<=\S)[ \t　]{2,}", " "), (r"(?m)[ \t]+$", ""), (r"(?m)^[ \t]+(?=　)", ""))
+
+
+def join_endings(text: Column) -> Column:
+    """Particles and endings that a line or a stray blank parted from their word, put back."""
+    return chain(text, (r"(?U)(?<=[가-힣]) (?=(?:은|는|이|가|을|를|의|에|와|과|도|로|으로|에서|에게|까지|부터)\b)", ""), (r"(?<=[가-힣])\n(?=(?:다|요|까)[.?!])", ""))
+
+
+def break_dialogue(text: Column) -> Column:
+    """A new line before a speaker's name, or a stage direction, that follows the end of a sentence."""
+    return chain(text, (r"([.!?…」』。])[ \t　]*((?:학생|사회자|교사|진행자|위원|갑|을|병)\s?\d?\s?[:：])", "$1\n$2"), (r"([.!?…」』。])[ \t　]*(\([^()\n]{2,30}\)\s)", "$1\n$2"))

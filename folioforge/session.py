@@ -35,9 +35,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch to a Python worker: rows may be long texts, and several batches are held at a time.
+ARROW_BYTES = "4m"
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB")
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per context."""
+    """Send this package to the executors' Python workers, once per context, and bound their batches unless the session does."""
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW_KEY) in _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_KEY, ARROW_BYTES)
     if getattr(sc, "_folioforge_shipped", False):
         return
     root, tmp = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="folioforge-pkg-")

@@ -184,3 +184,32 @@ def test_merge_extracts(spark):
     rows = [("d", 1, 7, "ab", "", {"1": "x"}), ("d", 2, 7, "abc", "box", {"1": "longer", "2": "y"}), ("d", 3, 7, "xyz", "late", {"2": "q"})]
     r = S.merge_extracts(spark.createDataFrame(rows, "doc_id string, page_no int, number int, stem string, bogi string, choices map<string,string>")).first()
     assert (r["stem"], r["bogi"], r["choices"]) == ("abc", "box", {"1": "longer", "2": "y"})
+
+
+def test_anchor_tiers_and_underlines():
+    from folioforge.operators import correct as V
+
+    assert V.anchor("가 나다  라마", "나다 라마") == 2 and V.anchor('x "abc def', "abc def") == 3 and V.anchor("a", "zzz") == -1
+    assert V.anchor("ab-cd.ef gh", "abcdefgh") == 0 and V.anchor(None, "x") == -1
+    assert V.underline("가나다 라마", ["나다", "없음", ""]) == "가<u>나다</u> 라마"
+    assert V.underline("<u>나다</u>", ["나다"]) == "<u>나다</u>"
+
+
+def test_verify(spark):
+    from folioforge.operators import correct as V
+
+    stored = spark.createDataFrame([("d", "p1", "1~2", "가나다라마바사아자차"), ("d", "p2", None, "zzzz")], "doc_id string, passage_id string, question_range string, content string")
+    read = spark.createDataFrame([("d", 1, "1~2", "가나다라마바사아자타")], "doc_id string, read_id int, question_range string, text string")
+    got = {r["location"]: (r["kind"], r["corrected"]) for r in V.accept(V.verify_passages(stored, read)).collect()}
+    assert got == {"지문 p1": ("FIXED", "가나다라마바사아자타"), "지문 p2": ("WARNING", None)}
+    q = "doc_id string, number int, stem string, choices map<string,string>"
+    a = spark.createDataFrame([("d", 1, "1. 적절한 것은?", {"1": "abcdefgh", "2": "same"}), ("d", 9, "9. x", {"1": "a"})], q)
+    b = spark.createDataFrame([("d", 1, "1. 적절한 것은?", {"1": "abcdefxy", "2": "same"})], q)
+    rows = sorted((r["location"], r["kind"], r["field"]) for r in V.verify_questions(a, b).collect())
+    assert rows == [("문항 1", "FIXED", "choices.1"), ("문항 9", "INFO", "stem")]
+
+
+def test_spacing(spark):
+    assert one(spark, "학생 은 간다", X.join_endings) == "학생은 간다"
+    assert one(spark, "끝났다. 학생 1: 네", X.break_dialogue) == "끝났다.\n학생 1: 네"
+    assert one(spark, "a   b  \n　c", X.protect_indent) == "a b\n　c"
