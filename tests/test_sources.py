@@ -74,3 +74,23 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     # nothing is later than the watermark allows, so no window has closed yet: append mode writes none
     assert q.exception() is None
+
+
+def test_layout_source(spark, tmp_path):
+    from folioforge.operators import investigate as I
+    from folioforge.sources import layout as L
+
+    page = {"page_no": 1, "width": 600, "height": 800, "blocks": [{"kind": 0, "box": [10, 100, 50, 120], "text": "1. 가"}, {"box": [1, 2, 3, 4]}]}
+    (tmp_path / "d1.jsonl").write_text(json.dumps(page) + "\n" + json.dumps({**page, "page_no": 2}))
+    rows = L.read_layout(spark, [str(tmp_path / "d1.jsonl")])
+    assert rows.count() == 4 and rows.where("doc_id = 'd1' and page_no = 2 and text = '1. 가'").count() == 1
+    text = L.document_text(rows.where("text <> ''").select("doc_id", "page_no", "text")).first()
+    assert text["n_pages"] == 2 and text["text"].startswith("--- 페이지 1 ---\n1. 가")
+    pages = spark.createDataFrame([("d", "1. a ① x\n2. b\n")], "doc_id string, text string")
+    none = spark.createDataFrame([("d", 1)], "doc_id string, number int")
+    got = I.missing_questions(pages, none, spark.createDataFrame([("d", 7)], "doc_id string, number int"))
+    assert {r["number"]: [c[0] for c in r["causes"]] for r in got.collect()} == {2: ["C"], 7: ["A"]}
+    assert {r["cause"][0]: r["count"] for r in I.cause_counts(got).collect()} == {"A": 1, "C": 1}
+    many = spark.createDataFrame([("d", n, "화법과 작문" if n == 3 else "언어와 매체" if n == 5 else "x") for n in range(12)], "doc_id string, page_no int, text string")
+    assert [r["doc_id"] for r in L.combined_exams(many).collect()] == ["d"]
+    assert {r["section"]: len(r["pages"]) for r in L.page_classes(many).collect()} == {"hwajak": 1, "eonmae": 1, "common": 10}
