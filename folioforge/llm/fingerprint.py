@@ -116,7 +116,7 @@ def fingerprints(df: DataFrame, text: str = "text", bins: int = BINS, bits: int
             keep = [n for n in batch.schema.names if n != "fingerprint"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(out, pa.string())], names=[*keep, "fingerprint"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tk.tidied(run), schema)
 
 
 _NO_ID = -(2**63)
@@ -211,7 +211,7 @@ def edited_fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k:
                     size = len(held[0][3])
         yield from emit(held)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tk.tidied(run), schema)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

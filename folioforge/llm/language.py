@@ -279,7 +279,7 @@ def label(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = False) ->
                 cols.append(pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tk.tidied(run), schema)
 
 
 def _has_letter(raw: np.ndarray) -> bool:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import load, ship
 from . import textkernel as tk
@@ -88,7 +88,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 cols = [i[x + doc], k[x + doc], some - t.first[doc], n, *(h.view(np.int64) for h in (t.hash(a, b, 7), t.hash(a, b, 7, 1), *halves))]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["i", "k", "line", "n", "h1", "h2", "p0", "s0", "p1", "s1"])
 
-    return docs.select("i", "k", "text").mapInArrow(run, "i long, k long, line long, n long, h1 long, h2 long, p0 long, s0 long, p1 long, s1 long")
+    return docs.select("i", "k", "text").mapInArrow(tk.tidied(run), "i long, k long, line long, n long, h1 long, h2 long, p0 long, s0 long, p1 long, s1 long")
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -119,26 +119,26 @@ def variants(lines: DataFrame) -> DataFrame:
                 rows = x + np.concatenate([row, row, np.arange(y - x)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), whole, *(pa.array(m[rows]) for m in meta)], names=["key", "whole", "h1", "h2", "i", "line"])
 
-    return lines.select("h1", "h2", "i", "line", "text").mapInArrow(run, "key long, whole boolean, h1 long, h2 long, i long, line long")
+    return lines.select("h1", "h2", "i", "line", "text").mapInArrow(tk.tidied(run), "key long, whole boolean, h1 long, h2 long, i long, line long")
 
 
-def within_one_edit(a: list[str], b: list[str]) -> bool:
-    """Whether the word edit distance is at most one."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    p = 0
-    while p < len(a) and a[p] == b[p]:
-        p += 1
-    return a[p:] == b[p + 1 :] if len(a) < len(b) else a[p + 1 :] == b[p + 1 :]
+_GAPS = " \t\n\x0b\x0c\r"
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+def line_words(line: Column) -> Column:
+    """Words of a line, A-Z in lower case; null if there are none."""
+    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.split(F.nullif(F.btrim(low, F.lit(_GAPS)), F.lit("")), r"[\x20\x09-\x0D]+")
 
 
-def line_words(text: str) -> list[str]:
-    return [w.decode("utf-8", "surrogatepass") for w in (text or "").translate(_LOWER).encode("utf-8", "surrogatepass").split()]
+def within_one_edit(a: Column, b: Column) -> Column:
+    """Whether the word edit distance of two arrays is at most one: behind their common head, one word of either or both aside, they are equal."""
+    n, m = F.size(a), F.size(b)
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    at = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)), F.greatest(n, m) + 1).cast("int")  # the first place where they differ
+    skip_a, skip_b = F.when(n >= m, 1).otherwise(0), F.when(m >= n, 1).otherwise(0)
+    rest = lambda x, skip, size: F.slice(x, at + skip, F.greatest(size - at - skip + 1, F.lit(0)))
+    return (F.abs(n - m) <= 1) & (rest(a, skip_a, n) == rest(b, skip_b, m))
 
 
 def _pick_lines(docs: DataFrame) -> DataFrame:
@@ -155,11 +155,11 @@ def _pick_lines(docs: DataFrame) -> DataFrame:
                         to.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string())], names=["h1", "h2", "i", "line", "text"])
 
-    return docs.select("i", "text", "want").mapInArrow(run, "h1 long, h2 long, i long, line long, text string")
+    return docs.select("i", "text", "want").mapInArrow(tk.tidied(run), "h1 long, h2 long, i long, line long, text string")
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(i, k, gone): the numbers of the lines to take out of each text. docs has i (the id), k (a hash of the text) and text."""
+    """(i, k, gone, n): the lines to take out of each text, as a map of bit sets of 64 lines, and how many they are. docs has i (the id), k (a hash of the text) and text."""
     lines = scratch.put(line_table(docs), "lines")
     at = F.struct("i", "line", "k")
     classes = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("times"))
@@ -189,18 +189,16 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     cols = ["h1", "h2", F.col("m.h1").alias("m1"), F.col("m.h2").alias("m2")]
     pairs = scratch.put(pairs.select(*cols).unionByName(after.select(*cols)).unionByName(before.select(*cols)).distinct(), "pairs")
 
-    @F.pandas_udf("boolean")
-    def verified(a, b):
-        return a.combine(b, lambda x, y: within_one_edit(line_words(x), line_words(y)))
-
     of = texts.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
     mate = of.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), F.col("text").alias("mate"))
-    near = pairs.join(of, ["h1", "h2"]).join(mate, ["m1", "m2"]).where(verified("text", "mate")).select("h1", "h2").distinct()
+    near = pairs.join(of, ["h1", "h2"]).join(mate, ["m1", "m2"]).select("h1", "h2", line_words(F.col("text")).alias("a"), line_words(F.col("mate")).alias("b")).where(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
     near = scratch.put(near.withColumn("near", F.lit(True)), "near")
 
     judged = classes.join(near, ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("i", "k", "line", "h1", "h2").join(judged, ["h1", "h2"]).where(F.col("near") | (F.struct("i", "line") > F.struct("first.i", "first.line")))
-    return scratch.put(gone.groupBy("i", "k").agg(F.collect_set("line").alias("gone")), "gone")
+    # bits of 64 lines each: a text of many lines is then cut in about linear time
+    bits = gone.groupBy("i", "k", (F.floor(F.col("line") / 64)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(line % 64 as int))")).alias("b"))
+    return scratch.put(bits.groupBy("i", "k").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("gone"), F.sum(F.bit_count("b")).cast("long").alias("n")), "gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -214,24 +212,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "linedup")
     keyed = docs.select("*", F.coalesce("doc_id", F.lit(_LAST)).alias("__i"), F.xxhash64("text").alias("__k"))
     gone = repeated_lines(keyed.select(F.col("__i").alias("i"), F.col("__k").alias("k"), "text"), scratch)
-    gone = gone.select(F.col("i").alias("__i"), F.col("k").alias("__k"), F.col("gone").alias("__gone"))
+    gone = gone.select(F.col("i").alias("__i"), F.col("k").alias("__k"), F.col("gone").alias("__gone"), F.col("n").alias("__n"))
     out = keyed.join(gone, ["__i", "__k"], "left")
 
-    @F.pandas_udf("string")
-    def kept(text, gone):
-        def cut(t, g):
-            if g is None:
-                return t
-            g = set(g.tolist())
-            return "\n".join(x for j, x in enumerate(t.split("\n")) if j not in g)
-
-        return text.combine(gone, cut)
-
+    stays = lambda j: F.coalesce(F.getbit(F.try_element_at("__gone", F.floor(j / 64)), j % 64), F.lit(0)) == 0
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, j: stays(j)), "\n")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(
-        *(kept("text", "__gone").alias("text") if c == "text" else F.col(c) for c in names),
+        *(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

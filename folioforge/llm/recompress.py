@@ -154,7 +154,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[a + doc[new]])], names=["anchor", "i"])
 
-    return docs.select("i", "text").mapInArrow(run, "anchor long, i long")
+    return docs.select("i", "text").mapInArrow(tk.tidied(run), "anchor long, i long")
 
 
 def windows_under(docs: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def windows_under(docs: DataFrame) -> DataFrame:
                         to.append(what)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in out], names=["anchor", "hash", "i"])
 
-    return docs.select("i", "text", "wanted").mapInArrow(run, "anchor long, hash long, i long")
+    return docs.select("i", "text", "wanted").mapInArrow(tk.tidied(run), "anchor long, hash long, i long")
 
 
 def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
@@ -219,7 +219,7 @@ def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
                 [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
             )
 
-    return docs.select("doc_id", "text", "copy", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.select("doc_id", "text", "copy", "gone").mapInArrow(tk.tidied(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def cut_repeats(docs: DataFrame, kept_text: bool = True) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import load, ship
+from . import textkernel as tk
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -34,7 +35,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: The format's penalty of an unknown character below the least score.
 UNKNOWN_PENALTY = 10.0
-CACHE = 250_000
+#: Paths, prefixes and piece pairs that a Python worker remembers at most (each; about 100 bytes a piece of text).
+CACHE = 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -165,7 +167,7 @@ class Transducer:
         self.cut = cut and "\n" not in self.letters
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+" if self.cut else r"(?s).+")
         self.out = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in self.pieces]
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.packed = [array("i", [i]).tobytes() for i in range(len(self.pieces))]
         self.prefixes: dict[str, tuple[int, bytes]] = {}
         self.words, self.others = _Paths(self.path, SPACE), _Paths(self.path, "")
@@ -188,12 +190,20 @@ class Transducer:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the BPE factor has an arc from piece a to piece b. Arcs are made when first met."""
-        ok = self.follows.get((a, b))
+        key = a * len(self.pieces) + b
+        ok = self.follows.get(key)
         if ok is None:
             left, right = self.pieces[a][0], self.pieces[b][0]
-            ok = self.follows[a, b] = self._merge(left + right, len(left)) is not None
+            if len(self.follows) >= 2 * CACHE:
+                self.follows.clear()
+            ok = self.follows[key] = self._merge(left + right, len(left)) is not None
         return ok
 
+    def forget(self) -> None:
+        """Drop remembered paths, not the arcs made."""
+        for memory in (self.words, self.words.old, self.others, self.others.old, self.prefixes):
+            memory.clear()
+
     def _spell(self, ch: str) -> tuple[int, ...]:
         """Byte fallback of a character outside the lexicon."""
         return tuple(self.bytes[b] for b in ch.encode("utf-8", "replace")) if self.bytes else (self.unknown,)
@@ -313,8 +323,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
                 flat, ends, sha, same = array("i"), [0], [], []
                 for x in part.column(text):
                     s = x.as_py() or ""
@@ -327,8 +337,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text") -> Data
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
                 cols = [part.column(f.name) for f in kept]
                 yield pa.RecordBatch.from_arrays([*cols, lists, pa.array(np.diff(ends)), pa.array(sha), pa.array(same)], names=schema.names)
+        t.forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tk.tidied(run), schema)
 
 
 def decode(rows: DataFrame, model_path: str = MODEL, ids: str = "ids") -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import load, ship
+from . import textkernel as tk
 from .scratch import Scratch
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -66,7 +67,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str] = TOKENIZERS, patte
             for n, c in counts.items():
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([n] * len(c), pa.string()), pa.array(c, pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tk.tidied(run), schema)
 
 
 def signed(changes: DataFrame) -> DataFrame:

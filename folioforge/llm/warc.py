@@ -22,6 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import load, ship
+from . import textkernel as tk
 from .decontaminate import _small
 from .scratch import Scratch
 
@@ -183,7 +184,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["path", "records"])
 
-    return rows.select("page_id", "url", "payload", "sha", "refers_to").mapInArrow(run, "path string, records long")
+    return rows.select("page_id", "url", "payload", "sha", "refers_to").mapInArrow(tk.tidied(run), "path string, records long")
 
 
 def normalise_archives(paths: DataFrame, folder: str) -> DataFrame:
@@ -202,7 +203,7 @@ def normalise_archives(paths: DataFrame, folder: str) -> DataFrame:
                 cols = list(zip(*index, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array([to] * len(index), pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["path", "record_id", "type", "offset", "length"])
 
-    return paths.select("path").mapInArrow(run, "path string, record_id string, type string, offset long, length long")
+    return paths.select("path").mapInArrow(tk.tidied(run), "path string, record_id string, type string, offset long, length long")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -243,7 +244,7 @@ def read_records(index: DataFrame) -> DataFrame:
             held[1].close()
 
     schema = "page_id long, url string, payload binary, record_type string, payload_bytes long, payload_digest string, refers_to long"
-    return index.select("path", "offset", "length").mapInArrow(run, schema)
+    return index.select("path", "offset", "length").mapInArrow(tk.tidied(run), schema)
 
 
 def _page(urn: str | None) -> int | None:

@@ -3,6 +3,8 @@ import random
 from folioforge.llm import linedup as ld
 from folioforge.llm import textkernel as tk
 
+from pyspark.sql import functions as F
+
 from . import brute
 
 SCHEMA = "doc_id long, text string, n_lines string, i int, k string, line int"
@@ -66,12 +68,11 @@ def test_line_bounds():
     assert t.size.tolist() == [len(brute.words(x)) for y in texts for x in y.split("\n")]
 
 
-def test_within_one_edit():
+def test_within_one_edit(spark):
     rng = random.Random(0)
-    for _ in range(2000):
-        a = [rng.choice("ab") for _ in range(rng.randint(0, 5))]
-        b = [rng.choice("ab") for _ in range(rng.randint(0, 5))]
-        assert ld.within_one_edit(a, b) == (distance(a, b) <= 1)
+    rows = [([rng.choice("ab") for _ in range(rng.randint(0, 5))], [rng.choice("ab") for _ in range(rng.randint(0, 5))]) for _ in range(2000)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", ld.within_one_edit(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(r["r"] == (distance(r["a"], r["b"]) <= 1) for r in got)
 
 
 def test_against_brute_force(spark):
@@ -104,6 +105,12 @@ def test_odd_rows(spark):
     assert ld.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_many_lines(spark):
+    text = "\n".join(f"line {i // 3}" for i in range(400))
+    got = ld.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["text"] == "\n".join(f"line {i}" for i in range(134)) and got["n_removed"] == 400 - 134
+
+
 def test_stage_drops_only_what_stands_elsewhere(spark):
     rows = [(1, "a b\nc d", "en", "s", 7), (2, "c d\na b", "en", "s", 7), (3, "", "en", "s", 0), (4, "c d\nnew", "en", "s", 7), (5, None, None, None, None)]
     out = ld.stage_linedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
