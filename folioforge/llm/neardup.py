@@ -84,7 +84,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_shingles", "digest", "bands", "low"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, low binary")
+    return docs.mapInArrow(tk.tidied(run), "doc_id long, n_shingles long, digest binary, bands array<long>, low binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sets = [s.view(np.int64) for s in tk.distinct_sets(sh, first)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>")
+    return docs.mapInArrow(tk.tidied(run), "doc_id long, s array<long>")
 
 
 #: So many ids, 16 bytes each, are broadcast at most; more are joined by a shuffle.
@@ -107,15 +107,15 @@ BROADCAST_IDS = 1_000_000
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on the whole sets."""
+    """The pairs (a, b) with `both`, the size of the intersection of the whole sets, and `link`: 100 * both >= percent * union."""
     need = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
     few = need.count() <= BROADCAST_IDS
     sets = scratch.put(_sets(docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi")), f"{name}-sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     joined = pairs.join(right, "b").join(left, "a").withColumn("both", both)
-    links = joined.where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent).select("a", "b").distinct()
-    links = scratch.put(links, f"{name}-links")
+    link = F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent
+    links = scratch.put(joined.select("a", "b", "both", link.alias("link")).distinct(), f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-ids")
     return links
 
@@ -171,20 +171,29 @@ def prune(rows: DataFrame, docs: DataFrame, scratch: Scratch, times: int = 2) ->
     return rows, sh
 
 
-def across(rows: DataFrame, sh: DataFrame) -> DataFrame:
+def across(rows: DataFrame, sh: DataFrame, known: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) between components: documents that share one of their rarest shingles.
 
     Of a linked pair at most n - 75/175 * (n + partner's n) shingles of either are not the other's, so the one more than that
-    which are rarest hold a common one. In a group of copies these are mostly the edits, not what the whole group shares.
+    which are rarest hold a common one, and the first common one leaves enough behind it in both. In a group of copies these
+    are mostly the edits, not what the whole group shares. Of documents compared with the same center, the intersection is at
+    most the lesser of what they share with it and the lesser of what they don't.
     """
     docs = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("n").alias("n"), F.max("c").alias("c"), F.min("least").alias("least"))
+    near = known.groupBy(F.col("b").alias("doc_id")).agg(F.max_by("a", F.struct("both", -F.col("a"))).alias("center"), F.max("both").alias("held"))
+    docs = docs.join(near, "doc_id", "left").withColumn("held", F.coalesce("held", "n")).withColumn("center", F.coalesce("center", "doc_id"))
     floor = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
     docs = docs.withColumn("p", (F.col("n") - F.ceil((F.col("n") + floor) * PERCENT / (100 + PERCENT)) + 1).cast("int"))
     rare = sh.join(sh.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("s"))
-    rare = rare.join(docs, "doc_id").withColumn("p", F.col("p") - (F.col("n") - F.size("s")))  # those of one document come first and match nothing
-    rare = rare.where("p > 0").select("doc_id", "label", "n", "c", F.explode(F.slice("s", 1, F.col("p"))).alias("s")).withColumn("s", F.col("s.s"))
-    other = rare.select("s", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "label", "n", "c")))
-    able = (F.col("label") < F.col("label_y")) & (F.least("c", "c_y") * (100 + PERCENT) >= (F.col("n") + F.col("n_y")) * PERCENT)
+    # those of one document come first and match nothing; at is the place among all
+    rare = rare.join(docs, "doc_id").withColumn("alone", F.col("n") - F.size("s")).where(F.col("p") > F.col("alone"))
+    rare = rare.select("doc_id", "label", "n", "c", "center", "held", "alone", F.posexplode(F.slice("s", 1, (F.col("p") - F.col("alone")).cast("int"))).alias("k", "s"))
+    rare = rare.withColumn("s", F.col("s.s")).withColumn("at", F.col("alone") + F.col("k")).drop("alone", "k")
+    other = rare.select("s", *(F.col(c).alias(f"{c}_y") for c in rare.columns if c != "s"))
+    enough = lambda most: most * (100 + PERCENT) >= (F.col("n") + F.col("n_y")) * PERCENT
+    by_center = F.least("held", "held_y") + F.least(F.col("n") - F.col("held"), F.col("n_y") - F.col("held_y"))
+    able = (F.col("label") < F.col("label_y")) & enough(F.least("c", "c_y")) & enough(F.least(F.col("n") - F.col("at"), F.col("n_y") - F.col("at_y")))
+    able = able & ((F.col("center") != F.col("center_y")) | enough(by_center))
     return rare.join(other, (rare["s"] == other["s"]) & able).select(F.least("doc_id", "doc_id_y").alias("a"), F.greatest("doc_id", "doc_id_y").alias("b")).distinct()
 
 
@@ -211,15 +220,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("band", "center")
     bucket = scratch.put(bands.join(shared, "band"), "bucket")
     stars = scratch.put(bucket.where("center <> doc_id").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = confirm(stars, docs, scratch, "star")
+    known = confirm(stars, docs, scratch, "star")
+    links = known.where("link").select("a", "b")
     label = components(links, scratch, "cc1")
 
     of = bucket.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     rows = mixed(of.join(sk.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id"))
-    cross = across(*prune(rows, docs, scratch))
+    cross = across(*prune(rows, docs, scratch), known)
     cross = scratch.put(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        more = confirm(cross, docs, scratch, "cross")
+        more = confirm(cross, docs, scratch, "cross").where("link").select("a", "b")
         if not more.isEmpty():
             label = components(links.unionByName(more), scratch, "cc2")
     out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
