@@ -2,13 +2,17 @@
 
 The ratio is twice the matched characters over both lengths, by longest common blocks with popular characters left out of
 long texts: order of arguments matters. No expression computes it, so it is an Arrow UDF over the standard library; pairs
-are made within a block only, and on the first 500 characters.
+are made within a block, and passages are compared on their first 500 characters; where nothing says which texts belong
+together, a small table is compared with every text.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -62,6 +66,88 @@ def best_match(left: DataFrame, right: DataFrame, block: list[str], left_text: s
     return scored.where(F.col("similarity") > least).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+class _Items:
+    """A small table of texts, each compared with every text given. `bounds` is difflib's quick_ratio of all at once: no ratio
+    is above it, so what it rules out needn't be scored."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, self.size = texts, np.array([len(t) for t in texts], dtype=np.int64)
+        letters = sorted({c for t in texts for c in t})
+        self.place = np.full(0x110000, len(letters), dtype=np.int32)
+        self.place[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.counts = np.array([[n[c] for c in letters] for n in map(Counter, texts)], dtype=np.int32).reshape(len(texts), len(letters))
+        self.matcher = difflib.SequenceMatcher()
+
+    def bounds(self, line: str) -> np.ndarray:
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        n = np.bincount(self.place[codes], minlength=self.counts.shape[1] + 1)[:-1]
+        return 2.0 * np.minimum(self.counts, n).sum(1) / np.maximum(self.size + len(line), 1)
+
+    def ratios(self, line: str, which: np.ndarray) -> Iterator[tuple[int, float]]:
+        self.matcher.set_seq2(line)
+        for k in which:
+            self.matcher.set_seq1(self.texts[k])
+            yield k, self.matcher.ratio()
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly: each costs a ratio with every item, and few bytes of them would be one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def best_of_all(items: DataFrame, lines: DataFrame, item_text: str, line_text: str, item_id: str, line_id: str, least: float) -> DataFrame:
+    """item_id, line_id, similarity: of all lines the most similar to each item, whole texts, if more alike than `least`; ties
+    go to the least id. Items are few and go to every task; each task returns one row an item at most. Null texts match none."""
+    few = items.where(F.col(item_text).isNotNull()).select(item_id, item_text).collect()
+    ids, texts = [r[0] for r in few], [r[1] for r in few]
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not texts:
+            return
+        held, top, found = _Items(texts), np.full(len(texts), least), [None] * len(texts)
+        for b in batches:
+            for line, at in zip(b["line"], b["id"], strict=True):
+                for k, r in held.ratios(line, np.flatnonzero(held.bounds(line) >= top)):
+                    if r > top[k] or (r == top[k] and found[k] is not None and at < found[k]):
+                        top[k], found[k] = r, at
+        got = [k for k in range(len(texts)) if found[k] is not None]
+        if got:
+            yield pd.DataFrame({item_id: [ids[k] for k in got], line_id: [found[k] for k in got], "similarity": [float(top[k]) for k in got]})
+
+    schema = T.StructType([items.schema[item_id], lines.schema[line_id], T.StructField("similarity", T.DoubleType())])
+    once = lines.where(F.col(line_text).isNotNull()).groupBy(F.col(line_text).alias("line")).agg(F.min(line_id).alias("id"))
+    w = Window.partitionBy(item_id).orderBy(F.desc("similarity"), line_id)
+    return _spread(once).mapInPandas(best, schema).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def reclassified(items: DataFrame, lines: DataFrame, item_text: str, line_text: str, kind: Callable[[float], str], low: float) -> DataFrame:
+    """before, after, count: the classes of the ratio of every item and every line, as they are and in lower case. All ratios
+    below `low` are of one class."""
+    texts = [r[0] for r in items.where(F.col(item_text).isNotNull()).select(item_text).collect()]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not texts:
+            return
+        plain, small, n = _Items(texts), _Items([t.lower() for t in texts]), Counter()
+
+        def kinds(held: _Items, line: str) -> list[str]:
+            out = [kind(0.0)] * len(texts)
+            for k, r in held.ratios(line, np.flatnonzero(held.bounds(line) >= low)):
+                out[k] = kind(r)
+            return out
+
+        for b in batches:
+            for line, times in zip(b["line"], b["n"], strict=True):
+                for pair in zip(kinds(plain, line), kinds(small, line.lower()), strict=True):
+                    n[pair] += int(times)
+        if n:
+            yield pd.DataFrame([(*pair, v) for pair, v in n.items()], columns=["before", "after", "n"])
+
+    once = lines.where(F.col(line_text).isNotNull()).groupBy(F.col(line_text).alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return _spread(once).mapInPandas(count, "before string, after string, n long").groupBy("before", "after").agg(F.sum("n").alias("count"))
+
+
 def match_passages(stored: DataFrame, read: DataFrame, least: float = 0.3) -> DataFrame:
     """Stored passages (doc_id, passage_id, question_range, content) with the read one (read_id, question_range, text) of the
     same range, else with the most alike of the document: doc_id, passage_id, read_id, similarity (null if by range)."""
