@@ -14,7 +14,7 @@ def _exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "conversations")
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     marks = F.transform(F.slice(words, 2, 5), lambda w, i: F.concat(F.substring(F.lit(S.MARKS), i + 1, F.lit(1)), F.lit(" "), w))
-    q = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.substring("text", 1, 120), F.lit("\n"), F.array_join(marks, " "))
+    q = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.col("text"), F.lit("\n"), F.array_join(marks, " "))
     parts = F.array_sort(F.collect_list(F.struct("turn", q.alias("q"))))
     return c.groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda p: p["q"]), "\n\n").alias("text"))
 

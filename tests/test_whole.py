@@ -47,3 +47,9 @@ def test_what_if_reclassify(run):
     kind = lambda r: "ok" if r >= 0.6 else "A" if r >= 0.4 else "B" if r >= 0.2 else "Z"
     want = Counter((kind(ratio(a, b)), kind(ratio(a.lower(), b.lower()))) for _, a, _, b in pairs())
     assert {(x["before"], x["after"]): x["count"] for x in run("what_if_reclassify", **FUZZY)} == want
+
+
+def test_exam_texts_are_whole_turns(run):
+    turn = "which of these " * 12 + "\n2. and a second question of the same turn\n① x ② y"
+    r = run("segment_documents", conversations=([(1, 0, "user", turn)], "conv_id long, turn int, role string, text string"))
+    assert [(x["n_questions"], x["n_passages"]) for x in r] == [(2, 0)]
