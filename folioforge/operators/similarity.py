@@ -57,10 +57,12 @@ def changes(a: pd.Series, b: pd.Series) -> pd.Series:
     return a.combine(b, one)
 
 
-def best_match(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, left_id: str, right_id: str, least: float) -> DataFrame:
-    """left_id, right_id, similarity: the most similar right text within the block, if more alike than `least`; ties go to the least id."""
-    a = left.select(*block, left_id, F.substring(left_text, 1, PREFIX).alias("__a"))
-    b = right.select(*block, right_id, F.substring(right_text, 1, PREFIX).alias("__b"))
+def best_match(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, left_id: str, right_id: str, least: float, prefix: int | None = None) -> DataFrame:
+    """left_id, right_id, similarity: the most similar right text within the block, if more alike than `least`; ties go to the least id.
+    Whole texts are compared, or their first `prefix` characters."""
+    cut = lambda c: F.col(c) if prefix is None else F.substring(c, 1, prefix)
+    a = left.select(*block, left_id, cut(left_text).alias("__a"))
+    b = right.select(*block, right_id, cut(right_text).alias("__b"))
     scored = a.join(b, block).select(left_id, right_id, seq_ratio("__a", "__b").alias("similarity"))
     w = Window.partitionBy(left_id).orderBy(F.desc("similarity"), right_id)
     return scored.where(F.col("similarity") > least).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
@@ -155,7 +157,7 @@ def match_passages(stored: DataFrame, read: DataFrame, least: float = 0.3) -> Da
     s, r = stored.withColumn("__r", norm), read.withColumn("__r", norm)
     exact = s.where("__r is not null and __r <> ''").join(r.select("doc_id", "__r", "read_id"), ["doc_id", "__r"]).groupBy("doc_id", "passage_id").agg(F.min("read_id").alias("read_id"))
     rest = s.join(exact, ["doc_id", "passage_id"], "left_anti").withColumn("__key", F.struct("doc_id", "passage_id"))
-    fuzzy = best_match(rest, r, ["doc_id"], "content", "text", "__key", "read_id", least)
+    fuzzy = best_match(rest, r, ["doc_id"], "content", "text", "__key", "read_id", least, PREFIX)
     return exact.withColumn("similarity", F.lit(None).cast("double")).unionByName(fuzzy.select("__key.doc_id", "__key.passage_id", "read_id", "similarity"))
 
 

@@ -53,3 +53,15 @@ def test_exam_texts_are_whole_turns(run):
     turn = "which of these " * 12 + "\n2. and a second question of the same turn\n① x ② y"
     r = run("segment_documents", conversations=([(1, 0, "user", turn)], "conv_id long, turn int, role string, text string"))
     assert [(x["n_questions"], x["n_passages"]) for x in r] == [(2, 0)]
+
+
+def test_question_stems_are_compared_whole(spark):
+    from folioforge.operators import similarity as M
+
+    head, other, tail, end = "alpha beta gamma " * 30, "0123456789-+=*/#" * 32, "".join(map(chr, range(0x4E00, 0x4E00 + 900))), "?!" * 450
+    stem, read = head + tail, {11: head + end, 12: other + tail}
+    best = max(read, key=lambda n: ratio(stem, read[n]))
+    assert best == 12 and ratio(stem, read[12]) > 0.55 and max(read, key=lambda n: ratio(stem[:500], read[n][:500])) == 11
+    stored = spark.createDataFrame([("d", 1, stem)], "doc_id string, number int, stem string")
+    r = M.match_questions(stored, spark.createDataFrame([("d", n, t) for n, t in read.items()], "doc_id string, number int, stem string")).collect()
+    assert [(x["read_number"], x["how"]) for x in r] == [(12, "stem")]
