@@ -49,6 +49,16 @@ def slices(anchors: DataFrame, keys: list[str], pos: str, text: str) -> DataFram
     return anchors.withColumn("slice", F.substring(F.col(text), F.col(pos) + 1, size))
 
 
+def line_slices(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, slice: slices() with the line breaks of each text as anchors. Lines are dealt out instead of a copy of the
+    text with each anchor, which grows with the square of a long text. Rows of one key are one document."""
+    w = Window.partitionBy(key).orderBy("__k")
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("__k", "__line"))
+    pos = F.sum(F.length("__line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    cut = lines.select(key, pos.alias("pos"), F.concat(F.lit("\n"), F.lead("__line").over(w)).alias("slice"))
+    return cut.where(F.col("slice").isNotNull())
+
+
 def runs(rows: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
     """Rows with `run`, the number of the run of equal flags that they are in."""
     w = Window.partitionBy(*keys).orderBy(order)

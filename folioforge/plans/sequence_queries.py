@@ -66,14 +66,7 @@ def running_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT doc_id, pos, md5(substr(text, pos + 1, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(text)) - pos)) AS digest FROM t""",
 )
 def lead_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where("n_chars < 3000")
-    # offsets of line breaks: running lengths of the lines before them
-    lines = docs.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    anchors = lines.withColumn("pos", F.sum(F.length("line") + 1).over(w) - 1).where(F.col("pos") < F.length("text")).select("doc_id", "text", "pos")
-    return S.slices(anchors, ["doc_id"], "pos", "text").select("doc_id", "pos", F.md5("slice").alias("digest"))
+    return S.line_slices(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pos", F.md5("slice").alias("digest"))
 
 
 @query("topn_longest_per_group", "SELECT source, doc_id, CAST(rank AS INT) AS rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) t WHERE rank <= 12")

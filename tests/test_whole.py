@@ -2,6 +2,7 @@
 
 import difflib
 from collections import Counter
+from hashlib import md5
 
 import pytest
 from folioforge import catalog
@@ -65,3 +66,21 @@ def test_question_stems_are_compared_whole(spark):
     stored = spark.createDataFrame([("d", 1, stem)], "doc_id string, number int, stem string")
     r = M.match_questions(stored, spark.createDataFrame([("d", n, t) for n, t in read.items()], "doc_id string, number int, stem string")).collect()
     assert [(x["read_number"], x["how"]) for x in r] == [(12, "stem")]
+
+
+DOCS = "doc_id long, text string, n_chars long, source string, lang string"
+
+
+def docs(*texts, sized=True):
+    return {"documents": ([(k, t, len(t) if sized and t is not None else None, "s", "en") for k, t in enumerate(texts)], DOCS)}
+
+
+@pytest.mark.parametrize("sized", [True, False])
+def test_lead_slice(run, sized):
+    texts = ["a\nb\n\nc", "x" * 2990 + "\n" + "é" * 40 + "\n" + "z" * 3000 + "\n", "no break", "", None, "\n"]
+    want = set()
+    for k, t in enumerate(texts):
+        at = [i for i, c in enumerate(t or "") if c == "\n"]
+        want |= {(k, i, md5(t[i:j].encode()).hexdigest()) for i, j in zip(at, [*at[1:], len(t or "")], strict=False)}
+    got = run("lead_slice", **docs(*texts, sized=sized))
+    assert len(got) == len(want) == 7 and {(x["doc_id"], x["pos"], x["digest"]) for x in got} == want
