@@ -77,7 +77,7 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quoted_text", r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '["“‘'']([^"”’'']+)["”’'']', 1), ''), nullif(trim(regexp_extract(text, '(?s):\s*(.+)$', 1)), ''), '') AS quoted FROM documents WHERE n_chars < 2000""")
 def quoted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id", tx.quoted(F.col("text")).alias("quoted"))
+    return load(spark, sf_dir, "documents").select("doc_id", tx.quoted(F.col("text")).alias("quoted"))
 
 
 @query("scan_gating", "SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) / (len(string_split(text, chr(10)))) >= 80 AS digital, length(text) >= 100 AND (length(text) - length(replace(text, ' ', ''))) / length(text) < 0.03 AS low_quality FROM documents")

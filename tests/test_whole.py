@@ -84,3 +84,10 @@ def test_lead_slice(run, sized):
         want |= {(k, i, md5(t[i:j].encode()).hexdigest()) for i, j in zip(at, [*at[1:], len(t or "")], strict=False)}
     got = run("lead_slice", **docs(*texts, sized=sized))
     assert len(got) == len(want) == 7 and {(x["doc_id"], x["pos"], x["digest"]) for x in got} == want
+
+
+@pytest.mark.parametrize("sized", [True, False])
+def test_quoted_text(run, sized):
+    texts = ["note: tail", "x" * 2500 + " 'in quotes' y", "y" * 2500 + ": behind the colon ", "z" * 2500, None]
+    got = {x["doc_id"]: x["quoted"] for x in run("quoted_text", **docs(*texts, sized=sized))}
+    assert got == dict(enumerate(["tail", "in quotes", "behind the colon", "", ""]))
