@@ -97,7 +97,7 @@ def json_double_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", tables.questions_of(doc)[0]["number"].alias("number"))
 
 
-sql("char_range_scan", "SELECT source, count(*) AS n FROM (SELECT source, explode(split(substring(text, 1, 2000), '')) AS c FROM {documents}) t WHERE ascii(c) > 127 GROUP BY source", "SELECT source, count(*) AS n FROM (SELECT source, unnest(string_split(substring(text, 1, 2000), '')) AS c FROM documents) t WHERE unicode(c) > 127 GROUP BY source")
+sql("char_range_scan", r"SELECT source, sum(regexp_count(text, '[^\\x00-\\x7F]')) AS n FROM {documents} GROUP BY source HAVING n > 0", "SELECT source, count(*) AS n FROM (SELECT source, unnest(string_split(substring(text, 1, 2000), '')) AS c FROM documents) t WHERE unicode(c) > 127 GROUP BY source")
 sql("page_text_join", "SELECT conv_id, md5(array_join(transform(array_sort(collect_list(struct(turn, text))), x -> x.text), '\\n')) AS digest FROM {conversations} GROUP BY conv_id", "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id")
 sql("age_parse", "SELECT event_id, date_diff(DAY, ts, timestamp'2024-03-01 00:00:00') > 20 AS stale FROM {events}", "SELECT event_id, CAST(floor((epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(ts)) / 86400000000) AS BIGINT) > 20 AS stale FROM events")
 sql("coordinate_scale", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity * 1700 / 1000 AS INT) AS x, CAST(l_discount * 2200 AS INT) AS y, CASE WHEN l_quantity < 25 THEN 'left' ELSE 'right' END AS side, greatest(0, least(100, CAST(l_tax * 2000 AS INT) - 20)) AS clamped FROM {lineitem}", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(l_quantity * 1700 / 1000) AS INT) AS x, CAST(trunc(l_discount * 2200) AS INT) AS y, CASE WHEN l_quantity < 25 THEN 'left' ELSE 'right' END AS side, greatest(0, least(100, CAST(trunc(l_tax * 2000) AS INT) - 20)) AS clamped FROM lineitem")

@@ -91,3 +91,8 @@ def test_quoted_text(run, sized):
     texts = ["note: tail", "x" * 2500 + " 'in quotes' y", "y" * 2500 + ": behind the colon ", "z" * 2500, None]
     got = {x["doc_id"]: x["quoted"] for x in run("quoted_text", **docs(*texts, sized=sized))}
     assert got == dict(enumerate(["tail", "in quotes", "behind the colon", "", ""]))
+
+
+def test_char_range_scan(run):
+    texts = ["plain", "x" * 2500 + "é한😀\n", "ü" + "y" * 3000 + "\x80", None]
+    assert [(x["source"], x["n"]) for x in run("char_range_scan", **docs(*texts))] == [("s", sum(ord(c) > 127 for t in texts for c in t or ""))]
