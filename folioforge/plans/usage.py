@@ -87,6 +87,9 @@ sql("judgment_counts", "SELECT count_if(toxic = 1) AS odam, count_if(toxic = 0)
 sql("category_judgment_crosstab", "SELECT d.source, count_if(l.toxic = 1) AS toxic, count_if(l.toxic = 0) AS clean, count(*) AS n FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source", "SELECT d.source, CAST(count_if(l.toxic = 1) AS BIGINT) AS toxic, CAST(count_if(l.toxic = 0) AS BIGINT) AS clean, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
 sql("success_rate", "SELECT d.lang, round(count(l.doc_id) / greatest(count(*), 1), 3) AS rate FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.lang")
 sql("argmax_first_class", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_linenumber, l_partkey, l_suppkey) AS rn FROM {lineitem}) t WHERE rn = 1")
-sql("grouped_lists", "SELECT source, lang, count(*) AS n, array_join(array_sort(collect_list(lpad(cast(doc_id AS string), 9, '0'))), ',') AS docs FROM {documents} WHERE n_chars > 5000 GROUP BY source, lang", "SELECT source, lang, count(*) AS n, string_agg(lpad(cast(doc_id AS varchar), 9, '0'), ',' ORDER BY lpad(cast(doc_id AS varchar), 9, '0')) AS docs FROM documents WHERE n_chars > 5000 GROUP BY source, lang")
+# A hot group's list is joined from the lists of ranges of ids: their order is that of the ids, as a part is an id's beginning.
+sql("grouped_lists", """SELECT source, lang, sum(n) AS n, array_join(transform(array_sort(collect_list(struct(part, docs))), x -> x.docs), ',') AS docs
+  FROM (SELECT source, lang, substring(id, 1, 5) AS part, count(*) AS n, nullif(array_join(array_sort(collect_list(id)), ','), '') AS docs
+        FROM (SELECT source, lang, lpad(cast(doc_id AS string), 9, '0') AS id FROM {documents}) d GROUP BY source, lang, substring(id, 1, 5)) p GROUP BY source, lang""", "SELECT source, lang, count(*) AS n, string_agg(lpad(cast(doc_id AS varchar), 9, '0'), ',' ORDER BY lpad(cast(doc_id AS varchar), 9, '0')) AS docs FROM documents WHERE n_chars > 5000 GROUP BY source, lang")
 sql("issue_counts_pivot", "SELECT * FROM (SELECT user_id % 10 AS file, event_type, event_id FROM {events}) PIVOT (count(event_id) FOR event_type IN ('view' AS n_view, 'click' AS n_click, 'error' AS n_error))", "SELECT user_id % 10 AS file, CAST(nullif(count_if(event_type = 'view'), 0) AS BIGINT) AS n_view, CAST(nullif(count_if(event_type = 'click'), 0) AS BIGINT) AS n_click, CAST(nullif(count_if(event_type = 'error'), 0) AS BIGINT) AS n_error FROM events GROUP BY 1")
 sql("cause_histogram", "SELECT cause, count(*) AS n FROM (SELECT explode(array_compact(array(CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN contains(text, 'http') THEN 'link' END))) AS cause FROM {documents}) c GROUP BY cause", "SELECT cause, count(*) AS n FROM (SELECT unnest([CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN contains(text, 'http') THEN 'link' END]) AS cause FROM documents) c WHERE cause IS NOT NULL GROUP BY cause")

@@ -96,3 +96,9 @@ def test_quoted_text(run, sized):
 def test_char_range_scan(run):
     texts = ["plain", "x" * 2500 + "é한😀\n", "ü" + "y" * 3000 + "\x80", None]
     assert [(x["source"], x["n"]) for x in run("char_range_scan", **docs(*texts))] == [("s", sum(ord(c) > 127 for t in texts for c in t or ""))]
+
+
+def test_grouped_lists(run):
+    rows = [(k, "t", n, "s", "en") for k, n in [(30001, 1), (7, 9000), (20000, None), (7, 5), (123456, 5000)]] + [(8, None, None, None, "en"), (None, "t", 6000, "s", "en")]
+    got = {(x["source"], x["lang"]): (x["n"], x["docs"]) for x in run("grouped_lists", documents=(rows, DOCS))}
+    assert got == {("s", "en"): (6, "000000007,000000007,000020000,000030001,000123456"), (None, "en"): (1, "000000008")}
