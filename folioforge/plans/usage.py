@@ -30,7 +30,7 @@ sql(
 sql("usage_recent_20", "SELECT event_id, event_type, value FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 20")
 sql(
     "usage_last_30d",
-    "SELECT event_type, count(*) AS calls FROM {events} WHERE ts >= (SELECT max(ts) FROM {events}) - INTERVAL 7 DAYS GROUP BY event_type",
+    "SELECT event_type, count(*) AS calls FROM {events} WHERE ts >= (SELECT max(ts) FROM {events}) - INTERVAL 30 DAYS GROUP BY event_type",
     "SELECT event_type, count(*) AS calls FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY event_type",
 )
 sql("usage_top_jobs", "SELECT user_id, count(*) AS calls FROM {events} GROUP BY user_id ORDER BY calls DESC, user_id LIMIT 25")

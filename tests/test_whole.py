@@ -102,3 +102,12 @@ def test_grouped_lists(run):
     rows = [(k, "t", n, "s", "en") for k, n in [(30001, 1), (7, 9000), (20000, None), (7, 5), (123456, 5000)]] + [(8, None, None, None, "en"), (None, "t", 6000, "s", "en")]
     got = {(x["source"], x["lang"]): (x["n"], x["docs"]) for x in run("grouped_lists", documents=(rows, DOCS))}
     assert got == {("s", "en"): (6, "000000007,000000007,000020000,000030001,000123456"), (None, "en"): (1, "000000008")}
+
+
+def test_usage_last_30d(run):
+    from datetime import datetime, timedelta
+
+    end = datetime(2024, 3, 31, 12)
+    ages = [timedelta(0), timedelta(7, 1), timedelta(30), timedelta(30, 1), timedelta(60)]
+    rows = [(k, "view", end - a) for k, a in enumerate(ages)]
+    assert [(x["event_type"], x["calls"]) for x in run("usage_last_30d", events=(rows, "event_id long, event_type string, ts timestamp"))] == [("view", 3)]
