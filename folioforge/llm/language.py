@@ -17,14 +17,18 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..session import load, ship
 from . import textkernel as tk
+from .scratch import others
 
-#: Sample texts of each language that a model is fitted on at most, and the longest that is taken (code points).
+#: Bounds of what a model is fitted on: texts of each language, languages (those of the most texts), and of each text the
+#: spans of SPAN words, picked by a hash from all over it. Words of more than WORD_BYTES bytes are not learnt from.
 SAMPLE = 250
-LONGEST = 20_000
+LANGUAGES = 100
+SPANS = 20
+SPAN = 60
+WORD_BYTES = 64
 TABLE_BITS = 18
 STEPS = 25
 LANE = 64
-HEAD = 12
 UNKNOWN = "und"
 
 _LETTERS = np.zeros(256, bool)
@@ -74,15 +78,17 @@ def _sum_rows(weights: np.ndarray, rows: np.ndarray, cuts: np.ndarray) -> np.nda
     return np.add.reduceat(weights[rows], cuts[:-1], axis=0).astype(np.float64)
 
 
-def forward_backward(scores: np.ndarray, fresh: np.ndarray, trans: np.ndarray, start: np.ndarray, lane: int = LANE) -> np.ndarray:
-    """Label probabilities of each position of many chains laid end to end; fresh marks the first of a chain.
+def forward_backward(scores: np.ndarray, fresh: np.ndarray, trans: np.ndarray, start: np.ndarray, lane: int = LANE, pairs: bool = False):
+    """Label probabilities of each position of many chains laid end to end; fresh marks the first of a chain. With pairs, also
+    the expected number of each label pair at neighbouring positions of a chain.
 
     The positions are dealt into lanes that are worked on side by side: first each lane's product of step matrices, then the
     messages between lanes, then the messages within them. This is exact for chains of any length.
     """
     n, k = scores.shape
+    expected = np.zeros((k, k))
     if not n or not k:
-        return scores
+        return (scores, expected) if pairs else scores
     c = -(-n // lane)
     e = np.ones((c * lane, k))
     e[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -120,29 +126,29 @@ def forward_backward(scores: np.ndarray, fresh: np.ndarray, trans: np.ndarray, s
         alpha[:, t] = v
     v = right
     for t in range(lane - 1, -1, -1):
-        alpha[:, t] *= v
         w = e[:, t] * v
+        if pairs and (on := ~r[:, t]).any():  # the step into t: what came before, the transition, what is here and behind
+            before = alpha[on, t - 1] if t else left[on]
+            both = before[:, :, None] * a * w[on][:, None, :]
+            expected += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        alpha[:, t] *= v
         go = w @ a.T
         if (new := r[:, t]).any():
             go[new] = (w[new] @ s)[:, None]
         v = go / go.sum(axis=1, keepdims=True)
     alpha = alpha.reshape(-1, k)[:n]
-    return alpha / alpha.sum(axis=1, keepdims=True)
+    alpha = alpha / alpha.sum(axis=1, keepdims=True)
+    return (alpha, expected) if pairs else alpha
 
 
 @dataclass
 class Crf:
-    """Labels, weight table (float32), transition and start scores, and how much a text's first words decide its language."""
+    """Labels, weight table (float32), transition and start scores."""
 
     labels: list[str]
     weights: np.ndarray
     trans: np.ndarray
     start: np.ndarray
-    head: float = 0.0
-
-    def of_text(self, prob: np.ndarray) -> np.ndarray:
-        """Probabilities of a text's languages from those of its words (one or more)."""
-        return (1 - self.head) * prob.mean(axis=0) + self.head * prob[:HEAD].mean(axis=0)
 
     def word_probabilities(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(probabilities of each word's labels, first word of each text)."""
@@ -195,30 +201,19 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7)
     owner = np.repeat(np.arange(len(h)), np.diff(cuts))
     for _ in range(steps if len(seq) else 0):
         emit = _sum_rows(weights, rows, cuts)[inv]
-        prob = forward_backward(emit, fresh, trans, start)
+        prob, both = forward_backward(emit, fresh, trans, start, pairs=True)
         diff = gold - prob
         by_word = np.stack([np.bincount(inv, diff[:, j], len(h)) for j in range(k)], axis=1)
         grad = np.stack([np.bincount(rows, by_word[owner, j], 1 << TABLE_BITS) for j in range(k)], axis=1) / len(seq) - 1e-7 * weights
         total += grad * grad
         weights += 0.3 * grad / np.sqrt(total)
-        both = prob[:-1][follow].T @ prob[1:][follow] + 1e-9  # expected switches, taking neighbours' marginals
-        g = (pairs - both * pairs.sum() / both.sum()) / len(seq)
+        g = (pairs - both) / len(seq)
         dt += g * g
         trans = trans + 0.05 * g / np.sqrt(dt)
         g = (gold[fresh].sum(axis=0) - prob[fresh].sum(axis=0)) / len(seq)
         ds += g * g
         start = start + 0.05 * g / np.sqrt(ds)
-    crf = Crf(names, weights.astype(np.float32), trans, start)
-    # a text in two languages goes by the one that the sample's labels go by: the greater part, or its first words
-    prob = []
-    for a, b in tk.chunks(off):
-        p, first = crf.word_probabilities(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-        prob += [(p[x:z], labels[d]) for d, (x, z) in enumerate(zip(first[:-1], first[1:], strict=True), a) if z > x]
-    right = {}
-    for crf.head in (0.0, 0.3, 0.6, 0.9):
-        right[crf.head] = sum(names[int(crf.of_text(p).argmax())] == y for p, y in prob)
-    crf.head = max(right, key=lambda x: (right[x], -x))
-    return crf
+    return Crf(names, weights.astype(np.float32), trans, start)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -226,29 +221,61 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.expr(f"crc32(cast(cast({doc_id} as string) as binary)) % 3 = 1"), F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE) -> Crf:
-    """Fit on at most per_language texts of each language, taken by a hash of their ids."""
-    able = docs.where(~held_out()).where("lang is not null and text is not null").where(F.length("text") <= LONGEST)
-    h = F.expr("xxhash64(doc_id, 3) & 9223372036854775807")
-    counts = F.broadcast(able.groupBy("lang").agg(F.count(F.lit(1)).alias("total")))  # one row per language
-    some = able.join(counts, "lang").where(h.cast("double") <= F.lit(2.0**63) * 2 * per_language / F.col("total"))
-    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id", "text"))).where(F.col("nth") <= per_language)
-    rows = some.select("lang", "nth", "text").toArrow().sort_by([("lang", "ascending"), ("nth", "ascending")])
+def _picked_spans(buf: np.ndarray, off: np.ndarray, salt: int, spans: int) -> list[str]:
+    """Of each text, its words of WORD_BYTES or fewer, in `spans` spans of SPAN words at most, taken by a hash and kept in order."""
+    w = tk.Words(buf, off, _LETTERS, lower=False)
+    out = []
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+        n = -(-(b - a) // SPAN)
+        on = np.arange(n)
+        if n > spans:
+            on = np.sort(np.argsort(tk.mix(on.astype(_U) + _U(salt)), kind="stable")[:spans])
+        at = (a + (on[:, None] * SPAN + np.arange(SPAN)).ravel()) if n else np.zeros(0, np.int64)
+        at = at[at < b]
+        at = at[w.ends[at] - w.starts[at] <= WORD_BYTES]
+        out.append(b" ".join(buf[w.starts[j] : w.ends[j]].tobytes() for j in at).decode("utf-8", "replace"))
+    return out
+
+
+def train(docs: DataFrame, per_language: int = SAMPLE, languages: int = LANGUAGES, spans: int = SPANS) -> Crf:
+    """Fit on at most per_language texts of each language, taken by a hash of id and text, and of each text on at most `spans`
+    spans of words from all over it.
+
+    Executors cut the spans; the driver gets languages * per_language * spans * SPAN words at most. Null and empty texts and
+    null languages teach nothing; of more than `languages` languages those of the most texts are learnt (ties by name).
+    Repeated rows count as often as they stand there. Without rows the model has no language and calls every text `und`.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    able = docs.where(~held_out()).where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    h = F.expr("xxhash64(doc_id, text) & 9223372036854775807")
+    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "lang").limit(languages)
+    some = able.select("doc_id", "lang", h.alias("h"), "text").join(F.broadcast(counts), "lang").where(F.col("h").cast("double") <= F.lit(2.0**63) * 2 * per_language / F.col("total"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = tk.column_bytes(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(_picked_spans(buf, off, 7, spans), pa.string())], names=["lang", "h", "text"])
+
+    rows = some.select("lang", "h", "text").mapInArrow(tk.tidied(run), "lang string, h long, text string")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("nth") <= per_language)
+    rows = rows.toArrow().sort_by([("lang", "ascending"), ("nth", "ascending")])
     return fit(rows["text"].to_pylist(), rows["lang"].to_pylist())
 
 
 def label(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = False) -> DataFrame:
     """All columns of docs, `lang_pred` and `score`, and with spans the runs of equally labelled words.
 
-    `score` is the probability of the predicted language, from those of the words. A text without a letter, and a null one, is
-    `und` with score 0 and no spans. A span has its first word, the one past its last, and its language. No shuffle.
+    `score` is the probability of the predicted language, the mean of those of the words. A text without a letter, and a null
+    or empty one, is `und` with score 0 and no spans. Equal texts get equal labels. A span has its first word, the one past its
+    last, and its language. Columns of docs with the names of the added ones, in any case, are replaced. No shuffle.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(crf)
     span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + [T.StructField("spans", T.ArrayType(span))] * spans
-    kept = [f for f in docs.schema if f.name not in {x.name for x in added}]
+    kept = others(docs, *(x.name for x in added))
     schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +293,7 @@ def label(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = False) ->
                         score.append(0.0)
                         runs.append([])
                         continue
-                    mean = m.of_text(p)
+                    mean = p.mean(axis=0)
                     best = int(mean.argmax())
                     lang.append(m.labels[best])
                     score.append(min(1.0, float(mean[best])))

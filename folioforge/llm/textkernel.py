@@ -16,6 +16,8 @@ import pyarrow as pa
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 2000
+#: Bytes that are hashed at a time, and the longest table of powers that a worker keeps for them.
+BLOCK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=U64)
@@ -112,25 +114,37 @@ def chunks(off: np.ndarray, max_bytes: int = CHUNK_BYTES, max_docs: int = CHUNK_
 
 
 class Words:
-    """Words of the documents of one chunk: byte starts and ends, first[i]:first[i+1] are those of document i."""
+    """Words of the documents of one chunk: byte starts and ends, first[i]:first[i+1] are those of document i.
+
+    Bytes are looked at in blocks, so that a very long text needs little beside itself and the places of its words.
+    """
 
     __slots__ = ("buf", "starts", "ends", "first", "n_docs")
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, lut: np.ndarray = NOT_SPACE, lower: bool = True):
         if lower:
             buf = _LOWER[buf]
-        m = lut[buf]
         edge = off[1:-1]
         edge = edge[(edge > 0) & (edge < len(buf))]
-        prev = np.zeros(len(m), bool)
-        prev[1:] = m[:-1]
-        prev[edge] = False
-        nxt = np.zeros(len(m), bool)
-        nxt[:-1] = m[1:]
-        nxt[edge - 1] = False
+        starts, ends = [], []
+        for a in range(0, len(buf), BLOCK):
+            b = min(len(buf), a + BLOCK)
+            x, y = max(0, a - 1), min(len(buf), b + 1)
+            m = lut[buf[x:y]]
+            here = m[a - x : a - x + b - a]
+            prev, nxt = np.zeros(b - a, bool), np.zeros(b - a, bool)
+            prev[(a == 0) :] = m[: b - a - (a == 0)] if a == 0 else m[: b - a]
+            nxt[: y - a - 1] = m[a - x + 1 : a - x + 1 + y - a - 1]
+            lo, hi = np.searchsorted(edge, (a, b + 1))
+            cut = edge[lo:hi]
+            prev[cut[cut < b] - a] = False
+            nxt[cut[cut > a] - 1 - a] = False
+            starts.append(np.flatnonzero(here & ~prev) + a)
+            ends.append(np.flatnonzero(here & ~nxt) + a + 1)
+        none = np.zeros(0, np.int64)
         self.buf = buf
-        self.starts = np.flatnonzero(m & ~prev)
-        self.ends = np.flatnonzero(m & ~nxt) + 1
+        self.starts = np.concatenate(starts) if starts else none
+        self.ends = np.concatenate(ends) if ends else none
         self.first = np.searchsorted(self.starts, off)
         self.n_docs = len(off) - 1
 
@@ -141,18 +155,35 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.buf)
-        up, down = _pows(n + 1)
-        s = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[self.buf] * up[:n], out=s[1:])
-        h = (s[self.ends] - s[self.starts]) * down[self.starts]
-        return mix(h ^ (self.ends - self.starts).astype(U64))
+        """A 64-bit hash of each word's bytes, found in blocks of whole words."""
+        out = np.empty(len(self), U64)
+        j = 0
+        while j < len(self):
+            a = int(self.starts[j])
+            k = max(j + 1, int(np.searchsorted(self.ends, a + BLOCK, "right")))
+            b = int(self.ends[k - 1])
+            if b - a > BLOCK:  # one word, longer than a block
+                out[j] = _long_hash(self.buf[a:b])
+            else:
+                up, down = _pows(b - a + 1)
+                s = np.zeros(b - a + 1, U64)
+                np.cumsum(_BYTE[self.buf[a:b]] * up[: b - a], out=s[1:])
+                out[j:k] = (s[self.ends[j:k] - a] - s[self.starts[j:k] - a]) * down[self.starts[j:k] - a]
+            j = k
+        return mix(out ^ (self.ends - self.starts).astype(U64))
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.counts())
 
 
+def _long_hash(word: np.ndarray) -> np.uint64:
+    up, total = _pows(BLOCK + 1)[0], 0
+    for a in range(0, len(word), BLOCK):
+        part = word[a : a + BLOCK]
+        total += int(np.sum(_BYTE[part] * up[: len(part)], dtype=U64)) * pow(_BASE, a, 2**64)
+    return U64(total % 2**64)
+
+
 def shingles(wh: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each document's k-word shingles (with fewer words the whole sequence is one; without words none) and their offsets."""
     nw = np.diff(first)

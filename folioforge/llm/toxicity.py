@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import load, ship
 from . import textkernel as tk
+from .scratch import free, others
 
 #: Labelled documents that a model is fitted on at most.
 SAMPLE = 12000
+#: Features of one document that are learnt from at most: those of least hash, which are the same ones in every document.
+MOST = 8000
 #: A feature must stand in so many documents of the sample.
 MIN_DOCS = 3
 THRESHOLD = 0.3
@@ -117,8 +120,13 @@ def sample_labels(labels: DataFrame, n: int = SAMPLE) -> DataFrame:
     return rows.orderBy(h, "doc_id").limit(n)
 
 
-def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Weights:
-    """Fit on a bounded sample; executors make the features, the driver gets only them (at most n documents)."""
+def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, most: int = MOST) -> Weights:
+    """Fit on a bounded sample: at most n documents, of each at most the `most` features of least hash.
+
+    Executors make the features, the driver gets only them: 4 * n * most bytes at most. Labels of null or held-out ids and
+    null labels are not learnt; a null or empty text has no features; rows that repeat an id are rows of their own. Without
+    a labelled document the weights reject nothing. Other columns are ignored.
+    """
     ship(docs.sparkSession)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample_labels(labels, n)), "doc_id")
 
@@ -128,9 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Weights:
             out = []
             for a, b in tk.chunks(off):
                 ids, doc = features(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                pair = np.unique((doc.astype(np.uint64) << np.uint64(32)) | ids)
+                pair = np.unique((doc.astype(np.uint64) << np.uint64(32)) | ids)  # by document, then by hash
                 cut = np.searchsorted(pair >> np.uint64(32), np.arange(b - a + 1).astype(np.uint64))
-                out += [(pair[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                out += [(pair[x : min(y, x + most)] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "toxic", "ids"])
 
     rows = picked.mapInArrow(tk.tidied(run), "doc_id long, toxic int, ids binary").toArrow()
@@ -144,107 +152,15 @@ def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Weights:
     return out
 
 
-def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        n = len(off) - 1
-        z = np.full(n, self.bias)
-        if len(self.ids):
-            ids, doc = features(buf, off)
-            maybe = np.zeros(1 << 22, bool)
-            maybe[self.ids & 0x3FFFFF] = True
-            at = np.flatnonzero(maybe[ids & 0x3FFFFF])
-            ids, doc = ids[at], doc[at]
-            k = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-            hit = self.ids[k] == ids
-            pair = np.unique(doc[hit] * len(self.ids) + k[hit])  # a feature counts once in a document
-            np.add.at(z, pair // len(self.ids), self.values[pair % len(self.ids)])
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-
-
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float | None = None, l2: float = 0.1, epochs: int = EPOCHS, min_docs: int = MIN_DOCS) -> Weights:
-    """Fit by FTRL-proximal; each row holds the distinct feature ids of one document. The list is used up."""
-    if not rows:
-        return Weights(np.zeros(0, np.uint32), np.zeros(0), -2.0)  # nothing learnt: no text is rejected
-    l1 = max(L1_LEAST, L1_EACH * len(rows)) if l1 is None else l1
-    # most features stand in one document: a small table of counts sets them aside before the rest is put in order
-    often = np.zeros(1 << 24, np.uint16)
-    for r in rows:
-        np.add.at(often, r >> 8, 1)
-    for j, r in enumerate(rows):
-        rows[j] = r[often[r >> 8] >= min_docs]
-    del often
-    vocab, many = np.unique(np.concatenate(rows), return_counts=True)
-    vocab = vocab[many >= min_docs]
-    index = []
-    for r in rows:
-        k = np.minimum(np.searchsorted(vocab, r), max(0, len(vocab) - 1))
-        index.append(k[vocab[k] == r].astype(np.int32) if len(vocab) else np.zeros(0, np.int32))
-    z, n = np.zeros(len(vocab)), np.zeros(len(vocab))
-    zb = nb = 0.0
-    order = np.random.default_rng(11)
-    for _ in range(epochs):
-        for j in order.permutation(len(rows)):
-            k, y = index[j], labels[j]
-            zk, nk = z[k], n[k]
-            wk = np.where(np.abs(zk) <= l1, 0.0, -(zk - np.sign(zk) * l1) / ((beta + np.sqrt(nk)) / alpha + l2))
-            wb = -zb / ((beta + nb**0.5) / alpha)
-            g = 1 / (1 + np.exp(-np.clip(wb + wk.sum(), -35, 35))) - y
-            root = np.sqrt(nk + g * g)
-            z[k] = zk + g - (root - np.sqrt(nk)) / alpha * wk
-            n[k] = nk + g * g
-            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * wb
-            nb += g * g
-    on = np.abs(z) > l1
-    w = -(z[on] - np.sign(z[on]) * l1) / ((beta + np.sqrt(n[on])) / alpha + l2)
-    return Weights(vocab[on], w, float(-zb / ((beta + nb**0.5) / alpha)))
-
-
-def held_out(doc_id: str = "doc_id"):
-    """Rows whose labels are never learnt: crc32 of the id as text leaves 2 when divided by 4. A null id is not held out."""
-    return F.coalesce(F.expr(f"crc32(cast(cast({doc_id} as string) as binary)) % 4 = 2"), F.lit(False))
-
-
-def sample_labels(labels: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """At most n labelled ids in the order of a hash. Repeated labels of an id count as toxic if one does."""
-    rows = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    h = F.expr("xxhash64(doc_id, 4) & 9223372036854775807")
-    total = rows.count()
-    if total > 2 * n:
-        rows = rows.where(h <= int(2.0**63 * 2 * n / total))
-    return rows.orderBy(h, "doc_id").limit(n)
-
-
-def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Weights:
-    """Fit on a bounded sample; executors make the features, the driver gets only them (at most n documents)."""
-    ship(docs.sparkSession)
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample_labels(labels, n)), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = tk.column_bytes(batch.column("text"))
-            out = []
-            for a, b in tk.chunks(off):
-                ids, doc = features(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                pair = np.unique((doc.astype(np.uint64) << np.uint64(32)) | ids)
-                cut = np.searchsorted(pair >> np.uint64(32), np.arange(b - a + 1).astype(np.uint64))
-                out += [(pair[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "toxic", "ids"])
-
-    rows = picked.mapInArrow(tk.tidied(run), "doc_id long, toxic int, ids binary").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    ids = rows["ids"]  # read where they lie
-    out = ftrl([np.frombuffer(ids[int(j)].as_buffer(), np.uint32) for j in order], rows["toxic"].to_numpy()[order].astype(float))
-    del rows, ids
-    tk.tidy()
-    return out
-
-
-def score(docs: DataFrame, weights: Weights, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, `score` and `predicted`; a null or empty text gets the intercept's score."""
+def score(docs: DataFrame, weights: Weights, text: str = "text", threshold: float = THRESHOLD, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of docs and the two of `into`, the score and whether it reaches the threshold (columns of docs with these
+    names in any case are replaced). A null or empty text gets the intercept's score. Equal texts score alike. No shuffle."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(weights)
-    kept = [f for f in docs.schema if f.name not in ("score", "predicted")]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    kept = others(docs, *into)
+    names = [*(f.name for f in kept), *into]
+    schema = T.StructType([*kept, T.StructField(into[0], T.DoubleType()), T.StructField(into[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -252,7 +168,7 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", threshold: floa
             buf, off = tk.column_bytes(batch.column(text))
             s = np.concatenate([w.score(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in tk.chunks(off)] or [np.zeros(0)])
             cols = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(f.name for f in kept), "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)
 
     return docs.mapInArrow(tk.tidied(run), schema)
 
@@ -264,6 +180,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model doesn't reject."""
+    """Documents that the model doesn't reject, with all their columns. Null and empty texts, null ids and repeated rows are
+    judged each by its text; an empty table stays empty."""
     w = train(docs, load(spark, sf_dir, "labels"))
-    return score(docs, w).where("predicted = 0").select(*docs.columns)
+    bad = free("predicted_", docs)
+    return score(docs, w, into=(free("score_", docs), bad)).where(F.col(bad) == 0).select(*docs.columns)

@@ -25,14 +25,19 @@ def test_forward_backward_equals_enumeration():
     n, k = 7, 3
     for fresh in ([1, 0, 0, 0, 0, 0, 0], [1, 0, 1, 0, 0, 1, 0]):
         s, a, b = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.normal(size=k)
-        want = np.zeros((n, k))
+        want, pairs, total = np.zeros((n, k)), np.zeros((k, k)), 0.0
         for path in itertools.product(range(k), repeat=n):
             v = sum(s[t, y] for t, y in enumerate(path)) + sum(b[path[t]] if fresh[t] else a[path[t - 1], path[t]] for t in range(n))
+            total += np.exp(v)
             for t, y in enumerate(path):
                 want[t, y] += np.exp(v)
+                if not fresh[t]:
+                    pairs[path[t - 1], y] += np.exp(v)
         want /= want.sum(axis=1, keepdims=True)
         for lane in (1, 2, 3, 64):
             assert np.allclose(lg.forward_backward(s, np.array(fresh, bool), a, b, lane), want)
+            prob, both = lg.forward_backward(s, np.array(fresh, bool), a, b, lane, pairs=True)
+            assert np.allclose(prob, want) and np.allclose(both, pairs / total)
 
 
 def test_features_of_a_word_do_not_depend_on_its_place():
@@ -75,3 +80,18 @@ def test_odd_rows(spark):
     none = lg.train(spark.createDataFrame([], SCHEMA))
     assert {r["lang_pred"] for r in lg.label(spark.createDataFrame(odd, SCHEMA), none).collect()} == {lg.UNKNOWN}
     assert lg.label(spark.createDataFrame([], SCHEMA), crf).count() == 0
+
+
+def test_long_texts_train_by_spans_from_all_over():
+    words = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(10_000)]
+    got = lg._picked_spans(*tk.joined([" ".join(words), "a b", "", "x" * 200 + " y"]), 7, 5)
+    places = [words.index(x) for x in got[0].split()]
+    assert len(places) == 5 * lg.SPAN and max(places) > 1000 and got[1:] == ["a b", "", "y"]
+
+
+def test_languages_are_bounded_and_clashing_columns_replaced(spark):
+    rows = _docs() + [(10_000 + i, "zz qq", f"junk{i}", "s", 1) for i in range(30)]
+    crf = lg.train(spark.createDataFrame(rows, SCHEMA), languages=3)
+    assert crf.labels == ["aa", "bb", "cc"]
+    odd = spark.createDataFrame([(1, "ka ko", "x")], "doc_id long, text string, Score string")
+    assert lg.label(odd, crf).columns == ["doc_id", "text", "lang_pred", "score"]

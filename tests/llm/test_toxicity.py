@@ -66,3 +66,55 @@ def test_odd_rows(spark):
 def test_sample_is_bounded(spark):
     lab = spark.createDataFrame([(i, 0, i % 2) for i in range(500)], "doc_id long, quality int, toxic int")
     assert tx.sample_labels(lab, 40).count() == 40
+
+
+def _plain_ftrl(rows, labels, alpha, beta, l1, l2, epochs, min_docs):
+    """One coordinate at a time, by the published update."""
+    count = {}
+    for r in rows:
+        for x in set(r):
+            count[x] = count.get(x, 0) + 1
+    z, n = {x: 0.0 for x, c in count.items() if c >= min_docs}, {x: 0.0 for x, c in count.items() if c >= min_docs}
+    zb = nb = 0.0
+
+    def weight(x):
+        if abs(z[x]) <= l1:
+            return 0.0
+        return -(z[x] - np.sign(z[x]) * l1) / ((beta + n[x] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(epochs):
+        for j in order.permutation(len(rows)):
+            on = [x for x in sorted(set(rows[j])) if x in z]
+            w = {x: weight(x) for x in on}
+            wb = -zb / ((beta + nb**0.5) / alpha)
+            g = 1 / (1 + np.exp(-(wb + sum(w.values())))) - labels[j]
+            for x in on:
+                z[x] += g - ((n[x] + g * g) ** 0.5 - n[x] ** 0.5) / alpha * w[x]
+                n[x] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * wb
+            nb += g * g
+    return {x: weight(x) for x in z if abs(z[x]) > l1}, -zb / ((beta + nb**0.5) / alpha)
+
+
+def test_fit_equals_a_plain_ftrl():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 2**32, 60) % 97 * 44_000_000).astype(np.uint32) for _ in range(300)]
+    labels = np.array([float((r == 44_000_000 * 5).any()) for r in rows])
+    want, bias = _plain_ftrl([r.tolist() for r in rows], labels, 2.0, 1.0, 1.0, 0.1, 3, 3)
+    got = tx.ftrl(list(rows), labels, l1=1.0, epochs=3, min_docs=3)
+    assert set(got.ids.tolist()) == set(want) and 0 < len(want)
+    assert np.allclose(got.values, [want[x] for x in got.ids.tolist()]) and np.isclose(got.bias, bias)
+
+
+def test_columns_that_clash_in_any_case(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "a b", "own", "x"), (2, None, None, None)], "doc_id long, text string, Score string, predicted_ string")
+    out = tx.stage_toxicity(spark, docs, sf_dir)
+    assert out.columns == docs.columns and sorted(r["Score"] or "" for r in out.collect()) == ["", "own"]
+
+
+def test_features_of_a_long_text_are_bounded_for_the_fit(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(300)) + (" scum" if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    few, all_ = tx.train(docs, lab, most=10), tx.train(docs, lab)
+    assert len(few.ids) <= 20 and len(all_.ids) >= 1
