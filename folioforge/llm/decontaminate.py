@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import load
-from .scratch import Scratch
+from .scratch import Scratch, free, small
 
 WINDOW = 10
 GRAM = 5
-#: So many fingerprints, windows or candidates are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All ASCII characters that part words once A-Z are in lower case, and the same before.
 _PARTS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -55,51 +53,43 @@ def fingerprints(rows: DataFrame, *keys: str, window: int = WINDOW, gram: int =
     return g.select(*keys, F.expr(f"explode({_least('g', window - gram + 1)})").alias("fp"))
 
 
-def whole_grams(rows: DataFrame, length: int, *keys: str) -> DataFrame:
-    """keys and the distinct hashes of all `length`-word spans: for items too short to winnow."""
+def whole_grams(rows: DataFrame, lengths: list[int], *keys: str) -> DataFrame:
+    """keys and the distinct hashes of all spans of these numbers of words: for items too short to winnow. One pass for all."""
     h = rows.select(*keys, words(F.col("text")).alias("w")).select(*keys, F.expr("transform(w, x -> xxhash64(x))").alias("h"))
-    return h.select(*keys, F.expr(f"explode(array_distinct({_grams('h', length)}))").alias("fp"))
+    grams = ", ".join(f"transform({_grams('h', m)}, x -> xxhash64(x, {m}))" for m in lengths)
+    return h.where(F.size("h") >= min(lengths)).select(*keys, F.expr(f"explode(array_distinct(concat({grams})))").alias("fp"))
 
 
-def windows(rows: DataFrame, length: int, *keys: str) -> DataFrame:
-    """keys, position and text of every span of `length` words."""
-    w = rows.select(*keys, words(F.col("text")).alias("w")).where(F.size("w") >= length)
-    spans = F.expr(f"transform(slice(w, 1, size(w) - {length - 1}), (x, i) -> array_join(slice(w, i + 1, {length}), ' '))")
-    return w.select(*keys, F.posexplode(spans).alias("pos", "span")).withColumn("len", F.lit(length))
+def windows(rows: DataFrame, lengths: list[int], *keys: str) -> DataFrame:
+    """keys, position, text and length of every span of these numbers of words."""
+    w = rows.select(*keys, words(F.col("text")).alias("w")).where(F.size("w") >= min(lengths))
+    of = "transform(slice(w, 1, greatest(size(w) - {0} + 1, 0)), (x, i) -> named_struct('pos', i, 'len', {0}, 'span', array_join(slice(w, i + 1, {0}), ' ')))"
+    spans = F.expr(f"concat({', '.join(of.format(m) for m in lengths)})")
+    return w.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.pos", "s.len", "s.span")
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
-
-    A null text has no words; items without words have no window. Rows of one id with different texts are judged
-    each by its text, a null id is kept as null, repeated items count once. Other columns are ignored. An empty
-    benchmark hits nothing. The documents' text is not shuffled unless the candidates are too many to broadcast.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
+def _hits(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """(i, k, n_hit, n_items, items_sha256) of the documents (i, k, text) with a window, a written table."""
     key = ["i", "k"]
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.xxhash64("text").alias("k"), "text")
     items = scratch.put(items.select("item_id", "text").withColumn("n", n_words(F.col("text"))).where("n > 0").distinct(), "items")
     short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # at most window - 1 numbers
 
     full = items.where(F.col("n") >= window)
-    kinds = [(window, full, fingerprints(full, window=window), fingerprints(docs, *key, window=window))]
-    for m in short:
-        these = items.where(F.col("n") == m)
-        kinds.append((m, these, whole_grams(these, m), whole_grams(docs, m, *key)))
+    kinds = [([window], full, fingerprints(full, window=window), fingerprints(docs, *key, window=window))]
+    if short:
+        rest = items.where(F.col("n") < window)
+        kinds.append((short, rest, whole_grams(rest, short), whole_grams(docs, short, *key)))
     hits = None
     for m, these, item_fp, doc_fp in kinds:
-        item_fp = scratch.put(item_fp.distinct(), f"fp-{m}")
-        candidate = scratch.put(doc_fp.join(_small(item_fp), "fp").select(*key).distinct(), f"candidates-{m}")
-        spans = scratch.put(windows(these, m, "item_id").select("span", "item_id").distinct(), f"spans-{m}")
-        found = windows(docs.join(_small(candidate), key, "left_semi"), m, *key).join(_small(spans.select("span").distinct()), "span")
-        found = scratch.put(found.select(*key, "pos", "len", "span"), f"found-{m}")
-        of = found.select(*key, "span").distinct().join(_small(spans), "span").select(*key, "item_id")
+        name = "-".join(map(str, m))
+        item_fp = scratch.put(item_fp.distinct(), f"fp-{name}")
+        candidate = scratch.put(doc_fp.join(small(item_fp), "fp").select(*key).distinct(), f"candidates-{name}")
+        # a short item is one window, its whole; an item of length m isn't a window of another short length
+        whole = windows(these, m, "item_id", "n").where(F.col("len") == F.least("n", F.lit(window)))
+        spans = scratch.put(whole.select("span", "item_id").distinct(), f"spans-{name}")
+        found = windows(docs.join(small(candidate), key, "left_semi"), m, *key).join(small(spans.select("span").distinct()), "span")
+        found = scratch.put(found.select(*key, "pos", "len", "span"), f"found-{name}")
+        of = found.select(*key, "span").distinct().join(small(spans), "span").select(*key, "item_id")
         one = found.select(*key, "pos", "len", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).unionByName(of.select(*key, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("len"), "item_id"))
         hits = one if hits is None else hits.unionByName(one)
 
@@ -110,8 +100,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         "(a, x) -> named_struct('n', a.n + greatest(0, x.pos + x.len - greatest(a.end, x.pos)), 'end', greatest(a.end, x.pos + x.len)), a -> a.n)"
     )
     hits = hits.select(*key, covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("ids"), ","), 256).alias("items_sha256"))
-    hits = scratch.put(hits, "hits")
-    out = docs.select("doc_id", *key, n_words(F.col("text")).alias("n_words")).join(_small(hits), key, "left")
+    return scratch.put(hits, "hits")
+
+
+def _keys() -> list[Column]:
+    """What tells documents apart: the id, and a hash of the text, since rows of one id may have different texts."""
+    return [F.coalesce("doc_id", F.lit(-(2**63))), F.xxhash64("text")]
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
+
+    A null text has no words; items without words have no window. Rows of one id with different texts are judged
+    each by its text, a null id is kept as null, repeated items count once. Other columns are ignored. An empty
+    benchmark hits nothing. The documents' text is not shuffled unless the candidates are too many to broadcast.
+    """
+    key = ["i", "k"]
+    i, k = _keys()
+    docs = docs.select("doc_id", i.alias("i"), k.alias("k"), "text")
+    hits = _hits(docs.select(*key, "text"), items, Scratch(docs.sparkSession, "decontaminate"), window)
+    out = docs.select("doc_id", *key, n_words(F.col("text")).alias("n_words")).join(small(hits), key, "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
@@ -123,9 +131,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    bad = contamination(docs, load(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(_small(bad), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    """Documents without a benchmark window, with all their columns. Rows are judged each by its text, so of two of one id only
+    the one with a window goes. Null and empty texts have none and stay, null ids too; an empty table stays empty."""
+    i, k = free("i_", docs), free("k_", docs)
+    own, text = _keys()
+    keyed = docs.withColumn(i, own).withColumn(k, text)
+    hits = _hits(keyed.select(F.col(i).alias("i"), F.col(k).alias("k"), "text"), load(spark, sf_dir, "benchmark"), Scratch(spark, "decontaminate"), WINDOW)
+    bad = hits.where("n_hit > 0").select(F.col("i").alias(i), F.col("k").alias(k))
+    return keyed.join(small(bad), [i, k], "left_anti").select(*docs.columns)
 
 
 #: The same rows in DuckDB: every window of every item and document, compared as text.

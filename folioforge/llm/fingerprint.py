@@ -11,11 +11,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import load, ship
 from . import textkernel as tk
+from .scratch import others
 
 BINS = 512
 BITS = 8
@@ -103,9 +105,11 @@ def _hex(rows: np.ndarray, words: np.ndarray) -> list[str]:
 
 
 def fingerprints(df: DataFrame, text: str = "text", bins: int = BINS, bits: int = BITS, k: int = SHINGLE) -> DataFrame:
-    """All columns of df and `fingerprint` (hex; empty for a null or wordless text). No shuffle."""
+    """All columns of df and `fingerprint` (hex; empty for a null or wordless text), which replaces a column of that name in any
+    case. Equal texts have equal ones. No shuffle."""
     ship(df.sparkSession)
-    schema = T.StructType([*(f for f in df.schema if f.name != "fingerprint"), T.StructField("fingerprint", T.StringType())])
+    kept = others(df, "fingerprint")
+    schema = T.StructType([*kept, T.StructField("fingerprint", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,64 +117,64 @@ def fingerprints(df: DataFrame, text: str = "text", bins: int = BINS, bits: int
             out: list[str] = []
             for a, b in tk.chunks(off, max_docs=500):
                 out += _hex(*sketch(buf[off[a] : off[b]], off[a : b + 1] - off[a], bins, bits, k))
-            keep = [n for n in batch.schema.names if n != "fingerprint"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(out, pa.string())], names=[*keep, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(out, pa.string())], names=schema.names)
 
     return df.mapInArrow(tk.tidied(run), schema)
 
 
-_NO_ID = -(2**63)
+_LEAST = -(2**63)
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(rows, n): each row has a bucket of consecutive ids; the first row of a bucket also goes, as a copy, to the one before it.
+    """(rows id, h, t, copy, bucket; number of buckets): each row has a bucket of consecutive places in the order of
+    (id, hash of the text); the first rows of a bucket also go, as copies, to the bucket before it (of the first: the last).
 
-    Buckets are cut at quantiles of the id, so that they are even for any ids; only their bounds and their
-    least ids, one number each, come to the driver. The text is shuffled once.
+    Buckets are cut at quantiles of the id; where one id (or the lack of one) spans several, these are cut at even steps of
+    the hash. Only the bounds and each bucket's least place, two numbers a bucket, come to the driver. The text is shuffled once.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("i"))
-    cuts = ids.agg(F.percentile_approx("i", [k / n for k in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("q")).first()["q"]
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    place = F.when(F.col("doc_id").isNull(), F.lit(_LEAST)).otherwise(F.greatest(F.col("doc_id").cast("long"), F.lit(_LEAST + 1)))
+    rows = docs.select(place.alias("i"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
+    cuts = rows.agg(F.percentile_approx("i", [k / n for k in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("q")).first()["q"] or []
+    ids, spans = np.unique(np.array(cuts, np.int64), return_counts=True)
+    # a bound is the least (id, hash) of a bucket; an id that is several quantiles gets as many bounds
+    bounds = [(int(i), _LEAST + int(k * 2**64 // int(m))) for i, m in zip(ids, spans, strict=True) for k in range(int(m))]
+    low = np.array([b[0] for b in bounds], np.int64)
+    steps = np.array([b[1] for b in bounds], np.int64)
+
+    def bucket_of(i: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The number of bounds at or below (i, h)."""
+        out, end = np.searchsorted(low, i, "left"), np.searchsorted(low, i, "right")
+        for j in np.flatnonzero(end - out > 0):
+            out[j] += np.searchsorted(steps[out[j] : end[j]], h[j], "right")
+        return out.astype(np.int32)
 
     @F.pandas_udf(T.IntegerType())
-    def bucket(i):
-        import pandas as pd
+    def bucket(i: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(i.to_numpy(), h.to_numpy()))
 
-        return pd.Series(np.searchsorted(bounds, i.to_numpy(), "right").astype(np.int32))
-
-    least = {r["b"]: r["m"] for r in ids.select("i", bucket("i").alias("b")).groupBy("b").agg(F.min("i").alias("m")).collect()}
+    placed = rows.withColumn("own", bucket("i", "h"))
+    least = {r["own"]: (r["m"]["i"], r["m"]["h"]) for r in placed.groupBy("own").agg(F.min(F.struct("i", "h")).alias("m")).collect()}
     order = sorted(least)
-    before = {least[b]: order[k - 1] for k, b in enumerate(order)}
-    firsts = np.array(sorted(before), np.int64)
-    to = np.array([before[int(x)] for x in firsts], np.int32)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def targets(i):
-        import pandas as pd
-
-        x = i.to_numpy()
-        own = np.searchsorted(bounds, x, "right")
-        at = np.minimum(np.searchsorted(firsts, x), len(firsts) - 1)
-        return pd.Series([[int(o), int(to[k])] if firsts[k] == v else [int(o)] for o, k, v in zip(own, at, x, strict=True)])
-
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("i"), F.col("text").alias("t"))
-    rows = rows.select("i", "t", F.posexplode(targets("i")).alias("copy", "bucket"))
-    return rows, max(1, len(order))
+    firsts = spark.createDataFrame([(b, *least[b], order[k - 1]) for k, b in enumerate(order)], "own int, i0 long, h0 long, before int")
+    placed = placed.join(F.broadcast(firsts), "own", "left")  # one row a bucket
+    to = F.when((F.col("i") == F.col("i0")) & (F.col("h") == F.col("h0")), F.array("own", "before")).otherwise(F.array("own"))
+    return placed.select("id", "h", "t", F.posexplode(to).alias("copy", "bucket")), max(1, len(order))
 
 
 def edited_fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = SHINGLE) -> DataFrame:
     """Fingerprint of each text and of its edited text, and likeness to that and to the next document's.
 
-    Documents are in ascending doc_id (a null id first), ties by text; the one after the last is the first.
-    A null text is empty. Repeated rows are rows of their own, and follow one another. Other columns of docs are ignored.
+    Documents are in ascending doc_id (a null id first), ties by a hash of the text, then by the text; the one after the last is
+    the first. A null text is empty. Repeated rows are rows of their own, and follow one another. Other columns of docs are
+    ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     rows, n = with_next(docs)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", "i", "t")
+    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", F.asc_nulls_first("id"), "h", "t")
 
     def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """held: (bucket, copy, id, text); rows that have a successor in it and aren't copies are done."""
@@ -185,7 +189,7 @@ def edited_fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k:
         at, nx = np.array(at), np.array(at) + 1
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([None if held[j][2] == _NO_ID else held[j][2] for j in at], pa.int64()),
+                pa.array([held[j][2] for j in at], pa.int64()),
                 pa.array([len(texts[j]) for j in at], pa.int64()),
                 pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
                 pa.array(_hex(fp[at], some[at]), pa.string()),
@@ -200,7 +204,7 @@ def edited_fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            ids, copies, buckets = (batch.column(c).to_pylist() for c in ("i", "copy", "bucket"))
+            ids, copies, buckets = (batch.column(c).to_pylist() for c in ("id", "copy", "bucket"))
             for j in range(batch.num_rows):
                 t = batch.column("t")[j].as_py() or ""
                 held.append((buckets[j], copies[j], ids[j], t))

@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are compared as sequences of words (A-Z in lower case). A line of eight words or more also equals a line that is one
-word edit away (a word replaced, put in or left out); shorter lines only their like. Every line with an earlier equal line
-goes, judged on the input. Earlier is by doc_id, then by line number.
+Lines are compared as sequences of words (A-Z in lower case); the edit is one of a word (replaced, put in or left out). The
+edit bound is a function of a line's length: edits(n) is 1 from `near_words` words on and 0 below, where an edit would change
+too much of the line; near_words=1 bounds all lines by 1, near_words=None all by 0. Two lines are alike if their edit distance
+is within the bound of the shorter. Every line with an earlier line like it goes, judged on the input. Earlier is by doc_id,
+then by line number.
 
 Distinct lines emit the hashes of themselves and of all variants with one word left out, lines that share one meet, and
 their edit distance is verified. A variant is keyed with the place left out, or as a whole line: lines under one place key
@@ -21,10 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import load, ship
 from . import textkernel as tk
-from .decontaminate import _small
-from .scratch import Scratch
+from .scratch import Scratch, free, join_hot, others, small
 
-#: Words from which on a line is compared within one edit.
+#: Words from which on the edit bound of a line is 1.
 NEAR_WORDS = 8
 _LAST = 2**63 - 1
 _U = np.uint64
@@ -66,6 +67,11 @@ class Lines:
         return tk.mix((s[b] - s[a]) * self.down[a] ^ (b - a).astype(_U) * _TAG[3] ^ _TAG[tag])
 
 
+def edits(n_words: int, near_words: int | None = NEAR_WORDS) -> int:
+    """The edit bound of a line of n_words words."""
+    return int(near_words is not None and n_words >= near_words)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(i, k, line, n, h1, h2, half hashes p0 s0 p1 s1) of every line with words. No shuffle.
 
@@ -158,21 +164,17 @@ def _pick_lines(docs: DataFrame) -> DataFrame:
     return docs.select("i", "text", "want").mapInArrow(tk.tidied(run), "h1 long, h2 long, i long, line long, text string")
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(i, k, gone, n): the lines to take out of each text, as a map of bit sets of 64 lines, and how many they are. docs has i (the id), k (a hash of the text) and text."""
-    lines = scratch.put(line_table(docs), "lines")
-    at = F.struct("i", "line", "k")
-    classes = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("times"))
-    classes = scratch.put(classes, "classes")
+def _near(docs: DataFrame, lines: DataFrame, classes: DataFrame, scratch: Scratch, near_words: int) -> DataFrame:
+    """(h1, h2) of the lines, of near_words or more, that have an earlier one an edit away, a written table."""
     # halves: of all lines, since equal lines share all of theirs and count once by their hash
-    long = lines.where(F.col("n") >= NEAR_WORDS)
+    long = lines.where(F.col("n") >= near_words)
     halves = long.select("h1", "h2", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half"))
     pair = F.struct("h1", "h2")
     shared = halves.groupBy("half").agg(F.min(pair).alias("lo"), F.max(pair).alias("hi")).where("lo <> hi").select("half")
     flagged = halves.join(shared, "half").select("h1", "h2").distinct().join(classes, ["h1", "h2"])
     flagged = scratch.put(flagged.select("h1", "h2", F.col("first.i").alias("i"), F.col("first.k").alias("k"), F.col("first.line").alias("line")), "flagged")
     want = flagged.groupBy("i", "k").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("want"))
-    some = docs.join(_small(flagged.select("i").distinct()), "i", "left_semi").join(want, ["i", "k"]).dropDuplicates(["i", "k"])
+    some = docs.join(small(scratch.put(flagged.select("i").distinct(), "ids")), "i", "left_semi").join(want, ["i", "k"]).dropDuplicates(["i", "k"])
     texts = scratch.put(_pick_lines(some), "texts")
 
     v = variants(texts)
@@ -192,36 +194,52 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     of = texts.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
     mate = of.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), F.col("text").alias("mate"))
     near = pairs.join(of, ["h1", "h2"]).join(mate, ["m1", "m2"]).select("h1", "h2", line_words(F.col("text")).alias("a"), line_words(F.col("mate")).alias("b")).where(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
-    near = scratch.put(near.withColumn("near", F.lit(True)), "near")
+    return scratch.put(near, "near")
 
-    judged = classes.join(near, ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("i", "k", "line", "h1", "h2").join(judged, ["h1", "h2"]).where(F.col("near") | (F.struct("i", "line") > F.struct("first.i", "first.line")))
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, near_words: int | None = NEAR_WORDS) -> DataFrame:
+    """(i, k, gone, n): the lines to take out of each text, as a map of bit sets of 64 lines, and how many they are. docs has i (the id), k (a hash of the text) and text."""
+    lines = scratch.put(line_table(docs), "lines")
+    at = F.struct("i", "line", "k")
+    classes = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("times"))
+    classes = scratch.put(classes, "classes")
+    if near_words is None:
+        near = classes.select("h1", "h2").limit(0)
+    else:
+        near = _near(docs, lines, classes, scratch, near_words)
+    near = near.withColumn("near", F.lit(True))
+
+    judged = classes.join(near, ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), "times")
+    judged = scratch.put(judged, "judged")
+    gone = join_hot(lines.select("i", "k", "line", "h1", "h2"), judged, ["h1", "h2"], "inner", "times").where(F.col("near") | (F.struct("i", "line") > F.struct("first.i", "first.line")))
     # bits of 64 lines each: a text of many lines is then cut in about linear time
     bits = gone.groupBy("i", "k", (F.floor(F.col("line") / 64)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(line % 64 as int))")).alias("b"))
     return scratch.put(bits.groupBy("i", "k").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("gone"), F.sum(F.bit_count("b")).cast("long").alias("n")), "gone")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of docs, with `text` without its repeated lines, `n_lines` and `n_removed`.
+def dedup_lines(docs: DataFrame, near_words: int | None = NEAR_WORDS, into: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of docs, with `text` without its repeated lines, and the two of `into`, the numbers of lines there were and
+    that went (columns of docs with these names in any case are replaced).
 
     Lines are separated by a newline; a line without words is never removed. A null text stays null and has no lines, an
-    empty one has one. A null id counts as later than every id; rows of one id are not earlier than each other.
+    empty one has one. A null id counts as 2^63 - 1, later than every other; rows of one id are not earlier than each other,
+    so of repeated rows all stay or go. An empty table stays empty.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "linedup")
-    keyed = docs.select("*", F.coalesce("doc_id", F.lit(_LAST)).alias("__i"), F.xxhash64("text").alias("__k"))
-    gone = repeated_lines(keyed.select(F.col("__i").alias("i"), F.col("__k").alias("k"), "text"), scratch)
-    gone = gone.select(F.col("i").alias("__i"), F.col("k").alias("__k"), F.col("gone").alias("__gone"), F.col("n").alias("__n"))
-    out = keyed.join(gone, ["__i", "__k"], "left")
+    i, k, bits, n = (free(x, docs) for x in ("i_", "k_", "bits_", "n_"))
+    keyed = docs.select("*", F.coalesce("doc_id", F.lit(_LAST)).alias(i), F.xxhash64("text").alias(k))
+    gone = repeated_lines(keyed.select(F.col(i).alias("i"), F.col(k).alias("k"), "text"), scratch, near_words)
+    out = keyed.join(gone.select(F.col("i").alias(i), F.col("k").alias(k), F.col("gone").alias(bits), F.col("n").alias(n)), [i, k], "left")
 
-    stays = lambda j: F.coalesce(F.getbit(F.try_element_at("__gone", F.floor(j / 64)), j % 64), F.lit(0)) == 0
+    stays = lambda j: F.coalesce(F.getbit(F.try_element_at(bits, F.floor(j / 64)), j % 64), F.lit(0)) == 0
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, j: stays(j)), "\n")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [f.name for f in others(docs, *into)]
     return out.select(
-        *(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("__n", F.lit(0)).cast("long").alias("n_removed"),
+        *(F.when(F.col(bits).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias(into[0]),
+        F.coalesce(n, F.lit(0)).cast("long").alias(into[1]),
     )
 
 
@@ -231,13 +249,14 @@ def op9_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_linedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines. One that had words and has none left goes: all of it stands in earlier ones."""
-    names = docs.columns
-    out = dedup_lines(docs)
-    out = out.where(~((F.col("n_removed") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    """Documents without their repeated lines. One that had words and has none left goes: all of it stands in earlier ones.
+    Other columns stay as they are, but n_chars follows the text. Null and empty texts stay, and so does an empty table."""
+    n, gone = free("n_lines_", docs), free("n_removed_", docs)
+    out = dedup_lines(docs, into=(n, gone))
+    out = out.where(~((F.col(gone) > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 #: The same rows in DuckDB, with variants as lists of words.

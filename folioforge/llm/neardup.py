@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import load, ship
 from . import textkernel as tk
-from .scratch import Scratch
+from .scratch import Scratch, free, join_hot, small, spread
 
 SHINGLE = 5
 COORDS = 128
@@ -102,18 +102,13 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tk.tidied(run), "doc_id long, s array<long>")
 
 
-#: So many ids, 16 bytes each, are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
 def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) with `both`, the size of the intersection of the whole sets, and `link`: 100 * both >= percent * union."""
     need = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    few = need.count() <= BROADCAST_IDS
-    sets = scratch.put(_sets(docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi")), f"{name}-sets")
+    sets = scratch.put(_sets(docs.join(small(need), "doc_id", "left_semi")), f"{name}-sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(right, "b").join(left, "a").withColumn("both", both)
+    joined = spread(spread(pairs, right, "b", "a", pairs), left, "a", "b", pairs).withColumn("both", both)
     link = F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent
     links = scratch.put(joined.select("a", "b", "both", link.alias("link")).distinct(), f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-ids")
@@ -155,8 +150,7 @@ def prune(rows: DataFrame, docs: DataFrame, scratch: Scratch, times: int = 2) ->
     """
     rows = scratch.put(rows, "mixed-0")
     ids = scratch.put(rows.select("doc_id").distinct(), "mixed-ids")
-    few = ids.count() <= BROADCAST_IDS
-    sets = _sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+    sets = _sets(docs.join(small(ids), "doc_id", "left_semi"))
     sh = scratch.put(sets.select("doc_id", F.explode("s").alias("s")), "mixed-shingles-0")
     for i in range(1, times + 1):
         alone = sh.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
@@ -165,8 +159,8 @@ def prune(rows: DataFrame, docs: DataFrame, scratch: Scratch, times: int = 2) ->
         left = rows.drop("c").join(alone, "doc_id", "left").withColumn("c", c).where(F.col("c") * (100 + PERCENT) >= (F.col("n") + floor) * PERCENT)
         rows = scratch.put(mixed(left.drop("least", "alone")), f"mixed-{i}")
         scratch.drop(f"mixed-{i - 1}")
-        keep = rows.select("doc_id").distinct()
-        sh = scratch.put(sh.join(F.broadcast(keep) if few else keep, "doc_id", "left_semi"), f"mixed-shingles-{i}")
+        keep = scratch.put(rows.select("doc_id").distinct(), f"mixed-ids-{i}")
+        sh = scratch.put(sh.join(small(keep), "doc_id", "left_semi"), f"mixed-shingles-{i}")
         scratch.drop(f"mixed-shingles-{i - 1}")
     return rows, sh
 
@@ -205,7 +199,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the classes of different components that share enough shingles to be linked at all. So pairs within a component
     aren't compared, however large the group of copies, and no candidate pair across components is left out. Each link is
     confirmed on whole sets.
-    A null or wordless text has an empty set and no links. A row with a null id takes no part in links: component_id is
+    A null, empty or wordless text has an empty set and no links. A row with a null id takes no part in links: component_id is
     null, kept is true. Repeated rows and rows of one id are the same document. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -213,9 +207,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     sk = scratch.put(sketch_table(docs), "sketch")
     classes = sk.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    multi = classes.where("n > 1").select("digest", "rep")
-    member = scratch.put(sk.drop("low", "bands").join(multi, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "member")
-    stands = sk.where("digest is not null and doc_id is not null").join(multi, "digest", "left").where("rep is null or rep = doc_id")
+    multi = scratch.put(classes.where("n > 1"), "classes")
+    of_class = join_hot(sk.drop("low"), multi, ["digest"], "left", "n")
+    member = scratch.put(of_class.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "member")
+    stands = of_class.where("digest is not null and doc_id is not null").where("rep is null or rep = doc_id")
     bands = stands.select("doc_id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("band", "center")
     bucket = scratch.put(bands.join(shared, "band"), "bucket")
@@ -241,7 +236,8 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates, and all others."""
-    gone = Scratch(spark, "neardup-gone").put(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The first document of each group of near duplicates, and all others, with all their columns. Rows of one id are one
+    document and stay or go together. Null and empty texts, null ids and an empty table stay."""
+    doc_id = free("doc_id_", docs)
+    gone = Scratch(spark, "neardup-gone").put(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id") == F.col(doc_id), "left_anti").select(*docs.columns)

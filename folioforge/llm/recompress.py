@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import load, ship
 from . import textkernel as tk
-from .decontaminate import _small
-from .scratch import Scratch
+from .scratch import Scratch, small
 
 WINDOW = 13
 ROUNDS = 4
@@ -237,7 +236,7 @@ def cut_repeats(docs: DataFrame, kept_text: bool = True) -> DataFrame:
     first = scratch.put(same.groupBy("whole").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("first < last").select("whole", "first"), "texts")
     copies = scratch.put(same.join(first, "whole").where("i > first").select("i", "k").distinct(), "copies")
     docs = docs.withColumn("k", F.xxhash64("text"))
-    own = docs.join(_small(copies), ["i", "k"], "left_anti")
+    own = docs.join(small(copies), ["i", "k"], "left_anti")
 
     occ = occurrences(own)
     shared = scratch.put(occ.groupBy("anchor").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("anchor"), "anchors")
@@ -247,7 +246,7 @@ def cut_repeats(docs: DataFrame, kept_text: bool = True) -> DataFrame:
     twice = scratch.put(twice, "repeats")
     gone = scratch.put(found.join(twice, ["anchor", "hash"]).where("i > lo").groupBy("i").agg(F.collect_set("hash").alias("gone")), "gone")
     scratch.drop("windows", "wanted", "repeats", "anchors")
-    marked = docs.join(gone, "i", "left").join(_small(copies.withColumn("copy", F.lit(True))), ["i", "k"], "left")
+    marked = docs.join(gone, "i", "left").join(small(copies.withColumn("copy", F.lit(True))), ["i", "k"], "left")
     return _cut(marked.withColumn("copy", F.coalesce("copy", F.lit(False))), kept_text)
 
 

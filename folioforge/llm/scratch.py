@@ -94,10 +94,11 @@ def join_hot(many: DataFrame, one: DataFrame, keys: list[str], how: str, times:
     return many.join(hot, keys).unionByName(cold.join(one.where(F.col(times) <= bar).drop(times), keys, how))
 
 
-def spread(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+def spread(many: DataFrame, one: DataFrame, key: str, by: str, counted: DataFrame) -> DataFrame:
     """many joined with one (a row a key, which may be a large one). The rows of a hot key are dealt over tasks by a hash of
-    column `by`, CHUNK_ROWS or so to each, and its row of `one` is sent to each of these. many is a written table."""
-    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CHUNK_ROWS)
+    column `by`, CHUNK_ROWS or so to each, and its row of `one` is sent to each of these. How many rows a key has is counted in
+    `counted`, a written table with the keys of `many`."""
+    hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CHUNK_ROWS)
     hot = small(hot.select(key, F.ceil(F.col("__n") / CHUNK_ROWS).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
     left = many.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")

@@ -3,7 +3,8 @@
 A change of a document is an insert, a delete or a revised count. It becomes one row to subtract, one to add, or both;
 a batch sums these by group and is written once as a folder named after it. Totals are the sum of all batches' rows, so
 they cost a scan of small tables, not of the corpus. A batch is written aside and renamed into place: a retried or
-repeated batch finds its folder there and changes nothing, and a lost driver leaves no half batch.
+repeated batch finds its folder there and changes nothing, and a lost driver leaves no half batch. Batches are merged into
+a base from time to time, which remembers their names, so totals don't read every batch that ever was.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import load, ship
 from . import textkernel as tk
-from .scratch import Scratch
+from .scratch import Scratch, others
 
 GROUP = ["source", "lang", "tokenizer"]
 #: Tokenizer version -> file of ranks.
@@ -41,7 +42,8 @@ def _encoding(name: str, ranks: bytes, pattern: str):
 
 
 def count_tokens(docs: DataFrame, tokenizers: dict[str, str] = TOKENIZERS, pattern: str = PATTERN, text: str = "text") -> DataFrame:
-    """All columns of docs but the text, with `tokenizer` and `tokens`: one row for each tokenizer. A null text has no tokens.
+    """All columns of docs but the text, with `tokenizer` and `tokens`: one row for each tokenizer. A null or empty text has no
+    tokens, repeated rows count each; columns of docs named as the added ones, in any case, are replaced.
 
     The rank files are read on the driver and broadcast (fixed in size by their vocabularies). No shuffle.
     """
@@ -52,7 +54,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str] = TOKENIZERS, patte
         with open(path, "rb") as f:
             ranks[name] = f.read()
     shared = spark.sparkContext.broadcast(ranks)
-    kept = [f for f in docs.schema if f.name not in (text, "tokenizer", "tokens")]
+    kept = others(docs, text, "tokenizer", "tokens")
     schema = T.StructType([*kept, T.StructField("tokenizer", T.StringType()), T.StructField("tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +87,7 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder of batches."""
+    """Totals in a folder of batches and of bases that batches were merged into; the newest base counts."""
 
     SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 
@@ -103,45 +105,86 @@ class Rollup:
     def _name(batch: str) -> str:
         return "batch-" + re.sub("%", "_", quote(batch, safe=""))
 
+    def _folders(self, kind: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._p("")) if s.getPath().getName().startswith(kind))
+
+    def _base(self) -> tuple[str | None, list[str]]:
+        """The newest base and the batches in it."""
+        bases = self._folders("base-")
+        if not bases:
+            return None, []
+        names = self.spark.read.schema("name string").parquet(f"{self.path}/{bases[-1]}/names")
+        return bases[-1], [r["name"] for r in names.collect()]
+
     def committed(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._p("")) if s.getPath().getName().startswith("batch-"))
+        return sorted({*self._folders("batch-"), *self._base()[1]})
+
+    def _rename(self, aside: str, name: str) -> bool:
+        # rename into an existing folder would nest: the check and the target's absence decide who wins
+        if self.fs.exists(self._p(name)) or not self.fs.rename(self._p(aside), self._p(name)):
+            self.fs.delete(self._p(aside), True)
+            return False
+        if self.fs.exists(self._p(f"{name}/{aside}")):  # another writer was faster
+            self.fs.delete(self._p(f"{name}/{aside}"), True)
+            return False
+        return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False, and nothing is done, if a batch of that name is there."""
         name = self._name(batch)
-        if self.fs.exists(self._p(name)):
+        if name in self.committed():
             return False
         aside = f"_aside-{uuid.uuid4().hex}"
         sums = signed(changes).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.parquet(f"{self.path}/{aside}")  # one row a group
-        # rename into an existing folder would nest: the check and the target's absence decide who wins
-        if self.fs.exists(self._p(name)) or not self.fs.rename(self._p(aside), self._p(name)):
-            self.fs.delete(self._p(aside), True)
-            return False
-        if self.fs.exists(self._p(f"{name}/{aside}")):  # another committer was faster
-            self.fs.delete(self._p(f"{name}/{aside}"), True)
+        sums.write.parquet(f"{self.path}/{aside}")
+        return self._rename(aside, name)
+
+    def _rows(self) -> tuple[DataFrame, list[str]]:
+        """The sums that count, and the names of the batches in them."""
+        base, merged = self._base()
+        loose = [n for n in self._folders("batch-") if n not in set(merged)]
+        paths = [f"{self.path}/{n}" for n in loose] + ([f"{self.path}/{base}/sums"] if base else [])
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+        return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0"), merged + loose
+
+    def compact(self) -> bool:
+        """Merge all batches into a new base; their folders and older bases go with the next call, so that running reads find them."""
+        sums, names = self._rows()
+        before, merged = self._base()
+        n = int(before.rpartition("-")[2]) + 1 if before else 1
+        aside = f"_aside-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/{aside}/sums")
+        self.spark.createDataFrame([(x,) for x in names], "name string").coalesce(1).write.parquet(f"{self.path}/{aside}/names")
+        if not self._rename(aside, f"base-{n:09d}"):
             return False
+        for old in [x for x in self._folders("base-") if x < (before or "")] + [x for x in self._folders("batch-") if x in set(merged)]:
+            self.fs.delete(self._p(old), True)
         return True
 
     def totals(self) -> DataFrame:
         """Documents and tokens of each group that has any."""
-        names = self.committed()
-        if not names:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*(f"{self.path}/{n}" for n in names))
-        sums = rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where("docs <> 0 or tokens <> 0")
+        return self._rows()[0]
+
+
+#: The tokenizer version that op6 loads first and takes back: an estimate from the number of characters.
+ESTIMATE = "estimate"
 
 
 def op6_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted with estimated counts, then revised to exact ones; the second batch is sent twice."""
+    """All documents are inserted with estimated counts, under each tokenizer version and under one of the estimate alone.
+    A second batch, sent twice, revises the counts to exact ones and deletes the estimate's documents; then batches are merged."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     scratch = Scratch(spark, "tokencounts")
     guess = F.ceil(F.coalesce(F.length("text"), F.lit(0)) / CHARS_A_TOKEN).cast("long")
     counts = scratch.put(count_tokens(docs.withColumn("old_tokens", guess)), "counts")
     rollup = Rollup(spark, scratch.path("rollup"))
-    rollup.commit("load", counts.select(F.lit("insert").alias("op"), *GROUP, F.col("old_tokens").alias("tokens"), F.lit(None).cast("long").alias("old_tokens")))
-    exact = counts.select(F.lit("revise").alias("op"), *GROUP, "tokens", "old_tokens")
+    none = F.lit(None).cast("long")
+    first = counts.where(F.col("tokenizer") == min(TOKENIZERS)).withColumn("tokenizer", F.lit(ESTIMATE))
+    row = lambda rows, op, new, old: rows.select(F.lit(op).alias("op"), *GROUP, new.alias("tokens"), old.alias("old_tokens"))
+    guessed = F.col("old_tokens")
+    rollup.commit("load", row(counts.unionByName(first), "insert", guessed, none))
+    exact = row(counts, "revise", F.col("tokens"), guessed).unionByName(row(first, "delete", none, guessed))
     rollup.commit("exact", exact)
     rollup.commit("exact", exact)
+    rollup.compact()
     return rollup.totals()

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import load, ship
 from . import textkernel as tk
-from .decontaminate import _small
-from .scratch import Scratch
+from .scratch import Scratch, join_hot, small
 
 BLOCK = 1 << 20
 #: Payload bytes of an archive file; a larger record has a file of its own.
@@ -150,7 +149,9 @@ def _put(path: str, fill) -> None:
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """(path, records): one-stream archives of rows (page_id, url, payload, sha, refers_to), closed at FILE_BYTES of payload."""
+    """(path, records): one-stream archives of rows (page_id, url, payload, sha, refers_to), closed at FILE_BYTES of payload.
+
+    A null payload is empty, null ids and repeated rows are written like others, no row writes no file; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -188,7 +189,10 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def normalise_archives(paths: DataFrame, folder: str) -> DataFrame:
-    """(path, record_id, type, offset, length): the index of the rewritten files, which also stands beside each as JSON lines."""
+    """(path, record_id, type, offset, length): the index of the rewritten files, which also stands beside each as JSON lines.
+
+    Each file is inflated once, record by record, whatever its size; an empty one has no records, one that is cut off is an
+    error. A file that is listed twice is rewritten to the same place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,14 +211,16 @@ def normalise_archives(paths: DataFrame, folder: str) -> DataFrame:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """Records by their place: page_id, url, payload, record_type, payload_bytes, payload_digest, refers_to.
+    """Records by their place: page_id, url, payload, record_type, payload_bytes, payload_digest, refers_to, declared.
 
-    Each is read by a seek to its member. A revisit has a null payload. The digest of a response is checked.
+    Each is read by a seek to its member. payload_bytes and payload_digest are of the payload that was read, `declared` is the
+    digest that the header names; a response for which the two differ is an error. A revisit holds no payload: its payload and
+    the two are null, see revisited(). An empty index gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "payload", "record_type", "payload_bytes", "payload_digest", "refers_to"]
-        kinds = [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        names = ["page_id", "url", "payload", "record_type", "payload_bytes", "payload_digest", "refers_to", "declared"]
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         held = None
         for batch in batches:
             out: list[list] = [[] for _ in names]
@@ -229,11 +235,11 @@ def read_records(index: DataFrame) -> DataFrame:
                 source = Inflater(io.BytesIO(held[1].read(r["length"])))
                 _, f = headers(source)
                 body = source.take(int(f["content-length"]))
-                sha, kind = f["warc-payload-digest"].removeprefix("sha1:"), f["warc-type"]
-                if kind == "response" and digest(body) != sha:
+                declared, kind, ref = f["warc-payload-digest"].removeprefix("sha1:"), f["warc-type"], _page(f.get("warc-refers-to"))
+                own = (body, kind, len(body), digest(body)) if kind == "response" else (None, kind, None, None)
+                if own[3] not in (None, declared):
                     raise ValueError(f"{f['warc-record-id']}: the payload doesn't match its digest")
-                ref = _page(f.get("warc-refers-to"))
-                for to, v in zip(out, (_page(f["warc-record-id"]), f["warc-target-uri"], body if kind == "response" else None, kind, int(f["x-payload-length"]), sha, ref), strict=True):
+                for to, v in zip(out, (_page(f["warc-record-id"]), f["warc-target-uri"], *own, ref, declared), strict=True):
                     to.append(v)
                 size += len(body)
                 if size > 8 * BLOCK:
@@ -243,10 +249,22 @@ def read_records(index: DataFrame) -> DataFrame:
         if held:
             held[1].close()
 
-    schema = "page_id long, url string, payload binary, record_type string, payload_bytes long, payload_digest string, refers_to long"
+    schema = "page_id long, url string, payload binary, record_type string, payload_bytes long, payload_digest string, refers_to long, declared string"
     return index.select("path", "offset", "length").mapInArrow(tk.tidied(run), schema)
 
 
+def revisited(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of written records; a revisit has bytes and digest of the
+    response that it refers to (by id and declared digest), as that was read. records is a written table."""
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    again = records.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "declared")
+    wanted = again.groupBy("refers_to", "declared").agg(F.count(F.lit(1)).alias("times"))
+    seen = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared"), "payload_bytes").distinct()
+    one = seen.join(wanted, ["refers_to", "declared"])
+    found = join_hot(again, one, ["refers_to", "declared"], "left", "times").withColumn("payload_digest", F.when(F.col("payload_bytes").isNotNull(), F.col("declared")))
+    return records.where("record_type = 'response'").select(*cols).unionByName(found.select(*cols))
+
+
 def _page(urn: str | None) -> int | None:
     text = (urn or "").strip("<>").rpartition(":")[2]
     return int(text) if text else None
@@ -263,7 +281,7 @@ def with_revisits(pages: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     first = slim.where("page_id is not null").groupBy("s", "n").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("s", "n", "first")
     refs = scratch.put(slim.join(first, ["s", "n"]).where("page_id > first").select("page_id", "s", "first").distinct(), "refs")
     named = rows.withColumn("s", F.sha1("payload"))
-    out = named.join(_small(refs), ["page_id", "s"], "left")
+    out = named.join(small(refs), ["page_id", "s"], "left")
 
     @F.pandas_udf("string")
     def base32(s):
@@ -291,7 +309,8 @@ def archive(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archive(load(spark, sf_dir, "pages"), 0)
-    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "declared")
+    return revisited(Scratch(spark, "warc-read").put(rows, "records"))
 
 
 #: The same rows in DuckDB; base32 by way of the digest's bits.

@@ -72,3 +72,12 @@ def test_native_plan(spark, sf_dir, capsys):
     dc.op7_decontaminate(spark, sf_dir).explain()
     out = capsys.readouterr().out
     assert "Python" not in out and "Arrow" not in out and "Pandas" not in out
+
+
+def test_stage_takes_clashing_columns_and_judges_rows_of_one_id_by_text(spark, tmp_path):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "a b c"), (3, "d e")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "one two three four five six seven eight nine ten", "x", 1), (1, "clean text", "y", 2), (2, "z a b c", None, None), (3, None, None, None), (None, "q d e", None, None)]
+    out = dc.stage_decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string, bad_id string, I_ int"), str(tmp_path))
+    assert out.columns == ["doc_id", "text", "bad_id", "I_"]
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "clean text"), (3, None)]

@@ -115,3 +115,21 @@ def test_stage_drops_only_what_stands_elsewhere(spark):
     rows = [(1, "a b\nc d", "en", "s", 7), (2, "c d\na b", "en", "s", 7), (3, "", "en", "s", 0), (4, "c d\nnew", "en", "s", 7), (5, None, None, None, None)]
     out = ld.stage_linedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == [(1, "a b\nc d", 7), (3, "", 0), (4, "new", 3), (5, None, None)]
+
+
+def test_edit_bound_is_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "a b c d\na b c d e f g h i"), (2, "a b x d\na b c d e f g h j"), (3, "a b c d")], "doc_id long, text string")
+    left = lambda n: {r["doc_id"]: r["n_removed"] for r in ld.dedup_lines(docs, near_words=n).collect()}
+    assert left(None) == {1: 0, 2: 0, 3: 1} and left(8) == {1: 0, 2: 1, 3: 1} and left(4) == {1: 0, 2: 2, 3: 1}
+    assert [ld.edits(n) for n in (7, 8)] == [0, 1] and ld.edits(50, None) == 0
+
+
+def test_columns_that_clash_in_any_case(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "a b\na b", "x", 1, 2, 3)], "doc_id long, text string, I_ string, k_ int, N_removed int, __gone int")
+    assert ld.stage_linedup(spark, docs, sf_dir).first().asDict() == {"doc_id": 1, "text": "a b", "I_": "x", "k_": 1, "N_removed": 2, "__gone": 3}
+
+
+def test_hot_lines(spark):
+    rows = [(i, f"the same line in all of them\nown {i} own") for i in range(700)]
+    got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: int(i > 0) for i in range(700)}

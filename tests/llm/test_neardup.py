@@ -89,3 +89,13 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["label"] for r in nd.components(edges, Scratch(spark, "t"), "c").collect()}
     assert got == {**{i: 0 for i in range(n)}, 100: 100, 101: 100}
     assert tk.mix1(1) != tk.mix1(2)
+
+
+def test_hot_classes_and_centers(spark, sf_dir):
+    base = " ".join(f"w{i}" for i in range(120))
+    rows = [(i, base) for i in range(400)] + [(1000 + i, base + f" tail{i} more{i}") for i in range(300)] + [(5000, "quite another text of six words")]
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 5000 else 5000 for i, _ in rows}
+    clash = spark.createDataFrame(rows[:2] + rows[-1:], "doc_id long, text string").selectExpr("*", "1 AS doc_id_", "'x' AS Digest")
+    out = nd.stage_neardup(spark, clash, sf_dir)
+    assert out.columns == clash.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 5000]

@@ -41,6 +41,12 @@ def test_batches_are_idempotent_and_signed(spark):
         r.commit("bad", spark.createDataFrame([("upsert", "a", "en", "v1", 1, 1)], CHANGES))
     assert len(r.committed()) == 3
     assert {tuple(x)[:3]: tuple(x)[3:] for x in r.totals().collect()} == got
+    for more in (False, True):  # merging changes no total and no batch can come twice, before and after old folders go
+        assert r.compact() and len(r.committed()) == 3 and not r.commit("day 2", two)
+        assert {tuple(x)[:3]: tuple(x)[3:] for x in r.totals().collect()} == got
+        assert r._folders("batch-") == ([] if more else r.committed())
+    assert r.commit("day 3", spark.createDataFrame([("delete", "b", "en", "v1", None, 0), ("delete", "a", "en", "v2", None, 3)], CHANGES))
+    assert {tuple(x)[:3]: tuple(x)[3:] for x in r.totals().collect()} == {("a", "en", "v1"): (1, 12)} and r.compact() and len(r.committed()) == 4
 
 
 def test_query_equals_a_direct_count(spark, sf_dir):

@@ -57,9 +57,11 @@ def test_normalise_round_trip():
 def test_archive_and_read_back(spark):
     rows = _pages()
     index = wa.archive(spark.createDataFrame(rows, SCHEMA).repartition(3))
-    got = wa.read_records(index).collect()
+    read = wa.read_records(index)
+    got = wa.revisited(read).collect()
     assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == _want(rows)
-    by = {i: h for i, _, h, *_ in rows}
+    by, got = {i: h for i, _, h, *_ in rows}, read.collect()
+    assert all(r["payload_digest"] == r["declared"] if r["record_type"] == "response" else r["payload_digest"] is None for r in got)
     assert all(r["payload"] == (by[r["page_id"]] or "").encode() for r in got if r["record_type"] == "response")
     path = index.first()["path"]
     fs, name = wa._open(path + ".index")
@@ -79,3 +81,9 @@ def test_odd_rows(spark):
     got = wa.read_records(wa.archive(spark.createDataFrame(rows, SCHEMA))).collect()
     assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got) == [(0, "response", None), (0, "response", None), (7, "response", None), (7, "response", None), (9, "revisit", 7)]
     assert wa.read_records(wa.archive(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_hot_revisits(spark):
+    rows = [(i, "u", "same" if i % 3 else "hot" * 9, "", 1, 1) for i in range(900)]
+    got = wa.revisited(wa.read_records(wa.archive(spark.createDataFrame(rows, SCHEMA)))).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == _want(rows)
