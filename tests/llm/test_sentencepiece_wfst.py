@@ -49,13 +49,21 @@ def SPACE_IN(x):
 def test_matches_merging_on_random_letters():
     t = wf.Transducer(open(wf.MODEL, "rb").read())
     rng = random.Random(2)
-    for _ in range(400):
-        x = "".join(rng.choice("aeinrst▁.é你") for _ in range(rng.randint(1, 90)))
-        merged = t._merge(x)
-        want = [i for p in merged for i in ([t.lexicon[p]] if p in t.lexicon else t._spell(p))]
+    texts = ["".join(rng.choice("aeinrst▁.é你") for _ in range(rng.randint(1, 90))) for _ in range(400)] + ["".join(rng.choice("helo wrd▁") for _ in range(12)) for _ in range(400)]
+    for x in texts:
+        want = [i for p in t._merge(x) for i in ([t.lexicon[p]] if p in t.lexicon else t._spell(p))]
         assert list(t.shortest_path(x)) == want
-        if len(x) <= 64:
-            assert t.path(x) == wf.array("i", want).tobytes()
+        ids, size = t.shortest_paths([x, x[::-1]])
+        assert ids[: size[0]].tolist() == want and size.sum() == len(ids)
+
+
+def test_border_arcs_equal_merging_the_two():
+    t = wf.Transducer(open(wf.MODEL, "rb").read())
+    rng, pieces = random.Random(4), sorted(t.lexicon)
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(3000)]
+    pairs += [(p[:k], p[k:]) for p in rng.sample(pieces, 2000) for k in range(1, len(p)) if p[:k] in t.lexicon and p[k:] in t.lexicon]
+    got = t.side_by_side(*(wf.np.array([t.lexicon[x[k]] for x in pairs]) for k in (0, 1)))
+    assert got.tolist() == [t._merge(a + b) == [a, b] for a, b in pairs] and 0 < got.sum() < len(pairs)
 
 
 def test_unigram_shortest_path_is_the_cheapest():
@@ -72,6 +80,7 @@ def test_unigram_shortest_path_is_the_cheapest():
     for _ in range(100):
         x = "".join(rng.choice("aab▁z") for _ in range(rng.randint(1, 9)))
         ids = t.shortest_path(x)
+        assert t.shortest_paths([x])[0].tolist() == list(ids)
         assert abs(sum(cost.get(t.pieces[i][0], wf.UNKNOWN_PENALTY - t.least) for i in ids) - best(x)) < 1e-9
     assert t.decode(t.encode("ab ab")) == "ab ab"
 
@@ -94,6 +103,20 @@ def test_rewrite_trie():
     assert n("bAA é") == "baa▁é"
 
 
+def test_texts_of_a_batch_share_parts_and_long_parts():
+    t = wf.Transducer(open(wf.MODEL, "rb").read())
+    lib = sp.SentencePieceProcessor(model_file=wf.MODEL)
+    texts = ["the cat", "", "the dog the cat", "a" * 3000, "你好世界" * 300, "the\nthe", " "]
+    ids, cuts = t.encode_all(texts)
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == lib.encode(texts)
+    assert t.decode_all(ids, cuts) == texts
+
+
+def test_columns_that_clash_in_any_case(spark):
+    out = wf.encode(spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, IDS string"))
+    assert out.columns == ["doc_id", "text", "ids", "n_tokens", "decoded_sha256", "lossless"] and out.first()["n_tokens"] == 2
+
+
 def test_odd_rows(spark):
     rows = [(i, t, "x", 3) for i, t in enumerate(brute.ODD_TEXTS)] + [(None, "a", None, None)] * 2
     out = wf.encode(spark.createDataFrame(rows, SCHEMA))
