@@ -2,15 +2,23 @@
 
 A text's words are its symbols. A round names every maximal run of one symbol, then, with symbols dealt into a left and
 a right half by a bit of their name, every pair of a left and a following right symbol. Names are 64-bit functions of the
-parts' names, so they are global: equal parts get equal names in every document, without a dictionary to exchange.
-How far a symbol's making looked to either side is tracked, so that the symbols of which a window of words alone decides
-are known: they are the same wherever that window stands. Each window is represented by one of them, its anchor: one that
-took 4 to 8 words to make, which is a high level as a rule and leaves room for neighbouring windows to agree, else any; the
-largest hash decides. Every window has one, for single words are symbols too, and equal windows have equal anchors.
-
-Spark rounds over the corpus then (1) give exact copies of a text to the first of them, (2) name the anchors that stand
-in two or more texts, (3) name the windows under such anchors, which verifies them, with the first document of each,
-and (4) take out the words under windows that start in an earlier document.
+parts' names, so equal parts get equal names in every document. Spark rounds over the corpus then
+
+(1) give exact copies of a text to the first of them;
+(2) screen: how far a symbol's making looked to either side is tracked, so that the symbols of which a window of words alone
+decides are known. Each window is represented by one of them, its anchor: one that took 4 to 8 words to make, which leaves
+room for neighbouring windows to agree, else any; the largest hash decides. Every window has one, for single words are
+symbols too, and equal windows have equal anchors. Words under no window whose anchor stands in two documents are set aside;
+(3) name: on what is left, every Spark round makes runs and pairs of runs and pairs, collects the dictionary of all names with
+the first and last document of each, and cuts the symbols that no second document has. What lies within a long repeat is
+named alike in all its places, so it stays and grows from round to round;
+(4) reveal and verify: a symbol of 13 words or more that an earlier document shares is a repeat, all its windows with it. The
+words of its places are compared by their MD5, and a name with different words is an error;
+(5) name the windows at the borders of these symbols, under shared anchors, by two hashes (124 bits), with the first document
+of each; and take out the words under symbols and windows of an earlier document.
+
+A remark: a name is a function of its parts, not a number that a dictionary deals out, so that no round has to send every
+pair of the corpus to its number and back; dictionaries decide what is shared.
 """
 
 from __future__ import annotations
@@ -24,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import load, ship
 from . import textkernel as tk
-from .scratch import Scratch, small
+from .scratch import Scratch, join_hot, small
 
 WINDOW = 13
+#: Levels of runs and pairs of the screen, and those that each Spark round of naming adds to its symbols.
 ROUNDS = 4
+LEVELS = (5, 3, 3)
 PREFERRED = (4, 8)
-#: A longer text is worked on in segments that overlap by WINDOW - 1 words, which changes no window.
+#: Words that are worked on at a time; a longer text is in segments that overlap by WINDOW - 1 words, which changes no window.
 SEGMENT = 200_000
 _U = np.uint64
 _SEED = tk.mix(np.arange(77, 77 + 64, dtype=_U))
@@ -101,33 +111,71 @@ def anchors(name: np.ndarray, w: int = WINDOW, rounds: int = ROUNDS) -> np.ndarr
 
 
 class Windows:
-    """Anchors and hashes of all windows of a chunk of texts; doc and pos (word number in the document) of each."""
+    """Anchors and hashes of all windows of some segments; doc and pos (word number in the document) of each."""
 
-    __slots__ = ("doc", "pos", "anchor", "hash", "words")
+    __slots__ = ("doc", "pos", "anchor", "hash")
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, w: int = WINDOW):
-        words = tk.Words(buf, off, lower=False)
-        h = words.hashes()
-        h[h == _GAP] = _U(1)
-        doc, a, b = segments(words.first, w)
+    def __init__(self, h: np.ndarray, first: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, w: int = WINDOW):
         size = b - a
         start = np.cumsum(size + 1) - size  # each segment follows a gap
         name = np.zeros(int(size.sum()) + len(size) + 1, _U)
-        at = np.repeat(start - a, size) + (src := np.repeat(a - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum())))
-        name[at] = h[src]
-        self.words = words
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        name[np.repeat(start, size) + within] = h[np.repeat(a, size) + within]
         nw = size - w + 1
-        win = np.repeat(start - np.append(0, np.cumsum(nw)[:-1]), nw) + np.arange(int(nw.sum()))
+        within = np.arange(int(nw.sum())) - np.repeat(np.cumsum(nw) - nw, nw)
+        win = np.repeat(start, nw) + within
         self.doc = np.repeat(doc, nw)
-        self.pos = win - np.repeat(start - a + words.first[doc] if len(doc) else start, nw)
-        self.anchor = anchors(name, w)[win] if len(doc) else np.zeros(0, _U)
+        self.pos = np.repeat(a - first[doc], nw) + within
+        self.anchor = anchors(name, w)[win]
         up, down = tk._pows(len(name) + 1)
         sums = np.zeros(len(name) + 1, _U)
         np.cumsum(tk.mix(name ^ _SEED[60]) * up[: len(name)], out=sums[1:])
-        self.hash = tk.mix((sums[win + w] - sums[win]) * down[win] if len(doc) else np.zeros(0, _U))
+        self.hash = tk.mix((sums[win + w] - sums[win]) * down[win])
+
+
+def windows_of(words: tk.Words, w: int = WINDOW, only: np.ndarray | None = None) -> Iterator[Windows]:
+    """Windows of a chunk's documents (those of `only`, a mask, if given), some segments at a time."""
+    h = words.hashes()
+    h[h == _GAP] = _U(1)
+    doc, a, b = segments(words.first, w)
+    if only is not None and len(doc):
+        on = only[doc]
+        doc, a, b = doc[on], a[on], b[on]
+    group = np.cumsum(b - a) // SEGMENT
+    for x, y in zip(np.searchsorted(group, np.unique(group)).tolist(), np.searchsorted(group, np.unique(group), "right").tolist(), strict=True):
+        yield Windows(h, words.first, doc[x:y], a[x:y], b[x:y], w)
+
+
+def recompressed(name: np.ndarray, a: np.ndarray, b: np.ndarray, levels: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols (name, first word, one past the last) after `levels` rounds of runs and pairs; gaps have the name 0."""
+    for level in range(levels):
+        if not len(name):
+            break
+        head = np.ones(len(name), bool)
+        head[1:] = (name[1:] != name[:-1]) | (name[1:] == _GAP)
+        at = np.flatnonzero(head)
+        last = np.append(at[1:], len(name)) - 1
+        size = (last - at + 1).astype(_U)
+        name, a, b = np.where(size > 1, tk.mix(name[at] * _SEED[42] + size), name[at]), a[at], b[last]
+        side = tk.mix(name ^ _SEED[43] ^ _U(seed + level)) >> _U(63)
+        two = np.zeros(len(name), bool)
+        two[:-1] = (name[:-1] != _GAP) & (name[1:] != _GAP) & (side[:-1] == 0) & (side[1:] == 1)
+        second = np.append(False, two[:-1])
+        nxt, end = np.append(name[1:], name[-1:]), np.append(b[1:], b[-1:])
+        name, b = np.where(two, tk.mix(name * _SEED[44] + nxt * _SEED[45] + _U(seed + level)), name)[~second], np.where(two, end, b)[~second]
+        a = a[~second]
+    return name, a, b
+
+
+def _without_gaps(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One gap where several follow one another."""
+    on = np.ones(len(name), bool)
+    on[1:] = (name[1:] != _GAP) | (name[:-1] != _GAP)
+    return name[on], a[on], b[on]
 
 
 _LAST = 2**63 - 1
+_KEY = ["i", "k"]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -136,117 +184,243 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield a, b, buf[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in _KEY)
+
+
+def _longs(*cols: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c.view(np.int64) if c.dtype == _U else c.astype(np.int64)) for c in cols]
+
+
+def _row(col: pa.Array, j: int, kind: type = np.int64) -> np.ndarray:
+    """Row j of a column of lists of numbers; of a null none."""
+    return col[j].values.to_numpy(zero_copy_only=False).astype(kind, copy=False) if col[j].is_valid and len(col[j]) else np.zeros(0, kind)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(anchor, i): the distinct anchors of each document's windows. No shuffle."""
+    """(anchor, i, k): the anchors of each document's windows, each at least once. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("i").to_numpy(zero_copy_only=False)
-            for a, _, buf, off in _chunks(batch):
-                w = Windows(buf, off)
-                new = np.ones(len(w.doc), bool)
-                new[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1])
-                anchor, doc = w.anchor[new], w.doc[new]
-                order = np.lexsort((anchor, doc))
-                anchor, doc = anchor[order], doc[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[a + doc[new]])], names=["anchor", "i"])
+            i, k = _ids(batch)
+            for x, _, buf, off in _chunks(batch):
+                for w in windows_of(tk.Words(buf, off, lower=False)):
+                    new = np.ones(len(w.doc), bool)
+                    new[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1])
+                    anchor, doc = w.anchor[new], w.doc[new]
+                    order = np.lexsort((anchor, doc))
+                    anchor, doc = anchor[order], doc[order]
+                    new = np.ones(len(doc), bool)
+                    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+                    yield pa.RecordBatch.from_arrays(_longs(anchor[new], i[x + doc[new]], k[x + doc[new]]), names=["anchor", *_KEY])
+
+    return docs.select(*_KEY, "text").mapInArrow(tk.tidied(run), "anchor long, i long, k long")
+
 
-    return docs.select("i", "text").mapInArrow(tk.tidied(run), "anchor long, i long")
+_SYMBOLS = "i long, k long, name array<long>, a array<int>, b array<int>"
 
 
-def windows_under(docs: DataFrame) -> DataFrame:
-    """(anchor, hash, i): the distinct windows of each document whose anchor is in its column `wanted`."""
+def _symbol_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(5)], names=[*_KEY, "name", "a", "b"])
+
+
+def live_symbols(docs: DataFrame, levels: int) -> DataFrame:
+    """(i, k, name, a, b): the first Spark round's symbols of the words under windows whose anchor is in `wanted`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("i").to_numpy(zero_copy_only=False)
+            i, k = _ids(batch)
             wanted = batch.column("wanted")
-            for a, b, buf, off in _chunks(batch):
-                w = Windows(buf, off)
-                cut = np.searchsorted(w.doc, np.arange(b - a + 1))
-                out = [], [], []
-                for d, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                    anchor = w.anchor[x:y].view(np.int64)
-                    on = np.isin(anchor, wanted[a + d].values.to_numpy(zero_copy_only=False))
-                    h, first = np.unique(w.hash[x:y][on], return_index=True)
-                    for to, what in zip(out, (anchor[on][first], h.view(np.int64), np.full(len(h), ids[a + d])), strict=True):
-                        to.append(what)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in out], names=["anchor", "hash", "i"])
+            for x, y, buf, off in _chunks(batch):
+                words = tk.Words(buf, off, lower=False)
+                edge = np.zeros(len(words) + 1, np.int32)
+                for w in windows_of(words):
+                    cut = np.searchsorted(w.doc, np.arange(y - x + 1))
+                    for d in np.unique(w.doc).tolist():
+                        on = np.isin(w.anchor[cut[d] : cut[d + 1]].view(np.int64), _row(wanted, x + d))
+                        at = w.pos[cut[d] : cut[d + 1]][on] + words.first[d]
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + WINDOW, -1)
+                live = np.cumsum(edge[:-1]) > 0
+                h = words.hashes()
+                h[h == _GAP] = _U(1)
+                h[~live] = _GAP
+                rows = []
+                for d in range(y - x):
+                    p, q = words.first[d], words.first[d + 1]
+                    name, a, b = _without_gaps(h[p:q], np.arange(q - p), np.arange(1, q - p + 1))
+                    if (name != _GAP).any():
+                        name, a, b = recompressed(name, a, b, levels, 0)
+                        rows.append((i[x + d], k[x + d], name.view(np.int64), a.astype(np.int32), b.astype(np.int32)))
+                yield _symbol_rows(rows)
+
+    return docs.select(*_KEY, "text", "wanted").mapInArrow(tk.tidied(run), _SYMBOLS)
+
+
+def next_symbols(symbols: DataFrame, levels: int, seed: int) -> DataFrame:
+    """The symbols of the next Spark round: those that aren't in `shared` are cut, the others go on."""
 
-    return docs.select("i", "text", "wanted").mapInArrow(tk.tidied(run), "anchor long, hash long, i long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, k = _ids(batch)
+            rows = []
+            for j in range(batch.num_rows):
+                name, a, b = (_row(batch.column(c), j) for c in ("name", "a", "b"))
+                name = np.where(np.isin(name, _row(batch.column("shared"), j)), name, 0).view(_U)
+                name, a, b = recompressed(*_without_gaps(name, a, b), levels, seed)
+                rows.append((i[j], k[j], name.view(np.int64), a.astype(np.int32), b.astype(np.int32)))
+            yield _symbol_rows(rows)
+
+    return symbols.select(*_KEY, "name", "a", "b", "shared").mapInArrow(tk.tidied(run), _SYMBOLS)
+
+
+def dictionary(places: DataFrame, *by: str) -> DataFrame:
+    """by and `lo`, the first document, of the names (columns `by`) that stand in two documents of different ids."""
+    return places.groupBy(*by).agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count(F.lit(1)).alias("times")).where("lo < hi").select(*by, "lo", "times")
+
+
+def long_symbols(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(i, k, name, a, b, lo) of the symbols of WINDOW words or more that two documents share, after all rounds of naming."""
+    at = scratch.put(live_symbols(docs.join(wanted, _KEY), LEVELS[0]), "symbols-0")
+    for r, levels in enumerate(LEVELS[1:], 1):
+        names = at.select(*_KEY, F.explode(F.array_distinct("name")).alias("name")).where("name <> 0")
+        known = scratch.put(dictionary(names, "name"), f"names-{r}")
+        shared = join_hot(names, known, ["name"], "inner", "times").groupBy(*_KEY).agg(F.collect_set("name").alias("shared"))
+        at = scratch.put(next_symbols(at.join(shared, _KEY), levels, 100 * r), f"symbols-{r}")
+        scratch.drop(f"symbols-{r - 1}")
+    places = at.select(*_KEY, F.explode(F.arrays_zip("name", "a", "b")).alias("s")).select(*_KEY, "s.*").where(f"name <> 0 and b - a >= {WINDOW}")
+    places = scratch.put(places, "places")
+    return scratch.put(join_hot(places, scratch.put(dictionary(places, "name"), "names"), ["name"], "inner", "times"), "long")
+
+
+def border_windows(docs: DataFrame) -> DataFrame:
+    """(anchor, hash, i, k, w1, w2): the windows of each document whose anchor is in `wanted`, but those within a symbol of
+    `long` that an earlier document has; and, with a null hash, the names of these symbols and their words' MD5 in w1 and w2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, k = _ids(batch)
+            wanted, own = batch.column("wanted"), batch.column("long").to_pylist()
+            for x, y, buf, off in _chunks(batch):
+                words = tk.Words(buf, off, lower=False)
+                within = np.zeros(len(words), bool)  # windows that start here lie in a symbol of an earlier document
+                names: dict[tuple[int, int], bytes] = {}
+                for d in range(y - x):
+                    p = int(words.first[d])
+                    for s in own[x + d] or ():
+                        if s["lo"] < i[x + d]:
+                            within[p + s["a"] : p + s["b"] - WINDOW + 1] = True
+                        if (s["name"], d) not in names:
+                            lo, hi = p + s["a"], p + s["b"]
+                            text = b" ".join(buf[u:v].tobytes() for u, v in zip(words.starts[lo:hi].tolist(), words.ends[lo:hi].tolist(), strict=True))
+                            names[s["name"], d] = hashlib.md5(text, usedforsecurity=False).digest()
+                if names:
+                    md5 = np.frombuffer(b"".join(names.values()), np.int64).reshape(-1, 2)
+                    d = np.array([d for _, d in names], np.int64)
+                    name = np.array([n for n, _ in names], np.int64)
+                    none = pa.nulls(len(d), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(name), none, *_longs(i[x + d], k[x + d], md5[:, 0], md5[:, 1])], names=_FOUND)
+                for w in windows_of(words):
+                    out = [], [], []
+                    cut = np.searchsorted(w.doc, np.arange(y - x + 1))
+                    for d in np.unique(w.doc).tolist():
+                        part = slice(cut[d], cut[d + 1])
+                        at = np.flatnonzero(~within[w.pos[part] + words.first[d]])
+                        anchor = w.anchor[part][at].view(np.int64)
+                        on = np.isin(anchor, _row(wanted, x + d))
+                        h, first = np.unique(w.hash[part][at][on], return_index=True)
+                        for to, what in zip(out, (anchor[on][first], h, np.full(len(h), d)), strict=True):
+                            to.append(what)
+                    if out[0]:
+                        anchor, h, d = (np.concatenate(c) for c in out)
+                        none = pa.nulls(len(d), pa.int64())
+                        yield pa.RecordBatch.from_arrays([*_longs(anchor, h, i[x + d], k[x + d]), none, none], names=_FOUND)
+
+    return docs.select(*_KEY, "text", "wanted", "long").mapInArrow(tk.tidied(run), ", ".join(f"{c} long" for c in _FOUND))
+
+
+_FOUND = ["anchor", "hash", *_KEY, "w1", "w2"]
 
 
 def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
-    """n_words, n_removed and the kept words (their hash, or they themselves) of texts with `copy` and `gone`, the hashes of windows to take out."""
+    """n_words, n_removed and the kept words (their hash, or they themselves) of texts with `copy`, `gone` (the hashes of windows to
+    take out) and `within` (structs a, b of words to take out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copy, gone = batch.column("copy").to_pylist(), batch.column("gone")
+            copy, gone, within = batch.column("copy").to_pylist(), batch.column("gone"), batch.column("within")
             total, removed, kept = [], [], []
-            for a, b, buf, off in _chunks(batch):
+            for x, y, buf, off in _chunks(batch):
                 raw = buf.tobytes()
-                some = np.array([gone[a + d].is_valid and not copy[a + d] for d in range(b - a)], bool)
-                at = {}
+                words = tk.Words(buf, off, lower=False)
+                edge = np.zeros(len(words) + 1, np.int32)
+                some = np.array([gone[x + d].is_valid and not copy[x + d] for d in range(y - x)], bool)
                 if some.any():
-                    part = b"".join(raw[off[d] : off[d + 1]] for d in np.flatnonzero(some))
-                    size = np.zeros(int(some.sum()) + 1, np.int64)
-                    np.cumsum((off[1:] - off[:-1])[some], out=size[1:])
-                    w = Windows(np.frombuffer(part, np.uint8), size)
-                    cut = np.searchsorted(w.doc, np.arange(len(size)))
-                    at = {int(d): (w.hash[x:y], w.pos[x:y]) for d, x, y in zip(np.flatnonzero(some), cut[:-1], cut[1:], strict=True)}
-                for d in range(b - a):
-                    words = raw[off[d] : off[d + 1]].split()
-                    n = len(words)
-                    if copy[a + d] and n >= WINDOW:
+                    for w in windows_of(words, only=some):
+                        cut = np.searchsorted(w.doc, np.arange(y - x + 1))
+                        for d in np.unique(w.doc).tolist():
+                            bad = np.isin(w.hash[cut[d] : cut[d + 1]].view(np.int64), _row(gone, x + d))
+                            at = w.pos[cut[d] : cut[d + 1]][bad] + words.first[d]
+                            np.add.at(edge, at, 1)
+                            np.add.at(edge, at + WINDOW, -1)
+                for d in range(y - x):
+                    for s in within[x + d].as_py() or ():
+                        edge[words.first[d] + s["a"]] += 1
+                        edge[words.first[d] + s["b"]] -= 1
+                stays = np.cumsum(edge[:-1]) == 0
+                for d in range(y - x):
+                    own, p, q = raw[off[d] : off[d + 1]].split(), words.first[d], words.first[d + 1]
+                    if copy[x + d] and len(own) >= WINDOW:
                         left = []
-                    elif d in at:
-                        h, pos = at[d]
-                        bad = pos[np.isin(h.view(np.int64), gone[a + d].values.to_numpy(zero_copy_only=False))]
-                        edge = np.zeros(n + 1, np.int64)
-                        np.add.at(edge, bad, 1)
-                        np.add.at(edge, bad + WINDOW, -1)
-                        left = [x for x, c in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
+                    elif stays[p:q].all():
+                        left = own
                     else:
-                        left = words
+                        left = [v for v, c in zip(own, stays[p:q].tolist(), strict=True) if c]
                     text = b" ".join(left)
-                    total.append(n)
-                    removed.append(n - len(left))
+                    total.append(len(own))
+                    removed.append(len(own) - len(left))
                     kept.append(text.decode("utf-8", "replace") if kept_text else hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
             )
 
-    return docs.select("doc_id", "text", "copy", "gone").mapInArrow(tk.tidied(run), "doc_id long, n_words long, n_removed long, kept string")
+    return docs.select("doc_id", "text", "copy", "gone", "within").mapInArrow(tk.tidied(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def cut_repeats(docs: DataFrame, kept_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and `kept`: the words, joined by single spaces, under no window that starts in a document of a smaller id.
 
-    A window is 13 consecutive words; windows are judged on the input. A null text has no words. A null id counts as larger
-    than every id; rows of one id don't count as earlier than each other. Other columns are ignored. With kept_text false,
-    `kept` is the SHA-256 of the kept words instead.
+    A window is 13 consecutive words; windows are judged on the input. A null or empty text has no words. A null id counts as
+    2^63 - 1, larger than every other; rows of one id don't count as earlier than each other, and repeated rows are cut alike.
+    Other columns are ignored, an empty table gives no rows. With kept_text false, `kept` is the SHA-256 of the kept words instead.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "recompress")
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("i"), "text")
-    same = docs.select("i", F.xxhash64("text").alias("k"), F.unhex(F.md5("text")).alias("whole")).where("whole is not null")
-    first = scratch.put(same.groupBy("whole").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("first < last").select("whole", "first"), "texts")
-    copies = scratch.put(same.join(first, "whole").where("i > first").select("i", "k").distinct(), "copies")
-    docs = docs.withColumn("k", F.xxhash64("text"))
-    own = docs.join(small(copies), ["i", "k"], "left_anti")
-
-    occ = occurrences(own)
-    shared = scratch.put(occ.groupBy("anchor").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("anchor"), "anchors")
-    wanted = scratch.put(occ.join(shared, "anchor").groupBy("i").agg(F.collect_set("anchor").alias("wanted")), "wanted")
-    found = scratch.put(windows_under(own.join(wanted, "i")), "windows")
-    twice = found.groupBy("anchor", "hash").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("anchor", "hash", "lo")
-    twice = scratch.put(twice, "repeats")
-    gone = scratch.put(found.join(twice, ["anchor", "hash"]).where("i > lo").groupBy("i").agg(F.collect_set("hash").alias("gone")), "gone")
-    scratch.drop("windows", "wanted", "repeats", "anchors")
-    marked = docs.join(gone, "i", "left").join(small(copies.withColumn("copy", F.lit(True))), ["i", "k"], "left")
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("i"), F.xxhash64("text").alias("k"), "text")
+    same = docs.select("i", "k", F.unhex(F.md5("text")).alias("whole")).where("whole is not null")
+    first = scratch.put(same.groupBy("whole").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("times")).where("first < last").select("whole", "first", "times"), "texts")
+    copies = scratch.put(join_hot(same, first, ["whole"], "inner", "times").where("i > first").select("i", "k").distinct(), "copies")
+    own = docs.join(small(copies), _KEY, "left_anti")
+
+    occ = scratch.put(occurrences(own), "occurrences")
+    shared = scratch.put(dictionary(occ, "anchor").drop("lo"), "anchors")
+    wanted = scratch.put(join_hot(occ, shared, ["anchor"], "inner", "times").groupBy(*_KEY).agg(F.collect_set("anchor").alias("wanted")), "wanted")
+    scratch.drop("occurrences", "anchors")
+    once = own.select(*_KEY, "text")
+    long = long_symbols(once, wanted, scratch).groupBy(*_KEY).agg(F.collect_list(F.struct("name", "a", "b", "lo")).alias("long"))
+    found = scratch.put(border_windows(once.join(wanted, _KEY).join(long, _KEY, "left")), "windows")
+    unlike = found.where("hash is null").groupBy("anchor").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("w1", "w2") for f in (F.min, F.max))).where("min_w1 <> max_w1 or min_w2 <> max_w2")
+    if not unlike.isEmpty():
+        raise RuntimeError("different words have one name")
+    windows = found.where("hash is not null").select("anchor", "hash", *_KEY)
+    twice = scratch.put(dictionary(windows, "anchor", "hash"), "repeats")
+    gone = join_hot(windows, twice, ["anchor", "hash"], "inner", "times").where("i > lo").groupBy(*_KEY).agg(F.collect_set("hash").alias("gone"))
+    within = long.select(*_KEY, F.expr("transform(filter(long, s -> s.lo < i), s -> named_struct('a', s.a, 'b', s.b))").alias("within"))
+    gone = scratch.put(gone.join(within.where(F.size("within") > 0), _KEY, "full"), "gone")
+    scratch.drop("windows", "wanted", "repeats")
+    marked = docs.join(gone, _KEY, "left").join(small(copies).withColumn("copy", F.lit(True)), _KEY, "left")
     return _cut(marked.withColumn("copy", F.coalesce("copy", F.lit(False))), kept_text)
 
 

@@ -4,6 +4,8 @@ import random
 import numpy as np
 from folioforge.llm import recompress as rc
 from folioforge.llm import textkernel as tk
+from folioforge.llm.scratch import Scratch
+from pyspark.sql import functions as F
 
 from . import brute
 
@@ -38,6 +40,11 @@ def _docs(seed, n=60):
     return out + [(n, "z " * 30), (n + 1, "y z " + "z " * 20), (n + 2, out[3][1]), (n + 3, out[8][1])]
 
 
+def _windows(texts):
+    got = [(d, s, a, h) for w in rc.windows_of(tk.Words(*tk.joined(texts), lower=False)) for d, s, a, h in zip(w.doc.tolist(), w.pos.tolist(), w.anchor.tolist(), w.hash.tolist(), strict=True)]
+    return sorted(got)
+
+
 def test_anchor_depends_on_the_window_alone():
     rng = np.random.default_rng(0)
     seen = {}
@@ -47,20 +54,44 @@ def test_anchor_depends_on_the_window_alone():
             p, q = rng.integers(0, 32, 2)
             y[q : q + 13] = x[p : p + 13]
             texts = [" ".join(map(str, x)), " ".join(map(str, y)), ""]
-            w = rc.Windows(*tk.joined(texts))
-            for d, s, a, h in zip(w.doc.tolist(), w.pos.tolist(), w.anchor.tolist(), w.hash.tolist(), strict=True):
+            for d, s, a, h in _windows(texts):
                 assert a and seen.setdefault(tuple(texts[d].split()[s : s + 13]), (a, h)) == (a, h)
     assert len({h for _, h in seen.values()}) == len(seen)
 
 
 def test_segments_change_no_window(monkeypatch):
     texts = [" ".join(str(x) for x in np.random.default_rng(2).integers(0, 9, 300)), "a b", " ".join(map(str, range(13)))]
-    whole = rc.Windows(*tk.joined(texts))
+    whole = _windows(texts)
     monkeypatch.setattr(rc, "SEGMENT", 40)
-    cut = rc.Windows(*tk.joined(texts))
-    for f in ("doc", "pos", "anchor", "hash"):
-        assert (getattr(whole, f) == getattr(cut, f)).all()
-    assert len(whole.doc) == 288 + 1
+    assert _windows(texts) == whole and len(whole) == 288 + 1
+
+
+def test_a_symbol_stands_for_its_words():
+    rng, seen = np.random.default_rng(1), {}
+    passage = rng.integers(1, 50, 400)
+    for _ in range(20):
+        x = np.concatenate([rng.integers(1, 50, 30), passage, rng.integers(1, 50, 30)])
+        name, a, b = rc.recompressed(tk.mix(x.astype(np.uint64)), np.arange(460), np.arange(1, 461), 9, 0)
+        assert a[0] == 0 and b[-1] == 460 and (a[1:] == b[:-1]).all()
+        for n, p, q in zip(name.tolist(), a.tolist(), b.tolist(), strict=True):
+            assert seen.setdefault(n, tuple(x[p:q])) == tuple(x[p:q])
+        inner = {n for n, p, q in zip(name.tolist(), a.tolist(), b.tolist(), strict=True) if 100 < p and q < 360}
+        first = inner if not _ else first & inner
+        assert first == inner and max(b - a) >= rc.WINDOW  # what lies within the passage is named alike everywhere
+
+
+def test_long_repeats_are_found_by_their_symbols(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randrange(5000)}" for _ in range(900))
+    docs = [(i, " ".join(f"o{i}x{j}" for j in range(20)) + " " + passage + f" end{i}") for i in range(6)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    own = rows.selectExpr("doc_id AS i", "xxhash64(text) AS k", "text")
+    occ = scratch.put(rc.occurrences(own), "o")
+    wanted = occ.join(rc.dictionary(occ, "anchor"), "anchor").groupBy("i", "k").agg(F.collect_set("anchor").alias("wanted"))
+    long = rc.long_symbols(own, wanted, scratch).collect()
+    assert sum(r["b"] - r["a"] for r in long if r["i"] == 3 and r["lo"] == 0) > 450  # at the borders other documents may share one
+    assert sorted(tuple(r) for r in rc.cut_repeats(rows).collect()) == brute_force(docs)
 
 
 def test_against_brute_force(spark):
@@ -79,3 +110,11 @@ def test_odd_rows(spark):
     assert rc.cut_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     sha = rc.cut_repeats(spark.createDataFrame(odd[:1], SCHEMA), False).first()
     assert sha["kept"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_rows_of_one_id_and_without_one(spark):
+    docs = [(1, " ".join(f"a{j}" for j in range(40)) + f" x{n}") for n in range(30)] + [(2, " ".join(f"a{j}" for j in range(40)))]
+    docs += [(None, " ".join(f"b{j}" for j in range(40)) + f" y{n}") for n in range(30)]
+    got = sorted((tuple(r) for r in rc.cut_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    want = brute_force([(10**6 if i is None else i, t) for i, t in docs])
+    assert got == sorted(((None if i == 10**6 else i, *x) for i, *x in want), key=str)
