@@ -12,10 +12,11 @@ symbols too, and equal windows have equal anchors. Words under no window whose a
 (3) name: on what is left, every Spark round makes runs and pairs of runs and pairs, collects the dictionary of all names with
 the first and last document of each, and cuts the symbols that no second document has. What lies within a long repeat is
 named alike in all its places, so it stays and grows from round to round;
-(4) reveal and verify: a symbol of 13 words or more that an earlier document shares is a repeat, all its windows with it. The
-words of its places are compared by their MD5, and a name with different words is an error;
-(5) name the windows at the borders of these symbols, under shared anchors, by two hashes (124 bits), with the first document
-of each; and take out the words under symbols and windows of an earlier document.
+(4) reveal and verify: a symbol of 13 words or more that an earlier document shares is a repeat, all its windows with it. Every
+symbol carries, beside its name, a second hash that is made from other hashes of the words' bytes; in each dictionary it must
+be the same wherever the name is, or the job ends with an error;
+(5) name the windows at the borders of these symbols, under shared anchors, by two independent hashes (124 bits), with the first
+document of each; and take out the words under symbols and windows of an earlier document.
 
 A remark: a name is a function of its parts, not a number that a dictionary deals out, so that no round has to send every
 pair of the corpus to its number and back; dictionaries decide what is shared.
@@ -111,16 +112,18 @@ def anchors(name: np.ndarray, w: int = WINDOW, rounds: int = ROUNDS) -> np.ndarr
 
 
 class Windows:
-    """Anchors and hashes of all windows of some segments; doc and pos (word number in the document) of each."""
+    """Anchors and hashes of all windows of some segments; doc and pos (word number in the document) of each. Anchors are made from
+    the word hashes h, window hashes from g."""
 
     __slots__ = ("doc", "pos", "anchor", "hash")
 
-    def __init__(self, h: np.ndarray, first: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, w: int = WINDOW):
+    def __init__(self, h: np.ndarray, g: np.ndarray, first: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, w: int = WINDOW):
         size = b - a
         start = np.cumsum(size + 1) - size  # each segment follows a gap
-        name = np.zeros(int(size.sum()) + len(size) + 1, _U)
         within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        name[np.repeat(start, size) + within] = h[np.repeat(a, size) + within]
+        to, src = np.repeat(start, size) + within, np.repeat(a, size) + within
+        name, other = np.zeros(int(size.sum()) + len(size) + 1, _U), np.zeros(int(size.sum()) + len(size) + 1, _U)
+        name[to], other[to] = h[src], g[src]
         nw = size - w + 1
         within = np.arange(int(nw.sum())) - np.repeat(np.cumsum(nw) - nw, nw)
         win = np.repeat(start, nw) + within
@@ -129,49 +132,65 @@ class Windows:
         self.anchor = anchors(name, w)[win]
         up, down = tk._pows(len(name) + 1)
         sums = np.zeros(len(name) + 1, _U)
-        np.cumsum(tk.mix(name ^ _SEED[60]) * up[: len(name)], out=sums[1:])
+        np.cumsum(tk.mix(other ^ _SEED[60]) * up[: len(name)], out=sums[1:])
         self.hash = tk.mix((sums[win + w] - sums[win]) * down[win])
 
 
-def windows_of(words: tk.Words, w: int = WINDOW, only: np.ndarray | None = None) -> Iterator[Windows]:
-    """Windows of a chunk's documents (those of `only`, a mask, if given), some segments at a time."""
+def word_hashes(words: tk.Words) -> np.ndarray:
+    """The names of single words; none is that of a gap."""
     h = words.hashes()
     h[h == _GAP] = _U(1)
+    return h
+
+
+def windows_of(words: tk.Words, h: np.ndarray, g: np.ndarray, w: int = WINDOW) -> Iterator[Windows]:
+    """Windows of a chunk's documents, some segments at a time."""
     doc, a, b = segments(words.first, w)
-    if only is not None and len(doc):
-        on = only[doc]
-        doc, a, b = doc[on], a[on], b[on]
     group = np.cumsum(b - a) // SEGMENT
     for x, y in zip(np.searchsorted(group, np.unique(group)).tolist(), np.searchsorted(group, np.unique(group), "right").tolist(), strict=True):
-        yield Windows(h, words.first, doc[x:y], a[x:y], b[x:y], w)
+        yield Windows(h, g, words.first, doc[x:y], a[x:y], b[x:y], w)
 
 
-def recompressed(name: np.ndarray, a: np.ndarray, b: np.ndarray, levels: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols (name, first word, one past the last) after `levels` rounds of runs and pairs; gaps have the name 0."""
-    for level in range(levels):
-        if not len(name):
-            break
-        head = np.ones(len(name), bool)
-        head[1:] = (name[1:] != name[:-1]) | (name[1:] == _GAP)
+class Symbols:
+    """Symbols of many documents laid end to end: name, second hash, the words first:last of each, and the row of its document."""
+
+    __slots__ = ("name", "check", "a", "b", "row")
+
+    def __init__(self, name: np.ndarray, check: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray):
+        self.name, self.check, self.a, self.b, self.row = name, check, a, b, row
+
+    def take(self, on: np.ndarray) -> Symbols:
+        return Symbols(self.name[on], self.check[on], self.a[on], self.b[on], self.row[on])
+
+    def step(self, seed: int) -> Symbols:
+        """A round of runs and pairs. Symbols that don't touch stay apart."""
+        n = len(self.name)
+        if n < 2:
+            return self
+        touch = np.append(False, (self.a[1:] == self.b[:-1]) & (self.row[1:] == self.row[:-1]))
+        head = ~touch
+        head[1:] |= self.name[1:] != self.name[:-1]
         at = np.flatnonzero(head)
-        last = np.append(at[1:], len(name)) - 1
-        size = (last - at + 1).astype(_U)
-        name, a, b = np.where(size > 1, tk.mix(name[at] * _SEED[42] + size), name[at]), a[at], b[last]
-        side = tk.mix(name ^ _SEED[43] ^ _U(seed + level)) >> _U(63)
-        two = np.zeros(len(name), bool)
-        two[:-1] = (name[:-1] != _GAP) & (name[1:] != _GAP) & (side[:-1] == 0) & (side[1:] == 1)
-        second = np.append(False, two[:-1])
-        nxt, end = np.append(name[1:], name[-1:]), np.append(b[1:], b[-1:])
-        name, b = np.where(two, tk.mix(name * _SEED[44] + nxt * _SEED[45] + _U(seed + level)), name)[~second], np.where(two, end, b)[~second]
-        a = a[~second]
-    return name, a, b
-
-
-def _without_gaps(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One gap where several follow one another."""
-    on = np.ones(len(name), bool)
-    on[1:] = (name[1:] != _GAP) | (name[:-1] != _GAP)
-    return name[on], a[on], b[on]
+        size = np.diff(np.append(at, n)).astype(_U)
+        s = self.take(at)
+        s.b = self.b[np.append(at[1:], n) - 1]
+        run = size > 1
+        s.name = np.where(run, tk.mix(s.name * _SEED[42] + size), s.name)
+        s.check = np.where(run, tk.mix(s.check * _SEED[46] ^ size), s.check)
+        touch = touch[at]
+        side = tk.mix(s.name ^ _SEED[43] ^ _U(seed)) >> _U(63)
+        second = np.append(False, (side[:-1] == 0) & (side[1:] == 1)) & touch
+        left = np.flatnonzero(second) - 1
+        s.name[left] = tk.mix(s.name[left] * _SEED[44] + s.name[left + 1] * _SEED[45] + _U(seed))
+        s.check[left] = tk.mix(s.check[left] * _SEED[47] + s.check[left + 1] * _SEED[48])
+        s.b[left] = s.b[left + 1]
+        return s.take(~second)
+
+    def steps(self, levels: int, seed: int) -> Symbols:
+        s = self
+        for level in range(levels):
+            s = s.step(seed + level)
+        return s
 
 
 _LAST = 2**63 - 1
@@ -192,9 +211,25 @@ def _longs(*cols: np.ndarray) -> list[pa.Array]:
     return [pa.array(c.view(np.int64) if c.dtype == _U else c.astype(np.int64)) for c in cols]
 
 
-def _row(col: pa.Array, j: int, kind: type = np.int64) -> np.ndarray:
-    """Row j of a column of lists of numbers; of a null none."""
-    return col[j].values.to_numpy(zero_copy_only=False).astype(kind, copy=False) if col[j].is_valid and len(col[j]) else np.zeros(0, kind)
+def _flat(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each value, values) of a column of lists; of null lists none."""
+    size = np.diff(col.offsets.to_numpy()) if not col.null_count else np.array([len(x) if x.is_valid else 0 for x in col], np.int64)
+    return np.repeat(np.arange(len(size)), size), col.flatten()
+
+
+def _number(values: pa.Array, kind: type = np.int64) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+
+
+def _lists(row: np.ndarray, n: int, *cols: np.ndarray) -> list[pa.Array]:
+    """Columns of lists from values in the order of their rows."""
+    off = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(off, pa.array(c.view(np.int64) if c.dtype == _U else c)) for c in cols]
+
+
+def _of_row(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Keys of (value, row)."""
+    return tk.mix(values.view(_U) ^ tk.mix(row.astype(_U) + _SEED[50]))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -204,7 +239,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             i, k = _ids(batch)
             for x, _, buf, off in _chunks(batch):
-                for w in windows_of(tk.Words(buf, off, lower=False)):
+                words = tk.Words(buf, off, lower=False)
+                h = word_hashes(words)
+                for w in windows_of(words, h, h):
                     new = np.ones(len(w.doc), bool)
                     new[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1])
                     anchor, doc = w.anchor[new], w.doc[new]
@@ -217,45 +254,43 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select(*_KEY, "text").mapInArrow(tk.tidied(run), "anchor long, i long, k long")
 
 
-_SYMBOLS = "i long, k long, name array<long>, a array<int>, b array<int>"
+_SYMBOLS = {"name": "array<long>", "check": "array<long>", "a": "array<int>", "b": "array<int>"}
+_WINDOWS = {"pos": "array<int>", "anchor": "array<long>", "hash": "array<long>"}
 
 
-def _symbol_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(5)], names=[*_KEY, "name", "a", "b"])
+def _schema(cols: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in ({"i": "long", "k": "long"} | cols).items())
 
 
-def live_symbols(docs: DataFrame, levels: int) -> DataFrame:
-    """(i, k, name, a, b): the first Spark round's symbols of the words under windows whose anchor is in `wanted`."""
+def live(docs: DataFrame, levels: int) -> DataFrame:
+    """Of each document, its windows whose anchor is in `wanted` (pos, anchor, hash), and the first Spark round's symbols of the
+    words under them (name, check, a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i, k = _ids(batch)
-            wanted = batch.column("wanted")
+            row, values = _flat(batch.column("wanted"))
+            wanted = _of_row(_number(values), row)
             for x, y, buf, off in _chunks(batch):
                 words = tk.Words(buf, off, lower=False)
+                h, g = word_hashes(words), words.hashes(other=True)
                 edge = np.zeros(len(words) + 1, np.int32)
-                for w in windows_of(words):
-                    cut = np.searchsorted(w.doc, np.arange(y - x + 1))
-                    for d in np.unique(w.doc).tolist():
-                        on = np.isin(w.anchor[cut[d] : cut[d + 1]].view(np.int64), _row(wanted, x + d))
-                        at = w.pos[cut[d] : cut[d + 1]][on] + words.first[d]
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + WINDOW, -1)
-                live = np.cumsum(edge[:-1]) > 0
-                h = words.hashes()
-                h[h == _GAP] = _U(1)
-                h[~live] = _GAP
-                rows = []
-                for d in range(y - x):
-                    p, q = words.first[d], words.first[d + 1]
-                    name, a, b = _without_gaps(h[p:q], np.arange(q - p), np.arange(1, q - p + 1))
-                    if (name != _GAP).any():
-                        name, a, b = recompressed(name, a, b, levels, 0)
-                        rows.append((i[x + d], k[x + d], name.view(np.int64), a.astype(np.int32), b.astype(np.int32)))
-                yield _symbol_rows(rows)
-
-    return docs.select(*_KEY, "text", "wanted").mapInArrow(tk.tidied(run), _SYMBOLS)
+                parts: list[tuple] = []
+                for w in windows_of(words, h, g):
+                    on = np.isin(_of_row(w.anchor, x + w.doc), wanted)
+                    at = w.pos[on] + words.first[w.doc[on]]
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + WINDOW, -1)
+                    parts.append((w.doc[on], w.pos[on], w.anchor[on], w.hash[on]))
+                stays = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                doc = words.doc_of()[stays]
+                at = stays - words.first[doc]
+                s = Symbols(h[stays], g[stays], at, at + 1, doc).steps(levels, 0)
+                win = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, _U)] * 2
+                cols = _lists(s.row, y - x, s.name, s.check, s.a.astype(np.int32), s.b.astype(np.int32)) + _lists(win[0], y - x, win[1].astype(np.int32), win[2], win[3])
+                yield pa.RecordBatch.from_arrays([*_longs(i[x:y], k[x:y]), *cols], names=[*_KEY, *_SYMBOLS, *_WINDOWS])
+
+    return docs.select(*_KEY, "text", "wanted").mapInArrow(tk.tidied(run), _schema(_SYMBOLS | _WINDOWS))
 
 
 def next_symbols(symbols: DataFrame, levels: int, seed: int) -> DataFrame:
@@ -263,120 +298,115 @@ def next_symbols(symbols: DataFrame, levels: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i, k = _ids(batch)
-            rows = []
-            for j in range(batch.num_rows):
-                name, a, b = (_row(batch.column(c), j) for c in ("name", "a", "b"))
-                name = np.where(np.isin(name, _row(batch.column("shared"), j)), name, 0).view(_U)
-                name, a, b = recompressed(*_without_gaps(name, a, b), levels, seed)
-                rows.append((i[j], k[j], name.view(np.int64), a.astype(np.int32), b.astype(np.int32)))
-            yield _symbol_rows(rows)
+            (row, name), (of, shared) = _flat(batch.column("name")), _flat(batch.column("shared"))
+            rest = [_number(batch.column(c).flatten()) for c in ("check", "a", "b")]
+            name = _number(name)
+            s = Symbols(name.view(_U), rest[0].view(_U), rest[1], rest[2], row).take(np.isin(_of_row(name, row), _of_row(_number(shared), of)))
+            s = s.steps(levels, seed)
+            cols = _lists(s.row, batch.num_rows, s.name, s.check, s.a.astype(np.int32), s.b.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), *cols], names=[*_KEY, *_SYMBOLS])
 
-    return symbols.select(*_KEY, "name", "a", "b", "shared").mapInArrow(tk.tidied(run), _SYMBOLS)
+    return symbols.select(*_KEY, *_SYMBOLS, "shared").mapInArrow(tk.tidied(run), _schema(_SYMBOLS))
 
 
 def dictionary(places: DataFrame, *by: str) -> DataFrame:
-    """by and `lo`, the first document, of the names (columns `by`) that stand in two documents of different ids."""
+    """by, `lo`, the first document, and `times`, of the names (columns `by`) that stand in two documents of different ids."""
     return places.groupBy(*by).agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count(F.lit(1)).alias("times")).where("lo < hi").select(*by, "lo", "times")
 
 
-def long_symbols(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(i, k, name, a, b, lo) of the symbols of WINDOW words or more that two documents share, after all rounds of naming."""
-    at = scratch.put(live_symbols(docs.join(wanted, _KEY), LEVELS[0]), "symbols-0")
+def verified(places: DataFrame) -> DataFrame:
+    """The dictionary of places (name, check, i): a name with two second hashes is an error."""
+    seen = places.groupBy("name").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count(F.lit(1)).alias("times"), F.min("check").alias("c"), F.max("check").alias("d"))
+    same = F.when(F.col("c") == F.col("d"), F.col("lo")).otherwise(F.raise_error(F.lit("different words have one name")))
+    return seen.where("lo < hi").select("name", same.alias("lo"), "times")
+
+
+def long_symbols(at: DataFrame, scratch: Scratch) -> DataFrame:
+    """(i, k, a, b): the symbols of WINDOW words or more that an earlier document shares, after all rounds of naming."""
     for r, levels in enumerate(LEVELS[1:], 1):
-        names = at.select(*_KEY, F.explode(F.array_distinct("name")).alias("name")).where("name <> 0")
-        known = scratch.put(dictionary(names, "name"), f"names-{r}")
+        names = at.select(*_KEY, F.explode(F.arrays_zip("name", "check")).alias("s")).select(*_KEY, "s.*").distinct()
+        names = scratch.put(names, f"names-{r}")
+        known = scratch.put(verified(names), f"shared-{r}")
         shared = join_hot(names, known, ["name"], "inner", "times").groupBy(*_KEY).agg(F.collect_set("name").alias("shared"))
         at = scratch.put(next_symbols(at.join(shared, _KEY), levels, 100 * r), f"symbols-{r}")
-        scratch.drop(f"symbols-{r - 1}")
-    places = at.select(*_KEY, F.explode(F.arrays_zip("name", "a", "b")).alias("s")).select(*_KEY, "s.*").where(f"name <> 0 and b - a >= {WINDOW}")
+        scratch.drop(f"names-{r}", f"shared-{r}", f"symbols-{r - 1}")
+    places = at.select(*_KEY, F.explode(F.arrays_zip("name", "check", "a", "b")).alias("s")).select(*_KEY, "s.*").where(f"b - a >= {WINDOW}")
     places = scratch.put(places, "places")
-    return scratch.put(join_hot(places, scratch.put(dictionary(places, "name"), "names"), ["name"], "inner", "times"), "long")
+    known = scratch.put(verified(places), "long")
+    return join_hot(places, known, ["name"], "inner", "times").where("i > lo").select(*_KEY, "a", "b")
 
 
-def border_windows(docs: DataFrame) -> DataFrame:
-    """(anchor, hash, i, k, w1, w2): the windows of each document whose anchor is in `wanted`, but those within a symbol of
-    `long` that an earlier document has; and, with a null hash, the names of these symbols and their words' MD5 in w1 and w2."""
+def border_windows(rows: DataFrame) -> DataFrame:
+    """(anchor, hash, i, k): the distinct live windows of each document, but those within its `long`, structs a, b of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i, k = _ids(batch)
-            wanted, own = batch.column("wanted"), batch.column("long").to_pylist()
-            for x, y, buf, off in _chunks(batch):
-                words = tk.Words(buf, off, lower=False)
-                within = np.zeros(len(words), bool)  # windows that start here lie in a symbol of an earlier document
-                names: dict[tuple[int, int], bytes] = {}
-                for d in range(y - x):
-                    p = int(words.first[d])
-                    for s in own[x + d] or ():
-                        if s["lo"] < i[x + d]:
-                            within[p + s["a"] : p + s["b"] - WINDOW + 1] = True
-                        if (s["name"], d) not in names:
-                            lo, hi = p + s["a"], p + s["b"]
-                            text = b" ".join(buf[u:v].tobytes() for u, v in zip(words.starts[lo:hi].tolist(), words.ends[lo:hi].tolist(), strict=True))
-                            names[s["name"], d] = hashlib.md5(text, usedforsecurity=False).digest()
-                if names:
-                    md5 = np.frombuffer(b"".join(names.values()), np.int64).reshape(-1, 2)
-                    d = np.array([d for _, d in names], np.int64)
-                    name = np.array([n for n, _ in names], np.int64)
-                    none = pa.nulls(len(d), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(name), none, *_longs(i[x + d], k[x + d], md5[:, 0], md5[:, 1])], names=_FOUND)
-                for w in windows_of(words):
-                    out = [], [], []
-                    cut = np.searchsorted(w.doc, np.arange(y - x + 1))
-                    for d in np.unique(w.doc).tolist():
-                        part = slice(cut[d], cut[d + 1])
-                        at = np.flatnonzero(~within[w.pos[part] + words.first[d]])
-                        anchor = w.anchor[part][at].view(np.int64)
-                        on = np.isin(anchor, _row(wanted, x + d))
-                        h, first = np.unique(w.hash[part][at][on], return_index=True)
-                        for to, what in zip(out, (anchor[on][first], h, np.full(len(h), d)), strict=True):
-                            to.append(what)
-                    if out[0]:
-                        anchor, h, d = (np.concatenate(c) for c in out)
-                        none = pa.nulls(len(d), pa.int64())
-                        yield pa.RecordBatch.from_arrays([*_longs(anchor, h, i[x + d], k[x + d]), none, none], names=_FOUND)
-
-    return docs.select(*_KEY, "text", "wanted", "long").mapInArrow(tk.tidied(run), ", ".join(f"{c} long" for c in _FOUND))
-
-
-_FOUND = ["anchor", "hash", *_KEY, "w1", "w2"]
+            (row, anchor), (of, long) = _flat(batch.column("anchor")), _flat(batch.column("long"))
+            anchor, h, pos = _number(anchor), _number(batch.column("hash").flatten()), _number(batch.column("pos").flatten())
+            on = ~_within(row, pos, pos + WINDOW, of, *(_number(long.field(c)) for c in ("a", "b")))
+            row, anchor, h = row[on], anchor[on], h[on]
+            order = np.lexsort((h, row))
+            row, anchor, h = row[order], anchor[order], h[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (anchor[1:] != anchor[:-1]))[: len(row)]
+            yield pa.RecordBatch.from_arrays(_longs(anchor[new], h[new], i[row[new]], k[row[new]]), names=["anchor", "hash", *_KEY])
+
+    return rows.select(*_KEY, *_WINDOWS, "long").mapInArrow(tk.tidied(run), "anchor long, hash long, i long, k long")
+
+
+def _within(row: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the span a:b of a row lies in one of the disjoint spans x:y of that row (`of`)."""
+    if not len(of):
+        return np.zeros(len(row), bool)
+    order = np.lexsort((x, of))
+    of, x, y = of[order], x[order], y[order]
+    at = np.searchsorted((of << 40) + x, (row << 40) + a, "right") - 1
+    return (at >= 0) & (of[at] == row) & (b <= y[at])
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """(i, k, cut): the spans of words of each document, as pairs first, end one after the other, under its live windows that are in
+    `gone` or within its `long`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (row, h), (of, gone), (own, long) = (_flat(batch.column(c)) for c in ("hash", "gone", "long"))
+            pos = _number(batch.column("pos").flatten())
+            on = np.isin(_of_row(_number(h), row), _of_row(_number(gone), of))
+            row = np.concatenate([row[on], own])
+            a = np.concatenate([pos[on], _number(long.field("a"))])
+            b = np.concatenate([pos[on] + WINDOW, _number(long.field("b"))])
+            order = np.lexsort((a, row))
+            row, a, b = row[order], a[order], b[order]
+            if len(row):  # ends that go before count within a row only: rows are set far apart
+                far = row << 40
+                reach = np.maximum.accumulate(far + b)
+                head = np.append(True, far[1:] + a[1:] > reach[:-1])
+                first = np.flatnonzero(head)
+                row, a, b = row[first], a[first], (reach - far)[np.append(first[1:], len(head)) - 1]
+            flat = np.stack([a, b], axis=1).astype(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), *_lists(np.repeat(row, 2), batch.num_rows, flat)], names=[*_KEY, "cut"])
+
+    return rows.select(*_KEY, "pos", "hash", "gone", "long").mapInArrow(tk.tidied(run), "i long, k long, cut array<long>")
 
 
 def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
-    """n_words, n_removed and the kept words (their hash, or they themselves) of texts with `copy`, `gone` (the hashes of windows to
-    take out) and `within` (structs a, b of words to take out)."""
+    """n_words, n_removed and the kept words (their hash, or they themselves) of texts with `copy` and `cut`, the spans to take out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copy, gone, within = batch.column("copy").to_pylist(), batch.column("gone"), batch.column("within")
+            copy, cut = batch.column("copy").to_pylist(), batch.column("cut").to_pylist()
             total, removed, kept = [], [], []
-            for x, y, buf, off in _chunks(batch):
+            for x, _, buf, off in _chunks(batch):
                 raw = buf.tobytes()
-                words = tk.Words(buf, off, lower=False)
-                edge = np.zeros(len(words) + 1, np.int32)
-                some = np.array([gone[x + d].is_valid and not copy[x + d] for d in range(y - x)], bool)
-                if some.any():
-                    for w in windows_of(words, only=some):
-                        cut = np.searchsorted(w.doc, np.arange(y - x + 1))
-                        for d in np.unique(w.doc).tolist():
-                            bad = np.isin(w.hash[cut[d] : cut[d + 1]].view(np.int64), _row(gone, x + d))
-                            at = w.pos[cut[d] : cut[d + 1]][bad] + words.first[d]
-                            np.add.at(edge, at, 1)
-                            np.add.at(edge, at + WINDOW, -1)
-                for d in range(y - x):
-                    for s in within[x + d].as_py() or ():
-                        edge[words.first[d] + s["a"]] += 1
-                        edge[words.first[d] + s["b"]] -= 1
-                stays = np.cumsum(edge[:-1]) == 0
-                for d in range(y - x):
-                    own, p, q = raw[off[d] : off[d + 1]].split(), words.first[d], words.first[d + 1]
+                for d in range(len(off) - 1):
+                    own = raw[off[d] : off[d + 1]].split()
+                    left = own
                     if copy[x + d] and len(own) >= WINDOW:
                         left = []
-                    elif stays[p:q].all():
-                        left = own
-                    else:
-                        left = [v for v, c in zip(own, stays[p:q].tolist(), strict=True) if c]
+                    elif cut[x + d]:
+                        bounds = [0, *cut[x + d], len(own)]
+                        left = [v for p, q in zip(bounds[::2], bounds[1::2], strict=True) for v in own[p:q]]
                     text = b" ".join(left)
                     total.append(len(own))
                     removed.append(len(own) - len(left))
@@ -385,7 +415,7 @@ def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
                 [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
             )
 
-    return docs.select("doc_id", "text", "copy", "gone", "within").mapInArrow(tk.tidied(run), "doc_id long, n_words long, n_removed long, kept string")
+    return docs.select("doc_id", "text", "copy", "cut").mapInArrow(tk.tidied(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def cut_repeats(docs: DataFrame, kept_text: bool = True) -> DataFrame:
@@ -408,19 +438,16 @@ def cut_repeats(docs: DataFrame, kept_text: bool = True) -> DataFrame:
     shared = scratch.put(dictionary(occ, "anchor").drop("lo"), "anchors")
     wanted = scratch.put(join_hot(occ, shared, ["anchor"], "inner", "times").groupBy(*_KEY).agg(F.collect_set("anchor").alias("wanted")), "wanted")
     scratch.drop("occurrences", "anchors")
-    once = own.select(*_KEY, "text")
-    long = long_symbols(once, wanted, scratch).groupBy(*_KEY).agg(F.collect_list(F.struct("name", "a", "b", "lo")).alias("long"))
-    found = scratch.put(border_windows(once.join(wanted, _KEY).join(long, _KEY, "left")), "windows")
-    unlike = found.where("hash is null").groupBy("anchor").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("w1", "w2") for f in (F.min, F.max))).where("min_w1 <> max_w1 or min_w2 <> max_w2")
-    if not unlike.isEmpty():
-        raise RuntimeError("different words have one name")
-    windows = found.where("hash is not null").select("anchor", "hash", *_KEY)
+    parts = scratch.put(live(own.join(wanted, _KEY), LEVELS[0]), "live")
+    scratch.drop("wanted")
+    long = long_symbols(parts.select(*_KEY, *_SYMBOLS), scratch).groupBy(*_KEY).agg(F.collect_list(F.struct("a", "b")).alias("long"))
+    held = parts.select(*_KEY, *_WINDOWS).join(scratch.put(long, "long-of"), _KEY, "left")
+    windows = scratch.put(border_windows(held), "windows")
     twice = scratch.put(dictionary(windows, "anchor", "hash"), "repeats")
     gone = join_hot(windows, twice, ["anchor", "hash"], "inner", "times").where("i > lo").groupBy(*_KEY).agg(F.collect_set("hash").alias("gone"))
-    within = long.select(*_KEY, F.expr("transform(filter(long, s -> s.lo < i), s -> named_struct('a', s.a, 'b', s.b))").alias("within"))
-    gone = scratch.put(gone.join(within.where(F.size("within") > 0), _KEY, "full"), "gone")
-    scratch.drop("windows", "wanted", "repeats")
-    marked = docs.join(gone, _KEY, "left").join(small(copies).withColumn("copy", F.lit(True)), _KEY, "left")
+    cut = scratch.put(spans(held.join(gone, _KEY, "left").where("gone is not null or long is not null")), "cut").distinct()
+    scratch.drop("live", "windows", "repeats", "places")
+    marked = docs.join(cut, _KEY, "left").join(small(copies).withColumn("copy", F.lit(True)), _KEY, "left")
     return _cut(marked.withColumn("copy", F.coalesce("copy", F.lit(False))), kept_text)
 
 

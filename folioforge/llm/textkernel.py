@@ -22,6 +22,7 @@ BLOCK = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=U64)
 _COEF = _rng.integers(1, 2**64, 64, dtype=U64) | U64(1)
+_OTHER = _rng.integers(1, 2**64, 256, dtype=U64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
@@ -154,8 +155,9 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, found in blocks of whole words."""
+    def hashes(self, other: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, found in blocks of whole words; other gives another, independent one."""
+        table = _OTHER if other else _BYTE
         out = np.empty(len(self), U64)
         j = 0
         while j < len(self):
@@ -163,11 +165,11 @@ class Words:
             k = max(j + 1, int(np.searchsorted(self.ends, a + BLOCK, "right")))
             b = int(self.ends[k - 1])
             if b - a > BLOCK:  # one word, longer than a block
-                out[j] = _long_hash(self.buf[a:b])
+                out[j] = _long_hash(self.buf[a:b], table)
             else:
                 up, down = _pows(b - a + 1)
                 s = np.zeros(b - a + 1, U64)
-                np.cumsum(_BYTE[self.buf[a:b]] * up[: b - a], out=s[1:])
+                np.cumsum(table[self.buf[a:b]] * up[: b - a], out=s[1:])
                 out[j:k] = (s[self.ends[j:k] - a] - s[self.starts[j:k] - a]) * down[self.starts[j:k] - a]
             j = k
         return mix(out ^ (self.ends - self.starts).astype(U64))
@@ -176,11 +178,11 @@ class Words:
         return np.repeat(np.arange(self.n_docs), self.counts())
 
 
-def _long_hash(word: np.ndarray) -> np.uint64:
+def _long_hash(word: np.ndarray, table: np.ndarray) -> np.uint64:
     up, total = _pows(BLOCK + 1)[0], 0
     for a in range(0, len(word), BLOCK):
         part = word[a : a + BLOCK]
-        total += int(np.sum(_BYTE[part] * up[: len(part)], dtype=U64)) * pow(_BASE, a, 2**64)
+        total += int(np.sum(table[part] * up[: len(part)], dtype=U64)) * pow(_BASE, a, 2**64)
     return U64(total % 2**64)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from folioforge.llm import recompress as rc
 from folioforge.llm import textkernel as tk
 from folioforge.llm.scratch import Scratch
@@ -41,7 +42,8 @@ def _docs(seed, n=60):
 
 
 def _windows(texts):
-    got = [(d, s, a, h) for w in rc.windows_of(tk.Words(*tk.joined(texts), lower=False)) for d, s, a, h in zip(w.doc.tolist(), w.pos.tolist(), w.anchor.tolist(), w.hash.tolist(), strict=True)]
+    words = tk.Words(*tk.joined(texts), lower=False)
+    got = [(d, s, a, h) for w in rc.windows_of(words, rc.word_hashes(words), words.hashes(other=True)) for d, s, a, h in zip(w.doc.tolist(), w.pos.tolist(), w.anchor.tolist(), w.hash.tolist(), strict=True)]
     return sorted(got)
 
 
@@ -67,17 +69,33 @@ def test_segments_change_no_window(monkeypatch):
 
 
 def test_a_symbol_stands_for_its_words():
-    rng, seen = np.random.default_rng(1), {}
+    rng, seen, first = np.random.default_rng(1), {}, None
     passage = rng.integers(1, 50, 400)
-    for _ in range(20):
-        x = np.concatenate([rng.integers(1, 50, 30), passage, rng.integers(1, 50, 30)])
-        name, a, b = rc.recompressed(tk.mix(x.astype(np.uint64)), np.arange(460), np.arange(1, 461), 9, 0)
+    x = [np.concatenate([rng.integers(1, 50, 30), passage, rng.integers(1, 50, 30)]) for _ in range(20)]
+    at, row = np.tile(np.arange(460), 20), np.repeat(np.arange(20), 460)
+    s = rc.Symbols(tk.mix(np.concatenate(x).astype(np.uint64)), tk.mix(np.concatenate(x).astype(np.uint64) + np.uint64(9)), at, at + 1, row).steps(9, 0)
+    for d in range(20):
+        on = s.row == d
+        a, b, name = s.a[on], s.b[on], s.name[on].tolist()
         assert a[0] == 0 and b[-1] == 460 and (a[1:] == b[:-1]).all()
-        for n, p, q in zip(name.tolist(), a.tolist(), b.tolist(), strict=True):
-            assert seen.setdefault(n, tuple(x[p:q])) == tuple(x[p:q])
-        inner = {n for n, p, q in zip(name.tolist(), a.tolist(), b.tolist(), strict=True) if 100 < p and q < 360}
-        first = inner if not _ else first & inner
+        for n, c, p, q in zip(name, s.check[on].tolist(), a.tolist(), b.tolist(), strict=True):
+            assert seen.setdefault(n, (c, tuple(x[d][p:q]))) == (c, tuple(x[d][p:q]))
+        inner = {n for n, p, q in zip(name, a.tolist(), b.tolist(), strict=True) if 100 < p and q < 360}
+        first = first or inner
         assert first == inner and max(b - a) >= rc.WINDOW  # what lies within the passage is named alike everywhere
+    apart = rc.Symbols(s.name[:4], s.check[:4], np.array([0, 2, 4, 6]), np.array([1, 3, 5, 7]), np.zeros(4, int)).steps(5, 0)
+    assert len(apart.name) == 4  # symbols that don't touch aren't joined
+
+
+def test_spans_within_others():
+    got = rc._within(np.array([0, 0, 1, 1, 2]), np.array([3, 9, 3, 0, 1]), np.array([5, 12, 5, 9, 2]), np.array([0, 1, 0]), np.array([8, 2, 1]), np.array([11, 8, 6]))
+    assert got.tolist() == [True, False, True, False, False]
+
+
+def test_a_name_with_two_second_hashes_is_an_error(spark):
+    rows = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "name long, check long, i long")
+    with pytest.raises(Exception, match="different words"):
+        rc.verified(rows).collect()
 
 
 def test_long_repeats_are_found_by_their_symbols(spark):
@@ -89,8 +107,9 @@ def test_long_repeats_are_found_by_their_symbols(spark):
     own = rows.selectExpr("doc_id AS i", "xxhash64(text) AS k", "text")
     occ = scratch.put(rc.occurrences(own), "o")
     wanted = occ.join(rc.dictionary(occ, "anchor"), "anchor").groupBy("i", "k").agg(F.collect_set("anchor").alias("wanted"))
-    long = rc.long_symbols(own, wanted, scratch).collect()
-    assert sum(r["b"] - r["a"] for r in long if r["i"] == 3 and r["lo"] == 0) > 450  # at the borders other documents may share one
+    parts = scratch.put(rc.live(own.join(wanted, ["i", "k"]), rc.LEVELS[0]), "live")
+    long = rc.long_symbols(parts, scratch).collect()
+    assert all(sum(r["b"] - r["a"] for r in long if r["i"] == i) > 450 for i in range(1, 6)) and not any(r["i"] == 0 for r in long)
     assert sorted(tuple(r) for r in rc.cut_repeats(rows).collect()) == brute_force(docs)
 
 
