@@ -116,3 +116,13 @@ def bbox_valid(box: Column) -> Column:
 def scale_box(box: Column, width: Column, height: Column) -> Column:
     """A box on a 1000 by 1000 grid in pixels, cut to whole ones."""
     return F.transform(box, lambda v, i: (v * F.when(i % 2 == 0, width).otherwise(height) / 1000).cast("int"))
+
+
+#: Tokens of a page image and of its reply, and prices of a million of each.
+PAGE_TOKENS, REPLY_TOKENS, PRICE_IN, PRICE_OUT = 1300, 400, 3.0, 15.0
+
+
+def estimate(pages: Column) -> Column:
+    """(tokens, usd) that reading so many pages would take."""
+    usd = pages * PAGE_TOKENS / 1e6 * PRICE_IN + pages * REPLY_TOKENS / 1e6 * PRICE_OUT
+    return F.struct((pages * PAGE_TOKENS).cast("long").alias("tokens"), F.round(usd, 3).alias("usd"))

@@ -158,3 +158,54 @@ def join_endings(text: Column) -> Column:
 def break_dialogue(text: Column) -> Column:
     """A new line before a speaker's name, or a stage direction, that follows the end of a sentence."""
     return chain(text, (r"([.!?…」』。])[ \t　]*((?:학생|사회자|교사|진행자|위원|갑|을|병)\s?\d?\s?[:：])", "$1\n$2"), (r"([.!?…」』。])[ \t　]*(\([^()\n]{2,30}\)\s)", "$1\n$2"))
+
+
+# What marks a block of a page as no part of its text.
+FORMS = "수험번호|성명란|제한시간|홀수형|짝수형|감독관|확인란|※ 답안지"
+FOOTERS = "저작권|교육과정평가원|무단\\s?전재|복제를 금합니다|복제금지|인쇄하지 마십시오|이 문제지에 관한"
+BETWEEN_SECTIONS = r"^\*?\s*확인\s*사항|◦\s*답안지|◦\s*이어서|선택과목.{0,20}문제가\s*제시|자신이\s*선택한\s*과목인지"
+TITLES = r"\d{4}학년도|대학수학능력시험|[가-힣]+\s*영역\s*문제지|^[가-힣]+\s*영역$|학력평가|모의고사|성명\s*수험번호"
+PAGE_NUMBER = r"^\d+\s*/\s*\d+$|^-\s*\d+\s*-$|^\d{1,3}$"
+PAGE_HEADER = "국어영역|고3"
+# Underlined texts that are no answers' underlines.
+NO_UNDERLINE = r"^\[[\d～~]+\]|물음에 답하시오|^\*\s|^[-―]\s*.+[,，「].+[-―]?\s*$|확인 사항|선택한 과목인지 확인|이어서.*문제가 제시|답안지의 해당란|이를 바탕으로.*초고이다|^\d+\.\s"
+SIGNS_ONLY = r"^(?:\[[A-E]\]|홀수형|짝수형|[①-⑳ⓐ-ⓩ㉠-㉿\d@#!%&*\s]+)$"
+
+
+def boilerplate(block: Column) -> Column:
+    """Whether a block of a page is a footer, header, title, notice or page number."""
+    return strip(drop_tags(block)).rlike("|".join((FORMS, FOOTERS, BETWEEN_SECTIONS, TITLES, PAGE_NUMBER, PAGE_HEADER)))
+
+
+def noise_underline(phrase: Column) -> Column:
+    """Whether an underlined phrase is a header, note or source."""
+    return strip(phrase).rlike(NO_UNDERLINE)
+
+
+def noise_mark(phrase: Column) -> Column:
+    """Whether an underline found on a page is one of a sign or a form's label."""
+    t = strip(phrase)
+    return (F.length(t) <= 2) | t.rlike(SIGNS_ONLY)
+
+
+def money(cost: Column, rate: int = 1380) -> Column:
+    """(dollars, won, thousands) of a cost, as a page shows them."""
+    return F.struct(F.format_string("$%.4f", cost).alias("usd"), F.concat(F.lit("₩"), F.format_number(cost * rate, 0)).alias("krw"))
+
+
+def tidy_choice(choice: Column) -> Column:
+    """A choice without range marks and what a page's header left behind it."""
+    return chain(
+        inline(strip(chain(choice, (r"(?i)\[[A-D]:\s*(?:START|END)\]", "")))),
+        (r"(?s)\s*\d{4}학년도.*$", ""), (r"(?s)\s*[가-힣]+영역.*$", ""), (r"(?s)\s*\[\d+\s*[~～]\s*\d+\].*$", ""), (r"\s*고\d+\s*$", ""), (r"(\s*\[[A-Z]\])+\s*$", ""),
+    )
+
+
+def leader_choices(block: Column) -> Column:
+    """Choices of a layout that puts each mark behind its text and a row of dots, in the order of the marks; null unless there
+    are three or more. A bullet begins the first text, else its last line is taken."""
+    pairs = F.arrays_zip(F.regexp_extract_all(block, F.lit(r"(?s)(.*?)[·\s]{2,}([①②③④⑤])"), 1).alias("t"), F.regexp_extract_all(block, F.lit(r"(?s)(.*?)[·\s]{2,}([①②③④⑤])"), 2).alias("m"))
+    first = lambda t: F.when(t.rlike(r"(?:^|\n)\s*[◦•∙]\s*\S"), F.regexp_extract(t, r"(?s).*(?:^|\n)\s*([◦•∙]\s*\S.*)$", 1)).otherwise(F.regexp_extract(t, r"([^\n]*)$", 1))
+    bare = lambda t: tidy_choice(chain(strip(t), (r"^[◦•◆◇▪▫・\-]\s*", "")))
+    texts = F.transform(pairs, lambda p, i: F.struct(F.instr(F.lit(CIRCLED), p["m"]).alias("k"), bare(F.when(i == 0, first(p["t"])).otherwise(p["t"])).alias("v")))
+    return F.when((F.size(texts) >= 3) & block.rlike("·{3,}[①②③④⑤]"), F.transform(F.array_sort(texts), lambda x: x["v"]))

@@ -16,6 +16,11 @@ def _pairs(block, pattern: str):
     return F.arrays_zip(F.regexp_extract_all(block, F.lit(pattern), 1).alias("n"), F.regexp_extract_all(block, F.lit(pattern), 2).alias("a"))
 
 
+def _behind(text: str, head: str):
+    """What stands behind each head, up to the next."""
+    return F.filter(F.split(text, head), lambda _, i: i > 0)
+
+
 def answer_table(docs: DataFrame) -> DataFrame:
     """(doc_id, subject, number, answer) of texts with section heads, or of texts in which numbers and answers take turns.
 
@@ -24,7 +29,7 @@ def answer_table(docs: DataFrame) -> DataFrame:
     in a section stands.
     """
     headed = docs.where(F.col("text").rlike(SECTION))
-    blocks = F.arrays_zip(F.regexp_extract_all("text", F.lit(SECTION), 1).alias("label"), F.slice(F.split("text", SECTION), 2, 10_000).alias("body"))
+    blocks = F.arrays_zip(F.regexp_extract_all("text", F.lit(SECTION), 1).alias("label"), _behind("text", SECTION).alias("body"))
     a = headed.select("doc_id", F.posexplode(blocks).alias("s", "b")).select("doc_id", "s", classify.subject_track(F.col("b.label")).alias("subject"), F.posexplode(_pairs(F.col("b.body"), ROW)).alias("pos", "r"))
     plain = docs.where(~F.col("text").rlike(SECTION))
     # name each section's start in the text, so that rows and starts come out of one split in order
@@ -50,7 +55,7 @@ def passage_heads(docs: DataFrame) -> DataFrame:
 def explanations(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, number, correct_answer, explanation, wrong_answers): blocks that begin with `N. 정답` or `N번`."""
     head = r"(?m)^\s*(\d{1,2})\s*(?:번|[.．])\s*(?:정답\s*[:：]?\s*)?([①②③④⑤])"
-    blocks = F.arrays_zip(F.regexp_extract_all("text", F.lit(head), 1).alias("n"), F.regexp_extract_all("text", F.lit(head), 2).alias("a"), F.slice(F.split("text", head), 2, 10_000).alias("body"))
+    blocks = F.arrays_zip(F.regexp_extract_all("text", F.lit(head), 1).alias("n"), F.regexp_extract_all("text", F.lit(head), 2).alias("a"), _behind("text", head).alias("body"))
     rows = docs.select("doc_id", F.posexplode(blocks).alias("pos", "b"))
     wrong = r"(?m)^\s*([①②③④⑤])\s*([^\n①②③④⑤]+)"
     entries = F.arrays_zip(F.regexp_extract_all("b.body", F.lit(wrong), 1).alias("m"), F.regexp_extract_all("b.body", F.lit(wrong), 2).alias("t"))

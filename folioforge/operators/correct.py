@@ -70,7 +70,7 @@ def verify_passages(stored: DataFrame, read: DataFrame) -> DataFrame:
     matched = M.match_passages(stored, read).drop("similarity")
     both = stored.join(matched, ["doc_id", "passage_id"], "left").join(read.select("doc_id", "read_id", "text"), ["doc_id", "read_id"], "left")
     a, b = tx.comparable(tx.drop_structure(F.col("content"))), tx.comparable(tx.drop_structure(F.col("text")))
-    both = both.withColumn("a", a).withColumn("b", b).withColumn("sim", F.when(F.col("text").isNotNull(), M.seq_ratio("a", "b")))
+    both = both.withColumn("a", a).withColumn("b", b).withColumn("sim", F.when(F.col("text").isNotNull(), tiered_ratio(F.col("content"), F.col("text"))))
     kind = F.when(F.col("text").isNull(), "WARNING").otherwise(M.text_verdict(F.col("a"), F.col("b"), F.col("sim")))
     both = both.withColumn("kind", kind).where("kind <> 'NONE'")
     note = F.when(F.col("text").isNull(), "대응하는 PDF 지문을 찾지 못했습니다").when(F.col("kind") == "FIXED", M.changes("a", "b")).otherwise(F.format_string("텍스트 불일치 %.2f", "sim"))
@@ -98,3 +98,80 @@ def verify_questions(stored: DataFrame, read: DataFrame) -> DataFrame:
 def accept(corrections: DataFrame) -> DataFrame:
     """Corrections with the reason to refuse them, if there is one."""
     return corrections.withColumn("refused", F.when(F.col("corrected").isNotNull(), tx.acceptance(F.col("original"), F.col("corrected"))))
+
+
+LABELS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def free_labels(used: list[str], proposed: list[str]) -> list[str | None]:
+    """The label each range gets, in order: the one proposed if none has it yet, else the first that is free, else none. What is no
+    letter counts as A."""
+    taken, out = set(used), []
+    for p in proposed:
+        want = (p or "").strip().upper()[:1]
+        want = want if want and want in LABELS else "A"
+        got = want if want not in taken else next((c for c in LABELS if c not in taken), None)
+        taken.add(got)
+        out.append(got)
+    return out
+
+
+def label_ranges(ranges: DataFrame, used: DataFrame) -> DataFrame:
+    """ranges (doc_id, pos, label) with `actual`; used has doc_id and labels, those that a text has already. A document's ranges
+    are gone through in order, by one small list each."""
+    rows = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("r")).join(used, "doc_id", "left")
+
+    @F.pandas_udf("array<string>")
+    def actual(labels: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([free_labels(list(o) if o is not None else [], list(x)) for x, o in zip(labels, own, strict=True)])
+
+    named = rows.withColumn("a", actual(F.transform("r", lambda x: x["label"]), "labels"))
+    return named.select("doc_id", F.explode(F.arrays_zip("r", "a")).alias("z")).select("doc_id", "z.r.pos", "z.r.label", F.col("z.a").alias("actual"))
+
+
+def mark_range(text: str | None, label: str | None, start: str | None, end: str | None) -> str | None:
+    """text with the marks of a labelled range around what stands from `start` to `end`; as it is if either isn't found, if the range
+    is more than half of it, or if it meets the choices."""
+    if not text or not label or not (start or "").strip() or not (end or "").strip():
+        return text
+    a, b = anchor(text, start), anchor(text, end.strip()[-20:])
+    stop = b + len(end.strip()[-20:])
+    first_choice = min((p for p in map(text.find, "①②③④⑤") if p >= 0), default=len(text))
+    if a < 0 or b < 0 or a >= stop or stop - a > len(text) * 0.5 or stop > first_choice:
+        return text
+    return f"{text[:a]}[{label}:START]\n{text[a:stop]}\n[{label}:END]{text[stop:]}"
+
+
+def structured(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, phrases, ranges: array of label, start, end) with underlines and range marks put into the text."""
+
+    @F.pandas_udf(T.StringType())
+    def marked(text: pd.Series, ranges: pd.DataFrame) -> pd.Series:
+        out = []
+        for t, rs in zip(text, ranges["r"], strict=True):
+            todo = list(rs) if rs is not None else []
+            names = free_labels(re.findall(r"\[([A-Z]):START\]", t or ""), [r["label"] for r in todo])
+            for r, name in zip(todo, names, strict=True):
+                t = mark_range(t, name, r["start"], r["end"])
+            out.append(t)
+        return pd.Series(out)
+
+    return rows.withColumn("text", marked(underlined("text", "phrases"), F.struct(F.col("ranges").alias("r"))))
+
+
+def image_places(stored: DataFrame, read: DataFrame) -> DataFrame:
+    """(doc_id, passage_id, n, before, read_before, similarity) of pictures whose context, the 15 characters before them, differs:
+    stored has <img> tags in content, read has [그림] signs in text; both have doc_id and passage_id. Passages with different
+    numbers of pictures are image_verdict's."""
+    cut = lambda c, sign: F.transform(F.slice(F.split(tx.unify_marks(c), sign), 1, F.greatest(F.size(F.split(c, sign)) - 1, F.lit(0))), lambda p: F.right(tx.squeeze(F.right(p, F.lit(20))), F.lit(15)))
+    a, b = cut(F.col("content"), r"<img\b[^>]*/?\s*>"), cut(F.col("text"), r"\[그림\]")
+    both = stored.select("doc_id", "passage_id", a.alias("a")).join(read.select("doc_id", "passage_id", b.alias("b")), ["doc_id", "passage_id"]).where(F.size("a") == F.size("b"))
+    each = both.select("doc_id", "passage_id", F.posexplode(F.arrays_zip("a", "b")).alias("n", "z")).where("z.a <> '' and z.b <> ''")
+    return each.select("doc_id", "passage_id", (F.col("n") + 1).alias("n"), F.col("z.a").alias("before"), F.col("z.b").alias("read_before"), M.seq_ratio(F.col("z.a"), F.col("z.b")).alias("similarity")).where("similarity < 0.5")
+
+
+def tiered_ratio(stored: Column, read: Column) -> Column:
+    """The greatest ratio of two texts as they are, without passage headers, and in the form for comparison of either."""
+    bare = lambda c: tx.squeeze(tx.drop_structure(c))
+    forms = [bare, lambda c: bare(tx.drop_header(c)), lambda c: tx.comparable(bare(c)), lambda c: tx.comparable(bare(tx.drop_header(c)))]
+    return F.greatest(*(M.seq_ratio(f(stored), f(read)) for f in forms))

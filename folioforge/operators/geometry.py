@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import classify, text as tx
+
 PAGE = ["doc_id", "page_no"]
 
 
@@ -95,3 +97,22 @@ def clip_text(words: DataFrame, rects: DataFrame) -> DataFrame:
     hit = words.alias("w").join(rects.alias("r"), _on("w", "r", x.between(F.col("r.x0"), F.col("r.x1")), y.between(F.col("r.y0"), F.col("r.y1"))))
     parts = F.array_sort(F.collect_list(F.struct("w.block_no", "w.line_no", "w.word_no", "w.text")))
     return hit.groupBy(*(F.col(f"r.{k}") for k in [*PAGE, "rect_no"])).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+
+
+def enclosing_bottom(labels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Each label with the bottom of the first box around it (null without one): at most 30 narrower to either side, from at most 60
+    below its top to at most 20 above its bottom, and more than 50 wide and 30 high."""
+    a, b = labels.alias("a"), boxes.where((F.col("x1") - F.col("x0") > 50) & (F.col("y1") - F.col("y0") > 30)).alias("b")
+    around = [F.col("b.x0") <= F.col("a.x0") + 30, F.col("b.x1") >= F.col("a.x1") - 30, F.col("b.y0") <= F.col("a.y0") + 60, F.col("b.y1") >= F.col("a.y1") - 20]
+    hit = a.join(b, _on("a", "b", *around), "left")
+    return hit.groupBy(*(F.col(f"a.{c}") for c in labels.columns)).agg(F.min_by("b.y1", "b.box_no").alias("bottom"))
+
+
+def text_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of the page body that aren't boilerplate."""
+    return body_blocks(blocks).where(~tx.boilerplate(F.coalesce("text", F.lit(""))))
+
+
+def estimate_run(files: DataFrame) -> DataFrame:
+    """(doc_id, pages, est_tokens, est_usd) of files (doc_id, pages) before they are read."""
+    return files.select("doc_id", "pages", classify.estimate(F.col("pages")).alias("e")).select("doc_id", "pages", F.col("e.tokens").alias("est_tokens"), F.col("e.usd").alias("est_usd"))

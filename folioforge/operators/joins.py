@@ -41,3 +41,18 @@ def anti_both_ways(current: DataFrame, baseline: DataFrame, keys: list[str]) ->
     """Rows of either side that the other lacks, with `change` new or gone."""
     new = current.join(baseline, keys, "left_anti").withColumn("change", F.lit("new"))
     return new.unionByName(baseline.join(current, keys, "left_anti").withColumn("change", F.lit("gone")))
+
+
+def containing(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item: str, words: int = 3) -> DataFrame:
+    """(doc_id, item_id) of the texts that hold an item's whole text. Candidates share the item's second to fourth words, which
+    white space bounds in the text too; items too short for that, few or none, are looked for in every text."""
+    split = lambda c: F.split(c, r"\s+")
+    named = items.where(F.col(item).isNotNull()).withColumn("__w", split(F.col(item)))
+    able = F.size("__w") >= words + 2
+    key = named.where(able).select(item_id, item, F.xxhash64(F.array_join(F.slice("__w", 2, words), " ")).alias("__key"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, words), " ")))
+    seen = docs.where(F.col(text).isNotNull()).select(doc_id, split(F.col(text)).alias("__w")).select(doc_id, F.explode(F.array_distinct(grams)).alias("__key"))
+    near = seen.join(key.select(item_id, "__key"), "__key").select(doc_id, item_id)
+    long = near.join(docs.select(doc_id, text), doc_id).join(items, item_id).where(F.col(text).contains(F.col(item))).select(doc_id, item_id)
+    short = docs.join(F.broadcast(named.where(~able).select(item_id, item)), F.col(text).contains(F.col(item))).select(doc_id, item_id)
+    return long.unionByName(short)

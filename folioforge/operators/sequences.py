@@ -87,3 +87,15 @@ def label_marks(rows: DataFrame, keys: list[str], order: str, label: str, text:
     close = F.when(last, F.concat(F.lit("["), label, F.lit(":END]"))).otherwise("")
     marked = rows.withColumn("__t", F.concat(open_, F.coalesce(text, F.lit("")), close))
     return marked.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "__t"))), lambda x: x["__t"]), "\n").alias("text"))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str, into: str, width: int = 10_000) -> DataFrame:
+    """rows with their number, from 1, in the order of a numeric column within each key. A hot key is numbered in ranges of
+    `width` of that column: within each, and behind the rows of the ranges before it."""
+    part = F.floor(F.col(order) / width)
+    r = rows.withColumn("__part", part)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = r.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    on = [r[k].eqNullSafe(sizes[k]) for k in (*keys, "__part")]
+    own = F.row_number().over(Window.partitionBy(*(r[k] for k in (*keys, "__part"))).orderBy(r[order]))
+    return r.join(sizes, on).select(*(r[c] for c in rows.columns), (own + F.col("__before")).alias(into))

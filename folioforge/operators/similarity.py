@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions import text as tx
+
 PREFIX = 500
 
 
@@ -157,7 +159,8 @@ def match_passages(stored: DataFrame, read: DataFrame, least: float = 0.3) -> Da
     s, r = stored.withColumn("__r", norm), read.withColumn("__r", norm)
     exact = s.where("__r is not null and __r <> ''").join(r.select("doc_id", "__r", "read_id"), ["doc_id", "__r"]).groupBy("doc_id", "passage_id").agg(F.min("read_id").alias("read_id"))
     rest = s.join(exact, ["doc_id", "passage_id"], "left_anti").withColumn("__key", F.struct("doc_id", "passage_id"))
-    fuzzy = best_match(rest, r, ["doc_id"], "content", "text", "__key", "read_id", least, PREFIX)
+    bare = lambda c: tx.drop_structure(tx.drop_header(F.col(c)))
+    fuzzy = best_match(rest.withColumn("content", bare("content")), r.withColumn("text", bare("text")), ["doc_id"], "content", "text", "__key", "read_id", least, PREFIX)
     return exact.withColumn("similarity", F.lit(None).cast("double")).unionByName(fuzzy.select("__key.doc_id", "__key.passage_id", "read_id", "similarity"))
 
 
@@ -187,8 +190,8 @@ def box_verdict(stored: Column, read: Column, similarity: Column) -> Column:
 
 
 def image_verdict(tags: Column, signs: Column) -> Column:
-    """By the number of <img> tags stored and of picture signs read."""
-    return F.when((tags == 0) & (signs == 0), "NONE").when(tags == signs, "OK").when((tags > 0) & (signs > 0), "INFO").otherwise("WARNING")
+    """By the number of <img> tags stored and of picture signs read: too few signs may be the reading's fault, too few tags are ours."""
+    return F.when((tags == 0) & (signs == 0), "NONE").when(tags == signs, "OK").when(tags > signs, "INFO").otherwise("WARNING")
 
 
 def compare_questions(seen: DataFrame, stored: DataFrame, least: float = 0.6) -> DataFrame:
@@ -197,7 +200,7 @@ def compare_questions(seen: DataFrame, stored: DataFrame, least: float = 0.6) ->
     seen: doc_id, number, stem, has_bogi, choice_count, has_image; stored: doc_id, number, stem, bogi, choice_count, content.
     """
     d = stored.select("doc_id", "number", F.col("stem").alias("d_stem"), (F.length(F.coalesce("bogi", F.lit(""))) > 0).alias("d_bogi"), F.col("choice_count").alias("d_choices"), F.col("content").alias("d_content"), F.lit(True).alias("there"))
-    both = seen.join(d, ["doc_id", "number"], "left").withColumn("sim", F.when(F.col("there"), seq_ratio("stem", "d_stem")))
+    both = seen.join(d, ["doc_id", "number"], "left").withColumn("sim", F.when(F.col("there"), seq_ratio(tx.comparable(F.col("stem")), tx.comparable(F.col("d_stem")))))
     there = F.coalesce("there", F.lit(False))
     rules = F.array(
         F.when(~there, "missing"), F.when(there & (F.col("sim") < least), "stem"), F.when(there & (F.col("has_bogi") != F.col("d_bogi")), "bogi"),

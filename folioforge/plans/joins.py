@@ -73,7 +73,8 @@ sql("already_judged_anti", "SELECT doc_id, source FROM {documents} d WHERE NOT E
 sql("composite_semi", "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} l WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = l.l_linestatus)")
 sql(
     "reviewer_disagreement",
-    """SELECT d.doc_id, l.quality, l.toxic FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL AND l.quality = l.toxic AND d.source <> 'src0'""",
+    """SELECT d.doc_id, a.quality, b.toxic, coalesce(a.quality = b.toxic, false) AS disagree FROM {documents} d LEFT JOIN (SELECT doc_id, quality FROM {labels} WHERE quality IS NOT NULL) a ON a.doc_id = d.doc_id
+       LEFT JOIN (SELECT doc_id, toxic FROM {labels} WHERE toxic IS NOT NULL) b ON b.doc_id = d.doc_id""",
 )
 sql(
     "propagate_judgments",
@@ -81,15 +82,22 @@ sql(
        LEFT JOIN (SELECT doc_id, quality FROM {labels} WHERE quality = 1) h ON h.doc_id = d.doc_id LEFT JOIN {labels} a ON a.doc_id = d.doc_id""",
 )
 sql("theta_duplicate_check", "SELECT p.p_partkey, EXISTS (SELECT 1 FROM {nation} n WHERE n.n_nationkey = p.p_size AND contains(p.p_type, substring(n.n_name, 1, 1))) AS is_duplicate FROM {part} p", "SELECT p.p_partkey, EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = p.p_size AND contains(p.p_type, substring(n.n_name, 1, 1))) AS is_duplicate FROM part p")
+# a name that pages link to is unused if no page's host has it: both sides are distinct names, so the join is on equality
+_LINKED = r"SELECT DISTINCT lower({0}(regexp_extract_all(html, 'href=\"/([A-Za-z]+)\"', 1))) AS word FROM {1}"
+_HOSTS = "SELECT DISTINCT regexp_extract(url, '^https?://([a-z]+)', 1) AS word FROM {0}"
 sql(
     "unused_images_anti",
-    r"""SELECT p.page_id FROM {pages} p LEFT ANTI JOIN (SELECT explode(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1)) AS word FROM {pages}) h ON contains(p.url, h.word)""",
-    r"""SELECT p.page_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1)) AS word FROM pages) h WHERE contains(p.url, h.word))""",
-)
-sql(
-    "text_membership",
-    """SELECT d.doc_id, count(*) AS items FROM {documents} d JOIN {benchmark} b ON contains(d.text, substring(b.text, 1, 15)) GROUP BY d.doc_id""",
+    f"SELECT w.word FROM ({_LINKED.format('explode', '{pages}')}) w LEFT ANTI JOIN ({_HOSTS.format('{pages}')}) h ON h.word = w.word".replace("lower(explode(", "explode(transform(").replace(", 1))) AS word", ", 1), x -> lower(x))) AS word"),
+    f"SELECT word FROM ({_LINKED.format('unnest', 'pages')}) w WHERE word NOT IN ({_HOSTS.format('pages')})",
 )
+
+
+@query("text_membership", "SELECT d.doc_id, count(*) AS items FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
+def text_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    return J.containing(docs, items, "doc_id", "text", "item_id", "item").groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"))
+
+
 sql(
     "positional_lookup",
     """SELECT conv_id, roles[CAST(least(size(roles) - 1, 1) AS INT)] AS second_role, array_contains(roles, 'system') AS any_system

@@ -75,11 +75,7 @@ sql(
     """SELECT status, count(*) AS n FROM (SELECT CASE WHEN b < a THEN 'improved' WHEN b > a THEN 'worsened' ELSE 'unchanged' END AS status FROM
        (SELECT user_id, count(CASE WHEN event_id % 2 = 0 THEN 1 END) AS a, count(CASE WHEN event_id % 2 = 1 THEN 1 END) AS b FROM {events} GROUP BY user_id) t) s GROUP BY status""",
 )
-sql("message_category", """SELECT doc_id, CASE WHEN contains(text, '<u>') THEN 'underline' WHEN regexp_like(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN 'address' WHEN contains(text, '@') THEN 'mail' WHEN contains(text, 'token') THEN 'secret' ELSE 'other' END AS category FROM {documents}""",
-    r"""SELECT doc_id, CASE WHEN contains(text, '<u>') THEN 'underline' WHEN regexp_matches(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') THEN 'address' WHEN contains(text, '@') THEN 'mail' WHEN contains(text, 'token') THEN 'secret' ELSE 'other' END AS category FROM documents""")
-sql("bleed_in_counts", "SELECT source, sum(regexp_count(text, 'http|token|secret')) AS hits, count_if(regexp_like(text, 'http|token|secret')) AS docs FROM {documents} GROUP BY source", "SELECT source, CAST(sum(len(regexp_extract_all(text, 'http|token|secret'))) AS BIGINT) AS hits, CAST(count_if(regexp_matches(text, 'http|token|secret')) AS BIGINT) AS docs FROM documents GROUP BY source")
 sql("classification_pivot_share", "SELECT lang, count_if(n_chars < 300) AS bogi_x, count_if(n_chars BETWEEN 300 AND 3000) AS stem_a, count_if(n_chars > 3000) AS stem_z, CASE WHEN count_if(n_chars > 3000) * 100 / count(*) >= 30 THEN 'Case A' ELSE 'Case B' END AS verdict FROM {documents} GROUP BY lang", "SELECT lang, CAST(count_if(n_chars < 300) AS BIGINT) AS bogi_x, CAST(count_if(n_chars BETWEEN 300 AND 3000) AS BIGINT) AS stem_a, CAST(count_if(n_chars > 3000) AS BIGINT) AS stem_z, CASE WHEN count_if(n_chars > 3000) * 100 / count(*) >= 30 THEN 'Case A' ELSE 'Case B' END AS verdict FROM documents GROUP BY lang")
-sql("latest_report_per_file", "SELECT user_id, max_by(event_type, struct(ts, event_id)) AS event_type, max_by(value, struct(ts, event_id)) AS value FROM {events} GROUP BY user_id", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
 sql("qa_summary_stale", "SELECT user_id, count_if(event_type = 'error') AS errors, max(ts) < (SELECT max(ts) FROM {events}) - INTERVAL 24 HOURS AS stale FROM {events} GROUP BY user_id", "SELECT user_id, CAST(count_if(event_type = 'error') AS BIGINT) AS errors, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS AS stale FROM events GROUP BY user_id")
 sql("issue_stats", "SELECT source, count(*) AS questions, count_if(n_chars < 60) AS high, count_if(n_chars BETWEEN 60 AND 299) AS medium, bool_and(n_chars >= 60) AS passed FROM {documents} GROUP BY source", "SELECT source, count(*) AS questions, CAST(count_if(n_chars < 60) AS BIGINT) AS high, CAST(count_if(n_chars BETWEEN 60 AND 299) AS BIGINT) AS medium, bool_and(n_chars >= 60) AS passed FROM documents GROUP BY source")
 sql(

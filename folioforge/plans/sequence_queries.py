@@ -62,7 +62,7 @@ def running_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lead_slice",
-    """WITH t AS (SELECT doc_id, text, unnest(list_filter(range(0, CAST(length(text) AS BIGINT)), lambda i: substr(text, i + 1, 1) = chr(10))) AS pos FROM documents WHERE n_chars < 3000)
+    """WITH t AS (SELECT doc_id, text, unnest(list_filter(range(0, CAST(length(text) AS BIGINT)), lambda i: substr(text, i + 1, 1) = chr(10))) AS pos FROM documents)
        SELECT doc_id, pos, md5(substr(text, pos + 1, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(text)) - pos)) AS digest FROM t""",
 )
 def lead_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,12 @@ def label_span_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.label_marks(rows, ["conv_id"], "turn", "role", "t")
 
 
-sql("row_number_ids", "SELECT doc_id, source, concat('p', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS pid FROM {documents}")
+@query("row_number_ids", "SELECT doc_id, source, concat('p', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS pid FROM documents")
+def row_number_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.numbered(load(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id", "n")
+    return rows.select("doc_id", "source", F.concat(F.lit("p"), "n").alias("pid"))
+
+
 sql("ordinal_relabel", "SELECT conv_id, turn, element_at(array('A', 'B', 'C', 'D', 'E'), CAST(least(rn, 5) AS INT)) AS label FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {conversations}) t", "SELECT conv_id, turn, ['A', 'B', 'C', 'D', 'E'][least(rn, 5)] AS label FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) t")
 sql("lag_separator", "SELECT conv_id, turn, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN '' WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN ' ' WHEN length(text) > 200 THEN '\\n\\n' ELSE '\\n' END AS sep FROM {conversations}", "SELECT conv_id, turn, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN '' WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN ' ' WHEN length(text) > 200 THEN chr(10) || chr(10) ELSE chr(10) END AS sep FROM conversations")
 sql(

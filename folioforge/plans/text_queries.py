@@ -69,13 +69,13 @@ def fingerprint_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", tx.fingerprint(F.col("source"), F.col("lang"), F.col("text")).alias("fingerprint"), tx.key_of(F.col("lang"), F.col("text")).alias("key"))
 
 
-@query("context_window", "SELECT doc_id, substring(text, greatest(instr(text, 'http') - 1 - 30, 0) + 1, 60) AS context FROM documents WHERE contains(text, 'http')")
+@query("context_window", "SELECT doc_id, substring(text, greatest(instr(text, 'que') - 1 - 30, 0) + 1, 60) AS context FROM documents WHERE contains(text, 'que')")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return load(spark, sf_dir, "documents").where(t.contains("http")).select("doc_id", tx.around(t, F.instr(t, F.lit("http")) - 1).alias("context"))
+    return load(spark, sf_dir, "documents").where(t.contains("que")).select("doc_id", tx.around(t, F.instr(t, F.lit("que")) - 1).alias("context"))
 
 
-@query("quoted_text", r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '["“‘'']([^"”’'']+)["”’'']', 1), ''), nullif(trim(regexp_extract(text, '(?s):\s*(.+)$', 1)), ''), '') AS quoted FROM documents WHERE n_chars < 2000""")
+@query("quoted_text", r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '["“‘'']([^"”’'']+)["”’'']', 1), ''), nullif(trim(regexp_extract(text, '(?s):\s*(.+)$', 1)), ''), '') AS quoted FROM documents""")
 def quoted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", tx.quoted(F.col("text")).alias("quoted"))
 
@@ -97,8 +97,7 @@ def json_double_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", tables.questions_of(doc)[0]["number"].alias("number"))
 
 
-sql("char_range_scan", r"SELECT source, sum(regexp_count(text, '[^\\x00-\\x7F]')) AS n FROM {documents} GROUP BY source HAVING n > 0", "SELECT source, count(*) AS n FROM (SELECT source, unnest(string_split(substring(text, 1, 2000), '')) AS c FROM documents) t WHERE unicode(c) > 127 GROUP BY source")
-sql("page_text_join", "SELECT conv_id, md5(array_join(transform(array_sort(collect_list(struct(turn, text))), x -> x.text), '\\n')) AS digest FROM {conversations} GROUP BY conv_id", "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id")
+sql("char_range_scan", r"SELECT source, sum(regexp_count(text, '[^\\x00-\\x7F]')) AS n FROM {documents} GROUP BY source HAVING n > 0", "SELECT source, count(*) AS n FROM (SELECT source, unnest(string_split(text, '')) AS c FROM documents) t WHERE unicode(c) > 127 GROUP BY source")
 sql("age_parse", "SELECT event_id, date_diff(DAY, ts, timestamp'2024-03-01 00:00:00') > 20 AS stale FROM {events}", "SELECT event_id, CAST(floor((epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(ts)) / 86400000000) AS BIGINT) > 20 AS stale FROM events")
 sql("coordinate_scale", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity * 1700 / 1000 AS INT) AS x, CAST(l_discount * 2200 AS INT) AS y, CASE WHEN l_quantity < 25 THEN 'left' ELSE 'right' END AS side, greatest(0, least(100, CAST(l_tax * 2000 AS INT) - 20)) AS clamped FROM {lineitem}", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(l_quantity * 1700 / 1000) AS INT) AS x, CAST(trunc(l_discount * 2200) AS INT) AS y, CASE WHEN l_quantity < 25 THEN 'left' ELSE 'right' END AS side, greatest(0, least(100, CAST(trunc(l_tax * 2000) AS INT) - 20)) AS clamped FROM lineitem")
 sql("file_class", "SELECT page_id, CASE WHEN regexp_like(url, '[?]page=') THEN 'listing' WHEN regexp_like(url, '/[0-9]+$') THEN 'post' WHEN endswith(url, '.pdf') THEN 'file' ELSE 'other' END AS kind FROM {pages}", "SELECT page_id, CASE WHEN regexp_matches(url, '[?]page=') THEN 'listing' WHEN regexp_matches(url, '/[0-9]+$') THEN 'post' WHEN ends_with(url, '.pdf') THEN 'file' ELSE 'other' END AS kind FROM pages")

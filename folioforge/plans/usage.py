@@ -31,7 +31,7 @@ sql("usage_recent_20", "SELECT event_id, event_type, value FROM {events} ORDER B
 sql(
     "usage_last_30d",
     "SELECT event_type, count(*) AS calls FROM {events} WHERE ts >= (SELECT max(ts) FROM {events}) - INTERVAL 30 DAYS GROUP BY event_type",
-    "SELECT event_type, count(*) AS calls FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY event_type",
+    "SELECT event_type, count(*) AS calls FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAYS GROUP BY event_type",
 )
 sql("usage_top_jobs", "SELECT user_id, count(*) AS calls FROM {events} GROUP BY user_id ORDER BY calls DESC, user_id LIMIT 25")
 sql(
@@ -74,7 +74,8 @@ sql(
 )
 sql(
     "low_percentile_baseline",
-    """SELECT l_suppkey, element_at(array_sort(collect_list(l_quantity)), CAST(count(*) div 10 + 1 AS INT)) AS low FROM {lineitem} GROUP BY l_suppkey""",
+    """SELECT l_suppkey, min(l_quantity) AS low FROM (SELECT l_suppkey, l_quantity, sum(c) OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS upto, sum(c) OVER (PARTITION BY l_suppkey) AS n
+       FROM (SELECT l_suppkey, l_quantity, count(*) AS c FROM {lineitem} GROUP BY l_suppkey, l_quantity) q) r WHERE upto >= n div 10 + 1 GROUP BY l_suppkey""",
     "SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 10 + 1] AS low FROM lineitem GROUP BY l_suppkey",
 )
 sql(
@@ -90,6 +91,5 @@ sql("argmax_first_class", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELE
 # A hot group's list is joined from the lists of ranges of ids: their order is that of the ids, as a part is an id's beginning.
 sql("grouped_lists", """SELECT source, lang, sum(n) AS n, array_join(transform(array_sort(collect_list(struct(part, docs))), x -> x.docs), ',') AS docs
   FROM (SELECT source, lang, substring(id, 1, 5) AS part, count(*) AS n, nullif(array_join(array_sort(collect_list(id)), ','), '') AS docs
-        FROM (SELECT source, lang, lpad(cast(doc_id AS string), 9, '0') AS id FROM {documents}) d GROUP BY source, lang, substring(id, 1, 5)) p GROUP BY source, lang""", "SELECT source, lang, count(*) AS n, string_agg(lpad(cast(doc_id AS varchar), 9, '0'), ',' ORDER BY lpad(cast(doc_id AS varchar), 9, '0')) AS docs FROM documents WHERE n_chars > 5000 GROUP BY source, lang")
+        FROM (SELECT source, lang, lpad(cast(doc_id AS string), 9, '0') AS id FROM {documents}) d GROUP BY source, lang, substring(id, 1, 5)) p GROUP BY source, lang""", "SELECT source, lang, count(*) AS n, string_agg(lpad(cast(doc_id AS varchar), 9, '0'), ',' ORDER BY lpad(cast(doc_id AS varchar), 9, '0')) AS docs FROM documents GROUP BY source, lang")
 sql("issue_counts_pivot", "SELECT * FROM (SELECT user_id % 10 AS file, event_type, event_id FROM {events}) PIVOT (count(event_id) FOR event_type IN ('view' AS n_view, 'click' AS n_click, 'error' AS n_error))", "SELECT user_id % 10 AS file, CAST(nullif(count_if(event_type = 'view'), 0) AS BIGINT) AS n_view, CAST(nullif(count_if(event_type = 'click'), 0) AS BIGINT) AS n_click, CAST(nullif(count_if(event_type = 'error'), 0) AS BIGINT) AS n_error FROM events GROUP BY 1")
-sql("cause_histogram", "SELECT cause, count(*) AS n FROM (SELECT explode(array_compact(array(CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN contains(text, 'http') THEN 'link' END))) AS cause FROM {documents}) c GROUP BY cause", "SELECT cause, count(*) AS n FROM (SELECT unnest([CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN contains(text, 'http') THEN 'link' END]) AS cause FROM documents) c WHERE cause IS NOT NULL GROUP BY cause")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 QUESTION = "struct<number:int,stem:string,bogi:string,choices:map<string,string>,content:string>"
@@ -21,9 +24,36 @@ def questions_of(segments: Column) -> Column:
 
 
 def repair_json(text: Column) -> Column:
-    """A model's JSON reply without a code fence, and without raw line breaks and tabs, which JSON texts may not hold."""
+    """A model's JSON reply without a code fence: as it is if it parses, else with control characters escaped within its strings,
+    else an empty object."""
     bare = F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    return F.translate(bare, "\n\r\t", "   ")
+    parses = lambda c: F.try_parse_json(c).isNotNull()
+    again = _escape_strings(bare)
+    return F.when(parses(bare), bare).when(parses(again), again).otherwise(F.lit("{}"))
+
+
+@F.pandas_udf(T.StringType())
+def _escape_strings(text: pd.Series) -> pd.Series:
+    """Raw control characters within string literals as JSON escapes."""
+    names = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    control = lambda m: names.get(m[0], f"\\u{ord(m[0]):04x}")
+    literal = lambda m: re.sub(r"[\x00-\x1f]", control, m[0])
+    return text.map(lambda t: None if t is None else re.sub(r'"(?:[^"\\]|\\.)*"', literal, t, flags=re.S))
+
+
+def objects_only(items: Column) -> Column:
+    """The items of a JSON array (a text) that are objects, as texts."""
+    return F.filter(F.from_json(items, "array<string>"), lambda x: x.startswith("{"))
+
+
+def write_snapshot(snap: DataFrame, path: str) -> None:
+    """A snapshot (filename, category, fingerprint) as JSON documents, one a file with its warnings and their counts by category,
+    and a summary beside them."""
+    by = snap.groupBy("filename", "category").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("fingerprint")).alias("fingerprints"))
+    files = by.groupBy("filename").agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("counts"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "fingerprints")))).alias("warnings"))
+    files.write.mode("overwrite").json(f"{path}/files")
+    total = snap.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    total.agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("counts")).write.mode("overwrite").json(f"{path}/summary")
 
 
 def latest_reports(reports: DataFrame, key: str = "filename", at: str = "timestamp") -> DataFrame:
@@ -72,9 +102,12 @@ def insert(rows: DataFrame, path: str, defaults: dict[str, object], key: str = "
 
 
 def set_json_key(doc: Column, key: str, value: Column) -> Column:
-    """A JSON object with one key replaced and the others kept."""
-    kept = F.map_filter(F.coalesce(F.from_json(doc, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, _: k != key)
-    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), value.cast("string"))))
+    """A JSON object with one key replaced (a column of any type) and the others kept as they are, nested ones too. What is no
+    JSON object counts as an empty one."""
+    kind = "map<string,variant>"
+    kept = F.map_filter(F.coalesce(F.from_json(doc, kind), F.from_json(F.lit("{}"), kind)), lambda k, _: k != key)
+    new = F.from_json(F.to_json(F.struct(value.alias(key)), {"ignoreNullFields": "false"}), kind)
+    return F.to_json(F.map_concat(kept, new))
 
 
 def delete_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -123,7 +156,13 @@ def report_lines(rows: DataFrame, columns: list[str]) -> list[str]:
 
 
 def apply(rows: DataFrame, path: str, dry_run: bool = True) -> DataFrame:
-    """The rows; written only if it isn't a dry run."""
-    if not dry_run:
-        rows.write.mode("overwrite").parquet(path)
-    return rows
+    """The rows; written only if it isn't a dry run, aside and then renamed, since rows may be read from the path itself."""
+    if dry_run:
+        return rows
+    spark, aside = rows.sparkSession, f"{path.rstrip('/')}.aside"
+    rows.write.mode("overwrite").parquet(aside)
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(p(path), True)
+    fs.rename(p(aside), p(path))
+    return spark.read.parquet(path)

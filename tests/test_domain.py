@@ -213,3 +213,64 @@ def test_spacing(spark):
     assert one(spark, "학생 은 간다", X.join_endings) == "학생은 간다"
     assert one(spark, "끝났다. 학생 1: 네", X.break_dialogue) == "끝났다.\n학생 1: 네"
     assert one(spark, "a   b  \n　c", X.protect_indent) == "a b\n　c"
+
+
+ASK = "다음 중 적절한 것은?"
+
+
+def test_a_long_stem_ends_behind_the_last_request():
+    long = "가" * 60
+    text = f"1. {'나' * 420} {ASK}\n\n{long} 이어지는 글 {ASK}\n\n{long}\n① 가 ② 나"
+    assert S.stem(text).endswith(ASK) and S.stem(text).count(ASK) == 2
+    assert [r for r, _ in S.stem_ends(text)] == ["choice", "unmarked"]
+    assert S.stem("2. 물음 [A:START] 상자") == "2. 물음" and S.stem(f"2. 물음 [A:START] {ASK}") == f"2. 물음 [A:START] {ASK}"
+
+
+def test_a_closing_mark_ahead_of_the_opening_one_makes_no_open_box():
+    assert S.box("물음 [A:START] 글 [[IMG:a.png]] 끝\n① 가") == "[[IMG:a.png]] 끝"
+    assert S.box("물음 [A:END] 글 [A:START] [[IMG:a.png]] 끝\n① 가") is None
+    assert S.box("물음 [A:START] 상자 [A:END]\n① 가") == "상자" and S.box("물음 < 보 기 > 글 [[IMG:b.png]]\n① 가") == "[[IMG:b.png]]"
+
+
+def test_choices_and_next_passage():
+    passage = "다음 지문은 " + "길다 " * 30
+    block = f"3. {ASK}\n① 가 ② 나\n③ 다\n\n{passage}\n둘째 줄"
+    assert S.choices(block) == {"1": "가", "2": "나", "3": "다"} and S.trim_next_passage(block).endswith("③ 다")
+    assert S.passage_behind(block) == f"{passage}\n둘째 줄".strip() and S.passage_behind("글만 " * 40) is None
+    assert S.choices("없다") is None and S.choices("① 가 ① 또 ② 나") == {"1": "가 ① 또", "2": "나"}
+
+
+def test_issue_of_a_merged_box_counts_what_is_behind_the_request(spark):
+    rows = [("d", [], [(1, None, "가" * 10 + " 고르시오  .   " + "나" * n, None, {"1": "a", "2": "b", "3": "c", "4": "d", "5": "e"}, "", True)]) for n in (49, 50)]
+    seg = spark.createDataFrame([(f"{d}{k}", p, q) for k, (d, p, q) in enumerate(rows)], S.SCHEMA)
+    assert [(r["doc_id"], r["type"]) for r in S.issues(seg).collect()] == [("d1", "stem_bogi_merged")]
+
+
+def test_first_free_labels_and_range_marks(spark):
+    from folioforge.operators import correct as V
+
+    assert V.free_labels(["A"], ["A", "B", "b", "?", ""]) == ["B", "C", "D", "E", "F"] and V.free_labels(list(V.LABELS), ["A"]) == [None]
+    r = V.label_ranges(spark.createDataFrame([("d", 2, "A"), ("d", 1, "A"), ("e", 1, "C")], "doc_id string, pos int, label string"), spark.createDataFrame([("d", ["B"])], "doc_id string, labels array<string>"))
+    assert sorted((x["doc_id"], x["pos"], x["actual"]) for x in r.collect()) == [("d", 1, "A"), ("d", 2, "C"), ("e", 1, "C")]
+    text = "처음 글이 있고 가나다라 마바사 끝난다 그리고 한참 더 이어지는 글이 뒤에 있다"
+    assert V.mark_range(text, "A", "가나다라", "마바사") == text.replace("가나다라 마바사", "[A:START]\n가나다라 마바사\n[A:END]")
+    assert V.mark_range(text, "A", "처음", "뒤에 있다") == text and V.mark_range("① 가나 다라 " * 4, "A", "가나", "다라").startswith("① 가나")
+    rows = spark.createDataFrame([("d", text, ["글이"], [("A", "가나다라", "마바사")])], "doc_id string, text string, phrases array<string>, ranges array<struct<label:string,start:string,end:string>>")
+    assert V.structured(rows).first()["text"].startswith("처음 <u>글이</u> 있고 [A:START]\n가나다라")
+
+
+def test_image_places(spark):
+    from folioforge.operators import correct as V
+
+    a = spark.createDataFrame([("d", "p1", "앞의 글 하나 <img src='x'> 뒤 또 다른 말 <img src='y'>"), ("d", "p2", "글 <img src='x'>")], "doc_id string, passage_id string, content string")
+    b = spark.createDataFrame([("d", "p1", "앞의 글 하나 [그림] 뒤 xyz0123456789abc [그림]"), ("d", "p2", "[그림] [그림]")], "doc_id string, passage_id string, text string")
+    assert [(r["passage_id"], r["n"]) for r in V.image_places(a, b).collect()] == [("p1", 2)]
+
+
+def test_the_whole_job(spark):
+    docs = spark.createDataFrame([("d", D1), ("n", None)], "doc_id string, text string")
+    read = [("d", 1, "1. 윗글에 대한 설명으로 적절한 것은?", {"1": "가", "2": "나"}), ("d", 2, "2. <보기>를 참고할 때 알맞은 것은? [3점]", {"5": "E"})]
+    got = {r["doc_id"]: r.asDict() for r in S.process(docs, spark.createDataFrame(read, "doc_id string, number int, stem string, choices map<string,string>")).collect()}
+    assert got["d"] == {"doc_id": "d", "n_passages": 1, "n_questions": 2, "n_patched": 0, "n_issues": 0, "passed": True, "fixed": 1, "refused": 0, "open": 0}
+    assert got["n"]["n_questions"] == 0 and got["n"]["passed"]
+

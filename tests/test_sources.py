@@ -31,7 +31,7 @@ def test_double_encoded_questions(spark):
     got = [r["q"] for r in spark.createDataFrame(rows, "s string").select(T.questions_of(F.col("s")).alias("q")).collect()]
     assert [None if x is None else x[0]["number"] for x in got] == [3, 3, None, None]
     fixed = spark.createDataFrame([('```json\n{"a": "x\ny"}\n```',)], "s string").select(F.from_json(T.repair_json(F.col("s")), "a string").alias("r")).first()["r"]
-    assert fixed["a"] == "x y"
+    assert fixed["a"] == "x\ny"
 
 
 def test_reports_and_listing(spark, tmp_path):
@@ -61,7 +61,7 @@ def test_mutations(spark):
     assert T.cascade(t, ids, "job_id")["jobs"].count() == 1 and T.cascade(t, ids, "job_id")["other"].count() == 2
     assert [tuple(r) for r in T.reference_counts(t, ids, "job_id").collect()] == [("jobs", 1, 1)]
     r = spark.createDataFrame([('{"a":"1","b":"2"}', " 7 ", " ")], "d string, n string, e string").select(T.set_json_key(F.col("d"), "a", F.lit(9)).alias("d"), T.form_int(F.col("n")).alias("n"), T.form_text(F.col("e")).alias("e")).first()
-    assert json.loads(r["d"]) == {"a": "9", "b": "2"} and r["n"] == 7 and r["e"] is None
+    assert json.loads(r["d"]) == {"a": 9, "b": "2"} and r["n"] == 7 and r["e"] is None
     assert T.report_lines(spark.createDataFrame([(1, None)], "a int, b int"), ["a", "b"])[-1] == "| 1 |  |"
 
 
@@ -94,3 +94,31 @@ def test_layout_source(spark, tmp_path):
     many = spark.createDataFrame([("d", n, "화법과 작문" if n == 3 else "언어와 매체" if n == 5 else "x") for n in range(12)], "doc_id string, page_no int, text string")
     assert [r["doc_id"] for r in L.combined_exams(many).collect()] == ["d"]
     assert {r["section"]: len(r["pages"]) for r in L.page_classes(many).collect()} == {"hwajak": 1, "eonmae": 1, "common": 10}
+
+
+def test_snapshot_documents_and_apply(spark, tmp_path):
+    snap = spark.createDataFrame([("a", "x", "f1"), ("a", "x", "f2"), ("a", "y", "f3"), ("b", "x", "f4")], "filename string, category string, fingerprint string")
+    T.write_snapshot(snap, str(tmp_path / "s"))
+    files = {r["filename"]: r for r in spark.read.json(str(tmp_path / "s" / "files")).collect()}
+    assert files["a"]["total"] == 3 and files["a"]["counts"]["x"] == 2 and files["a"]["warnings"]["x"] == ["f1", "f2"]
+    assert spark.read.json(str(tmp_path / "s" / "summary")).first()["total"] == 4
+    path = str(tmp_path / "t")
+    snap.write.parquet(path)
+    assert T.apply(spark.read.parquet(path).where("filename = 'a'"), path).count() == 3 and spark.read.parquet(path).count() == 4
+    assert T.apply(spark.read.parquet(path).where("filename = 'a'"), path, dry_run=False).count() == 3 == spark.read.parquet(path).count()
+
+
+def test_numbering_in_ranges_and_texts_held_whole(spark):
+    from folioforge.operators import joins as J
+    from folioforge.operators import sequences as Q
+
+    rows = spark.createDataFrame([(i * 7, "s" if i % 3 else None) for i in range(50)], "doc_id long, source string")
+    got = {(r["source"], r["doc_id"]): r["n"] for r in Q.numbered(rows, ["source"], "doc_id", "n", 20).collect()}
+    for s in ("s", None):
+        ids = sorted(d for x, d in got if x == s)
+        assert [got[s, d] for d in ids] == list(range(1, len(ids) + 1))
+    docs = [(1, "xa b c d ey\nz"), (2, "a b c"), (3, None), (4, "one two")]
+    items = [(1, "a b c d e"), (2, "two"), (3, "a b c d f"), (4, None), (5, "a\tb c d e")]
+    r = J.containing(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, x string"), "d", "t", "i", "x").collect()
+    assert sorted((x["d"], x["i"]) for x in r) == [(1, 1), (4, 2)]
+
