@@ -41,13 +41,13 @@ UNIGRAM, BPE = 1, 2
 #: The format's penalty of an unknown character below the least score.
 UNKNOWN_PENALTY = 10.0
 #: Paths and piece pairs that a Python worker remembers at most (each; about 200 bytes).
-CACHE = 150_000
+CACHE = 80_000
 #: Piece pairs that a Python worker remembers beside that: two to this power.
-PAIR_BITS = 20
-#: Longer parts are relaxed one at a time; of others so many side by side.
-LONG, BLOCK = 48, 4096
+PAIR_BITS = 19
+#: Longer parts are relaxed one at a time; of others so many side by side that their lattices have so many places.
+LONG, PLACES = 48, 300_000
 #: Documents and bytes of text that are encoded together.
-BATCH_DOCS, BATCH_BYTES = 2000, 4 << 20
+BATCH_DOCS, BATCH_BYTES = 500, 1 << 20
 _U = np.uint64
 
 
@@ -391,8 +391,9 @@ class Transducer:
             by_size.setdefault(len(x), []).append(x)
         sizes = []
         for n, some in by_size.items():
-            for a in range(0, len(some), BLOCK):
-                block = some[a : a + BLOCK]
+            width = max(64, PLACES // (min(n, self.longest) * n))
+            for a in range(0, len(some), width):
+                block = some[a : a + width]
                 if n <= LONG:
                     ids, size = self.shortest_paths(block)
                 else:

@@ -41,9 +41,8 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert {r["doc_id"]: r["text"] or "" for r in out.collect()} == want and out.columns == names
 
     one = near(spark, out, sf_dir).cache()
-    comp = brute_components([(r["doc_id"], r["text"]) for r in out.collect()]) if out.count() < 260 else None
-    if comp:
-        assert {r["doc_id"] for r in one.collect()} == {i for i, c in comp.items() if i == c}
+    comp = brute_components([(r["doc_id"], r["text"]) for r in out.collect()])
+    assert {r["doc_id"] for r in one.collect()} == {i for i, c in comp.items() if i == c}
     assert one.columns == names
 
     clean = bench(spark, one, sf_dir).cache()
