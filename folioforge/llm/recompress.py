@@ -69,7 +69,7 @@ def anchors(name: np.ndarray, w: int = WINDOW, rounds: int = ROUNDS) -> np.ndarr
     sums = np.zeros(n + 1, _U)
     np.cumsum(tk.mix(name) * up[:n], out=sums[1:])
     lo = hi = np.arange(n)
-    entries = []  # by level: length and start of what a symbol was made from, and its key (a hash of it all)
+    entries: list[list[tuple]] = [[] for _ in range(w + 1)]  # by length: starts of what symbols of one level were made from, and their keys (hashes of it all)
     for level in range(rounds + 1):
         if level:
             # runs: a symbol is known to end a run only with its neighbours
@@ -100,14 +100,19 @@ def anchors(name: np.ndarray, w: int = WINDOW, rounds: int = ROUNDS) -> np.ndarr
             break
         s, length = lo[ok], span[ok]
         h = tk.mix((sums[s + length] - sums[s]) * down[s] + _SEED[20 + level] * length.astype(_U))
-        entries.append((length, s, ((length >= PREFERRED[0]) & (length <= PREFERRED[1])).astype(_U) << _U(60) | h >> _U(4)))
+        key = ((length >= PREFERRED[0]) & (length <= PREFERRED[1])).astype(_U) << _U(60) | h >> _U(4)
+        order = np.argsort(length.astype(np.int16), kind="stable")
+        s, key = s[order], key[order]
+        end = np.cumsum(np.bincount(length, minlength=w + 1))
+        for d in range(1, w + 1):
+            if end[d] > end[d - 1]:
+                entries[d].append((s[end[d - 1] : end[d]], key[end[d - 1] : end[d]]))
     best = np.zeros(n, _U)
     for d in range(1, w + 1):
         if d > 1:
-            best[:-1] = np.maximum(best[:-1], best[1:])
-        for length, s, key in entries:
-            here = length == d
-            best[s[here]] = np.maximum(best[s[here]], key[here])
+            np.maximum(best[:-1], best[1:], out=best[:-1])
+        for s, key in entries[d]:
+            best[s] = np.maximum(best[s], key)
     return best
 
 
