@@ -134,10 +134,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return lab
 
 
-def mixed(rows: DataFrame) -> DataFrame:
-    """The rows (band, doc_id, label, n) of bands that hold two components or more, and the least set size in the band."""
-    some = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("band", "least")
-    return rows.join(some, "band")
+def mixed(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows (band, doc_id, label, n) of bands that hold two components or more, and the least set size in the band. A band of
+    very many rows isn't gathered: its least size is sent to where they lie."""
+    rows = scratch.put(rows, f"{name}-all")
+    some = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.count(F.lit(1)).alias("times"))
+    some = scratch.put(some.where("lo < hi").select("band", "least", "times"), f"{name}-bands")
+    return join_hot(rows, some, ["band"], "inner", "times")
 
 
 def prune(rows: DataFrame, docs: DataFrame, scratch: Scratch, times: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -157,8 +160,8 @@ def prune(rows: DataFrame, docs: DataFrame, scratch: Scratch, times: int = 2) ->
         c = F.col("n") - F.coalesce("alone", F.lit(0))
         floor = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
         left = rows.drop("c").join(alone, "doc_id", "left").withColumn("c", c).where(F.col("c") * (100 + PERCENT) >= (F.col("n") + floor) * PERCENT)
-        rows = scratch.put(mixed(left.drop("least", "alone")), f"mixed-{i}")
-        scratch.drop(f"mixed-{i - 1}")
+        rows = scratch.put(mixed(left.drop("least", "alone"), scratch, f"left-{i}"), f"mixed-{i}")
+        scratch.drop(f"mixed-{i - 1}", f"left-{i}-all", f"left-{i}-bands")
         keep = scratch.put(rows.select("doc_id").distinct(), f"mixed-ids-{i}")
         sh = scratch.put(sh.join(small(keep), "doc_id", "left_semi"), f"mixed-shingles-{i}")
         scratch.drop(f"mixed-shingles-{i - 1}")
@@ -220,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = components(links, scratch, "cc1")
 
     of = bucket.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    rows = mixed(of.join(sk.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id"))
+    rows = mixed(of.join(sk.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id"), scratch, "placed")
     cross = across(*prune(rows, docs, scratch), known)
     cross = scratch.put(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
