@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import load, ship
 from . import textkernel as tk
-from .scratch import Scratch, free, join_hot, others, small
+from .scratch import Scratch, free, join_hot, others, small, spread
 
 #: Words from which on the edit bound of a line is 1.
 NEAR_WORDS = 8
@@ -192,8 +192,10 @@ def _near(docs: DataFrame, lines: DataFrame, classes: DataFrame, scratch: Scratc
     pairs = scratch.put(pairs.select(*cols).unionByName(after.select(*cols)).unionByName(before.select(*cols)).distinct(), "pairs")
 
     of = texts.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
-    mate = of.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), F.col("text").alias("mate"))
-    near = pairs.join(of, ["h1", "h2"]).join(mate, ["m1", "m2"]).select("h1", "h2", line_words(F.col("text")).alias("a"), line_words(F.col("mate")).alias("b")).where(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
+    # one line may be the mate of very many
+    pairs = pairs.select("h1", "h2", F.struct("m1", "m2").alias("m"))
+    mate = of.select(F.struct(F.col("h1").alias("m1"), F.col("h2").alias("m2")).alias("m"), F.col("text").alias("mate"))
+    near = spread(pairs, mate, "m", "h1", pairs).join(of, ["h1", "h2"]).select("h1", "h2", line_words(F.col("text")).alias("a"), line_words(F.col("mate")).alias("b")).where(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
     return scratch.put(near, "near")
 
 
