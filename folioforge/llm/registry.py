@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, linedup, neardup, recompress, sentencepiece_wfst, tokencounts, toxicity, warc
+from . import decontaminate, fingerprint, importance, language, linedup, neardup, recompress, sentencepiece_wfst, tokencounts, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": (sentencepiece_wfst.op1_sentencepiece, None),
@@ -14,5 +14,6 @@ QUERIES = {
     "op3_language": (language.op3_language, None),
     "op9_linedup": (linedup.op9_linedup, linedup.ORACLE_SQL),
     "op6_tokencounts": (tokencounts.op6_tokencounts, None),
+    "op11_importance": (importance.op11_importance, importance.ORACLE_SQL),
     "op5_warc": (warc.op5_warc, warc.ORACLE_SQL),
 }
