@@ -74,8 +74,7 @@ def test_suffix_array_and_common_prefixes():
 
 
 @pytest.mark.parametrize("n,buckets,percent,min_words", [(1, 10_000, 10, 20), (2, 300, 37, 5), (3, 70_000, 100, 0), (1, 50, 0, 20)])
-def test_against_the_definition(spark, n, buckets, percent, min_words, monkeypatch):
-    monkeypatch.setattr(im, "BLOCK_BYTES", 700)
+def test_against_the_definition(spark, n, buckets, percent, min_words):
     docs = list(enumerate(_texts(1, 90) + brute.ODD_TEXTS + [t.upper() for t in brute.ODD_TEXTS if t])) + [(None, "one two " * 20)]
     target = _texts(2, 20) + [None, ""]
     got = im.resample(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(t,) for t in target], "text string"), n, buckets, percent, min_words)
@@ -95,8 +94,17 @@ def test_repeated_rows_hot_scores_and_clashing_names(spark):
     assert im.resample(df, target.limit(0)).where("rank is not null").count() == 10
 
 
-def test_very_long_text_crosses_blocks(spark, monkeypatch):
-    monkeypatch.setattr(tk, "BLOCK", 1 << 10)
+@pytest.mark.parametrize("block", [64, 1 << 10, 1 << 20])
+def test_blocks_of_the_hashing_kernel(block, monkeypatch):
+    texts = ["lorem Ipsum é " * 300 + "x" * 5000, "", "lorem " + "好" * 700] + _texts(3, 40)
+    want = im.ngram_buckets(*tk.joined(texts), 2, 5000)
+    monkeypatch.setattr(tk, "BLOCK", block)
+    monkeypatch.setattr(tk, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    for a, b in zip(im.ngram_buckets(*tk.joined(texts), 2, 5000), want, strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_very_long_text(spark):
     docs = [(1, "lorem Ipsum é " * 3000 + "x" * 5000), (2, "lorem")]
     got = im.resample(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([("lorem",)], "text string"))
     assert _got(got) == plain(docs, ["lorem"])
