@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chatformat, decontaminate, fingerprint, importance, language, linedup, neardup, recompress, sentencepiece_wfst, tokencounts, toxicity, warc
+from . import chatformat, decontaminate, fingerprint, importance, language, linedup, neardup, recompress, sentencepiece_wfst, spelling, tokencounts, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": (sentencepiece_wfst.op1_sentencepiece, None),
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_linedup": (linedup.op9_linedup, linedup.ORACLE_SQL),
     "op6_tokencounts": (tokencounts.op6_tokencounts, None),
     "op11_importance": (importance.op11_importance, importance.ORACLE_SQL),
+    "op12_spelling": (spelling.op12_spelling, spelling.ORACLE_SQL),
     "op13_chat": (chatformat.op13_chat, chatformat.ORACLE_SQL),
     "op5_warc": (warc.op5_warc, warc.ORACLE_SQL),
 }
