@@ -38,17 +38,6 @@ def auto_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.patch_documents(s, docs).select("doc_id", F.size("questions").alias("n_questions"), F.size("patch_log").alias("n_log"))
 
 
-@query("verify_correct")
-def verify_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as passages, and a second reading of them with every fifth word in capitals."""
-    from ..operators import correct as V
-
-    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("string").alias("passage_id"), F.concat(F.col("turn"), F.lit("~"), F.col("turn") + 1).alias("question_range"), F.col("text").alias("content"))
-    words = F.transform(F.split("content", " "), lambda w, i: F.when(i % 5 == 4, F.upper(w)).otherwise(w))
-    read = c.select("doc_id", F.col("passage_id").cast("int").alias("read_id"), "question_range", F.array_join(words, " ").alias("text"))
-    return V.accept(V.verify_passages(c, read)).groupBy("kind", "refused").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("question_anchors")
 def question_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import correct as V
