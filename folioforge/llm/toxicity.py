@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import load, ship
 from . import textkernel as tk
-from .scratch import free, others
+from .scratch import Scratch, free, others
 
-#: Labelled documents that a model is fitted on at most.
+#: Labelled rows that a model is fitted on at most, and bytes of their texts, each of which is learnt from as a whole.
 SAMPLE = 12000
-#: Features of one document that are learnt from at most: those of least hash, which are the same ones in every document.
-MOST = 8000
+SAMPLE_BYTES = 80 << 20
 #: A feature must stand in so many documents of the sample.
 MIN_DOCS = 3
 THRESHOLD = 0.3
@@ -120,15 +119,18 @@ def sample_labels(labels: DataFrame, n: int = SAMPLE) -> DataFrame:
     return rows.orderBy(h, "doc_id").limit(n)
 
 
-def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, most: int = MOST) -> Weights:
-    """Fit on a bounded sample: at most n documents, of each at most the `most` features of least hash.
+def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Weights:
+    """Fit on a bounded sample: at most n distinct rows (doc_id, text) with a label, in the order of a hash of both, those left out
+    with which the texts would have more than most_bytes.
 
-    Executors make the features, the driver gets only them: 4 * n * most bytes at most. Labels of null or held-out ids and
-    null labels are not learnt; a null or empty text has no features; rows that repeat an id are rows of their own. Without
-    a labelled document the weights reject nothing. Other columns are ignored.
+    Executors make the features, the driver gets only those of the sample: about twice most_bytes. Labels of null or held-out ids and
+    null labels are not learnt; a null or empty text has no features; rows that repeat an id with other texts are rows of their
+    own, those that repeat both count once. Without a labelled document the weights reject nothing. Other columns are ignored.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample_labels(labels, n)), "doc_id")
+    picked = picked.select("doc_id", "toxic", F.expr("xxhash64(doc_id, text) & 9223372036854775807").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,14 +140,26 @@ def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, most: int = MOST)
                 ids, doc = features(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 pair = np.unique((doc.astype(np.uint64) << np.uint64(32)) | ids)  # by document, then by hash
                 cut = np.searchsorted(pair >> np.uint64(32), np.arange(b - a + 1).astype(np.uint64))
-                out += [(pair[x : min(y, x + most)] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "toxic", "ids"])
-
-    rows = picked.mapInArrow(tk.tidied(run), "doc_id long, toxic int, ids binary").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+                out += [(pair[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h", "size")), batch.column("toxic").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "h", "size", "toxic", "ids"])
+
+    made = picked.mapInArrow(tk.tidied(run), "doc_id long, h long, size long, toxic int, ids binary")
+    scratch = Scratch(spark, "toxicity")
+    table = scratch.put(made.groupBy("doc_id", "h").agg(F.max("toxic").alias("toxic"), F.max("size").alias("size"), F.first("ids").alias("ids")), "features")
+    keys = table.select("h", "doc_id", "size").orderBy("h", "doc_id").limit(n).toArrow()  # n rows of numbers at most
+    keep, total = [], 0
+    for h, i, size in zip(*(keys[c].to_pylist() for c in ("h", "doc_id", "size")), strict=True):
+        if total + size <= most_bytes:
+            keep.append((h, i))
+            total += size
+    if not keep:
+        return ftrl([], np.zeros(0))
+    rows = table.select("doc_id", "h", "toxic", "ids").join(F.broadcast(spark.createDataFrame(keep, "h long, doc_id long")), ["h", "doc_id"]).toArrow()
+    order = np.lexsort((rows["doc_id"].to_numpy(), rows["h"].to_numpy()))
     toxic = rows["toxic"].to_numpy()[order].astype(float)
     ids = [np.frombuffer(rows["ids"][int(j)].as_buffer(), np.uint32) for j in order]  # read where they lie
     del rows
+    scratch.drop()
     out = ftrl(ids, toxic)
     del ids
     tk.tidy()

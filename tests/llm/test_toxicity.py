@@ -113,8 +113,21 @@ def test_columns_that_clash_in_any_case(spark, sf_dir):
     assert out.columns == docs.columns and sorted(r["Score"] or "" for r in out.collect()) == ["", "own"]
 
 
-def test_features_of_a_long_text_are_bounded_for_the_fit(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(300)) + (" scum" if i % 2 else "")) for i in range(40)], "doc_id long, text string")
-    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
-    few, all_ = tx.train(docs, lab, most=10), tx.train(docs, lab)
-    assert len(few.ids) <= 20 and len(all_.ids) >= 1
+def test_the_fit_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    """Many rows of few ids, in any order of arrival: the same bounded sample, so the same model; whole texts are learnt from."""
+    seen = []
+    fit = tx.ftrl
+    monkeypatch.setattr(tx, "ftrl", lambda rows, labels, **kw: seen.append((len(rows), sum(len(r) for r in rows))) or fit(rows, labels, **kw))
+    rows = [(i % 3, f"w{i % 3} common {i} " + ("scum" if i % 3 else "")) for i in range(900)]
+    lab = spark.createDataFrame([(i, 1, int(i > 0)) for i in range(3)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string"
+    a = tx.train(spark.createDataFrame(rows, schema), lab, n=50)
+    b = tx.train(spark.createDataFrame(rows[::-1] + rows[:100], schema).repartition(7), lab, n=50)
+    assert [n for n, _ in seen] == [50, 50] and (a.ids == b.ids).all() and (a.values == b.values).all() and a.bias == b.bias
+    tx.train(spark.createDataFrame(rows, schema), lab, most_bytes=200)
+    assert 0 < seen[-1][0] <= 200 // 10
+    long = [(0, " ".join(f"x{j}" for j in range(20_000)) + " scum"), (1, "fine words"), (2, "more fine words")]
+    tx.train(spark.createDataFrame(long, schema), lab)
+    assert seen[-1][1] > 59_000
+    tx.train(spark.createDataFrame(long, schema), lab, most_bytes=1000)  # a row that doesn't fit is left out as a whole
+    assert seen[-1][0] == 2
