@@ -423,6 +423,14 @@ def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
     return docs.select("doc_id", "text", "copy", "cut").mapInArrow(tk.tidied(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
+def one_a_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs without repeated rows of one id and text: what is found out for one of them goes for all."""
+    again = scratch.put(docs.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_KEY), "again")
+    if again.isEmpty():
+        return docs
+    return docs.join(small(again), _KEY, "left_anti").unionByName(docs.join(small(again), _KEY, "left_semi").dropDuplicates(_KEY))
+
+
 def cut_repeats(docs: DataFrame, kept_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and `kept`: the words, joined by single spaces, under no window that starts in a document of a smaller id.
 
@@ -437,7 +445,7 @@ def cut_repeats(docs: DataFrame, kept_text: bool = True) -> DataFrame:
     same = docs.select("i", "k", F.unhex(F.md5("text")).alias("whole")).where("whole is not null")
     first = scratch.put(same.groupBy("whole").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("times")).where("first < last").select("whole", "first", "times"), "texts")
     copies = scratch.put(join_hot(same, first, ["whole"], "inner", "times").where("i > first").select("i", "k").distinct(), "copies")
-    own = docs.join(small(copies), _KEY, "left_anti")
+    own = one_a_key(docs.join(small(copies), _KEY, "left_anti"), scratch)
 
     occ = scratch.put(occurrences(own), "occurrences")
     shared = scratch.put(dictionary(occ, "anchor").drop("lo"), "anchors")

@@ -137,3 +137,14 @@ def test_rows_of_one_id_and_without_one(spark):
     got = sorted((tuple(r) for r in rc.cut_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
     want = brute_force([(10**6 if i is None else i, t) for i, t in docs])
     assert got == sorted(((None if i == 10**6 else i, *x) for i, *x in want), key=str)
+
+
+def test_repeated_rows_are_worked_on_once(spark):
+    """Rows of one id and text: the lists of a document don't grow with their number."""
+    words = " ".join(f"w{k}" for k in range(600))
+    rows = [(1, words)] + [(None, f"{words} tail {j % 2}") for j in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select(rc.F.coalesce("doc_id", rc.F.lit(rc._LAST)).alias("i"), rc.F.xxhash64("text").alias("k"), "text")
+    assert rc.one_a_key(keyed, rc.Scratch(spark, "t")).count() == 3
+    got = rc.cut_repeats(docs).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["count"]) for r in got) == [(0, 602, 600, 750), (0, 602, 600, 750), (1, 600, 0, 1)]
