@@ -3,20 +3,25 @@
 The ratio is twice the matched characters over both lengths, by longest common blocks with popular characters left out of
 long texts: order of arguments matters. No expression computes it, so it is an Arrow UDF over the standard library; pairs
 are made within a block, and passages are compared on their first 500 characters; where nothing says which texts belong
-together, a small table is compared with every text.
+together, a stated table of items is compared with every text, in blocks. A ratio is only worked out as far as it may matter.
 """
 
 from __future__ import annotations
 
 import difflib
+import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
+from ..session import ship
+from .rows import added
 
 PREFIX = 500
 
@@ -59,20 +64,121 @@ def changes(a: pd.Series, b: pd.Series) -> pd.Series:
     return a.combine(b, one)
 
 
-def best_match(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, left_id: str, right_id: str, least: float, prefix: int | None = None) -> DataFrame:
-    """left_id, right_id, similarity: the most similar right text within the block, if more alike than `least`; ties go to the least id.
-    Whole texts are compared, or their first `prefix` characters."""
-    cut = lambda c: F.col(c) if prefix is None else F.substring(c, 1, prefix)
-    a = left.select(*block, left_id, cut(left_text).alias("__a"))
-    b = right.select(*block, right_id, cut(right_text).alias("__b"))
-    scored = a.join(b, block).select(left_id, right_id, seq_ratio("__a", "__b").alias("similarity"))
-    w = Window.partitionBy(left_id).orderBy(F.desc("similarity"), right_id)
-    return scored.where(F.col("similarity") > least).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+#: Classes of letters that a text's signature counts; items and lines that are compared in one group.
+CLASSES, BLOCK_ITEMS, BLOCK_LINES = 64, 1024, 4096
+
+
+class Bounds:
+    """Lower and upper bounds of difflib's ratio of two texts, narrowed block by block until they say what is asked."""
+
+    def __init__(self) -> None:
+        self.matcher = difflib.SequenceMatcher()
+
+    def second(self, text: str) -> None:
+        self.matcher.set_seq2(text)
+
+    def _most(self, alo: int, ahi: int, blo: int, bhi: int) -> int:
+        """Characters that two stretches can have in common."""
+        if alo >= ahi or blo >= bhi:
+            return 0
+        return sum((Counter(self.matcher.a[alo:ahi]) & Counter(self.matcher.b[blo:bhi])).values())
+
+    def narrow(self, text: str, enough: Callable[[float, float], bool]) -> tuple[float, float]:
+        """Bounds of the ratio of `text` and the second text that are enough, or the ratio, twice. The longest common block of a
+        stretch parts it in two; stretches are looked at in the order of what they may hold."""
+        m = self.matcher
+        m.set_seq1(text)
+        size, same = len(m.a) + len(m.b), 0
+        if not size:
+            return 1.0, 1.0
+        rest = self._most(0, len(m.a), 0, len(m.b))
+        heap = [(-rest, 0, len(m.a), 0, len(m.b))] if rest else []
+        while True:
+            low, high = 2.0 * same / size, 2.0 * (same + rest) / size
+            if not heap or enough(low, high):
+                return low, high
+            most, alo, ahi, blo, bhi = heapq.heappop(heap)
+            rest += most
+            i, j, n = m.find_longest_match(alo, ahi, blo, bhi)
+            same += n
+            for part in ((alo, i, blo, j), (i + n, ahi, j + n, bhi)) if n else ():
+                if k := self._most(*part):
+                    heapq.heappush(heap, (-k, *part))
+                    rest += k
+
+    def ratio(self, text: str, least: float) -> float | None:
+        """The ratio, or null as soon as it is known to be below `least`."""
+        low, high = self.narrow(text, lambda _, most: most < least)
+        return low if low == high and high >= least else None
+
+    def within(self, text: str, cuts: list[float]) -> float:
+        """A number between the same two cuts as the ratio (a cut belongs to what is above it)."""
+        return self.narrow(text, lambda low, high: not any(low < c <= high for c in cuts))[0]
+
+
+def _signature(text: str | None) -> list[int] | None:
+    if text is None:
+        return None
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.bincount(codes % CLASSES, minlength=CLASSES).tolist()
+
+
+def upper_bound(a: Column, b: Column, size: Column) -> Column:
+    """No ratio of texts with these signatures is above it; size is that of both texts."""
+    return F.coalesce(2.0 * F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x) / F.nullif(size, F.lit(0)), F.lit(1.0))
+
+
+def best_match(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, left_id: str, right_id: str, least: float, prefix: int | None = None, inclusive: bool = False) -> DataFrame:
+    """left_id, right_id, similarity: the most similar right text within the block, if more alike than `least` (or as alike, if
+    inclusive); ties go to the least id. Whole texts are compared, or their first `prefix` characters.
+
+    Pairs of a block whose letters alone rule them out are dropped by an expression. The others of one left text are gone
+    through in falling order of that bound with the best ratio so far, and the ratio is only worked out as far as it may win.
+    """
+    cut = lambda c: F.coalesce(F.col(c) if prefix is None else F.substring(c, 1, prefix), F.lit(""))
+    signed = lambda rows, text, n: added(rows.withColumnRenamed(text, n), f"{n}s", T.ArrayType(T.IntegerType()), _signature, n)
+    a = signed(left.select(*block, left_id, cut(left_text).alias("__t")), "__t", "__a")
+    b = signed(right.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(block)), right_id, cut(right_text).alias("__t")), "__t", "__b")
+    bound = upper_bound(F.col("__as"), F.col("__bs"), F.length("__a") + F.length("__b"))
+    pairs = a.join(b, [a[k] == b[f"__k{i}"] for i, k in enumerate(block)]).select(left_id, right_id, "__a", "__b", bound.alias("__most"))
+    pairs = pairs.where(F.col("__most") >= least if inclusive else F.col("__most") > least).sortWithinPartitions(left_id, F.desc("__most"), right_id)
+    schema = T.StructType([left.schema[left_id], right.schema[right_id], T.StructField("similarity", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found, top, held, out = None, None, 0.0, Bounds(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
+                out.clear()
+
+        for batch in batches:
+            for i, j, x, y, most in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is None or at[0] != i:
+                    if found is not None:
+                        out.append((at[0], found[0], top))
+                    at, found, top = (i,), None, least
+                wins = lambda r: r > top or (r == top and (inclusive if found is None else j < found[0]))  # noqa: B023, E731
+                if not wins(most):
+                    continue
+                held.second(y)
+                if (r := held.ratio(x, top)) is not None and wins(r):
+                    found, top = (j,), r
+            yield from flush()
+        if found is not None:
+            out.append((at[0], found[0], top))
+        yield from flush()
+
+    ship(left.sparkSession)
+    best = pairs.mapInArrow(run, schema)  # a left text may stand in several tasks, where a hot block was split
+    one = best.groupBy(left_id).agg(F.min(F.struct((-F.col("similarity")).alias("d"), F.col(right_id).alias("j"))).alias("b"))
+    return one.select(left_id, F.col("b.j").alias(right_id), (-F.col("b.d")).alias("similarity"))
 
 
 class _Items:
-    """A small table of texts, each compared with every text given. `bounds` is difflib's quick_ratio of all at once: no ratio
-    is above it, so what it rules out needn't be scored."""
+    """Texts of one block, each compared with every text given. `most` is difflib's quick_ratio of all at once: no ratio is above it,
+    so what it rules out needn't be scored."""
 
     def __init__(self, texts: list[str]) -> None:
         self.texts, self.size = texts, np.array([len(t) for t in texts], dtype=np.int64)
@@ -80,76 +186,77 @@ class _Items:
         self.place = np.full(0x110000, len(letters), dtype=np.int32)
         self.place[[ord(c) for c in letters]] = np.arange(len(letters))
         self.counts = np.array([[n[c] for c in letters] for n in map(Counter, texts)], dtype=np.int32).reshape(len(texts), len(letters))
-        self.matcher = difflib.SequenceMatcher()
 
-    def bounds(self, line: str) -> np.ndarray:
+    def most(self, line: str) -> np.ndarray:
         codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         n = np.bincount(self.place[codes], minlength=self.counts.shape[1] + 1)[:-1]
-        return 2.0 * np.minimum(self.counts, n).sum(1) / np.maximum(self.size + len(line), 1)
+        both = self.size + len(line)
+        return np.where(both > 0, 2.0 * np.minimum(self.counts, n).sum(1) / np.maximum(both, 1), 1.0)
 
-    def ratios(self, line: str, which: np.ndarray) -> Iterator[tuple[int, float]]:
-        self.matcher.set_seq2(line)
-        for k in which:
-            self.matcher.set_seq1(self.texts[k])
-            yield k, self.matcher.ratio()
 
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt evenly: each costs a ratio with every item, and few bytes of them would be one task."""
-    spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def _in_blocks(items: DataFrame, lines: DataFrame) -> tuple:
+    """Every block of items with every part of the lines, grouped: each pair of both meets once, in groups of BLOCK_ITEMS and
+    BLOCK_LINES rows or so. The items are what is asked for, in blocks; each of them is sent once to every part."""
+    ship(lines.sparkSession)
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    parts = max(4 * lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // BLOCK_LINES))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a = items.withColumn("__block", F.pmod(F.xxhash64(*items.columns), F.lit(blocks))).withColumn("__part", every(parts))
+    b = lines.withColumn("__part", F.pmod(F.xxhash64(*lines.columns), F.lit(parts))).withColumn("__block", every(blocks))
+    return a.groupBy("__block", "__part").cogroup(b.groupBy("__block", "__part"))
 
 
 def best_of_all(items: DataFrame, lines: DataFrame, item_text: str, line_text: str, item_id: str, line_id: str, least: float) -> DataFrame:
     """item_id, line_id, similarity: of all lines the most similar to each item, whole texts, if more alike than `least`; ties
-    go to the least id. Items are few and go to every task; each task returns one row an item at most. Null texts match none."""
-    few = items.where(F.col(item_text).isNotNull()).select(item_id, item_text).collect()
-    ids, texts = [r[0] for r in few], [r[1] for r in few]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not texts:
-            return
-        held, top, found = _Items(texts), np.full(len(texts), least), [None] * len(texts)
-        for b in batches:
-            for line, at in zip(b["line"], b["id"], strict=True):
-                for k, r in held.ratios(line, np.flatnonzero(held.bounds(line) >= top)):
-                    if r > top[k] or (r == top[k] and found[k] is not None and at < found[k]):
-                        top[k], found[k] = r, at
-        got = [k for k in range(len(texts)) if found[k] is not None]
-        if got:
-            yield pd.DataFrame({item_id: [ids[k] for k in got], line_id: [found[k] for k in got], "similarity": [float(top[k]) for k in got]})
-
+    go to the least id. Items are compared in blocks, and each group gives one row an item at most. Null texts match none."""
     schema = T.StructType([items.schema[item_id], lines.schema[line_id], T.StructField("similarity", T.DoubleType())])
-    once = lines.where(F.col(line_text).isNotNull()).groupBy(F.col(line_text).alias("line")).agg(F.min(line_id).alias("id"))
-    w = Window.partitionBy(item_id).orderBy(F.desc("similarity"), line_id)
-    return _spread(once).mapInPandas(best, schema).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
-def reclassified(items: DataFrame, lines: DataFrame, item_text: str, line_text: str, kind: Callable[[float], str], low: float) -> DataFrame:
-    """before, after, count: the classes of the ratio of every item and every line, as they are and in lower case. All ratios
-    below `low` are of one class."""
-    texts = [r[0] for r in items.where(F.col(item_text).isNotNull()).select(item_text).collect()]
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not texts:
-            return
-        plain, small, n = _Items(texts), _Items([t.lower() for t in texts]), Counter()
-
-        def kinds(held: _Items, line: str) -> list[str]:
-            out = [kind(0.0)] * len(texts)
-            for k, r in held.ratios(line, np.flatnonzero(held.bounds(line) >= low)):
-                out[k] = kind(r)
-            return out
-
-        for b in batches:
-            for line, times in zip(b["line"], b["n"], strict=True):
-                for pair in zip(kinds(plain, line), kinds(small, line.lower()), strict=True):
-                    n[pair] += int(times)
-        if n:
-            yield pd.DataFrame([(*pair, v) for pair, v in n.items()], columns=["before", "after", "n"])
 
-    once = lines.where(F.col(line_text).isNotNull()).groupBy(F.col(line_text).alias("line")).agg(F.count(F.lit(1)).alias("n"))
-    return _spread(once).mapInPandas(count, "before string, after string, n long").groupBy("before", "after").agg(F.sum("n").alias("count"))
+    def best(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        held, score, ids = _Items(few["__t"].tolist()), Bounds(), few["__i"].tolist()
+        top, found = np.full(len(ids), least), [None] * len(ids)
+        for line, at in zip(many["__t"], many["__i"], strict=True):
+            most = held.most(line)
+            near = np.flatnonzero(most >= top)
+            if len(near):
+                score.second(line)
+            for k in near[np.argsort(-most[near], kind="stable")]:
+                r = score.ratio(held.texts[k], top[k])
+                if r is not None and (r > top[k] or (found[k] is not None and at < found[k])):
+                    top[k], found[k] = r, at
+        got = [k for k in range(len(ids)) if found[k] is not None]
+        return pd.DataFrame({item_id: [ids[k] for k in got], line_id: [found[k] for k in got], "similarity": [float(top[k]) for k in got]}, columns=schema.names)
+
+    few = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("__i"), F.col(item_text).alias("__t"))
+    once = lines.where(F.col(line_text).isNotNull()).groupBy(F.col(line_text).alias("__t")).agg(F.min(line_id).alias("__i"))
+    each = _in_blocks(few, once).applyInPandas(best, schema)
+    one = each.groupBy(item_id).agg(F.min(F.struct((-F.col("similarity")).alias("d"), F.col(line_id).alias("j"))).alias("b"))
+    return one.select(item_id, F.col("b.j").alias(line_id), (-F.col("b.d")).alias("similarity"))
+
+
+def reclassified(items: DataFrame, lines: DataFrame, item_text: str, line_text: str, cuts: dict[float, str]) -> DataFrame:
+    """before, after, count: the classes of the ratio of every item and every line, as they are and in lower case. cuts names the
+    class from each ratio on; from 0.0 on there must be one. A ratio is worked out as far as its class needs."""
+    edges = sorted(cuts)
+    above = [c for c in edges if c > 0]
+
+    def kinds(held: _Items, score: Bounds, line: str) -> list[str]:
+        out = [cuts[edges[0]]] * len(held.texts)
+        score.second(line)
+        for k in np.flatnonzero(held.most(line) >= above[0]) if above else ():
+            out[k] = cuts[max(c for c in edges if c <= score.within(held.texts[k], above))]
+        return out
+
+    def count(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        texts, n, score = few["__t"].tolist(), Counter(), Bounds()
+        plain, small = _Items(texts), _Items([t.lower() for t in texts])
+        times = few["__n"].tolist()
+        for line, m in zip(many["__t"], many["__n"], strict=True):
+            for pair, w in zip(zip(kinds(plain, score, line), kinds(small, score, line.lower()), strict=True), times, strict=True):
+                n[pair] += int(m) * int(w)
+        return pd.DataFrame([(*pair, v) for pair, v in n.items()], columns=["before", "after", "n"])
+
+    once = lambda rows, text: rows.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    return _in_blocks(once(items, item_text), once(lines, line_text)).applyInPandas(count, "before string, after string, n long").groupBy("before", "after").agg(F.sum("n").alias("count"))
 
 
 def match_passages(stored: DataFrame, read: DataFrame, least: float = 0.3) -> DataFrame:
@@ -170,7 +277,7 @@ def match_questions(stored: DataFrame, read: DataFrame, least: float = 0.55) ->
     s, r = stored.select("doc_id", "number", "stem"), read.select("doc_id", F.col("number").alias("read_number"), F.col("stem").alias("read_stem"))
     same = s.join(r, (s["doc_id"] == r["doc_id"]) & (s["number"] == r["read_number"])).select(s["doc_id"], "number", "read_number", F.lit("number").alias("how"))
     rest = s.join(same, ["doc_id", "number"], "left_anti").withColumn("__key", F.struct("doc_id", "number"))
-    fuzzy = best_match(rest, r, ["doc_id"], "stem", "read_stem", "__key", "read_number", least).select("__key.doc_id", "__key.number", "read_number", F.lit("stem").alias("how"))
+    fuzzy = best_match(rest, r, ["doc_id"], "stem", "read_stem", "__key", "read_number", least, inclusive=True).select("__key.doc_id", "__key.number", "read_number", F.lit("stem").alias("how"))
     none = rest.join(fuzzy, ["doc_id", "number"], "left_anti").select("doc_id", "number", F.lit(None).cast("int").alias("read_number"), F.when(F.length("stem") <= 5, "INFO").otherwise("WARNING").alias("how"))
     return same.unionByName(fuzzy).unionByName(none)
 

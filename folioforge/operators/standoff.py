@@ -9,14 +9,11 @@ gives the blocks that both share, and everything else is read off the blocks by
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
-from ..session import ship
+from .rows import added
 
 #: What marks a text beside its words.
 MARK = r"\[[A-E]:(?:START|END)\]\n?|</?u>|<보기>|<img\b[^>]*/?\s*>\n?|\[그림\]\n?"
@@ -57,19 +54,6 @@ def _pair(a: str, b: str) -> tuple[float, difflib.SequenceMatcher]:
     return m.ratio(), m
 
 
-def added(rows: DataFrame, name: str, kind: T.DataType, f: Callable, *columns: str) -> DataFrame:
-    """rows with a column of f of the named columns, in Python by Arrow batches; all other columns pass as they are."""
-    ship(rows.sparkSession)
-    names, arrow = [*rows.columns, name], to_arrow_type(kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [f(*x) for x in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], names=names)
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, kind)]))
-
-
 def _alike(forms: dict) -> dict | None:
     """The greatest ratio of two texts as they are, without passage headers and in the form for comparison; whether headers were
     left out for it, the ratio without references, and the blocks."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
 from . import similarity as M, standoff as O
+from .rows import added
 
 CORRECTION = "struct<kind:string,field:string,message:string,original:string,corrected:string>"
 # The labels of ranges, and signs that stand for them.
@@ -291,7 +292,7 @@ def verify_passages(stored: DataFrame, read: DataFrame, clips: DataFrame | None
     else:
         rows = rows.join(clips.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("label", "text"))).alias("clips")), "doc_id", "left").withColumn("clips", F.coalesce("clips", F.array().cast("array<struct<label:string,text:string>>")))
 
-    rows = O.added(rows, "named", NAMED, _relabelled, "content").withColumn("content_", F.col("named.text"))
+    rows = added(rows, "named", NAMED, _relabelled, "content").withColumn("content_", F.col("named.text"))
     rows = _compared(rows, "content_", "text", PASSAGE_FIXED)
     rows = rows.withColumn("range_", _ranges()).withColumn("line_", _lines()).withColumn("doubted", _underlined())
     signs = O.taken_apart(F.coalesce("text", F.lit("")))
@@ -307,8 +308,8 @@ def verify_passages(stored: DataFrame, read: DataFrame, clips: DataFrame | None
         F.array(F.struct(F.when(_given(F.col("box")), F.col("box_now")).alias("a"), tx.strip(F.col("box")).alias("b"))),
         F.transform("contexts", lambda c: F.struct(F.nullif(c["a"], F.lit("")).alias("a"), F.nullif(c["b"], F.lit("")).alias("b"))),
     )
-    rows = O.added(rows.withColumn("pairs_", pairs.cast(PAIRS)), "r", RATIOS, O.ratio_of_pairs, "pairs_").drop("pairs_")
-    rows = O.added(rows, "sure", T.ArrayType(T.BooleanType()), confirmed, "doubted", "underlines")
+    rows = added(rows.withColumn("pairs_", pairs.cast(PAIRS)), "r", RATIOS, O.ratio_of_pairs, "pairs_").drop("pairs_")
+    rows = added(rows, "sure", T.ArrayType(T.BooleanType()), confirmed, "doubted", "underlines")
     n = F.size("range_")
     rows = rows.withColumn("range_", F.zip_with("range_", F.slice("r", 1, n), lambda g, r: _range_correction(g, r, F.size("pictures") > 0)))
     put = F.filter("range_", lambda g: g["set"])
@@ -412,7 +413,7 @@ def verify_questions(stored: DataFrame, read: DataFrame) -> DataFrame:
     entries = F.array_sort(F.map_entries(F.coalesce("r_choices", F.create_map().cast("map<string,string>"))))
     now = lambda k: F.nullif(F.try_element_at(F.coalesce("choices", F.create_map().cast("map<string,string>")), k), F.lit(""))
     pair = lambda e: F.struct(e["key"].alias("k"), now(e["key"]).alias("now"), e["value"].alias("read"), clean_choice(now(e["key"])).alias("a"), clean_choice(e["value"]).alias("b"), trailing_junk(now(e["key"])).alias("junk"))
-    rows = O.added(rows.withColumn("pairs", F.transform(entries, pair).cast(CHOICES)), "cr", RATIOS, O.ratio_of_pairs, "pairs")
+    rows = added(rows.withColumn("pairs", F.transform(entries, pair).cast(CHOICES)), "cr", RATIOS, O.ratio_of_pairs, "pairs")
     fixes, choices = _choice_corrections()
     rows = rows.withColumn("choice_fixes", fixes).withColumn("choices_now", choices).withColumn("bogi_", tx.strip(F.coalesce("bogi", F.lit("")))).withColumn("box_", tx.strip(F.coalesce("r_box", F.lit(""))))
     rows = _compared(rows.drop("stem_before"), "bogi_", "box_", BOX_FIXED)
