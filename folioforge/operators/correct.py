@@ -1,4 +1,4 @@
-"""Verification of stored passages and questions against a second reading, and the corrections that follow from it."""
+"""Anchors, underlines, labelled ranges and picture places of single texts, and which corrections are accepted."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from . import similarity as M
-
-CORRECTION = ["doc_id", "kind", "location", "field", "message", "original", "corrected"]
-
+from .rows import added
 
 def anchor(text: str | None, phrase: str | None) -> int:
     """Place of a phrase in a text, or -1: as it is, with any white space between its parts, without a leading quote, and at
@@ -33,15 +31,21 @@ def find_anchor(text: pd.Series, phrase: pd.Series) -> pd.Series:
     return text.combine(phrase, anchor)
 
 
+def loosely(phrase: str, most: int) -> re.Pattern | None:
+    """A pattern of the first `most` characters of a phrase, with any white space between its words."""
+    words = phrase.strip()[:most].split()
+    return re.compile(r"\s+".join(map(re.escape, words))) if words else None
+
+
 def underline(text: str | None, phrases: list[str] | None) -> str | None:
-    """Text with <u> around the first occurrence of each phrase that isn't underlined yet."""
+    """Text with <u> around the first place of each phrase (its first 25 characters, with any white space) that isn't underlined yet,
+    which its first 10 characters tell."""
     for p in phrases if phrases is not None else []:
         p = (p or "").strip()
-        if not text or len(p) < 2 or re.search(rf"<u>[^<]*{re.escape(p)}", text):
+        if not text or len(p) < 2 or re.search(rf"<u>[^<]*{re.escape(p[:10])}[^<]*</u>", text):
             continue
-        at = text.find(p)
-        if at >= 0:
-            text = f"{text[:at]}<u>{p}</u>{text[at + len(p) :]}"
+        if m := loosely(p, 25).search(text):
+            text = f"{text[: m.start()]}<u>{m[0]}</u>{text[m.end() :]}"
     return text
 
 
@@ -65,36 +69,6 @@ def page_underlines(passages: DataFrame, marks: DataFrame) -> DataFrame:
     return p.join(m, (F.col("p.doc_id") == F.col("m.doc_id")) & (F.col("p.page_no") == F.col("m.page_no")) & stands).select("p.doc_id", "p.passage_id", "m.phrase")
 
 
-def verify_passages(stored: DataFrame, read: DataFrame) -> DataFrame:
-    """Corrections of passages: stored (doc_id, passage_id, question_range, content), read (doc_id, read_id, question_range, text)."""
-    matched = M.match_passages(stored, read).drop("similarity")
-    both = stored.join(matched, ["doc_id", "passage_id"], "left").join(read.select("doc_id", "read_id", "text"), ["doc_id", "read_id"], "left")
-    a, b = tx.comparable(tx.drop_structure(F.col("content"))), tx.comparable(tx.drop_structure(F.col("text")))
-    both = both.withColumn("a", a).withColumn("b", b).withColumn("sim", F.when(F.col("text").isNotNull(), tiered_ratio(F.col("content"), F.col("text"))))
-    kind = F.when(F.col("text").isNull(), "WARNING").otherwise(M.text_verdict(F.col("a"), F.col("b"), F.col("sim")))
-    both = both.withColumn("kind", kind).where("kind <> 'NONE'")
-    note = F.when(F.col("text").isNull(), "대응하는 PDF 지문을 찾지 못했습니다").when(F.col("kind") == "FIXED", M.changes("a", "b")).otherwise(F.format_string("텍스트 불일치 %.2f", "sim"))
-    return both.select("doc_id", "kind", F.concat(F.lit("지문 "), "passage_id").alias("location"), F.lit("content").alias("field"), note.alias("message"), F.col("content").alias("original"), F.when(F.col("kind") == "FIXED", M.patched("content", "text")).alias("corrected"))
-
-
-def verify_questions(stored: DataFrame, read: DataFrame) -> DataFrame:
-    """Corrections of stems and choices: stored and read have doc_id, number, stem, choices (a map)."""
-    matched = M.match_questions(stored, read)
-    lost = matched.where("read_number is null").select("doc_id", F.col("how").alias("kind"), F.concat(F.lit("문항 "), "number").alias("location"), F.lit("stem").alias("field"), F.lit("PDF에서 해당 문항을 찾지 못했습니다").alias("message"), F.lit(None).cast("string").alias("original"), F.lit(None).cast("string").alias("corrected"))
-    r = read.select("doc_id", F.col("number").alias("read_number"), F.col("stem").alias("r_stem"), F.col("choices").alias("r_choices"))
-    both = stored.join(matched.where("read_number is not null"), ["doc_id", "number"]).join(r, ["doc_id", "read_number"])
-    at = F.concat(F.lit("문항 "), "number")
-    stems = both.withColumn("a", tx.comparable(F.col("stem"))).withColumn("b", tx.comparable(F.col("r_stem"))).withColumn("sim", M.seq_ratio("a", "b"))
-    stems = stems.withColumn("kind", M.text_verdict(F.col("a"), F.col("b"), F.col("sim"))).where("kind <> 'NONE'")
-    stems = stems.select("doc_id", "kind", at.alias("location"), F.lit("stem").alias("field"), M.changes("a", "b").alias("message"), F.col("stem").alias("original"), F.when(F.col("kind") == "FIXED", M.patched("stem", "r_stem")).alias("corrected"))
-    ch = both.select("doc_id", "number", "r_choices", F.explode("choices").alias("k", "v")).withColumn("r", F.element_at("r_choices", F.col("k"))).where("r is not null")
-    ch = ch.withColumn("sim", M.seq_ratio(tx.squeeze(F.col("v")), tx.squeeze(F.col("r"))))
-    skip = ch.groupBy("doc_id", "number").agg(F.avg("sim").alias("mean")).where("mean < 0.35").select("doc_id", "number")
-    ch = ch.join(skip, ["doc_id", "number"], "left_anti").withColumn("verdict", M.choice_verdict(F.col("sim"), F.col("v").contains("\n"))).where("verdict <> 'OK'")
-    ch = ch.select("doc_id", F.when(F.col("verdict") == "WARNING", "WARNING").otherwise("FIXED").alias("kind"), at.alias("location"), F.concat(F.lit("choices."), "k").alias("field"), F.format_string("선택지 불일치 %.2f", "sim").alias("message"), F.col("v").alias("original"), F.when(F.col("verdict") != "WARNING", F.col("r")).alias("corrected"))
-    return lost.unionByName(stems).unionByName(ch)
-
-
 def accept(corrections: DataFrame) -> DataFrame:
     """Corrections with the reason to refuse them, if there is one."""
     return corrections.withColumn("refused", F.when(F.col("corrected").isNotNull(), tx.acceptance(F.col("original"), F.col("corrected"))))
@@ -103,60 +77,79 @@ def accept(corrections: DataFrame) -> DataFrame:
 LABELS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def free_labels(used: list[str], proposed: list[str]) -> list[str | None]:
+def free_labels(used: list[str], proposed: list[str], set_: list[bool] | None = None) -> list[str | None]:
     """The label each range gets, in order: the one proposed if none has it yet, else the first that is free, else none. What is no
-    letter counts as A."""
+    letter counts as A. A label is taken once its range is set; set_ tells which are (all without it)."""
     taken, out = set(used), []
-    for p in proposed:
+    for k, p in enumerate(proposed):
         want = (p or "").strip().upper()[:1]
         want = want if want and want in LABELS else "A"
         got = want if want not in taken else next((c for c in LABELS if c not in taken), None)
-        taken.add(got)
+        if set_ is None or set_[k]:
+            taken.add(got)
         out.append(got)
     return out
 
 
 def label_ranges(ranges: DataFrame, used: DataFrame) -> DataFrame:
-    """ranges (doc_id, pos, label) with `actual`; used has doc_id and labels, those that a text has already. A document's ranges
-    are gone through in order, by one small list each."""
-    rows = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("r")).join(used, "doc_id", "left")
+    """ranges (doc_id, pos, label, and perhaps `found`: whether the range is in the text) with `actual`, null for a range that isn't;
+    used has doc_id and labels, those that a text has already. A document's ranges are gone through in order, by one small list."""
+    found = F.coalesce("found", F.lit(False)) if "found" in ranges.columns else F.lit(True)
+    rows = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label", found.alias("found")))).alias("r")).join(used, "doc_id", "left")
 
-    @F.pandas_udf("array<string>")
-    def actual(labels: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([free_labels(list(o) if o is not None else [], list(x)) for x, o in zip(labels, own, strict=True)])
+    def actual(r: list[dict], own: list[str] | None) -> list[str | None]:
+        there = [x["found"] for x in r]
+        return [g if ok else None for g, ok in zip(free_labels(own or [], [x["label"] for x in r], there), there, strict=True)]
 
-    named = rows.withColumn("a", actual(F.transform("r", lambda x: x["label"]), "labels"))
+    named = added(rows, "a", T.ArrayType(T.StringType()), actual, "r", "labels")
     return named.select("doc_id", F.explode(F.arrays_zip("r", "a")).alias("z")).select("doc_id", "z.r.pos", "z.r.label", F.col("z.a").alias("actual"))
 
 
-def mark_range(text: str | None, label: str | None, start: str | None, end: str | None) -> str | None:
-    """text with the marks of a labelled range around what stands from `start` to `end`; as it is if either isn't found, if the range
-    is more than half of it, or if it meets the choices."""
-    if not text or not label or not (start or "").strip() or not (end or "").strip():
-        return text
-    a, b = anchor(text, start), anchor(text, end.strip()[-20:])
-    stop = b + len(end.strip()[-20:])
-    first_choice = min((p for p in map(text.find, "①②③④⑤") if p >= 0), default=len(text))
-    if a < 0 or b < 0 or a >= stop or stop - a > len(text) * 0.5 or stop > first_choice:
+#: Choice marks up to so many characters apart are one zone, which reaches so far behind the last.
+ZONE_GAP, ZONE_TAIL = 800, 100
+
+
+def choice_zones(text: str) -> list[tuple[int, int]]:
+    zones: list[list[int]] = []
+    for m in re.finditer("[①②③④⑤]", text):
+        if zones and m.start() - zones[-1][1] <= ZONE_GAP:
+            zones[-1][1] = m.start()
+        else:
+            zones.append([m.start(), m.start()])
+    return [(a, b + ZONE_TAIL) for a, b in zones]
+
+
+def range_span(text: str | None, start: str | None, end: str | None, zones: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The span from the first place of `start` (20 characters) to the end of the first place of `end` (its last 20), white space
+    loosely; none if either isn't there, or the span is empty, meets a zone, or is more than half of the text."""
+    a, b = loosely(start or "", 20), loosely((end or "").strip()[-20:], 20)
+    x, y = (p.search(text or "") if p else None for p in (a, b))
+    if not x or not y or x.start() >= y.end():
+        return None
+    span = x.start(), y.end()
+    meets = any(p < span[1] and span[0] < q for p, q in zones)
+    return None if meets or span[1] - span[0] > len(text) * 0.5 else span
+
+
+def mark_ranges(text: str | None, ranges: list[dict] | None) -> str | None:
+    """text with the marks of each labelled range (label, start, end) whose span is found, in order; zones are those of the text
+    as it came."""
+    if not text:
         return text
-    return f"{text[:a]}[{label}:START]\n{text[a:stop]}\n[{label}:END]{text[stop:]}"
+    zones, used = choice_zones(text), set(re.findall(r"\[([A-Z]):START\]", text))
+    for r in ranges if ranges is not None else []:
+        (name,), span = free_labels(sorted(used), [r["label"]]), range_span(text, r["start"], r["end"], zones)
+        if name and span:
+            a, b = span
+            text = f"{text[:a]}[{name}:START]\n{text[a:b]}\n[{name}:END]{text[b:]}"
+            used.add(name)
+    return text
 
 
 def structured(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text, phrases, ranges: array of label, start, end) with underlines and range marks put into the text."""
-
-    @F.pandas_udf(T.StringType())
-    def marked(text: pd.Series, ranges: pd.DataFrame) -> pd.Series:
-        out = []
-        for t, rs in zip(text, ranges["r"], strict=True):
-            todo = list(rs) if rs is not None else []
-            names = free_labels(re.findall(r"\[([A-Z]):START\]", t or ""), [r["label"] for r in todo])
-            for r, name in zip(todo, names, strict=True):
-                t = mark_range(t, name, r["start"], r["end"])
-            out.append(t)
-        return pd.Series(out)
-
-    return rows.withColumn("text", marked(underlined("text", "phrases"), F.struct(F.col("ranges").alias("r"))))
+    """rows (doc_id, text, phrases, ranges: array of label, start, end) with underlines, then range marks, put into the text."""
+    put = lambda text, phrases, ranges: mark_ranges(underline(text, phrases), ranges)
+    return added(rows, "text_", T.StringType(), put, "text", "phrases", "ranges").withColumn("text", F.col("text_")).drop("text_")
 
 
 def image_places(stored: DataFrame, read: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Columns that only Python can make, beside columns that pass as they are."""
+"""Columns that only Python can make, beside columns that pass as they are, and tables that are worked out once."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,3 +23,14 @@ def added(rows: DataFrame, name: str, kind: T.DataType, f: Callable, *columns: s
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], names=names)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, kind)]))
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """rows worked out once and written to the checkpoint folder, which all hosts share (a local session without one gets its own)."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        base = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all hosts share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="folioforge-"))
+    return rows.checkpoint()

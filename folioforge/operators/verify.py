@@ -417,8 +417,8 @@ def verify_questions(stored: DataFrame, read: DataFrame) -> DataFrame:
     fixes, choices = _choice_corrections()
     rows = rows.withColumn("choice_fixes", fixes).withColumn("choices_now", choices).withColumn("bogi_", tx.strip(F.coalesce("bogi", F.lit("")))).withColumn("box_", tx.strip(F.coalesce("r_box", F.lit(""))))
     rows = _compared(rows.drop("stem_before"), "bogi_", "box_", BOX_FIXED)
-    added = correction("FIXED", "bogi", F.lit("문항 <보기> 자동 추가"), F.lit("(없음)"), F.substring("box_", 1, 60))
-    box = F.when(~_given(F.col("box_")), None).when(~_given(F.col("bogi_")), added).when(F.col("like.plain") < BOX_SAME, _text_correction("bogi", BOX_FIXED))
+    new_box = correction("FIXED", "bogi", F.lit("문항 <보기> 자동 추가"), F.lit("(없음)"), F.substring("box_", 1, 60))
+    box = F.when(~_given(F.col("box_")), None).when(~_given(F.col("bogi_")), new_box).when(F.col("like.plain") < BOX_SAME, _text_correction("bogi", BOX_FIXED))
     bogi = F.when(box["kind"] == "FIXED", F.when(_given(F.col("bogi_")), F.col("text_after")).otherwise(F.col("box_"))).otherwise(F.col("bogi"))
     short = F.length(F.regexp_replace(F.coalesce("stem", F.lit("")), F.lit(r"(?U)\s"), F.lit(""))) <= 5
     lost = _some(correction(F.when(short, "INFO").otherwise("WARNING"), "stem", F.when(short, "PDF에서 해당 문항을 찾지 못했습니다. stem 부족으로 PDF 비교 불가").otherwise("PDF에서 해당 문항을 찾지 못했습니다. 수동 확인 필요")))

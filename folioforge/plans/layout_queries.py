@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import query
-from ..operators import correct as V, geometry as G, investigate as I, segment as S, similarity as M
+from ..operators import correct as V, geometry as G, investigate as I, job as J, segment as S, similarity as M
 from ..session import load
 from ..sources import layout as L, tables as T
 from . import sql
@@ -139,11 +139,18 @@ def mean_ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.skip_questions(rows).withColumn("mean", F.round("mean", 6))
 
 
-@query("first_free_labels")
+@query("first_free_labels", """WITH RECURSIVE l AS (SELECT l_orderkey AS doc_id, l_partkey * 10 + l_linenumber AS pos, l_returnflag AS label, l_discount >= 0.02 AS found, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey * 10 + l_linenumber) AS k FROM lineitem),
+  u AS (SELECT doc_id, CASE WHEN bool_or(label = 'R') THEN ['R'] ELSE CAST([] AS VARCHAR[]) END AS used FROM l GROUP BY doc_id),
+  s AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, used, CAST(NULL AS VARCHAR) AS actual FROM u
+    UNION ALL SELECT l.doc_id, l.k, CASE WHEN l.found THEN list_append(s.used, g) ELSE s.used END, CASE WHEN l.found THEN g END
+    FROM (SELECT s.doc_id, s.k, s.used FROM s) s JOIN l ON l.doc_id = s.doc_id AND l.k = s.k + 1,
+    LATERAL (SELECT CASE WHEN NOT list_contains(s.used, l.label) THEN l.label ELSE (SELECT min(chr(CAST(65 + i AS INT))) FROM range(26) t(i) WHERE NOT list_contains(s.used, chr(CAST(65 + i AS INT)))) END AS g) x)
+  SELECT doc_id, pos, label, actual FROM s JOIN l USING (doc_id, k)""")
 def first_free_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_partkey * 10 + l_linenumber AS pos", "l_returnflag AS label")
+    """Lines as ranges of their order, one in five of them not found in its text."""
+    li = load(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_partkey * 10 + l_linenumber AS pos", "l_returnflag AS label", "l_discount >= 0.02 AS found")
     used = li.where("label = 'R'").groupBy("doc_id").agg(F.collect_set("label").alias("labels"))
-    return V.label_ranges(li, used).groupBy("label", "actual").agg(F.count(F.lit(1)).alias("n"))
+    return V.label_ranges(li, used)
 
 
 @query("delete_by_ids", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -176,9 +183,24 @@ def form_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("whole_job")
 def whole_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as exams through the whole job; the second reading has every third stem with its first word in capitals."""
+    """Conversations as exams through the whole job; the second reading has every third stem with its first word in capitals, every
+    fourth conversation none, and every other question an answer."""
     from .segment_queries import _exams
 
     docs = _exams(spark, sf_dir)
-    q = S.segment_documents(docs).select("doc_id", F.explode("questions").alias("q")).select("doc_id", "q.number", "q.stem", "q.choices")
-    return S.process(docs, q.withColumn("stem", F.when(F.col("number") % 3 == 0, F.initcap("stem")).otherwise(F.col("stem"))).where("choices is not null"))
+    seen = S.segment_documents(docs.where("doc_id % 4 <> 3"))
+    q = seen.select("doc_id", F.explode("questions").alias("q")).select("doc_id", "q.number", "q.stem", "q.bogi", "q.choices")
+    questions = q.select("doc_id", "number", F.when(F.col("number") % 3 == 0, F.initcap("stem")).otherwise(F.col("stem")).alias("stem"), F.col("bogi").alias("box"), "choices")
+    p = seen.select("doc_id", F.posexplode("passages").alias("seq", "p"))
+    pieces = p.select("doc_id", F.lit(1).alias("page_no"), "seq", F.lit(None).cast("string").alias("question_range"), F.initcap("p.content").alias("text"), F.lit(None).cast("string").alias("box"), F.array().cast("array<string>").alias("underlines"), F.array().cast("array<struct<label:string,text:string>>").alias("ranges"))
+    answers = q.where("number % 2 = 0").select("doc_id", "number", (F.col("number") % 5 + 1).cast("int").alias("answer"), F.lit("").alias("explanation"))
+    return J.run(docs, pieces, questions, answers).summary
+
+
+@query("job_status", """SELECT user_id AS doc_id, arg_max(CASE event_id % 4 WHEN 0 THEN 'segmenting' WHEN 1 THEN 'qa_checking' WHEN 2 THEN 'verifying' ELSE 'reviewing' END, ts) AS status
+  FROM (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY user_id, ts) GROUP BY user_id""")
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of stages by job: of each job the last one."""
+    e = load(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
+    names = F.array(*map(F.lit, (J.SEGMENTING, J.QA, J.VERIFYING, J.REVIEWING)))
+    return J.status_of(e.select(F.col("user_id").alias("doc_id"), F.col("ts").alias("seq"), F.get(names, (F.col("event_id") % 4).cast("int")).alias("status")))

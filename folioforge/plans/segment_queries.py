@@ -38,12 +38,14 @@ def auto_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.patch_documents(s, docs).select("doc_id", F.size("questions").alias("n_questions"), F.size("patch_log").alias("n_log"))
 
 
-@query("question_anchors")
+@query("question_anchors", r"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn, turn + 1 AS n, text || chr(10) || coalesce((SELECT string_agg(substr('①②③④⑤', i + 1, 1) || ' ' || w[i + 2], ' ' ORDER BY i) FROM range(5) r(i) WHERE i + 2 <= len(w)), '') AS body
+    FROM (SELECT *, string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM conversations) c),
+  q AS (SELECT *, CAST(n AS VARCHAR) || '. ' || body AS part FROM t)
+  SELECT doc_id, CAST(n AS INT) AS number, CAST(coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS pos FROM q""")
 def question_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import correct as V
-
+    """Where each numbered question starts in its document."""
     d = _exams(spark, sf_dir)
-    return d.select("doc_id", V.find_anchor("text", F.substring("text", 40, 20)).alias("pos"))
+    return S.question_anchors(d)
 
 
 @query("answer_pipeline")

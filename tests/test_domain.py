@@ -191,24 +191,10 @@ def test_anchor_tiers_and_underlines():
 
     assert V.anchor("가 나다  라마", "나다 라마") == 2 and V.anchor('x "abc def', "abc def") == 3 and V.anchor("a", "zzz") == -1
     assert V.anchor("ab-cd.ef gh", "abcdefgh") == 0 and V.anchor(None, "x") == -1
-    assert V.underline("가나다 라마", ["나다", "없음", ""]) == "가<u>나다</u> 라마"
+    assert V.underline("가나다 라마", ["나다", "없음", "", None]) == "가<u>나다</u> 라마"
     assert V.underline("<u>나다</u>", ["나다"]) == "<u>나다</u>"
 
 
-def test_verify(spark):
-    from folioforge.operators import correct as V
-
-    stored = spark.createDataFrame([("d", "p1", "1~2", "가나다라마바사아자차"), ("d", "p2", None, "zzzz")], "doc_id string, passage_id string, question_range string, content string")
-    read = spark.createDataFrame([("d", 1, "1~2", "가나다라마바사아자타")], "doc_id string, read_id int, question_range string, text string")
-    got = {r["location"]: (r["kind"], r["corrected"]) for r in V.accept(V.verify_passages(stored, read)).collect()}
-    assert got == {"지문 p1": ("FIXED", "가나다라마바사아자타"), "지문 p2": ("WARNING", None)}
-    q = "doc_id string, number int, stem string, choices map<string,string>"
-    a = spark.createDataFrame([("d", 1, "1. 적절한 것은?", {"1": "abcdefgh", "2": "same"}), ("d", 9, "9. x", {"1": "a"})], q)
-    b = spark.createDataFrame([("d", 1, "1. 적절한 것은?", {"1": "abcdefxy", "2": "same"})], q)
-    rows = sorted((r["location"], r["kind"], r["field"]) for r in V.verify_questions(a, b).collect())
-    assert rows == [("문항 1", "FIXED", "choices.1"), ("문항 9", "INFO", "stem")]
-
-
 def test_spacing(spark):
     assert one(spark, "학생 은 간다", X.join_endings) == "학생은 간다"
     assert one(spark, "끝났다. 학생 1: 네", X.break_dialogue) == "끝났다.\n학생 1: 네"
@@ -246,17 +232,49 @@ def test_issue_of_a_merged_box_counts_what_is_behind_the_request(spark):
     assert [(r["doc_id"], r["type"]) for r in S.issues(seg).collect()] == [("d1", "stem_bogi_merged")]
 
 
-def test_first_free_labels_and_range_marks(spark):
+def test_first_free_labels(spark):
     from folioforge.operators import correct as V
 
     assert V.free_labels(["A"], ["A", "B", "b", "?", ""]) == ["B", "C", "D", "E", "F"] and V.free_labels(list(V.LABELS), ["A"]) == [None]
+    assert V.free_labels([], ["A", "A", "A"], [False, True, True]) == ["A", "A", "B"]
     r = V.label_ranges(spark.createDataFrame([("d", 2, "A"), ("d", 1, "A"), ("e", 1, "C")], "doc_id string, pos int, label string"), spark.createDataFrame([("d", ["B"])], "doc_id string, labels array<string>"))
     assert sorted((x["doc_id"], x["pos"], x["actual"]) for x in r.collect()) == [("d", 1, "A"), ("d", 2, "C"), ("e", 1, "C")]
-    text = "처음 글이 있고 가나다라 마바사 끝난다 그리고 한참 더 이어지는 글이 뒤에 있다"
-    assert V.mark_range(text, "A", "가나다라", "마바사") == text.replace("가나다라 마바사", "[A:START]\n가나다라 마바사\n[A:END]")
-    assert V.mark_range(text, "A", "처음", "뒤에 있다") == text and V.mark_range("① 가나 다라 " * 4, "A", "가나", "다라").startswith("① 가나")
-    rows = spark.createDataFrame([("d", text, ["글이"], [("A", "가나다라", "마바사")])], "doc_id string, text string, phrases array<string>, ranges array<struct<label:string,start:string,end:string>>")
-    assert V.structured(rows).first()["text"].startswith("처음 <u>글이</u> 있고 [A:START]\n가나다라")
+    r = V.label_ranges(spark.createDataFrame([("d", 1, "A", False), ("d", 2, "A", True), ("d", 3, "A", None)], "doc_id string, pos int, label string, found boolean"), spark.createDataFrame([], "doc_id string, labels array<string>"))
+    assert sorted((x["pos"], x["actual"]) for x in r.collect()) == [(1, None), (2, "A"), (3, None)]
+
+
+TEXT = "처음 글이 있고 가나다라 마바사 끝난다 그리고 한참 더 이어지는 글이 뒤에 있다"
+
+
+@pytest.mark.parametrize(
+    ("text", "phrases", "ranges", "want"),
+    [
+        (TEXT, ["글이"], [("A", "가나다라", "마바사")], TEXT.replace("글이", "<u>글이</u>", 1).replace("가나다라 마바사", "[A:START]\n가나다라 마바사\n[A:END]")),
+        # a range that isn't there takes no label
+        (TEXT, [], [("A", "없는 말", "끝"), ("A", "가나다라", "마바사")], TEXT.replace("가나다라 마바사", "[A:START]\n가나다라 마바사\n[A:END]")),
+        # other white space: the mark stands behind the match, not behind the phrase's length
+        (TEXT.replace("가나다라 마바사", "가나다라\n  마바사"), [], [("b", "가나다라", "라 마바사")], TEXT.replace("가나다라 마바사", "[B:START]\n가나다라\n  마바사\n[B:END]")),
+        (TEXT, ["가나다라   마바사"], None, TEXT.replace("가나다라 마바사", "<u>가나다라 마바사</u>")),
+        (TEXT.replace("가나다라 마바사", "가나다라\n마바사"), ["가나다라 마바사"], [], TEXT.replace("가나다라 마바사", "<u>가나다라\n마바사</u>")),
+        ("<u>가나다라 마바사</u> 끝", ["가나다라 마바사아자"], [], "<u>가나다라 마바사</u> 끝"),  # its first ten characters are underlined
+        (TEXT, [], [("A", "처음", "뒤에 있다")], TEXT),  # more than half
+        ("① 가 ② 나 " + "다" * 150 + " 라마바 사아 " + "자" * 100, [], [("A", "라마바", "사아")], "① 가 ② 나 " + "다" * 150 + " [A:START]\n라마바 사아\n[A:END] " + "자" * 100),  # behind the zone
+        ("가나 다라 ① 가 ② 나 " + "다" * 150, [], [("A", "가나", "다라 ①")], "가나 다라 ① 가 ② 나 " + "다" * 150),  # meets it
+        ("[A:START]\n글[A:END] " + TEXT, [], [("A", "가나다라", "마바사"), ("", "한참", "더"), ("Z", "", "x")], "[A:START]\n글[A:END] " + TEXT.replace("가나다라 마바사", "[B:START]\n가나다라 마바사\n[B:END]").replace("한참 더", "[C:START]\n한참 더\n[C:END]")),
+        (None, ["x"], [("A", "a", "b")], None), ("", [], [], ""),
+    ],
+)
+def test_structure_is_put_into_a_text(spark, text, phrases, ranges, want):
+    from folioforge.operators import correct as V
+
+    rows = spark.createDataFrame([("d", text, phrases, ranges)], "doc_id string, text string, phrases array<string>, ranges array<struct<label:string,start:string,end:string>>")
+    assert V.structured(rows).first()["text"] == want
+
+
+def test_choice_zones():
+    from folioforge.operators import correct as V
+
+    assert V.choice_zones("①" + "x" * 799 + "②" + "x" * 801 + "③") == [(0, 900), (1602, 1702)] and V.choice_zones("x") == []
 
 
 def test_image_places(spark):
@@ -265,12 +283,3 @@ def test_image_places(spark):
     a = spark.createDataFrame([("d", "p1", "앞의 글 하나 <img src='x'> 뒤 또 다른 말 <img src='y'>"), ("d", "p2", "글 <img src='x'>")], "doc_id string, passage_id string, content string")
     b = spark.createDataFrame([("d", "p1", "앞의 글 하나 [그림] 뒤 xyz0123456789abc [그림]"), ("d", "p2", "[그림] [그림]")], "doc_id string, passage_id string, text string")
     assert [(r["passage_id"], r["n"]) for r in V.image_places(a, b).collect()] == [("p1", 2)]
-
-
-def test_the_whole_job(spark):
-    docs = spark.createDataFrame([("d", D1), ("n", None)], "doc_id string, text string")
-    read = [("d", 1, "1. 윗글에 대한 설명으로 적절한 것은?", {"1": "가", "2": "나"}), ("d", 2, "2. <보기>를 참고할 때 알맞은 것은? [3점]", {"5": "E"})]
-    got = {r["doc_id"]: r.asDict() for r in S.process(docs, spark.createDataFrame(read, "doc_id string, number int, stem string, choices map<string,string>")).collect()}
-    assert got["d"] == {"doc_id": "d", "n_passages": 1, "n_questions": 2, "n_patched": 0, "n_issues": 0, "passed": True, "fixed": 1, "refused": 0, "open": 0}
-    assert got["n"]["n_questions"] == 0 and got["n"]["passed"]
-
