@@ -77,21 +77,15 @@ class Bounds:
     def second(self, text: str) -> None:
         self.matcher.set_seq2(text)
 
-    def _most(self, alo: int, ahi: int, blo: int, bhi: int) -> int:
-        """Characters that two stretches can have in common."""
-        if alo >= ahi or blo >= bhi:
-            return 0
-        return sum((Counter(self.matcher.a[alo:ahi]) & Counter(self.matcher.b[blo:bhi])).values())
-
     def narrow(self, text: str, enough: Callable[[float, float], bool]) -> tuple[float, float]:
         """Bounds of the ratio of `text` and the second text that are enough, or the ratio, twice. The longest common block of a
-        stretch parts it in two; stretches are looked at in the order of what they may hold."""
+        stretch parts it in two; stretches are looked at in the order of what they may hold, the length of their shorter side."""
         m = self.matcher
         m.set_seq1(text)
         size, same = len(m.a) + len(m.b), 0
         if not size:
             return 1.0, 1.0
-        rest = self._most(0, len(m.a), 0, len(m.b))
+        rest = min(len(m.a), len(m.b))
         heap = [(-rest, 0, len(m.a), 0, len(m.b))] if rest else []
         while True:
             low, high = 2.0 * same / size, 2.0 * (same + rest) / size
@@ -102,7 +96,7 @@ class Bounds:
             i, j, n = m.find_longest_match(alo, ahi, blo, bhi)
             same += n
             for part in ((alo, i, blo, j), (i + n, ahi, j + n, bhi)) if n else ():
-                if k := self._most(*part):
+                if (k := min(part[1] - part[0], part[3] - part[2])) > 0:
                     heapq.heappush(heap, (-k, *part))
                     rest += k
 
@@ -203,7 +197,9 @@ def _in_blocks(items: DataFrame, lines: DataFrame) -> tuple:
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     a = items.withColumn("__block", F.pmod(F.xxhash64(*items.columns), F.lit(blocks))).withColumn("__part", every(parts))
     b = lines.withColumn("__part", F.pmod(F.xxhash64(*lines.columns), F.lit(parts))).withColumn("__block", every(blocks))
-    return a.groupBy("__block", "__part").cogroup(b.groupBy("__block", "__part"))
+    # so many partitions as there are parts: few bytes are much work here, so they must not be put together
+    deal = lambda rows: rows.repartition(parts, "__block", "__part").groupBy("__block", "__part")
+    return deal(a).cogroup(deal(b))
 
 
 def best_of_all(items: DataFrame, lines: DataFrame, item_text: str, line_text: str, item_id: str, line_id: str, least: float) -> DataFrame:
