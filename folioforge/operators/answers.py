@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import classify, text as tx
+from ..sources.versions import Versioned
 
 # Section heads, rows with a head, and rows of two lines each.
 SECTION = r"■\s*\[(?:공통|선택)\s*:\s*([^\]]+)\]"
@@ -61,3 +62,33 @@ def explanations(docs: DataFrame) -> DataFrame:
     entries = F.arrays_zip(F.regexp_extract_all("b.body", F.lit(wrong), 1).alias("m"), F.regexp_extract_all("b.body", F.lit(wrong), 2).alias("t"))
     pairs = F.transform(entries, lambda e: F.struct(F.instr(F.lit(tx.CIRCLED), e["m"]).alias("k"), F.trim(e["t"]).alias("v")))
     return rows.select("doc_id", "pos", F.col("b.n").cast("int").alias("number"), tx.circled(F.col("b.a")).alias("correct_answer"), tx.strip(F.regexp_replace("b.body", F.lit(r"(?s)\n\s*[①②③④⑤].*$"), F.lit(""))).alias("explanation"), F.to_json(F.map_from_entries(F.filter(pairs, lambda p: p["k"] > 0))).alias("wrong_answers"))
+
+
+ANSWERS = "doc_id string, subject string, number int, answer int, explanation string, wrong_answers string, domain string"
+ANSWER_KEY = ["doc_id", "subject", "number"]
+
+
+def answer_rows(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """ANSWERS of answer keys and of explanation texts (both doc_id, text): the answer of the key, else of the explanation; the domain
+    of the first range header that holds the number. Explanations belong to the subject whose key has the number, the first by
+    name of several, and to 공통 without one."""
+    key = answer_table(keys).withColumn("doc_id", F.col("doc_id").cast("string"))
+    e = explanations(texts).withColumn("doc_id", F.col("doc_id").cast("string"))
+    said = e.groupBy("doc_id", "number").agg(F.min_by(F.struct("correct_answer", "explanation", "wrong_answers"), "pos").alias("e"))
+    of = key.groupBy("doc_id", "number").agg(F.min("subject").alias("of"))
+    said = said.join(of, ["doc_id", "number"], "left").select("doc_id", F.coalesce("of", F.lit("공통")).alias("subject"), "number", "e")
+    heads = passage_heads(texts).withColumn("doc_id", F.col("doc_id").cast("string"))
+    both = key.join(said, ANSWER_KEY, "full")
+    h = heads.alias("h")
+    held = both.alias("b").join(h, (F.col("b.doc_id") == F.col("h.doc_id")) & F.col("b.number").between(F.col("h.range_start"), F.col("h.range_end")), "left")
+    domain = held.groupBy(*(F.col(f"b.{k}") for k in ANSWER_KEY)).agg(F.min_by("h.domain", "h.range_start").alias("domain"))
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    return both.join(domain, ANSWER_KEY, "left").select(
+        *ANSWER_KEY, F.coalesce("answer", "e.correct_answer").cast("int").alias("answer"), blank("e.explanation").alias("explanation"), F.nullif(F.col("e.wrong_answers"), F.lit("{}")).alias("wrong_answers"), "domain",
+    )
+
+
+def store_answers(keys: DataFrame, texts: DataFrame, table: Versioned) -> int:
+    """The answers merged into their table: rows of known keys are updated where something new is known, others are put in. Running
+    it again makes no new version."""
+    return table.merge(answer_rows(keys, texts))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import classify, text as tx
+from .joins import by_key_or_bin
 
 PAGE = ["doc_id", "page_no"]
 
@@ -23,10 +24,15 @@ def underlined(words: DataFrame, lines: DataFrame) -> DataFrame:
 
 def inner_items(blocks: DataFrame, boxes: DataFrame, slack: float = 10) -> DataFrame:
     """Each block whose centre is in a box (with slack), with the first such box: the block's columns and box_no."""
-    x, y = (F.col("b.x0") + F.col("b.x1")) / 2, (F.col("b.y0") + F.col("b.y1")) / 2
-    inside = [x.between(F.col("r.x0") - slack, F.col("r.x1") + slack), y.between(F.col("r.y0") - slack, F.col("r.y1") + slack)]
-    hit = blocks.alias("b").join(boxes.alias("r"), _on("b", "r", *inside))
-    return hit.groupBy(*(F.col(f"b.{c}") for c in blocks.columns)).agg(F.min("r.box_no").alias("box_no"))
+    x, y = (F.col("a.x0") + F.col("a.x1")) / 2, (F.col("a.y0") + F.col("a.y1")) / 2
+    inside = [x.between(F.col("b.x0") - slack, F.col("b.x1") + slack), y.between(F.col("b.y0") - slack, F.col("b.y1") + slack)]
+
+    def joined(a: DataFrame, b: DataFrame, more: list) -> DataFrame:
+        hit = a.alias("a").join(b.alias("b"), _on("a", "b", *inside, *more))
+        return hit.groupBy(*(F.col(f"a.{c}") for c in blocks.columns)).agg(F.min("b.box_no").alias("box_no"))
+
+    centre = (F.col("y0") + F.col("y1")) / 2
+    return by_key_or_bin(blocks, boxes, PAGE, (centre, centre), (F.col("y0") - slack, F.col("y1") + slack), joined)
 
 
 def not_borders(lines: DataFrame, verticals: DataFrame, slack: float = 8) -> DataFrame:
@@ -39,10 +45,13 @@ def not_borders(lines: DataFrame, verticals: DataFrame, slack: float = 8) -> Dat
 
 def nearest_below(labels: DataFrame, lines: DataFrame, reach: float = 35) -> DataFrame:
     """Each label with the y of the nearest line below it, at most `reach` away, that its x range meets; or null."""
-    a, h = labels.alias("a"), lines.alias("h")
-    dy = F.col("h.y0") - F.col("a.y1")
-    hit = a.join(h, _on("a", "h", F.col("a.x0") < F.col("h.x1"), F.col("h.x0") < F.col("a.x1"), dy > 0, dy <= reach), "left")
-    return hit.groupBy(*(F.col(f"a.{c}") for c in labels.columns)).agg(F.min("h.y0").alias("below"))
+    dy = F.col("b.y0") - F.col("a.y1")
+
+    def joined(a: DataFrame, b: DataFrame, more: list) -> DataFrame:
+        hit = a.alias("a").join(b.alias("b"), _on("a", "b", F.col("a.x0") < F.col("b.x1"), F.col("b.x0") < F.col("a.x1"), dy > 0, dy <= reach, *more), "left")
+        return hit.groupBy(*(F.col(f"a.{c}") for c in labels.columns)).agg(F.min("b.y0").alias("below"))
+
+    return by_key_or_bin(labels, lines, PAGE, (F.col("y1"), F.col("y1") + reach), (F.col("y0"), F.col("y0")), joined)
 
 
 def bracket_ranges(labels: DataFrame, verticals: DataFrame, boxes: DataFrame, page_height: float, slack: float = 10) -> DataFrame:
@@ -93,19 +102,28 @@ def column_baselines(blocks: DataFrame) -> DataFrame:
 
 def clip_text(words: DataFrame, rects: DataFrame) -> DataFrame:
     """Words within each rectangle, in order, as one text."""
-    x, y = (F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.y0") + F.col("w.y1")) / 2
-    hit = words.alias("w").join(rects.alias("r"), _on("w", "r", x.between(F.col("r.x0"), F.col("r.x1")), y.between(F.col("r.y0"), F.col("r.y1"))))
-    parts = F.array_sort(F.collect_list(F.struct("w.block_no", "w.line_no", "w.word_no", "w.text")))
-    return hit.groupBy(*(F.col(f"r.{k}") for k in [*PAGE, "rect_no"])).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+    x, y = (F.col("a.x0") + F.col("a.x1")) / 2, (F.col("a.y0") + F.col("a.y1")) / 2
+
+    def joined(a: DataFrame, b: DataFrame, more: list) -> DataFrame:
+        hit = a.alias("a").join(b.alias("b"), _on("a", "b", x.between(F.col("b.x0"), F.col("b.x1")), y.between(F.col("b.y0"), F.col("b.y1")), *more))
+        parts = F.array_sort(F.collect_list(F.struct("a.block_no", "a.line_no", "a.word_no", "a.text")))
+        return hit.groupBy(*(F.col(f"b.{k}") for k in [*PAGE, "rect_no"])).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+
+    centre = (F.col("y0") + F.col("y1")) / 2
+    return by_key_or_bin(words, rects, PAGE, (centre, centre), (F.col("y0"), F.col("y1")), joined)
 
 
 def enclosing_bottom(labels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Each label with the bottom of the first box around it (null without one): at most 30 narrower to either side, from at most 60
     below its top to at most 20 above its bottom, and more than 50 wide and 30 high."""
-    a, b = labels.alias("a"), boxes.where((F.col("x1") - F.col("x0") > 50) & (F.col("y1") - F.col("y0") > 30)).alias("b")
+    boxes = boxes.where((F.col("x1") - F.col("x0") > 50) & (F.col("y1") - F.col("y0") > 30))
     around = [F.col("b.x0") <= F.col("a.x0") + 30, F.col("b.x1") >= F.col("a.x1") - 30, F.col("b.y0") <= F.col("a.y0") + 60, F.col("b.y1") >= F.col("a.y1") - 20]
-    hit = a.join(b, _on("a", "b", *around), "left")
-    return hit.groupBy(*(F.col(f"a.{c}") for c in labels.columns)).agg(F.min_by("b.y1", "b.box_no").alias("bottom"))
+
+    def joined(a: DataFrame, b: DataFrame, more: list) -> DataFrame:
+        hit = a.alias("a").join(b.alias("b"), _on("a", "b", *around, *more), "left")
+        return hit.groupBy(*(F.col(f"a.{c}") for c in labels.columns)).agg(F.min_by("b.y1", "b.box_no").alias("bottom"))
+
+    return by_key_or_bin(labels, boxes, PAGE, (F.col("y0"), F.col("y1")), (F.col("y0") - 60, F.col("y1") + 20), joined)
 
 
 def text_blocks(blocks: DataFrame) -> DataFrame:

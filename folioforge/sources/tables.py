@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from .versions import Versioned
+
 QUESTION = "struct<number:int,stem:string,bogi:string,choices:map<string,string>,content:string>"
 SEGMENTS = f"struct<passages:array<struct<id:string,question_range:string,content:string>>,questions:array<{QUESTION}>>"
 
@@ -155,14 +157,9 @@ def report_lines(rows: DataFrame, columns: list[str]) -> list[str]:
     return out
 
 
-def apply(rows: DataFrame, path: str, dry_run: bool = True) -> DataFrame:
-    """The rows; written only if it isn't a dry run, aside and then renamed, since rows may be read from the path itself."""
+def apply(rows: DataFrame, table: Versioned, dry_run: bool = True) -> DataFrame:
+    """The rows as they would be in the table, or as they are in it: written only if it isn't a dry run, as its next version, so that
+    they may be read from the table itself and a driver lost on the way leaves the table as it was."""
     if dry_run:
         return rows
-    spark, aside = rows.sparkSession, f"{path.rstrip('/')}.aside"
-    rows.write.mode("overwrite").parquet(aside)
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
-    fs.rename(p(aside), p(path))
-    return spark.read.parquet(path)
+    return table.read(table.replace(rows))

@@ -102,10 +102,10 @@ def test_snapshot_documents_and_apply(spark, tmp_path):
     files = {r["filename"]: r for r in spark.read.json(str(tmp_path / "s" / "files")).collect()}
     assert files["a"]["total"] == 3 and files["a"]["counts"]["x"] == 2 and files["a"]["warnings"]["x"] == ["f1", "f2"]
     assert spark.read.json(str(tmp_path / "s" / "summary")).first()["total"] == 4
-    path = str(tmp_path / "t")
-    snap.write.parquet(path)
-    assert T.apply(spark.read.parquet(path).where("filename = 'a'"), path).count() == 3 and spark.read.parquet(path).count() == 4
-    assert T.apply(spark.read.parquet(path).where("filename = 'a'"), path, dry_run=False).count() == 3 == spark.read.parquet(path).count()
+    table = T.Versioned(spark, f"file://{tmp_path}/t", snap.schema, ["fingerprint"])
+    table.replace(snap)
+    assert T.apply(table.read().where("filename = 'a'"), table).count() == 3 and table.read().count() == 4
+    assert T.apply(table.read().where("filename = 'a'"), table, dry_run=False).count() == 3 == table.read().count()
 
 
 def test_numbering_in_ranges_and_texts_held_whole(spark):
