@@ -17,9 +17,10 @@ def missing_questions(pages: DataFrame, stored: DataFrame, reported: DataFrame)
     gone = want.join(stored.select("doc_id", "number"), ["doc_id", "number"], "left_anti").join(pages, "doc_id", "left")
     at = F.regexp_instr("text", F.concat(F.lit(r"(?m)^[ \t]*"), F.col("number").cast("string"), F.lit(r"[.．。]")))
     ctx = F.when(at > 0, tx.around(F.col("text"), at - 1))
+    own = F.get(F.split(F.substring(F.col("text"), at + 1, F.length("text")), r"\n[ \t]*\d{1,2}[.．。][ \t\n]", 2), 0)  # up to the next number
     causes = F.array_compact(F.array(
         F.when(F.coalesce(at, F.lit(0)) == 0, "A: not in the text"), F.when(ctx.rlike("페이지|교시|수험번호|성명"), "B: administrative line"),
-        F.when((at > 0) & ~F.substring("text", at, 400).rlike("[①②③④⑤]"), "C: no choices"), F.when((at > 0) & F.col("r"), "D: reported although in the text"),
+        F.when((at > 0) & ~own.rlike("[①②③④⑤]"), "C: no choices"), F.when((at > 0) & F.col("r"), "D: reported although in the text"),
     ))
     return gone.select("doc_id", "number", F.coalesce("t", F.lit(False)).alias("in_text"), F.coalesce("r", F.lit(False)).alias("reported"), ctx.alias("context"), causes.alias("causes"))
 

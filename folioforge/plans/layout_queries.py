@@ -102,23 +102,24 @@ def prefer_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as papers: every line is a question of the text, those of a low discount are stored, those of a high tax reported."""
+    """Orders as papers: every line is a long question of the text, those of a large quantity have choices, those of a low discount are
+    stored, those of a high tax reported."""
     li = load(spark, sf_dir, "lineitem").withColumn("doc_id", F.col("l_orderkey")).withColumn("number", F.col("l_linenumber").cast("int"))
-    line = F.concat(F.col("number").cast("string"), F.lit(". "), F.col("l_returnflag"))
+    line = F.concat(F.col("number").cast("string"), F.lit(". "), F.repeat("l_returnflag", 600), F.when(F.col("l_quantity") > 25, "\n① a ② b").otherwise(""))
     pages = li.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
     key = ["doc_id", "number"]
     return I.missing_questions(pages, li.where("l_discount < 0.05").select(*key).distinct(), li.where("l_tax > 0.06").select(*key).distinct())
 
 
-_MISSING = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS number, bool_or(l_tax > 0.06) AS reported FROM lineitem GROUP BY 1, 2 HAVING NOT bool_or(l_discount < 0.05)"""
+_MISSING = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS number, bool_or(l_tax > 0.06) AS reported, NOT arg_min(l_quantity > 25, (l_returnflag, l_quantity > 25)) AS bare FROM lineitem GROUP BY 1, 2 HAVING NOT bool_or(l_discount < 0.05)"""
 
 
-@query("missing_investigation", f"SELECT doc_id, number, true AS in_text, reported, 'C: no choices' || CASE WHEN reported THEN ',D: reported although in the text' ELSE '' END AS causes FROM ({_MISSING}) m")
+@query("missing_investigation", f"SELECT doc_id, number, true AS in_text, reported, concat_ws(',', CASE WHEN bare THEN 'C: no choices' END, CASE WHEN reported THEN 'D: reported although in the text' END) AS causes FROM ({_MISSING}) m")
 def missing_investigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _missing(spark, sf_dir).select("doc_id", "number", "in_text", "reported", F.array_join("causes", ",").alias("causes"))
 
 
-@query("cause_histogram", f"SELECT 'C: no choices' AS cause, count(*) AS count FROM ({_MISSING}) m UNION ALL SELECT 'D: reported although in the text', count(*) FROM ({_MISSING}) m WHERE reported")
+@query("cause_histogram", f"SELECT 'C: no choices' AS cause, count(*) AS count FROM ({_MISSING}) m WHERE bare UNION ALL SELECT 'D: reported although in the text', count(*) FROM ({_MISSING}) m WHERE reported")
 def cause_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.cause_counts(_missing(spark, sf_dir))
 

@@ -1,35 +1,22 @@
-"""Rules on Korean exam texts, file names and warnings. Every event carries one of a rule's sample texts, by its id; the result is
-how many events each sample's answer was given for. The oracle counts events by sample and knows the answers, worked out by hand."""
+"""Rules on exam texts, file names and warnings, on samples worked out by hand."""
 
-from __future__ import annotations
+import pytest
+from folioforge.functions import classify as C
+from folioforge.functions import text as X
+from folioforge.operators import correct as V
+from folioforge.operators import investigate as I
+from folioforge.operators import regression as R
+from folioforge.operators import similarity as M
+from folioforge.sources import tables as T
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from collections.abc import Callable
+RULES = {}
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..catalog import query
-from ..functions import classify as C, text as X
-from ..operators import correct as V, investigate as I, regression as R, similarity as M
-from ..session import load
-from ..sources import tables as T
-
-
-def _literal(text: str | None) -> str:
-    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
-
-
-def samples(name: str, answer: Callable[..., Column], rows: list[tuple]) -> None:
-    """Register a query over samples: rows have the arguments of `answer`, all texts, and at last what it gives, as a text."""
-    n = len(rows[0]) - 1
-    values = ", ".join(f"({k}, {_literal(r[-1])})" for k, r in enumerate(rows))
-    oracle = f"SELECT v.sample, v.answer, count(*) AS n FROM (VALUES {values}) AS v(sample, answer) JOIN events e ON e.event_id % {len(rows)} = v.sample GROUP BY v.sample, v.answer"
-
-    @query(name, oracle)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        few = spark.createDataFrame([(k, *r[:-1]) for k, r in enumerate(rows)], ", ".join(["sample int", *(f"a{j} string" for j in range(n))]))
-        events = load(spark, sf_dir, "events").select((F.col("event_id") % len(rows)).cast("int").alias("sample"))
-        given = events.join(F.broadcast(few), "sample").select("sample", answer(*(F.col(f"a{j}") for j in range(n))).cast("string").alias("answer"))
-        return given.groupBy("sample", "answer").agg(F.count(F.lit(1)).alias("n"))
+def samples(name, answer, rows):
+    """rows have the arguments of `answer`, all texts, and at last what it gives, as a text."""
+    RULES[name] = (answer, rows)
 
 
 def _box(c: Column) -> Column:
@@ -90,3 +77,12 @@ samples("box_verdicts", lambda a, b, s: M.box_verdict(a, b, s.cast("double")), [
 samples("underline_states", lambda t, p, s: V.underline_state(t, p, s.cast("double")), [("가<u>나다</u>", "나다", "0", "CONFIRMED"), ("가나다", "나다", "0", "MISSING"), ("가나다", "라", "0.8", "CONFIRMED"), ("가나다", "라", "0", "ABSENT")])
 samples("anchor_tiers", V.find_anchor, [("앞 가나 다라 뒤", "가나 다라", "2"), ("앞 가나\n다라 뒤", "가나 다라", "2"), ("앞 가나다라", "“가나", "2"), ("앞 가-나-다-라-마-바", "가나다라마바", "2"), ("앞", "없음", "-1")])
 samples("underline_insert", lambda t, p: V.underlined(t, F.from_json(p, "array<string>")), [("가나다", '["나다"]', "가<u>나다</u>"), ("<u>나다</u>", '["나다"]', "<u>나다</u>"), ("가", '["나다"]', "가")])
+
+
+@pytest.mark.parametrize("name", sorted(RULES))
+def test_rule(spark, name):
+    answer, rows = RULES[name]
+    n = len(rows[0]) - 1
+    df = spark.createDataFrame([(k, *r[:-1]) for k, r in enumerate(rows)], ", ".join(["k int", *(f"a{j} string" for j in range(n))]))
+    got = df.select("k", answer(*(F.col(f"a{j}") for j in range(n))).cast("string").alias("r")).collect()
+    assert [r["r"] for r in sorted(got)] == [r[-1] for r in rows]
