@@ -43,6 +43,12 @@ def comparable(text: Column) -> Column:
     return squeeze(chain(unify_marks(text), (r"^\s*\d{1,2}\s*[.．。]\s*", ""), (r"\*(?=[\"'“‘])", ""), (r"\((가|나|다|라)\)", ""), (r"<img[^>]*>", "[그림]")))
 
 
+def normalised(text: Column, tags: bool = True) -> Column:
+    """Form for a quick comparison of stems: white space closed up and a leading `N.` left out; without formatting tags unless kept."""
+    bare = text if tags else chain(text, (r"(?i)</?(?:u|b|i|em|strong|sub|sup|span)\b[^>]*>", ""))
+    return squeeze(chain(squeeze(bare), (r"^\d{1,2}\.\s*", "")))
+
+
 def inline(text: Column) -> Column:
     return chain(text, (r"(?U)\s*\n\s*", " "))
 

@@ -42,6 +42,14 @@ def running_gaps(rows: DataFrame, keys: list[str], start: str, end: str, least:
     return out.where(F.col("gap_end") - F.col("gap_start") >= least).select(*keys, "gap_start", "gap_end")
 
 
+def next_within(rows: DataFrame, keys: list[str], number: str, pos: str, reach: int, into: str) -> DataFrame:
+    """rows with the place of the least of the next `reach` numbers that stands behind the row's own place, or null: where a numbered
+    block ends if the numbers right after it are lost."""
+    w = Window.partitionBy(*keys).orderBy(number).rangeBetween(1, reach)
+    ahead = F.sort_array(F.collect_list(F.struct(F.col(number).alias("n"), F.col(pos).alias("p"))).over(w))  # `reach` numbers, by contract one place each
+    return rows.withColumn(into, F.get(F.filter(ahead, lambda x: x["p"] > F.col(pos)), 0)["p"])
+
+
 def slices(anchors: DataFrame, keys: list[str], pos: str, text: str) -> DataFrame:
     """The text from each anchor (a 0-based position) to the next one, or to the end; ordered by position, not by number."""
     end = F.lead(pos).over(Window.partitionBy(*keys).orderBy(pos))

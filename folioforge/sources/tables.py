@@ -43,6 +43,16 @@ def _escape_strings(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else re.sub(r'"(?:[^"\\]|\\.)*"', literal, t, flags=re.S))
 
 
+def element_of(items: Column, field: str, value: Column) -> Column:
+    """The first struct of an array whose field is the number, whatever type the field has; null without one."""
+    return F.get(F.filter(items, lambda x: x[field].try_cast("int") == value), 0)
+
+
+def of_kind(items: Column, kind: str, field: str = "kind") -> Column:
+    """The structs of an array whose field is of that kind, in any case."""
+    return F.filter(items, lambda x: F.lower(x[field]) == kind.lower())
+
+
 def objects_only(items: Column) -> Column:
     """The items of a JSON array (a text) that are objects, as texts."""
     return F.filter(F.from_json(items, "array<string>"), lambda x: x.startswith("{"))
