@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .rows import kept
+from .rows import blocks_of, kept
 
 
 #: Rows of one key from which on a join of intervals goes by bins.
@@ -116,7 +116,13 @@ def containing(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_i
     key = named.where(able).select(item_id, item, F.xxhash64(F.array_join(F.slice("__w", 2, words), " ")).alias("__key"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, words), " ")))
     seen = docs.where(F.col(text).isNotNull()).select(doc_id, split(F.col(text)).alias("__w")).select(doc_id, F.explode(F.array_distinct(grams)).alias("__key"))
-    near = seen.join(key.select(item_id, "__key"), "__key").select(doc_id, item_id)
+    key = key.select(item_id, "__key")
+    # the keys of the items are few beside the texts' grams: they go to every task if they are measured to be small
+    near = seen.join(F.broadcast(key) if blocks_of(key) == 1 else key, "__key").select(doc_id, item_id).distinct()
     long = near.join(docs.select(doc_id, text), doc_id).join(items, item_id).where(F.col(text).contains(F.col(item))).select(doc_id, item_id)
-    short = docs.join(F.broadcast(named.where(~able).select(item_id, item)), F.col(text).contains(F.col(item))).select(doc_id, item_id)
-    return long.unionByName(short)
+    rest = named.where(~able).select(item_id, item)
+    parts = blocks_of(rest)  # of any number, one block after the other is looked for
+    block = lambda k: F.broadcast(rest.where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == k))
+    for k in range(parts):
+        long = long.unionByName(docs.join(block(k), F.col(text).contains(F.col(item))).select(doc_id, item_id))
+    return long

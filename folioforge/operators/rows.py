@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
@@ -25,6 +25,17 @@ def added(rows: DataFrame, name: str, kind: T.DataType, f: Callable, *columns: s
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, kind)]))
 
 
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 16 << 20
+
+
+def blocks_of(rows: DataFrame, most: int = BROADCAST_BYTES) -> int:
+    """How many blocks of `most` bytes the rows' texts and numbers make, which are measured; one if they may be broadcast as a whole."""
+    width = lambda f: F.octet_length(F.col(f"`{f.name}`")) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
+    total = rows.agg(F.sum(sum((F.coalesce(width(f), F.lit(0)) for f in rows.schema), F.lit(16)).cast("long"))).first()[0] or 0
+    return max(1, -(-total // most))
+
+
 def kept(rows: DataFrame) -> DataFrame:
     """rows worked out once and written to the checkpoint folder, which all hosts share (a local session without one gets its own)."""
     sc = rows.sparkSession.sparkContext

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import classify, text as tx
+from ..operators.rows import kept
 
 ANCHOR = r"""(?is)<a\s[^>]*href\s*=\s*["']([^"'#]+)[^>]*>(.*?)</a>"""
 
@@ -54,16 +55,49 @@ def files(found: DataFrame, extension: str = "pdf") -> DataFrame:
 
 
 def crawl(found: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
-    """(href, depth) of what is reached from start (href) over links (src, href): each address once, at its least depth."""
-    seen = start.select("href", F.lit(0).alias("depth")).distinct()
-    front = seen
+    """(href, depth) of what is reached from start (href) over links (src, href): each address once, at its least depth.
+
+    Every frontier is written before the next is looked for, so that a level doesn't work out those before it again; it ends with
+    the first that is empty.
+    """
+    edges = found.select("src", "href").distinct()
+    seen = front = kept(start.select("href", F.lit(0).alias("depth")).distinct())
     for d in range(1, depth + 1):
-        nxt = front.withColumnRenamed("href", "src").join(found.select("src", "href"), "src").select("href").distinct()
-        front = nxt.join(seen, "href", "left_anti").select("href", F.lit(d).alias("depth"))
+        nxt = front.select(F.col("href").alias("src")).join(edges, "src").select("href").distinct()
+        front = kept(nxt.join(seen.select("href"), "href", "left_anti").select("href", F.lit(d).alias("depth")))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
+PAGE = r"[?&]page=(\d+)"
+
+
+def listing_pages(pages: DataFrame) -> DataFrame:
+    """Of listing pages (url, html), those that a reader comes to who asks for ?page=1, 2, ... of each listing until one has no posts:
+    their columns, listing and page_no. A page without a number is the first; of several with one number the least url counts."""
+    no = F.coalesce(F.nullif(F.regexp_extract("url", PAGE, 1), F.lit("")).cast("int"), F.lit(1))
+    base = F.regexp_replace(F.regexp_replace("url", PAGE, ""), r"[?&]$", "")
+    rows = pages.withColumn("listing", base).withColumn("page_no", no)
+    rows = rows.withColumn("rn_", F.row_number().over(Window.partitionBy("listing", "page_no").orderBy("url"))).where("rn_ = 1").drop("rn_")
+    some = F.size(F.filter(F.regexp_extract_all("html", F.lit(ANCHOR), 1), lambda h: h.rlike(r"/\d+/?$"))) > 0
+    there = rows.where(some).withColumn("rn_", F.row_number().over(Window.partitionBy("listing").orderBy("page_no")))
+    return there.where("rn_ = page_no").drop("rn_")
+
+
+def site(pages: DataFrame, listings: DataFrame) -> DataFrame:
+    """(listing, post, href, filename, file_type): the files of the posts of all pages of the listings (url). pages (url, html) holds
+    what was fetched; a post or file that several pages link to counts once, by its first listing."""
+    start = pages.join(listings.select(F.col("url").alias("listing_")).distinct(), F.regexp_replace(F.regexp_replace("url", PAGE, ""), r"[?&]$", "") == F.col("listing_"), "left_semi")
+    found = listing_pages(start)
+    own = posts(links(found.withColumn("page_id", F.struct("listing", "page_no")))).select(F.col("page_id.listing").alias("listing"), "href")
+    post = kept(own.groupBy("href").agg(F.min("listing").alias("listing")).withColumnRenamed("href", "post"))
+    body = pages.join(post, F.col("url") == F.col("post")).select(F.struct("listing", "post").alias("page_id"), "url", "html")
+    got = files(links(body))
+    return got.groupBy("href").agg(F.min(F.struct("page_id", "filename", "file_type")).alias("f")).select(F.col("f.page_id.listing").alias("listing"), F.col("f.page_id.post").alias("post"), "href", "f.filename", "f.file_type")
+
+
 def _sanitise(text: str | None) -> str | None:
     if text is None:
         return None
