@@ -108,16 +108,23 @@ class Rollup:
     def _folders(self, kind: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._p("")) if s.getPath().getName().startswith(kind))
 
-    def _base(self) -> tuple[str | None, list[str]]:
-        """The newest base and the batches in it."""
-        bases = self._folders("base-")
-        if not bases:
-            return None, []
-        names = self.spark.read.schema("name string").parquet(f"{self.path}/{bases[-1]}/names")
-        return bases[-1], [r["name"] for r in names.collect()]
+    def _base(self) -> str | None:
+        """The newest base."""
+        return next(reversed(self._folders("base-")), None)
+
+    def _names(self) -> DataFrame:
+        """The names of the batches in the newest base."""
+        base = self._base()
+        none = self.spark.createDataFrame([], "name string")
+        return self.spark.read.schema("name string").parquet(f"{self.path}/{base}/names") if base else none
+
+    def _merged(self, names: list[str]) -> set[str]:
+        """Those of the names that are in the newest base. What was ever merged stays in its table; only these are looked up in it."""
+        return {r["name"] for r in self._names().where(F.col("name").isin(names)).collect()} if names else set()
 
     def committed(self) -> list[str]:
-        return sorted({*self._folders("batch-"), *self._base()[1]})
+        """The names of all batches there ever were, for a report; nothing here needs the list."""
+        return sorted({*self._folders("batch-"), *(r["name"] for r in self._names().toLocalIterator())})
 
     def _rename(self, aside: str, name: str) -> bool:
         # rename into an existing folder would nest: the check and the target's absence decide who wins
@@ -132,32 +139,34 @@ class Rollup:
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False, and nothing is done, if a batch of that name is there."""
         name = self._name(batch)
-        if name in self.committed():
+        if self.fs.exists(self._p(name)) or self._merged([name]):
             return False
         aside = f"_aside-{uuid.uuid4().hex}"
         sums = signed(changes).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.parquet(f"{self.path}/{aside}")
         return self._rename(aside, name)
 
-    def _rows(self) -> tuple[DataFrame, list[str]]:
-        """The sums that count, and the names of the batches in them."""
-        base, merged = self._base()
-        loose = [n for n in self._folders("batch-") if n not in set(merged)]
+    def _rows(self) -> tuple[DataFrame, list[str], set[str]]:
+        """The sums that count, the batches that aren't in the base, and of those that are the ones whose folders are still there."""
+        base, folders = self._base(), self._folders("batch-")
+        merged = self._merged(folders)
+        loose = [n for n in folders if n not in merged]
         paths = [f"{self.path}/{n}" for n in loose] + ([f"{self.path}/{base}/sums"] if base else [])
         rows = self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
-        return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0"), merged + loose
+        return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0"), loose, merged
 
     def compact(self) -> bool:
         """Merge all batches into a new base; their folders and older bases go with the next call, so that running reads find them."""
-        sums, names = self._rows()
-        before, merged = self._base()
+        before = self._base()
+        sums, loose, merged = self._rows()
         n = int(before.rpartition("-")[2]) + 1 if before else 1
         aside = f"_aside-{uuid.uuid4().hex}"
         sums.write.parquet(f"{self.path}/{aside}/sums")
-        self.spark.createDataFrame([(x,) for x in names], "name string").coalesce(1).write.parquet(f"{self.path}/{aside}/names")
+        names = self._names().unionByName(self.spark.createDataFrame([(x,) for x in loose], "name string"))
+        names.coalesce(8).write.parquet(f"{self.path}/{aside}/names")
         if not self._rename(aside, f"base-{n:09d}"):
             return False
-        for old in [x for x in self._folders("base-") if x < (before or "")] + [x for x in self._folders("batch-") if x in set(merged)]:
+        for old in [x for x in self._folders("base-") if x < (before or "")] + sorted(merged):
             self.fs.delete(self._p(old), True)
         return True
 
