@@ -19,13 +19,12 @@ from ..session import load, ship
 from . import textkernel as tk
 from .scratch import others
 
-#: Bounds of what a model is fitted on: texts of each language, languages (those of the most texts), and of each text the
-#: spans of SPAN words, picked by a hash from all over it. Words of more than WORD_BYTES bytes are not learnt from.
+#: Bounds of what a model is fitted on: rows of each language, rows in all (which all languages share), and bytes of their texts.
 SAMPLE = 250
-LANGUAGES = 100
-SPANS = 20
-SPAN = 60
-WORD_BYTES = 64
+SAMPLE_ROWS = 20_000
+SAMPLE_BYTES = 12 << 20
+#: Labels of words (words times languages) in whole chains that are worked on at a time in the fit.
+BATCH = 1 << 20
 TABLE_BITS = 18
 STEPS = 25
 LANE = 64
@@ -141,6 +140,38 @@ def forward_backward(scores: np.ndarray, fresh: np.ndarray, trans: np.ndarray, s
     return (alpha, expected) if pairs else alpha
 
 
+def chain_marginals(scores: np.ndarray, fresh: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What forward_backward gives with pairs, for many chains that aren't long: all chains are gone through side by side, word by word,
+    in a time of words times labels squared. The first word begins a chain."""
+    n, k = scores.shape
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    a, s = np.exp(trans - trans.max()), np.exp(start - start.max())
+    begin = np.flatnonzero(fresh)
+    size = np.diff(np.append(begin, n))
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    alive = np.searchsorted(-size, -np.arange(size[0]), "left")  # chains of more than t words come first
+    alpha, expected = np.empty((n, k)), np.zeros((k, k))
+    v = np.broadcast_to(s, (len(begin), k))
+    for t, m in enumerate(alive.tolist()):
+        at = begin[:m] + t
+        v = (v[:m] @ a if t else v[:m]) * e[at]
+        v = v / v.sum(axis=1, keepdims=True)
+        alpha[at] = v
+    back = np.ones((len(begin), k))
+    for t in range(len(alive) - 1, -1, -1):
+        m = alive[t]
+        at = begin[:m] + t
+        w = e[at] * back[:m]
+        if t:  # the step into t: what came before, the transition, what is here and behind
+            before = alpha[at - 1]
+            expected += a * ((before / ((before @ a) * w).sum(axis=1, keepdims=True)).T @ w)
+        alpha[at] *= back[:m]
+        go = w @ a.T
+        back[:m] = go / go.sum(axis=1, keepdims=True)
+    return alpha / alpha.sum(axis=1, keepdims=True), expected
+
+
 @dataclass
 class Crf:
     """Labels, weight table (float32), transition and start scores."""
@@ -161,7 +192,8 @@ class Crf:
 
 
 def fit(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7) -> Crf:
-    """Fit by AdaGrad on the likelihood of word labels in spliced texts. Equal inputs give equal models."""
+    """Fit by AdaGrad on the likelihood of word labels in spliced texts. Equal inputs give equal models. Beside the texts it holds 4 MB
+    and a number a different word for each language, and what BATCH labels of words take."""
     names = sorted(set(labels))
     if not names:
         return Crf([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
@@ -187,8 +219,6 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7)
         fresh[(np.cumsum(size) - size)[rng.random(len(size)) < 0.3]] = True
         fresh[0] = True
     inv, y = inv[seq], y[seq]
-    gold = np.zeros((len(seq), k))
-    gold[np.arange(len(seq)), y] = 1
     follow = ~fresh[1:]
     pairs = np.zeros((k, k))
     np.add.at(pairs, (y[:-1][follow], y[1:][follow]), 1)
@@ -199,18 +229,29 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7)
     total = np.full((1 << TABLE_BITS, k), 1e-8)
     dt, ds = np.full((k, k), 1e-8), np.full(k, 1e-8)
     owner = np.repeat(np.arange(len(h)), np.diff(cuts))
+    begin = np.flatnonzero(fresh)
+    each = max(1, BATCH // k)
+    ends = np.unique(np.append(begin[np.searchsorted(begin, np.arange(each, len(seq), each)) % max(1, len(begin))], len(seq)))
+    ends = ends[ends > 0]
     for _ in range(steps if len(seq) else 0):
-        emit = _sum_rows(weights, rows, cuts)[inv]
-        prob, both = forward_backward(emit, fresh, trans, start, pairs=True)
-        diff = gold - prob
-        by_word = np.stack([np.bincount(inv, diff[:, j], len(h)) for j in range(k)], axis=1)
-        grad = np.stack([np.bincount(rows, by_word[owner, j], 1 << TABLE_BITS) for j in range(k)], axis=1) / len(seq) - 1e-7 * weights
-        total += grad * grad
-        weights += 0.3 * grad / np.sqrt(total)
+        by_kind = _sum_rows(weights, rows, cuts)
+        by_word, both, first = np.zeros((len(h), k)), np.zeros((k, k)), np.zeros(k)
+        for x, z in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):  # whole chains, so that the sums are those of all at once
+            prob, part = chain_marginals(by_kind[inv[x:z]], fresh[x:z], trans, start)
+            both += part
+            diff = -prob
+            diff[np.arange(z - x), y[x:z]] += 1
+            first += diff[fresh[x:z]].sum(axis=0)
+            for j in range(k):
+                by_word[:, j] += np.bincount(inv[x:z], diff[:, j], len(h))
+        for j in range(k):
+            grad = np.bincount(rows, by_word[owner, j], 1 << TABLE_BITS) / len(seq) - 1e-7 * weights[:, j]
+            total[:, j] += grad * grad
+            weights[:, j] += 0.3 * grad / np.sqrt(total[:, j])
         g = (pairs - both) / len(seq)
         dt += g * g
         trans = trans + 0.05 * g / np.sqrt(dt)
-        g = (gold[fresh].sum(axis=0) - prob[fresh].sum(axis=0)) / len(seq)
+        g = first / len(seq)
         ds += g * g
         start = start + 0.05 * g / np.sqrt(ds)
     return Crf(names, weights.astype(np.float32), trans, start)
@@ -221,45 +262,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.expr(f"crc32(cast(cast({doc_id} as string) as binary)) % 3 = 1"), F.lit(False))
 
 
-def _picked_spans(buf: np.ndarray, off: np.ndarray, salt: int, spans: int) -> list[str]:
-    """Of each text, its words of WORD_BYTES or fewer, in `spans` spans of SPAN words at most, taken by a hash and kept in order."""
-    w = tk.Words(buf, off, _LETTERS, lower=False)
-    out = []
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        n = -(-(b - a) // SPAN)
-        on = np.arange(n)
-        if n > spans:
-            on = np.sort(np.argsort(tk.mix(on.astype(_U) + _U(salt)), kind="stable")[:spans])
-        at = (a + (on[:, None] * SPAN + np.arange(SPAN)).ravel()) if n else np.zeros(0, np.int64)
-        at = at[at < b]
-        at = at[w.ends[at] - w.starts[at] <= WORD_BYTES]
-        out.append(b" ".join(buf[w.starts[j] : w.ends[j]].tobytes() for j in at).decode("utf-8", "replace"))
-    return out
-
-
-def train(docs: DataFrame, per_language: int = SAMPLE, languages: int = LANGUAGES, spans: int = SPANS) -> Crf:
-    """Fit on at most per_language texts of each language, taken by a hash of id and text, and of each text on at most `spans`
-    spans of words from all over it.
-
-    Executors cut the spans; the driver gets languages * per_language * spans * SPAN words at most. Null and empty texts and
-    null languages teach nothing; of more than `languages` languages those of the most texts are learnt (ties by name).
-    Repeated rows count as often as they stand there. Without rows the model has no language and calls every text `und`.
+def train(docs: DataFrame, per_language: int = SAMPLE, most_rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Crf:
+    """Fit on whole texts of a bounded sample: distinct rows (doc_id, text), per_language of each language at most and no more than an
+    equal share of most_rows (one at least), in the order of a hash, languages by turns; a row with which the texts would have
+    more than most_bytes is left out.
+
+    The driver gets the sample's texts. Every language with a row that fits is learnt. Null and empty texts and null languages
+    teach nothing; rows that repeat id, text and language count once. Without rows the model has no language and calls every
+    text `und`.
     """
     spark = docs.sparkSession
     ship(spark)
-    able = docs.where(~held_out()).where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    h = F.expr("xxhash64(doc_id, text) & 9223372036854775807")
-    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "lang").limit(languages)
-    some = able.select("doc_id", "lang", h.alias("h"), "text").join(F.broadcast(counts), "lang").where(F.col("h").cast("double") <= F.lit(2.0**63) * 2 * per_language / F.col("total"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = tk.column_bytes(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(_picked_spans(buf, off, 7, spans), pa.string())], names=["lang", "h", "text"])
-
-    rows = some.select("lang", "h", "text").mapInArrow(tk.tidied(run), "lang string, h long, text string")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("nth") <= per_language)
-    rows = rows.toArrow().sort_by([("lang", "ascending"), ("nth", "ascending")])
+    able = docs.where(~held_out()).where("lang is not null and text is not null").select("doc_id", "lang", F.expr("xxhash64(doc_id, text) & 9223372036854775807").alias("h"), "text")
+    counts = able.groupBy("lang").agg(F.approx_count_distinct("h").alias("total"))
+    n = counts.count()
+    if not n:
+        return fit([], [])
+    each = max(1, min(per_language, most_rows // n))
+    some = able.join(F.broadcast(counts) if n <= most_rows else counts, "lang").where(F.col("h").cast("double") <= F.lit(2.0**63) * 4 * each / F.greatest("total", F.lit(1)))
+    keys = some.select("lang", "h", F.octet_length("text").alias("size")).distinct()
+    keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= each)
+    keep, total = [], 0
+    for r in keys.orderBy("nth", "lang").limit(most_rows).collect():  # most_rows rows of numbers at most
+        if total + r["size"] <= most_bytes:
+            keep.append((r["lang"], r["h"]))
+            total += r["size"]
+    if not keep:
+        return fit([], [])
+    picked = F.broadcast(spark.createDataFrame(keep, "lang string, h long"))
+    rows = able.join(picked, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", "text").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     return fit(rows["text"].to_pylist(), rows["lang"].to_pylist())
 
 

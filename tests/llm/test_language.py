@@ -82,16 +82,56 @@ def test_odd_rows(spark):
     assert lg.label(spark.createDataFrame([], SCHEMA), crf).count() == 0
 
 
-def test_long_texts_train_by_spans_from_all_over():
-    words = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(10_000)]
-    got = lg._picked_spans(*tk.joined([" ".join(words), "a b", "", "x" * 200 + " y"]), 7, 5)
-    places = [words.index(x) for x in got[0].split()]
-    assert len(places) == 5 * lg.SPAN and max(places) > 1000 and got[1:] == ["a b", "", "y"]
-
-
-def test_languages_are_bounded_and_clashing_columns_replaced(spark):
-    rows = _docs() + [(10_000 + i, "zz qq", f"junk{i}", "s", 1) for i in range(30)]
-    crf = lg.train(spark.createDataFrame(rows, SCHEMA), languages=3)
-    assert crf.labels == ["aa", "bb", "cc"]
+def test_chains_side_by_side_give_what_lanes_give():
+    rng = np.random.default_rng(1)
+    for n, k in ((1, 2), (40, 3), (300, 5)):
+        s, a, b = rng.normal(size=(n, k)) * 3, rng.normal(size=(k, k)), rng.normal(size=k)
+        for p in (0.0, 0.1, 1.0):
+            fresh = rng.random(n) < p
+            fresh[0] = True
+            for got, want in zip(lg.chain_marginals(s, fresh, a, b), lg.forward_backward(s, fresh, a, b, pairs=True), strict=True):
+                assert np.allclose(got, want)
+
+
+def test_batches_of_chains_give_the_same_model(monkeypatch):
+    texts, labels = [r[1] for r in _docs(60)], [r[2] for r in _docs(60)]
+    whole = lg.fit(texts, labels, steps=6)
+    monkeypatch.setattr(lg, "BATCH", 200)
+    parts = lg.fit(texts, labels, steps=6)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-4) and np.allclose(whole.trans, parts.trans) and np.allclose(whole.start, parts.start)
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    """Rows by turns of the languages, whole texts, none twice; every language is learnt."""
+    seen = []
+    monkeypatch.setattr(lg, "fit", lambda texts, labels, **kw: seen.append(sorted(zip(labels, texts, strict=True))))
+    long = " ".join(f"word{i}x" for i in range(3000)) + " " + "y" * 300
+    rows = [(i, f"ka ko {i}", f"l{i % 7}", "s", 1) for i in range(700)] * 2 + [(9000, long, "long", "s", 1), (9001, None, "none", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    lg.train(df, per_language=5)
+    count = lambda: {x: sum(v == x for v, _ in seen[-1]) for x, _ in seen[-1]}
+    assert count() == {f"l{k}": 5 for k in range(7)} | {"long": 1} and dict(seen[-1])["long"] == long and len(set(seen[-1])) == 36
+    lg.train(df, most_rows=16)
+    assert count() == {f"l{k}": 2 for k in range(7)} | {"long": 1}
+    lg.train(df.repartition(3), per_language=5, most_bytes=100)
+    assert set(count()) == {f"l{k}" for k in range(7)} and sum(len(t) for _, t in seen[-1]) <= 100
+
+
+def test_many_languages():
+    """150 languages of their own syllables, and one text of each to be named."""
+    rng = random.Random(2)
+    own = ["".join(p) for p in itertools.product("bdfgklmnprstvz", "aeiou", "bdfgklmnprstvz")]
+    rng.shuffle(own)
+    text = lambda k, n: " ".join("".join(rng.choices(own[6 * k : 6 * k + 6], k=2)) for _ in range(n))
+    crf = lg.fit([text(k, 20) for k in range(150) for _ in range(3)], [f"l{k:03d}" for k in range(150) for _ in range(3)], steps=8)
+    right = 0
+    for k in range(150):
+        prob, _ = crf.word_probabilities(*tk.joined([text(k, 12)]))
+        right += crf.labels[int(prob.mean(axis=0).argmax())] == f"l{k:03d}"
+    assert len(crf.labels) == 150 and right >= 145
+
+
+def test_clashing_columns_are_replaced(spark):
+    crf = lg.train(spark.createDataFrame(_docs(60), SCHEMA))
     odd = spark.createDataFrame([(1, "ka ko", "x")], "doc_id long, text string, Score string")
     assert lg.label(odd, crf).columns == ["doc_id", "text", "lang_pred", "score"]
