@@ -53,6 +53,20 @@ def clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.clip_text(words, rects).select("page_no", "rect_no", "text")
 
 
+@query("underline_manifest", """WITH b AS (SELECT l_orderkey % 500 AS doc_id, CAST(l_orderkey AS INT) AS page_no, CAST(l_linenumber AS INT) * 100000 + l_partkey AS n, CAST(l_quantity AS DOUBLE) * 4 AS x0, CAST(l_partkey % 60 AS DOUBLE) AS y0, l_returnflag AS kind, CAST(l_discount AS DOUBLE) * 20 AS w FROM lineitem)
+  SELECT DISTINCT doc_id, page_no, phrase FROM (SELECT r.doc_id, r.page_no, string_agg('w' || a.n, ' ' ORDER BY a.n) AS phrase FROM b a JOIN (SELECT DISTINCT doc_id, page_no, n, x0, y0, w FROM b WHERE kind <> 'N' AND w < 1) r ON r.doc_id = a.doc_id AND r.page_no = a.page_no
+    AND a.x0 + 10 BETWEEN r.x0 AND r.x0 + 120 AND a.y0 + 5 BETWEEN r.y0 - 14 AND r.y0 + 2 WHERE a.kind = 'N' GROUP BY r.doc_id, r.page_no, r.n)""")
+def underline_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as words and, of another flag, as level lines of a page."""
+    b = load(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey % 500 AS doc_id", "cast(l_orderkey as int) AS page_no", "cast(l_linenumber as int) * 100000 + l_partkey AS n", "cast(l_quantity as double) * 4 AS x0", "cast(l_partkey % 60 as double) AS y0",
+        "l_returnflag AS flag", "cast(l_discount as double) * 20 AS line_width",
+    )
+    words = b.where("flag = 'N'").selectExpr("*", "x0 + 20 AS x1", "y0 + 10 AS y1", "concat('w', n) AS text", "0 AS block_no", "0 AS line_no", "n AS word_no")
+    lines = b.where("flag <> 'N'").selectExpr("doc_id", "page_no", "n AS rect_no", "x0", "x0 + 120 AS x1", "y0", "y0 AS y1", "'line' AS kind", "line_width").distinct()
+    return L.underline_manifest(words, lines)
+
+
 @query("page_reading_text", _U.rstrip() + """, k AS (SELECT doc_id, page_no, box_no, y0, y1, CASE WHEN x0 < 260 THEN 0 ELSE 1 END AS side FROM u WHERE y0 >= 41.5 AND y1 <= 747),
   g AS (SELECT *, lag(y1) OVER w AS py, lag(side) OVER w AS ps FROM k WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY side, y0, box_no))
   SELECT page_no, string_agg(CASE WHEN ps IS NULL THEN '' WHEN y0 - py > 18 OR ps <> side THEN chr(10) || chr(10) ELSE chr(10) END || CAST(box_no AS VARCHAR), '' ORDER BY side, y0, box_no) AS text FROM g GROUP BY doc_id, page_no""")
