@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import query
-from ..operators import correct as V, geometry as G, investigate as I, job as J, segment as S, similarity as M
+from ..operators import anchors as A, correct as V, geometry as G, investigate as I, job as J, segment as S, similarity as M
 from ..session import load
 from ..sources import layout as L, tables as T
 from . import sql
@@ -67,6 +67,25 @@ def underline_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.underline_manifest(words, lines)
 
 
+_WORDS = """WITH u AS (SELECT DISTINCT l_orderkey % 500 AS doc_id, CAST(l_orderkey AS INT) AS page_no, CAST(l_linenumber AS INT) * 100000 + l_partkey AS n, CAST(min(l_quantity) AS DOUBLE) * 10 AS x0, CAST(l_partkey % 800 AS DOUBLE) AS y0, 'w' || l_partkey % 5 AS t FROM lineitem GROUP BY 1, 2, 3, 5, 6),
+  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY n) AS i FROM u), g AS (SELECT doc_id, page_no, ' ' || string_agg(t, ' ' ORDER BY n) || ' ' AS body FROM k GROUP BY ALL)"""
+
+
+@query("anchor_regions", _WORDS + """, e AS (SELECT doc_id, page_no, n AS elem_no, CASE n % 3 WHEN 0 THEN 'visual' WHEN 1 THEN 'passage' ELSE 'question' END AS type, t || ' w' || n % 5 || ' w' || n % 4 || ' w1' AS anchor FROM k),
+  f AS (SELECT e.*, coalesce(nullif(position(' ' || anchor || ' ' IN body), 0), nullif(position(' ' || array_to_string(string_split(anchor, ' ')[:3], ' ') || ' ' IN body), 0), nullif(position(' ' || array_to_string(string_split(anchor, ' ')[:2], ' ') || ' ' IN body), 0), position(' ' || string_split(anchor, ' ')[1] || ' ' IN body)) AS p, body FROM e JOIN g USING (doc_id, page_no)),
+  a AS (SELECT f.doc_id, f.page_no, elem_no, type, k.x0, k.y0, CASE WHEN k.x0 < 260 THEN 'left' ELSE 'right' END AS side FROM f JOIN k ON k.doc_id = f.doc_id AND k.page_no = f.page_no AND k.i = length(left(body, p)) - length(replace(left(body, p), ' ', ''))),
+  b AS (SELECT *, (SELECT arg_min(z.y0, (z.y0, z.elem_no)) FROM a z WHERE z.doc_id = a.doc_id AND z.page_no = a.page_no AND z.side = a.side AND z.type <> 'visual' AND (z.y0, z.elem_no) > (a.y0, a.elem_no)) AS nxt FROM a)
+  SELECT doc_id, page_no, elem_no, CASE side WHEN 'left' THEN 30.0 ELSE 265.0 END::DOUBLE AS x0, CASE type WHEN 'visual' THEN y0 - 5 ELSE y0 END AS y0, CASE type WHEN 'visual' THEN y0 + 150 ELSE greatest(y0 + 1, coalesce(nxt - 5, 780)) END AS y1,
+    CAST(trunc(CASE side WHEN 'left' THEN 255.0 ELSE 490.0 END * 1040 / 520) AS INT) AS px1 FROM b""")
+def anchor_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as words of a page; each word is also the beginning of an element, with three made words behind it."""
+    u = load(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 500).alias("doc_id"), F.col("l_orderkey").cast("int").alias("page_no"), (F.col("l_linenumber").cast("int") * 100000 + F.col("l_partkey")).alias("n"), (F.col("l_partkey") % 800).cast("double").alias("y0"), F.concat(F.lit("w"), F.col("l_partkey") % 5).alias("text")).agg((F.min("l_quantity").cast("double") * 10).alias("x0"))
+    kind = F.when(F.col("n") % 3 == 0, "visual").when(F.col("n") % 3 == 1, "passage").otherwise("question")
+    elements = u.select("doc_id", "page_no", F.col("n").alias("elem_no"), kind.alias("type"), F.concat("text", F.lit(" w"), F.col("n") % 5, F.lit(" w"), F.col("n") % 4, F.lit(" w1")).alias("anchor"))
+    pages = u.select("doc_id", "page_no").distinct().selectExpr("*", "520D AS page_w", "830D AS page_h", "1040 AS image_w", "1660 AS image_h")
+    return A.anchor_regions(u, elements, pages).select("doc_id", "page_no", "elem_no", "x0", "y0", "y1", "px1")
+
+
 @query("page_reading_text", _U.rstrip() + """, k AS (SELECT doc_id, page_no, box_no, y0, y1, CASE WHEN x0 < 260 THEN 0 ELSE 1 END AS side FROM u WHERE y0 >= 41.5 AND y1 <= 747),
   g AS (SELECT *, lag(y1) OVER w AS py, lag(side) OVER w AS ps FROM k WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY side, y0, box_no))
   SELECT page_no, string_agg(CASE WHEN ps IS NULL THEN '' WHEN y0 - py > 18 OR ps <> side THEN chr(10) || chr(10) ELSE chr(10) END || CAST(box_no AS VARCHAR), '' ORDER BY side, y0, box_no) AS text FROM g GROUP BY doc_id, page_no""")
