@@ -173,7 +173,7 @@ def mean_ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.skip_questions(rows).withColumn("mean", F.round("mean", 6))
 
 
-@query("first_free_labels", """WITH RECURSIVE l AS (SELECT l_orderkey AS doc_id, l_partkey * 10 + l_linenumber AS pos, l_returnflag AS label, l_discount >= 0.02 AS found, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey * 10 + l_linenumber) AS k FROM lineitem),
+@query("first_free_labels", """WITH RECURSIVE l AS (SELECT l_orderkey AS doc_id, l_partkey * 10 + l_linenumber AS pos, l_returnflag AS label, l_discount >= 0.02 AS found, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey * 10 + l_linenumber, l_returnflag, l_discount >= 0.02) AS k FROM lineitem),
   u AS (SELECT doc_id, CASE WHEN bool_or(label = 'R') THEN ['R'] ELSE CAST([] AS VARCHAR[]) END AS used FROM l GROUP BY doc_id),
   s AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, used, CAST(NULL AS VARCHAR) AS actual FROM u
     UNION ALL SELECT l.doc_id, l.k, CASE WHEN l.found THEN list_append(s.used, g) ELSE s.used END, CASE WHEN l.found THEN g END

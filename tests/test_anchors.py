@@ -18,8 +18,8 @@ def test_regions(spark):
     assert {r["elem_no"]: r["n_words"] for r in places.where("page_no = 1").collect()} == {1: 5, 2: 2, 3: 2, 5: 2, 7: 1}
     got = {(r["page_no"], r["elem_no"]): tuple(r[c] for c in ("side", "x0", "y0", "x1", "y1", "px0", "py1")) for r in out.collect() if r["found"]}
     assert got == {
-        (1, 1): ("left", 30.0, 100.0, 245.0, 195.0, 60, 390), (1, 2): ("left", 30.0, 200.0, 245.0, 235.0, 60, 470), (1, 7): ("left", 30.0, 240.0, 245.0, 750.0, 60, 1500),
-        (1, 3): ("right", 255.0, 95.0, 470.0, 250.0, 510, 500), (1, 5): ("right", 255.0, 160.0, 470.0, 750.0, 510, 1500),
+        (1, 1): ("left", 30.0, 100.0, 245.0, 195.0, 60, 390), (1, 2): ("left", 30.0, 200.0, 245.0, 750.0, 60, 1500), (1, 7): ("right", 255.0, 100.0, 470.0, 175.0, 510, 350),
+        (1, 3): ("right", 255.0, 115.0, 470.0, 270.0, 510, 540), (1, 5): ("right", 255.0, 180.0, 470.0, 750.0, 510, 1500),
     }
     assert {r["page_no"]: r["rate"] for r in A.anchor_rates(out).collect()} == {1: 0.714, 2: 0.0}
 
