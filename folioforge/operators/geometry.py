@@ -94,6 +94,74 @@ def page_text(blocks: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"))
 
 
+# Share of a page that makes a block one over both columns, how far in an indent is, and gaps that end a line.
+FULL_WIDTH, INDENT, SHORT_LINE, POEM, WIDE_GAP = 0.55, 6, 0.80, 0.55, 15
+LABEL_BLOCK, QUESTION_HEAD = r"^\[[A-E]\]$", r"^\d{1,2}[.．。]\s"
+
+
+def block_texts(blocks: DataFrame, words: DataFrame, lines: DataFrame) -> DataFrame:
+    """blocks with `text` on one line; where words of a block (block_no, line_no, word_no) are underlined by one of the lines, from its
+    words, with <u> around each run of underlined ones within a line."""
+    key = [*PAGE, "block_no", "line_no", "word_no"]
+    under = underlined(words, lines).select(*key).distinct().withColumn("u", F.lit(True))
+    flagged = words.join(under, key, "left").select(*PAGE, "block_no", F.struct("line_no", "word_no", "text", F.coalesce("u", F.lit(False)).alias("u")).alias("w"))
+    own = flagged.groupBy(*PAGE, "block_no").agg(F.array_sort(F.collect_list("w")).alias("w")).where(F.exists("w", lambda w: w["u"]))
+    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("int").alias("line"), F.lit(False).alias("u"))
+    mark = lambda on, tag: F.when(on, tag).otherwise("")
+
+    def step(a, w):
+        goes_on = a["line"].eqNullSafe(w["line_no"].cast("int")) & (a["u"] == w["u"])
+        out = F.when(a["line"].isNull(), F.concat(mark(w["u"], "<u>"), w["text"])).when(goes_on, F.concat(a["out"], F.lit(" "), w["text"])).otherwise(F.concat(a["out"], mark(a["u"], "</u>"), F.lit(" "), mark(w["u"], "<u>"), w["text"]))
+        return F.struct(out.alias("out"), w["line_no"].cast("int").alias("line"), w["u"].alias("u"))
+
+    built = own.select(*PAGE, "block_no", F.aggregate("w", start, step, lambda a: F.concat(a["out"], mark(a["u"], "</u>"))).alias("built"))
+    return blocks.join(built, [*PAGE, "block_no"], "left").withColumn("text", F.coalesce("built", tx.squeeze(F.coalesce("text", F.lit(""))))).drop("built")
+
+
+def marked_page_text(blocks: DataFrame, words: DataFrame, lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text): each page as it is read, with underlines, indents and range marks.
+
+    Blocks over both columns come first, then the left and the right column. blocks: see page_text; words and lines: see underlined;
+    ranges: doc_id, page_no, label, top, bottom (see bracket_ranges). A block that is a range's label, boilerplate or empty is
+    left out, one that is set in by 6 or more starts with a wide space. Behind a block stands a blank line before a question, a
+    line break before an indent, a wide gap, or where the lines of a poem end, else a blank. A block within 5 of a range belongs
+    to it, to the first by label of several. A page without text has no row.
+    """
+    body = block_texts(blocks.where((F.col("kind") == 0) & (F.col("y1") <= 0.90 * F.col("page_h"))), words, lines)
+    body = body.where((F.col("text") != "") & ~F.col("text").rlike(LABEL_BLOCK) & ~tx.boilerplate(F.col("text")))
+    mid = F.col("page_w") * 0.5
+    side = F.when((F.col("x0") + F.col("x1")) / 2 < mid, 1).otherwise(2)
+    low = column_baselines(blocks.where((F.col("kind") == 0) & (F.col("y0") >= 0.05 * F.col("page_h")) & (F.col("y1") <= 0.92 * F.col("page_h")) & (F.length(F.trim("text")) >= 5)))
+    low = low.select(*PAGE, F.when(F.col("side") == "left", 1).otherwise(2).alias("half"), "baseline")
+    body = body.withColumn("half", side).join(low, [*PAGE, "half"], "left")
+    body = body.withColumn("text", F.when(F.col("x0") - F.col("baseline") >= INDENT, F.concat(F.lit("　"), "text")).otherwise(F.col("text")))
+    body = body.withColumn("part", F.when(F.col("x1") - F.col("x0") > FULL_WIDTH * F.col("page_w"), 0).when(F.col("x0") < mid, 1).otherwise(2))
+
+    r = ranges.select(*PAGE, "label", F.col("top").alias("r0"), F.col("bottom").alias("r1"))
+    near = body.select(*PAGE, "block_no", "y0", "y1").join(r, PAGE).where((F.col("r0") - 5 <= F.col("y1")) & (F.col("r1") + 5 >= F.col("y0")))
+    body = body.join(near.groupBy(*PAGE, "block_no").agg(F.min("label").alias("label")), [*PAGE, "block_no"], "left").withColumn("label", F.when(F.col("part") > 0, F.col("label")))
+
+    column = Window.partitionBy(*PAGE, "part")
+    order = column.orderBy("y0", "block_no")
+    before = lambda c: F.lag(c).over(order)
+    body = body.withColumn("gap", F.col("y0") - before("y1")).withColumn("right", F.max("x1").over(column)).withColumn("n", F.count(F.lit(1)).over(column))
+    short = F.col("x1") < F.col("right") * SHORT_LINE
+    poem = (F.col("n") >= 3) & (F.count_if(short).over(column) / F.col("n") > POEM)
+    usual = F.coalesce(F.avg(F.when((F.col("gap") > 0) & (F.col("gap") < 50), F.col("gap"))).over(column), F.lit(10.0))
+    wide = ((F.col("gap") > usual * 1.8) & (F.col("gap") > 8)) | (F.col("gap") > WIDE_GAP)
+    sep = F.when(F.col("part") == 0, "\n\n").when(F.col("text").rlike(QUESTION_HEAD), "\n\n").when(F.col("text").startswith("　"), "\n").when(wide, "\n").when(poem & before(short), "\n").otherwise(" ")
+    was, last = before("label"), F.lead("block_no").over(order).isNull()
+    changes = ~was.eqNullSafe(F.col("label"))
+    tag = lambda c, what: F.concat(F.lit("["), c, F.lit(f":{what}]"))
+    piece = F.concat(
+        F.when(was.isNotNull() & changes, tag(was, "END")).otherwise(""), F.when(before("block_no").isNull(), "").otherwise(sep), F.when(F.col("label").isNotNull() & changes, F.concat(tag(F.col("label"), "START"), F.lit("\n"))).otherwise(""),
+        F.col("text"), F.when(last & F.col("label").isNotNull(), tag(F.col("label"), "END")).otherwise(""),
+    )
+    pieces = body.select(*PAGE, "part", "y0", "block_no", piece.alias("t"))
+    parts = pieces.groupBy(*PAGE, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "block_no", "t"))), lambda p: p["t"]), "").alias("t"))
+    return parts.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda p: p["t"]), "\n\n").alias("text"))
+
+
 def column_baselines(blocks: DataFrame) -> DataFrame:
     """The x0 a tenth of the way up the sorted x0 of each column: its indent baseline."""
     side = F.when(F.col("x0") < 0.5 * F.col("page_w"), "left").otherwise("right")
