@@ -7,6 +7,8 @@ thousand non-zero weights; these are broadcast, and scoring is one map over the
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,25 @@ THRESHOLD = 0.3
 EPOCHS = 5
 #: L1 grows with the sample, since the gradients that it is weighed against are summed over it.
 L1_EACH, L1_LEAST = 6e-4, 1.0
+#: Feature ids of the sample that the driver counts at a time.
+COUNT_IDS = 1 << 18
+
+
+class Mapped:
+    """Arrays that are written one by one to a file without a name in the driver's temporary folder and mapped when all are there:
+    only what is looked at just now is in memory."""
+
+    def __init__(self, dtype: type):
+        self.dtype, self.ends, self.file = np.dtype(dtype), [0], tempfile.TemporaryFile()
+
+    def add(self, values: np.ndarray | bytes) -> None:
+        self.ends.append(self.ends[-1] + self.file.write(values) // self.dtype.itemsize)
+
+    def arrays(self) -> list[np.ndarray]:
+        with self.file as f:
+            f.flush()
+            every = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), self.dtype) if self.ends[-1] else np.zeros(0, self.dtype)
+        return [every[a:b] for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,24 +87,32 @@ class Weights:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def vocabulary(rows: list[np.ndarray], min_docs: int) -> np.ndarray:
+    """The ids, in order, that stand in min_docs rows or more. Ids are hashes, so ranges of them, which are counted one after the
+    other, have about COUNT_IDS each."""
+    parts = sum(map(len, rows)) // COUNT_IDS + 1
+    edges = (np.arange(1, parts) * (2**32 // parts)).astype(np.uint32)
+    cuts = [np.concatenate([[0], np.searchsorted(r, edges), [len(r)]]).astype(np.int32) for r in rows]
+    out = []
+    for j in range(parts):
+        ids, many = np.unique(np.concatenate([r[c[j] : c[j + 1]] for r, c in zip(rows, cuts, strict=True)]), return_counts=True)
+        out.append(ids[many >= min_docs])
+    return np.concatenate(out)
+
+
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float | None = None, l2: float = 0.1, epochs: int = EPOCHS, min_docs: int = MIN_DOCS) -> Weights:
-    """Fit by FTRL-proximal; each row holds the distinct feature ids of one document. The list is used up."""
+    """Fit by FTRL-proximal; each row holds the distinct feature ids of one document. Beside the rows, memory is needed for
+    what stands in min_docs of them or more, some 20 bytes a feature, and for COUNT_IDS ids."""
     if not rows:
         return Weights(np.zeros(0, np.uint32), np.zeros(0), -2.0)  # nothing learnt: no text is rejected
     l1 = max(L1_LEAST, L1_EACH * len(rows)) if l1 is None else l1
-    # most features stand in one document: a small table of counts sets them aside before the rest is put in order
-    often = np.zeros(1 << 24, np.uint16)
-    for r in rows:
-        np.add.at(often, r >> 8, 1)
-    for j, r in enumerate(rows):
-        rows[j] = r[often[r >> 8] >= min_docs]
-    del often
-    vocab, many = np.unique(np.concatenate(rows), return_counts=True)
-    vocab = vocab[many >= min_docs]
-    index = []
+    rows = [r if (r[:-1] <= r[1:]).all() else np.sort(r) for r in rows]
+    vocab = vocabulary(rows, min_docs)
+    places = Mapped(np.int32)
     for r in rows:
         k = np.minimum(np.searchsorted(vocab, r), max(0, len(vocab) - 1))
-        index.append(k[vocab[k] == r].astype(np.int32) if len(vocab) else np.zeros(0, np.int32))
+        places.add(k[vocab[k] == r].astype(np.int32) if len(vocab) else np.zeros(0, np.int32))
+    index = places.arrays()
     z, n = np.zeros(len(vocab)), np.zeros(len(vocab))
     zb = nb = 0.0
     order = np.random.default_rng(11)
@@ -123,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, most_bytes: int =
     """Fit on a bounded sample: at most n distinct rows (doc_id, text) with a label, in the order of a hash of both, those left out
     with which the texts would have more than most_bytes.
 
-    Executors make the features, the driver gets only those of the sample: about twice most_bytes. Labels of null or held-out ids and
+    Executors make the features, the driver gets only those of the sample, about twice most_bytes, a partition at a time, and
+    keeps them in a mapped temporary file. Labels of null or held-out ids and
     null labels are not learnt; a null or empty text has no features; rows that repeat an id with other texts are rows of their
     own, those that repeat both count once. Without a labelled document the weights reject nothing. Other columns are ignored.
     """
@@ -154,14 +184,17 @@ def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, most_bytes: int =
             total += size
     if not keep:
         return ftrl([], np.zeros(0))
-    rows = table.select("doc_id", "h", "toxic", "ids").join(F.broadcast(spark.createDataFrame(keep, "h long, doc_id long")), ["h", "doc_id"]).toArrow()
-    order = np.lexsort((rows["doc_id"].to_numpy(), rows["h"].to_numpy()))
-    toxic = rows["toxic"].to_numpy()[order].astype(float)
-    ids = [np.frombuffer(rows["ids"][int(j)].as_buffer(), np.uint32) for j in order]  # read where they lie
-    del rows
+    rows = table.select("h", "doc_id", "toxic", "ids").join(F.broadcast(spark.createDataFrame(keep, "h long, doc_id long")), ["h", "doc_id"])
+    ids, of = Mapped(np.uint32), []
+    for r in rows.toLocalIterator():
+        ids.add(r["ids"])
+        of.append((r["h"], r["doc_id"], r["toxic"]))
     scratch.drop()
-    out = ftrl(ids, toxic)
-    del ids
+    tk.tidy()
+    each = ids.arrays()
+    order = sorted(range(len(of)), key=of.__getitem__)
+    out = ftrl([each[j] for j in order], np.array([of[j][2] for j in order], float))
+    del each
     tk.tidy()
     return out
 

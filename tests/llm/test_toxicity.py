@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from folioforge.llm import textkernel as tk
 from folioforge.llm import toxicity as tx
 
@@ -131,3 +133,35 @@ def test_the_fit_is_bounded_in_rows_and_bytes(spark, monkeypatch):
     assert seen[-1][1] > 59_000
     tx.train(spark.createDataFrame(long, schema), lab, most_bytes=1000)  # a row that doesn't fit is left out as a whole
     assert seen[-1][0] == 2
+
+
+def test_the_fit_takes_less_memory_than_its_features(spark, monkeypatch):
+    """Features and their places lie in mapped files, and ids are counted in ranges."""
+    fit, seen = tx.ftrl, {}
+
+    def measured(rows, labels, **kw):
+        seen["size"] = 4 * sum(len(r) for r in rows)
+        tracemalloc.reset_peak()
+        out = fit(rows, labels, **kw)
+        seen["peak"] = tracemalloc.get_traced_memory()[1] - seen["before"] + pa.total_allocated_bytes()
+        return out
+
+    monkeypatch.setattr(tx, "ftrl", measured)
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 8000), x -> concat('w', if(x % 4 = 0, x, x * 400 + id)))) as text")
+    tracemalloc.start()
+    try:
+        seen["before"] = tracemalloc.get_traced_memory()[0]
+        w = tx.train(docs, spark.range(400).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic"))
+    finally:
+        tracemalloc.stop()
+    assert seen["size"] > 25_000_000 and seen["peak"] < 25_000_000 and isinstance(w.bias, float)
+
+
+def test_vocabulary_in_ranges(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 900, 200, dtype=np.uint64) * 4_770_000).astype(np.uint32) for _ in range(60)] + [np.zeros(0, np.uint32)]
+    ids, many = np.unique(np.concatenate(rows), return_counts=True)
+    for size in (1, 100, 1 << 18):
+        monkeypatch.setattr(tx, "COUNT_IDS", size)
+        assert (tx.vocabulary(rows, 14) == ids[many >= 14]).all() and len(tx.vocabulary(rows, 61)) == 0
+    assert [x.tolist() for x in tx.Mapped(np.int32).arrays()] == [] and 0 < (many >= 14).sum() < len(ids)
