@@ -2,7 +2,9 @@
 
 import difflib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from folioforge.operators import similarity as M
 
@@ -77,3 +79,56 @@ def test_items_in_several_blocks(spark, monkeypatch):
             want[k] = (-best[1], best[0])
     assert {r["i"]: (r["n"], r["similarity"]) for r in M.best_of_all(i, n, "s", "t", "i", "n", 0.4).collect()} == want
     assert M.best_of_all(i.limit(0), n, "s", "t", "i", "n", 0.4).count() == 0
+
+
+def _matched(a, b):
+    return sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+@pytest.mark.parametrize("letters", ["ab", "ab cd", "abcdefgh é😀"])
+def test_pairs_side_by_side_match_what_difflib_matches(letters, monkeypatch):
+    from folioforge.operators import ratios as R
+
+    monkeypatch.setattr(R, "TABLE_BYTES", 40_000)  # several batches
+    first = _texts(11, 12, 300, letters) + ["", "x", "abab"]
+    lines = _texts(12, 30, 199, letters) + ["", "abab", "ZZ", "b" * 199]
+    f = R.Firsts(first)
+    coded = [f.coded(R.codes(x)) for x in lines]
+    seen = set()
+    for batch in R.batches(f, coded):
+        s = R.Seconds(f, [coded[k] for k in batch])
+        k, t = (x.ravel() for x in np.meshgrid(np.arange(0, len(first)), np.arange(len(batch)), indexing="ij"))
+        for part in (k % 2 == 0, k % 2 == 1):
+            for i, j, n in zip(k[part], t[part], s.matched(k[part], t[part]), strict=True):
+                assert n == _matched(first[i], lines[batch[j]])
+                seen.add((i, batch[j]))
+    assert len(seen) == len(first) * len(lines)
+
+
+@pytest.mark.parametrize("seeds", [1 << 20, 50])
+def test_the_bound_of_long_lines_holds_and_rules_out(seeds, monkeypatch):
+    from folioforge.operators import ratios as R
+
+    monkeypatch.setattr(R, "SEEDS", seeds)
+    words = "the quick brown fox jumps over lazy dogs while Żubr 7 rests".split()
+    rng = random.Random(13)
+    first = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(6)] + ["", "q", "xyz " * 60, "mnop" * 80]
+    lines = [" ".join(rng.choice(words) for _ in range(n)) for n in (60, 90, 200)] + [first[0] + "!" * 40, "ab" * 200, first[1][:100] + "zz" * 80]
+    assert all(len(x) >= R.SHORT for x in lines)
+    f = R.Firsts(first)
+    rare = R.Rare(f)
+    for line in lines:
+        most = rare.most(f.coded(R.codes(line)))
+        assert all(m >= _matched(a, line) for m, a in zip(most, first, strict=True))
+    assert rare.most(f.coded(R.codes("ab" * 200))).tolist() == [0] * len(first)
+    assert rare.most(f.coded(R.codes(first[0] + "!" * 40)))[0] == len(first[0])
+
+
+def test_short_and_long_lines_in_one_join(spark):
+    rng = random.Random(14)
+    words = "the quick brown fox jumps over lazy dogs while Zubr rests".split()
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice((3, 20, 45))))) for k in range(9)]
+    lines = [(k, " ".join(rng.choice(words) for _ in range(rng.choice((2, 8, 30, 50, 120))))) for k in range(40)] + [(90, items[4][1]), (80, items[4][1]), (81, "x " + items[8][1])]
+    i, n = spark.createDataFrame(items, "i int, s string"), spark.createDataFrame(lines, "n int, t string")
+    want = {k: max((ratio(s, t), -j) for j, t in lines) for k, s in items}
+    assert {r["i"]: (r["similarity"], -r["n"]) for r in M.best_of_all(i, n, "s", "t", "i", "n", 0.1).collect()} == want
