@@ -132,3 +132,7 @@ def test_short_and_long_lines_in_one_join(spark):
     i, n = spark.createDataFrame(items, "i int, s string"), spark.createDataFrame(lines, "n int, t string")
     want = {k: max((ratio(s, t), -j) for j, t in lines) for k, s in items}
     assert {r["i"]: (r["similarity"], -r["n"]) for r in M.best_of_all(i, n, "s", "t", "i", "n", 0.1).collect()} == want
+    cuts = {0.0: "Z", 0.2: "B", 0.4: "A", 0.6: "ok"}
+    kind = lambda r: cuts[max(c for c in cuts if c <= r)]
+    kinds = Counter((kind(ratio(s, t)), kind(ratio(s.lower(), t.lower()))) for _, s in items for _, t in lines)
+    assert {(r["before"], r["after"]): r["count"] for r in M.reclassified(i, n, "s", "t", cuts).collect()} == kinds
