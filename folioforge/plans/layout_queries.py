@@ -138,8 +138,11 @@ def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as papers: every line is a long question of the text, those of a large quantity have choices, those of a low discount are
     stored, those of a high tax reported."""
     li = load(spark, sf_dir, "lineitem").withColumn("doc_id", F.col("l_orderkey")).withColumn("number", F.col("l_linenumber").cast("int"))
-    line = F.concat(F.col("number").cast("string"), F.lit(". "), F.repeat("l_returnflag", 600), F.when(F.col("l_quantity") > 25, "\n① a ② b").otherwise(""))
-    pages = li.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    line = lambda x: F.concat(x["number"].cast("string"), F.lit(". "), F.repeat(x["l_returnflag"], 600), F.when(x["l_quantity"] > 25, "\n① a ② b").otherwise(""))
+    # long texts are made behind the shuffle: few bytes are much work there, so its partitions must not be put together
+    dealt = li.select("doc_id", "number", "l_returnflag", "l_quantity").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    pages = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("number", "l_returnflag", "l_quantity")).alias("lines"))
+    pages = pages.select("doc_id", F.array_join(F.sort_array(F.transform("lines", line)), "\n").alias("text"))
     key = ["doc_id", "number"]
     return I.missing_questions(pages, li.where("l_discount < 0.05").select(*key).distinct(), li.where("l_tax > 0.06").select(*key).distinct())
 

@@ -64,3 +64,21 @@ def test_elements_and_bounded_search(spark):
     n = spark.createDataFrame([("d", 1, 0), ("d", 2, 5), ("d", 4, 3), ("d", 20, 50)], "k string, n int, p int")
     assert {r["n"]: r["s"] for r in Q.next_within(n, ["k"], "n", "p", 15, "s").collect()} == {1: 5, 2: None, 4: None, 20: None}
     assert {r["n"]: r["s"] for r in Q.next_within(n, ["k"], "n", "p", 18, "s").collect()} == {1: 5, 2: 50, 4: 50, 20: None}
+
+
+def test_missing_questions_by_where_each_number_stands_first(spark):
+    from folioforge.operators import investigate as I
+
+    text = "intro\n 1. first ① a\n7.5 loose\n2．second\n3.\n4. 페이지\n1. again, without\n07. seven\n45. ② b\n46. no\r5. behind a return"
+    pages = spark.createDataFrame([("d", text), ("e", "9. x\n09. y\n"), ("n", None)], "doc_id string, text string")
+    stored = spark.createDataFrame([("d", 2)], "doc_id string, number int")
+    reported = spark.createDataFrame([("d", 7), ("d", 46), ("d", 1), ("n", 3), ("z", 1)], "doc_id string, number int")
+    rows = I.missing_questions(pages, stored, reported).collect()
+    got = {(r["doc_id"], r["number"]): (r["in_text"], r["reported"], "".join(c[0] for c in r["causes"])) for r in rows}
+    assert len(rows) == len(got) and got == {
+        ("d", 1): (True, True, "BD"), ("d", 3): (True, False, "BC"), ("d", 4): (True, False, "BC"), ("d", 5): (True, False, "C"), ("d", 7): (True, True, "BCD"), ("d", 45): (True, False, ""),
+        ("d", 46): (False, True, "CD"), ("e", 9): (True, False, "C"), ("n", 3): (False, True, "A"), ("z", 1): (False, True, "A"),
+    }
+    for r in rows:
+        at = {1: text.index(" 1."), 7: text.index("7.5"), 46: text.index("46")}.get(r["number"])
+        assert r["doc_id"] != "d" or at is None or r["context"] == text[max(at - 30, 0) : max(at - 30, 0) + 60]
