@@ -17,6 +17,26 @@ MARGIN, GUTTER, LEAD, FOOT, PICTURE = 30, 5, 5, 50, 150
 VISUAL = "visual"
 
 
+def _placed(words: DataFrame, elements: DataFrame, *more: str) -> DataFrame:
+    """Every element (doc_id, page_no, elem_no, more) with the place of its beginning (x0, y0, n_words), null if it isn't found.
+
+    Words and elements go to their page together, and nothing is sent on from there: runs of one text meet by sorting within the page.
+    """
+    tokens = F.filter(F.split(F.lower(F.trim("anchor")), r"\s+"), lambda t: t != "")
+    tiers = lambda t: F.array_distinct(F.concat(F.array(F.size(t)), F.filter(F.array(*map(F.lit, FALLBACKS)), lambda k: k < F.size(t))))
+    asked = elements.select(tokens.alias("t")).where(F.size("t") > 0).select(F.explode(tiers("t")).alias("k"))
+    lengths = sorted(r["k"] for r in asked.distinct().collect()) or [1]  # numbers of words of a beginning
+    both = words.select(*PAGE, F.lit(True).alias("word"), "n", "x0", "y0", F.lower("text").alias("text")).unionByName(elements.select(*PAGE, F.lit(False).alias("word"), "elem_no", *more, "anchor"), True).where("doc_id is not null and page_no is not null")
+    ahead = Window.partitionBy(*PAGE).orderBy("word", "n").rowsBetween(0, lengths[-1] - 1)
+    both = both.withColumn("w", F.when(F.col("word"), F.collect_list("text").over(ahead)).otherwise(tokens))
+    some = F.when(F.col("word"), F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.size("w"))).when(F.size("w") > 0, tiers("w"))
+    runs = both.select(*PAGE, "word", "n", "x0", "y0", "elem_no", *more, "w", F.posexplode_outer(some).alias("tier", "k")).withColumn("run", F.array_join(F.slice("w", 1, F.coalesce("k", F.lit(0))), " ")).drop("w")
+    at = F.min(F.when(F.col("word"), F.struct("n", "x0", "y0"))).over(Window.partitionBy(*PAGE, "k", "run"))
+    hit = runs.withColumn("at", F.when(F.col("k").isNotNull(), at)).where("not word")
+    best = hit.groupBy(*PAGE, "elem_no", *more).agg(F.min(F.when(F.col("at").isNotNull(), F.struct("tier", "k", "at"))).alias("b"))
+    return best.select(*PAGE, "elem_no", *more, F.col("b.at.x0").alias("x0"), F.col("b.at.y0").alias("y0"), F.col("b.k").alias("n_words"))
+
+
 def anchor_places(words: DataFrame, elements: DataFrame) -> DataFrame:
     """(doc_id, page_no, elem_no, x0, y0, n_words): the first place on its page of each element's beginning, by all of its words or by as
     many as are found (n_words), in any case; elements that aren't found are left out.
@@ -24,20 +44,7 @@ def anchor_places(words: DataFrame, elements: DataFrame) -> DataFrame:
     words: doc_id, page_no, n (reading order), x0, y0, text. elements: doc_id, page_no, elem_no, anchor. Every word is the beginning
     of one run of each length that is asked for, so nothing is compared but by equal text.
     """
-    tokens = F.filter(F.split(F.lower(F.trim("anchor")), r"\s+"), lambda t: t != "")
-    asked = elements.select(*PAGE, "elem_no", tokens.alias("t")).where(F.size("t") > 0)
-    tiers = F.array_distinct(F.concat(F.array(F.size("t")), F.filter(F.array(*map(F.lit, FALLBACKS)), lambda k: k < F.size("t"))))
-    asked = asked.select(*PAGE, "elem_no", F.posexplode(F.transform(tiers, lambda k: F.struct(k.alias("k"), F.array_join(F.slice("t", 1, k), " ").alias("run")))).alias("tier", "a")).select(*PAGE, "elem_no", "tier", "a.*")
-    lengths = sorted(r["k"] for r in asked.select("k").distinct().collect())  # numbers of words of a beginning
-    if not lengths:
-        return elements.select(*PAGE, "elem_no", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(0).alias("n_words")).limit(0)
-    ahead = Window.partitionBy(*PAGE).orderBy("n").rowsBetween(0, lengths[-1] - 1)
-    run = words.select(*PAGE, "n", "x0", "y0", F.collect_list(F.lower("text")).over(ahead).alias("w"))
-    some = F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.size("w"))
-    runs = run.select(*PAGE, "n", "x0", "y0", F.explode(F.transform(some, lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", 1, k), " ").alias("run")))).alias("r")).select(*PAGE, "n", "x0", "y0", "r.*")
-    first = runs.groupBy(*PAGE, "k", "run").agg(F.min(F.struct("n", "x0", "y0")).alias("at"))
-    hit = asked.join(first, [*PAGE, "k", "run"]).groupBy(*PAGE, "elem_no").agg(F.min(F.struct("tier", "k", "at")).alias("b"))
-    return hit.select(*PAGE, "elem_no", F.col("b.at.x0").alias("x0"), F.col("b.at.y0").alias("y0"), F.col("b.k").alias("n_words"))
+    return _placed(words, elements).where("n_words is not null")
 
 
 def anchor_regions(words: DataFrame, elements: DataFrame, pages: DataFrame) -> DataFrame:
@@ -47,7 +54,7 @@ def anchor_regions(words: DataFrame, elements: DataFrame, pages: DataFrame) -> D
     next beginning in it that isn't a picture's, or to the foot of the page; a picture has a fixed height. Of beginnings at one
     height the lesser elem_no comes first. An element that isn't found has no box.
     """
-    rows = elements.select(*PAGE, "elem_no", "type").join(anchor_places(words, elements), [*PAGE, "elem_no"], "left").join(pages, PAGE)
+    rows = _placed(words, elements, "type").join(pages, PAGE)
     rows = rows.withColumn("found", F.col("y0").isNotNull()).withColumn("side", F.when(F.col("found"), F.when(F.col("x0") < F.col("page_w") * 0.5, "left").otherwise("right")))
     w = Window.partitionBy(*PAGE, "side").orderBy("y0", "elem_no").rowsBetween(1, Window.unboundedFollowing)
     after = F.first(F.when(F.col("type") != VISUAL, F.col("y0")), ignorenulls=True).over(w)

@@ -79,7 +79,8 @@ _WORDS = """WITH u AS (SELECT DISTINCT l_orderkey % 500 AS doc_id, CAST(l_orderk
     CAST(trunc(CASE side WHEN 'left' THEN 255.0 ELSE 490.0 END * 1040 / 520) AS INT) AS px1 FROM b""")
 def anchor_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as words of a page; each word is also the beginning of an element, with three made words behind it."""
-    u = load(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 500).alias("doc_id"), F.col("l_orderkey").cast("int").alias("page_no"), (F.col("l_linenumber").cast("int") * 100000 + F.col("l_partkey")).alias("n"), (F.col("l_partkey") % 800).cast("double").alias("y0"), F.concat(F.lit("w"), F.col("l_partkey") % 5).alias("text")).agg((F.min("l_quantity").cast("double") * 10).alias("x0"))
+    lines = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("doc_id"), F.col("l_orderkey").cast("int").alias("page_no"), (F.col("l_linenumber").cast("int") * 100000 + F.col("l_partkey")).alias("n"), (F.col("l_partkey") % 800).cast("double").alias("y0"), F.concat(F.lit("w"), F.col("l_partkey") % 5).alias("text"), "l_quantity")
+    u = lines.repartition("doc_id", "page_no").groupBy("doc_id", "page_no", "n", "y0", "text").agg((F.min("l_quantity").cast("double") * 10).alias("x0"))
     kind = F.when(F.col("n") % 3 == 0, "visual").when(F.col("n") % 3 == 1, "passage").otherwise("question")
     elements = u.select("doc_id", "page_no", F.col("n").alias("elem_no"), kind.alias("type"), F.concat("text", F.lit(" w"), F.col("n") % 5, F.lit(" w"), F.col("n") % 4, F.lit(" w1")).alias("anchor"))
     pages = u.select("doc_id", "page_no").distinct().selectExpr("*", "520D AS page_w", "830D AS page_h", "1040 AS image_w", "1660 AS image_h")

@@ -29,3 +29,16 @@ def test_empty_tables(spark):
     assert places.count() == 0 and out.where("found").count() == 0 and out.count() == 8
     out, places = regions(spark, WORDS, [])
     assert places.count() == out.count() == 0
+
+
+def test_words_and_elements_go_to_their_page_once(spark):
+    import re
+
+    out, _ = regions(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert 0 < len(dealt) <= 2 and all(re.findall(r"[a-z_]+(?=#)", x) == ["doc_id", "page_no"] for x in dealt)
